@@ -46,9 +46,12 @@ def source_targets(sized: DataFrame, most: float = 3.0) -> DataFrame:
     before, rest = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
     every = Window.partitionBy()
     level = (F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
-    per = per.withColumn("level", level).withColumn("open", F.col("level") * F.col("weight") <= F.col("cap"))
-    water = F.min(F.when(F.col("open"), F.col("level"))).over(every)
-    return per.select("source", "source_size", "weight", F.when(F.col("open"), F.col("weight") * water).otherwise(F.col("cap")).alias("target"))
+    per = per.withColumn("level", level).withColumn("place", F.row_number().over(order))
+    # the first place from which on the level drowns no cap; all before it are capped
+    fits = F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct("place", "level"))
+    per = per.withColumn("water", F.min(fits).over(every))
+    open_ = F.col("place") >= F.col("water.place")
+    return per.select("source", "source_size", "weight", F.when(open_, F.col("weight") * F.col("water.level")).otherwise(F.col("cap")).alias("target"))
 
 
 class Mix:

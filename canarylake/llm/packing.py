@@ -180,7 +180,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, id_col: str
             break
         last = top < _TREE
 
-        def merge(table: pa.Table, depth=depth, last=last) -> pa.Table:
+        def merge(table: pa.Table) -> pa.Table:
             table = table.sort_by([("part", "ascending"), ("offset", "ascending")])
             group = table["part"][0].as_py() // _TREE
             packer = Packer(size, 0, _MERGED + (depth << 56) + (group << 20), group)
@@ -189,7 +189,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, id_col: str
             packer.finish(last)
             return pa.Table.from_batches([packer.table()])
 
-        level = materialize(left.withColumn("grp", F.floor(F.col("part") / _TREE)).groupBy("grp").applyInArrow(lambda t, f=merge: f(t.drop_columns(["grp"])), _SCHEMA), "merged")
+        level = materialize(left.withColumn("grp", F.floor(F.col("part") / _TREE)).groupBy("grp").applyInArrow(merge, _SCHEMA), "merged")
         done = done.unionByName(level.where("not leftover"))
         if last:
             break

@@ -57,7 +57,7 @@ def assign_shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col:
 
     ``shard`` is the bit string of the shard's prefix; ``shard_bytes`` sums the UTF-8 bytes of its texts (null: 0)
     and is at most ``limit``. Rows that share all bits (one key repeated) and exceed the
-    limit together are cut into ``part`` 0, 1, ... by running size; one text over the limit has a part of its own.
+    limit together are cut into ``part`` 0, 1, ... by running size; a text over half the limit has a part of its own there.
     An empty table gives no shards. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes")).withColumn("h", hash_bits(F.col("doc_id")))
@@ -72,8 +72,12 @@ def assign_shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col:
     name = F.substring(F.lpad(F.bin("prefix"), BITS, "0"), BITS + 1 - F.col("depth"), F.col("depth"))
     met = met.withColumn("shard", F.when(F.col("depth") == 0, "").otherwise(name))
     fine = met.where(F.col("shard_bytes") <= limit).withColumn("part", F.lit(0))
-    run = Window.partitionBy("h").orderBy("bytes").rowsBetween(Window.unboundedPreceding, 0)
-    over = met.where(F.col("shard_bytes") > limit).withColumn("part", F.floor((F.sum("bytes").over(run) - 1) / limit).cast("int"))
+    # small rows by running size over half the limit, so that none exceeds it; larger rows have parts of their own
+    run, every = Window.partitionBy("h").orderBy("bytes").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("h")
+    small = F.col("bytes") * 2 <= limit
+    ahead = F.floor(F.coalesce(F.max(F.when(small, F.col("ends") - F.col("bytes"))).over(every), F.lit(0)) * 2 / limit)
+    over = met.where(F.col("shard_bytes") > limit).withColumn("ends", F.sum("bytes").over(run))
+    over = over.withColumn("part", F.when(small, F.floor((F.col("ends") - F.col("bytes")) * 2 / limit)).otherwise(ahead + F.sum(F.when(small, 0).otherwise(1)).over(run)).cast("int"))
     over = over.withColumn("shard_bytes", F.sum("bytes").over(Window.partitionBy("h", "part")))
     return fine.unionByName(over.select(*fine.columns)).select("doc_id", "bytes", "shard", "part", "depth", "shard_bytes")
 

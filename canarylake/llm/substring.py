@@ -217,7 +217,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = docs.select(
         _group_col(F.coalesce(key, F.lit(int(_LAST))), n).alias("g"),
         key.alias("doc"),
-        F.xxhash64(text_col).cast("int").alias("tag"),
+        F.pmod(F.xxhash64(text_col), F.lit((1 << 31) - 1)).cast("int").alias("tag"),
         F.col(text_col).alias("text"),
         F.struct(F.col(id_col).alias("id"), *[F.col(c) for c in carry]).alias("rest"),
     )
