@@ -32,7 +32,7 @@ class Chosen:
         return maybe, place[maybe].astype(np.int64)
 
 
-def word_features(texts: pa.Array, stems: tuple = (4, 5)) -> tuple[np.ndarray, np.ndarray]:
+def word_features(texts: pa.Array, stems: tuple = (4, 5, 7)) -> tuple[np.ndarray, np.ndarray]:
     """``(text, feature)`` for every lower-cased word of letters and digits, and for the words' first bytes."""
     w = Words(texts, marks=True, lower=True)
     text = w.text_of()
@@ -101,10 +101,11 @@ def listed(rows: DataFrame, kinds: tuple, id_col: str = "doc_id") -> DataFrame:
     return rows.select(F.col(id_col).cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, features array<long>")
 
 
-def choose(sample: DataFrame, most: int = 4096, least_docs: int = 4) -> list[int]:
+def choose(sample: DataFrame, most: int = 4096, least_docs: int = 4, only_for: bool = False) -> list[int]:
     """The features most unlike between the rows with ``y`` > 0 and the others, at most ``most``.
 
-    They are ranked by the chi-square statistic of presence; counts are summed by Spark.
+    They are ranked by the chi-square statistic of presence; counts are summed by Spark. ``only_for`` leaves
+    out features that speak against ``y`` > 0.
     """
     totals = sample.agg(F.count(F.lit(1)), F.sum((F.col("y") > 0).cast("int"))).first()
     n, pos = totals[0], totals[1] or 0
@@ -114,7 +115,9 @@ def choose(sample: DataFrame, most: int = 4096, least_docs: int = 4) -> list[int
     counts = each.groupBy("f").agg(F.count(F.lit(1)).alias("c"), F.sum("p").alias("a")).where(F.col("c") >= least_docs)
     a, c = F.col("a").cast("double"), F.col("c").cast("double")
     chi = (a * n - c * pos) * (a * n - c * pos) / (c * pos * (n - c + 1e-9) * (n - pos)) * n
-    top = counts.withColumn("chi", chi).where("chi > 6.6").orderBy(F.desc("chi"), "f").limit(most)
+    if only_for:
+        counts = counts.where(a * n > c * pos)
+    top = counts.withColumn("chi", chi).where("chi > 10.8").orderBy(F.desc("chi"), "f").limit(most)
     return [r[0] for r in top.select("f").collect()]
 
 

@@ -33,7 +33,7 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(z[:, None] - self.cuts[None, :], -40, 40)))
 
 
-def fit_ordinal(row: np.ndarray, col: np.ndarray, grade: np.ndarray, n_features: int, grades: int, l2: float = 1e-3, rounds: int = 400, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(row: np.ndarray, col: np.ndarray, grade: np.ndarray, n_features: int, grades: int, l2: float = 3e-5, rounds: int = 400, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Maximum likelihood of the cumulative-link model by Adam: ``(weights, cuts)``.
 
     The first cut is free and the gaps to the next are exponentials, so the cuts stay in order. Each
@@ -45,8 +45,7 @@ def fit_ordinal(row: np.ndarray, col: np.ndarray, grade: np.ndarray, n_features:
     cuts = np.maximum.accumulate(np.array([-np.log(s / (1 - s)) for s in share]) + np.arange(grades - 1) * 1e-3)
     theta = np.concatenate([np.zeros(n_features), [cuts[0]], np.log(np.maximum(1e-2, np.diff(cuts)))])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    balance = np.bincount(grade, minlength=grades).astype(float)
-    weight = np.where(grade == 0, 0.5 / max(1, balance[0]), 0.5 / max(1, n - balance[0]))  # clean and toxic rows weigh the same
+    weight = np.full(n, 1 / max(1, n))  # not balanced, so that little evidence leaves a document clean
 
     def unpack(t):
         return t[:n_features], t[n_features] + np.concatenate([[0], np.cumsum(np.exp(t[n_features + 1 :]))])
@@ -83,7 +82,7 @@ def train(docs: DataFrame, labels: DataFrame, grade_col: str | None = None, grad
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(graded, F.col("doc_id") == F.col("label_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     picked = materialize(picked, "labelled")
     sample = materialize(listed(picked, KINDS).join(picked.select(F.col("doc_id").alias("d"), "y").distinct(), F.col("doc_id") == F.col("d")).select("doc_id", "features", "y"), "sample")
-    chosen = choose(sample, max_features)
+    chosen = choose(sample, max_features, only_for=True)
     lists = Chosen(chosen)
     rows = narrowed(sample, lists, "y", "doc_id").orderBy("doc_id").toPandas()
     if not len(rows) or not chosen or rows["y"].nunique() < 2:
