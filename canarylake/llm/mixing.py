@@ -62,7 +62,7 @@ class Mix:
     slots: ``(shard, slot, source, block)``, the mix itself.
     """
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 128, shard_slots: int = 4096, most: int = 3, seed: int = 17, chunk_rows: int = 50_000):
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 128, shard_slots: int = 4096, most: int = 3, seed: int = 17, chunk_rows: int = 2_000):
         base = docs.select(
             F.col(id_col).cast("long").alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
@@ -106,7 +106,8 @@ class Mix:
 
     def takes(self) -> DataFrame:
         """``(doc_id, text_key, block, skip, words, times)``: how often the mix takes each span."""
-        times = self.slots.groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
+        # slots come from the few rows of the sources, so the planner would take their counts for small
+        times = self.slots.groupBy("source", "block").agg(F.count(F.lit(1)).alias("times")).hint("merge")
         on = F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))
         return self.spans.join(times.withColumnRenamed("source", "s").withColumnRenamed("block", "b"), on).select("doc_id", "text_key", "block", "skip", "words", "times")
 
