@@ -63,9 +63,12 @@ def inject(turns: DataFrame, ledger: DataFrame, secrets: DataFrame | None = None
         text = splice(content, F.transform(spans(content, PLACEHOLDER), edit))
         return F.aggregate("__s", text, lambda a, s: F.replace(a, s["secret"], s["value"] if field == "value" else F.concat(F.lit("[canary:"), s["canary_id"], F.lit("]"))))
 
+    def rewrite(field):
+        return lambda m: F.struct(m["role"].alias("role"), written(m["content"], field).alias("content"))
+
     out = met
     for name, field in (("model_messages", "value"), ("audit_messages", "id")):
-        out = out.withColumn(name, F.transform("messages", lambda m, field=field: F.struct(m["role"].alias("role"), written(m["content"], field).alias("content"))))
+        out = out.withColumn(name, F.transform("messages", rewrite(field)))
 
     def found(m, i):
         per_token = F.transform("__l", lambda e: F.transform(occurrences(m["content"], e["value"]), lambda s: F.struct(e["canary_id"].alias("canary_id"), i.alias("message"), s.alias("start"), (s + F.length(e["value"])).alias("end"))))

@@ -30,6 +30,7 @@ def validate_canaries(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def pairs(outputs: DataFrame, canaries: DataFrame, by: str | None = "session_id") -> DataFrame:
     """Outputs with the canaries of their session; with ``by=None``, with those that share a gram in some form."""
+    outputs = outputs.select(*TURN, "text")
     c = canaries.select("canary_id", F.col("value"), *([by] if by else []))
     if by:
         return outputs.join(c, by)
@@ -52,6 +53,7 @@ def gram_candidates(outputs: DataFrame, canaries: DataFrame) -> DataFrame:
     forms = canaries.select("canary_id", F.explode(value_forms(F.col("value"))).alias("form")).where(F.length("form") >= GRAM)
     middle = F.floor((F.length("form") - GRAM) / 2).cast("int") + 1
     grams = forms.select("canary_id", F.substring("form", middle, F.lit(GRAM)).alias("gram")).distinct()
+    outputs = outputs.select(*TURN, "text")
     decoded = decoded_candidates(outputs).groupBy(*TURN).agg(F.concat_ws(" ", F.collect_list("decoded")).alias("decoded"))
     texts = outputs.join(decoded, TURN, "left").select(*TURN, F.explode(F.array(leet_fold(F.col("text")), leet_fold(alnum(F.col("text"))), leet_fold(F.coalesce("decoded", F.lit(""))))).alias("t"))
     cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - GRAM + 1, F.lit(1))), lambda i: F.substring("t", i, F.lit(GRAM)))
@@ -112,6 +114,10 @@ def encoded_canary_detector(outputs: DataFrame, canaries: DataFrame, partial_thr
 _RUNS = (("base64", "[A-Za-z0-9+/]{8,}={0,2}"), ("base32", "[A-Za-z2-7]{8,}={0,6}"), ("hex", "[0-9a-fA-F]{8,}"))
 
 
+def _with_kind(rank: int, kind: str):
+    return lambda s: F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["start"].alias("start"), s["run"].alias("run"))
+
+
 def decoded_candidates(outputs: DataFrame) -> DataFrame:
     """``(turn key, channel, start, decoded)``: what the runs of an output decode to, within the limits.
 
@@ -120,7 +126,8 @@ def decoded_candidates(outputs: DataFrame) -> DataFrame:
     """
     runs = []
     for rank, (kind, pattern) in enumerate(_RUNS):
-        found = F.transform(spans(F.col("text"), pattern), lambda s, rank=rank, kind=kind: F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["start"].alias("start"), s["hit"].alias("run")))
+        found = F.transform(spans(F.col("text"), pattern), lambda s: F.struct(s["start"].alias("start"), s["hit"].alias("run")))
+        found = F.transform(found, _with_kind(rank, kind))
         runs.append(F.coalesce(found, F.array().cast("array<struct<rank:int,kind:string,start:int,run:string>>")))
     each = outputs.select(*TURN, F.explode(F.concat(*runs)).alias("r")).select(*TURN, "r.*").where(F.length("run") <= MAX_RUN)
     order = Window.partitionBy(*TURN).orderBy("rank", "start")
@@ -134,7 +141,7 @@ def decoded_candidates(outputs: DataFrame) -> DataFrame:
 def _bounded(text: Column, form: Column, alphabet: str) -> Column:
     """Whether the form, with or without padding, stands in the text as a whole run of its alphabet."""
     bare = F.rtrim(form, F.lit("="))
-    return F.greatest(*[text.rlike(F.concat(F.lit(f"(?<![{alphabet}])"), quote_col(x), F.lit(f"(?![{alphabet}])"))) for x in (form, bare)])
+    return F.greatest(*[F.rlike(text, F.concat(F.lit(f"(?<![{alphabet}])"), quote_col(x), F.lit(f"(?![{alphabet}])"))) for x in (form, bare)])
 
 
 def planted_exact_matches(outputs: DataFrame, canaries: DataFrame, by: str | None = "session_id") -> DataFrame:
@@ -145,7 +152,7 @@ def planted_exact_matches(outputs: DataFrame, canaries: DataFrame, by: str | Non
     met = met.join(blobs, TURN, "left")
     literal = [("direct", v), ("reverse", F.reverse(v))]
     turned = [(f"rot{k}", rot(v, k)) for k in range(1, 26)]
-    leet = leet_fold(t).contains(leet_fold(v)) & t.rlike(leet_pattern(v))
+    leet = leet_fold(t).contains(leet_fold(v)) & F.rlike(t, leet_pattern(v))
     channel = None
     for name, form in literal:
         channel = F.when(t.contains(form), name) if channel is None else channel.when(t.contains(form), name)

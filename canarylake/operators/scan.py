@@ -17,13 +17,17 @@ def _finding(fmt: str, confidence: str):
     return lambda s: F.struct(F.lit(fmt).alias("format"), s["start"].alias("start"), s["end"].alias("end"), F.lit(confidence).alias("confidence"))
 
 
+def _hit_is(fmt):
+    return lambda s: is_valid(s["hit"], fmt)
+
+
 def registered_findings(text: Column) -> Column:
     """Findings of the scannable formats, format by format. A text without a format's prefix skips its pattern."""
     out = []
     for f in (f for f in FORMATS if f.scannable):
         found = spans(text, BEFORE + f.pattern + AFTER)
         if f.checksummed:
-            found = F.filter(found, lambda s, f=f: is_valid(s["hit"], f))
+            found = F.filter(found, _hit_is(f))
         guard = text.contains(f.prefix or ".")
         out.append(F.when(guard, F.transform(found, _finding(f.slug, "high" if f.checksummed else "medium"))).otherwise(F.array().cast(FINDING)))
     return F.coalesce(F.concat(*out), F.array().cast(FINDING))
@@ -110,7 +114,6 @@ def decoy(original: Column, fmt: Column, key: Column) -> Column:
         end = len(f.segments[-1]) if isinstance(f.segments[-1], str) and f.segments[-1] != "<crc32-base62>" else 0
         n, tail = F.when(fmt == f.slug, len(f.prefix)).otherwise(n), F.when(fmt == f.slug, end).otherwise(tail)
     chars = F.filter(F.split(original, ""), lambda c: c != "")
-    body_set = {f.slug: f for f in FORMATS}
 
     def draw(c, i):
         fixed = (i < n) | (i >= F.length(original) - tail)
@@ -119,7 +122,6 @@ def decoy(original: Column, fmt: Column, key: Column) -> Column:
         keep = fmt.isin("slack-webhook-url") & (F.length(F.regexp_extract(original, r"^.*?/T[A-Z0-9]{10}/B", 0)) - 3 < i) & (i < F.length(F.regexp_extract(original, r"^.*?/T[A-Z0-9]{10}/B", 0)))
         return F.when(fixed | keep, c).otherwise(F.coalesce(hexed, new))
 
-    assert body_set
     out = F.array_join(F.transform(chars, draw), "")
     summed = [f.slug for f in FORMATS if f.checksummed]
     return F.when(fmt.isin(*summed), F.concat(F.substring(out, 1, 34), github_checksum(F.substring(out, 5, 30)))).otherwise(out)

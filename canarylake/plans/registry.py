@@ -1,6 +1,26 @@
-"""Collects the queries of all plan modules, with their oracle SQL."""
+"""The queries of the plan modules by name, with their oracle SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+import importlib
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function ``(spark, sf_dir) -> DataFrame`` under its name, with SQL of the same result if there is any."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    importlib.import_module("canarylake.plans.queries")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.formats import BY_SLUG, CHECKSUM, SETS, formats_df
+from ..functions.formats import BY_SLUG, SETS, formats_df
 
 
 def validate_lineage(datasets: DataFrame, artifacts: DataFrame, reports: DataFrame, files: DataFrame) -> DataFrame:
@@ -61,7 +61,6 @@ def check_transitions(transitions: DataFrame, meta: DataFrame) -> DataFrame:
         F.when(~F.coalesce(F.col("epsilon") > 0, F.lit(False)), "epsilon"), F.when(~F.coalesce(F.col("clip") > 0, F.lit(False)), "clip")))
     bad = m.select("format", F.explode(reasons).alias("violation"))
     letters = [(s, c) for s, f in BY_SLUG.items() for c in sorted({c for seg in f.segments if isinstance(seg, tuple) for c in SETS[seg[0]]})]
-    assert CHECKSUM
     alphabet = spark.createDataFrame(letters, "format string, c string")
     p = F.col("prob")
     row_bad = transitions.where(p.isNull() | F.isnan(p) | (p < 0) | (p == float("inf"))).select("format", F.lit("probability").alias("violation"))
