@@ -133,11 +133,14 @@ def co_train(text: tuple, meta: tuple, y: np.ndarray, labelled: np.ndarray, widt
 def train(docs: DataFrame, labels: DataFrame, pages: DataFrame | None = None, max_train: int = 20_000, max_pool: int = 10_000, max_features: int = 4096, rounds: int = 3) -> CoModel:
     """Co-train on samples picked by a hash of the ids. Null labels count as none; of several the lowest counts."""
     y = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min(F.col("quality").cast("int")).alias("y"))
-    rows = meta_names(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "source", "lang", "n_chars"), pages)
     order = [F.xxhash64("doc_id"), "doc_id"]
-    known = rows.join(y, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "meta", F.col("y")).orderBy(*order).limit(max_train)
-    pool = rows.join(y, F.col("doc_id") == F.col("label_id"), "left_anti").select("doc_id", "text", "meta", F.lit(None).cast("int").alias("y")).orderBy(*order).limit(max_pool)
-    picked = materialize(known.unionByName(pool).dropDuplicates(["doc_id"]), "cotrain")
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    known = every.join(y, F.col("doc_id") == F.col("label_id")).select("doc_id", "y").orderBy(*order).limit(max_train)
+    pool = every.join(y, F.col("doc_id") == F.col("label_id"), "left_anti").select("doc_id", F.lit(None).cast("int").alias("y")).orderBy(*order).limit(max_pool)
+    # at most max_train + max_pool ids are sent to the texts, which are not shuffled
+    ids = F.broadcast(materialize(known.unionByName(pool), "cotrain_ids").select(F.col("doc_id").alias("d"), "y"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "source", "lang", "n_chars").join(ids, F.col("doc_id") == F.col("d")).drop("d")
+    picked = materialize(meta_names(texts, pages).select("doc_id", "text", "meta", "y").dropDuplicates(["doc_id"]), "cotrain")
     keyed = picked.select(F.col("doc_id").alias("d"), "y", _meta_ids().alias("meta"))
     sample = materialize(listed(picked, TEXT).join(keyed, F.col("doc_id") == F.col("d")).select("doc_id", "features", "meta", "y"), "sample")
     marked = sample.where("y is not null").withColumn("y", 1 - F.col("y"))
@@ -165,22 +168,28 @@ def score(docs: DataFrame, model: CoModel, pages: DataFrame | None = None) -> Da
     Scores are probabilities of good quality: each view's calibrated one, and the joint one; ``keep`` is whether the
     joint one is at least a half. Null and empty texts are scored as texts without words.
     """
-    rows = meta_names(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang", "n_chars"), pages).select("doc_id", "text", _meta_ids().alias("meta"))
     t_table, m_table = Chosen(model.text.chosen), Chosen(model.meta.chosen)
 
     def sigmoid(z):
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
-    def run(batches):
+    def score_text(batches):
         for batch in batches:
             for part in by_bytes(batch, "text"):
                 t = linear_scores(part.column("text"), TEXT, t_table, model.text.theta[:-1]) + model.text.theta[-1]
-                ids = part.column("meta")
-                row = np.repeat(np.arange(len(ids)), np.asarray(pa.compute.list_value_length(ids)))
-                hit, col = m_table.find(np.asarray(ids.flatten(), np.int64))
-                m = (np.bincount(row[hit], weights=model.meta.theta[:-1][col], minlength=len(ids)) if len(hit) else np.zeros(len(ids))) + model.meta.theta[-1]
-                t, m = t * model.text.scale + model.text.shift, m * model.meta.scale + model.meta.shift
-                p = sigmoid(model.joint[0] * t + model.joint[1] * m + model.joint[2])
-                yield pa.record_batch([part.column("doc_id"), pa.array(sigmoid(t)), pa.array(sigmoid(m)), pa.array(p), pa.array(p >= 0.5)], names=["doc_id", "text_score", "meta_score", "score", "keep"])
-
-    return rows.mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, keep boolean")
+                yield pa.record_batch([*(part.column(c) for c in ("doc_id", "source", "lang", "n_chars")), pa.array(t)], names=["doc_id", "source", "lang", "n_chars", "t"])
+
+    def score_both(batches):
+        for part in batches:
+            t, ids = np.asarray(part.column("t"), np.float64), part.column("meta")
+            row = np.repeat(np.arange(len(ids)), np.asarray(pa.compute.list_value_length(ids)))
+            hit, col = m_table.find(np.asarray(ids.flatten(), np.int64))
+            m = (np.bincount(row[hit], weights=model.meta.theta[:-1][col], minlength=len(ids)) if len(hit) else np.zeros(len(ids))) + model.meta.theta[-1]
+            t, m = t * model.text.scale + model.text.shift, m * model.meta.scale + model.meta.shift
+            p = sigmoid(model.joint[0] * t + model.joint[1] * m + model.joint[2])
+            yield pa.record_batch([part.column("doc_id"), pa.array(sigmoid(t)), pa.array(sigmoid(m)), pa.array(p), pa.array(p >= 0.5)], names=["doc_id", "text_score", "meta_score", "score", "keep"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars"))
+    # texts are read first, so that only their scores are joined with the pages
+    read = rows.mapInArrow(score_text, "doc_id long, source string, lang string, n_chars long, t double")
+    return meta_names(read, pages).select("doc_id", "t", _meta_ids().alias("meta")).mapInArrow(score_both, "doc_id long, text_score double, meta_score double, score double, keep boolean")
