@@ -18,8 +18,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import Words, by_bytes, windows
 
@@ -29,11 +31,44 @@ COVER = (0, 1, 3, 9)
 #: Stands for a null doc_id, which comes after all others.
 _LAST = np.iinfo(np.int64).max
 
+#: Bytes of text that are hashed at a time.
+_PART = 1 << 20
+
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
-def _pack(array: np.ndarray, cuts: np.ndarray) -> list[bytes]:
-    return [array[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+_ZIP, _UNZIP = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+#: Columns of packed entries, and those that are stored as differences.
+_TYPES = {"h": np.uint64, "low": np.uint64, "h2": np.uint32, "doc": np.int64, "tag": np.int32, "pos": np.int32}
+_STEPS = ("doc", "tag", "pos")
+
+
+def _squeeze(cols: dict) -> bytes:
+    """Equally long columns as one compressed value; ``low`` keeps the low 40 bits only."""
+    parts = [np.array([len(next(iter(cols.values())))], np.int64).tobytes()]
+    for name, x in cols.items():
+        if name in _STEPS:
+            x = np.diff(x, prepend=x.dtype.type(0))
+        raw = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1)
+        parts.append(np.ascontiguousarray(raw[:, :5] if name == "low" else raw).T.tobytes())
+    return _ZIP.compress(b"".join(parts))
+
+
+def _unsqueeze(blobs: list[bytes], names: tuple) -> list[np.ndarray]:
+    """The columns of many values, end to end."""
+    out: list[list] = [[np.zeros(0, _TYPES[n])] for n in names]
+    for blob in blobs:
+        data = np.frombuffer(_UNZIP.decompress(blob), np.uint8)
+        n, at = int(data[:8].view(np.int64)[0]), 8
+        for k, name in enumerate(names):
+            size = np.dtype(_TYPES[name]).itemsize
+            have = 5 if name == "low" else size
+            raw = np.zeros((n, size), np.uint8)
+            raw[:, :have] = data[at : at + n * have].reshape(have, n).T
+            at += n * have
+            x = raw.reshape(-1).view(_TYPES[name])
+            out[k].append(np.cumsum(x, dtype=x.dtype) if name in _STEPS else x)
+    return [np.concatenate(x) for x in out]
 
 
 def _split(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -42,40 +77,45 @@ def _split(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(keys[order], np.arange(n + 1))
 
 
+def _dealt(keys: np.ndarray, n: int, cols: dict) -> list[tuple[int, bytes]]:
+    """``(key, packed columns)`` for each key that there is."""
+    order, cuts = _split(keys, n)
+    cols = {c: x[order] for c, x in cols.items()}
+    return [(i, _squeeze({c: x[cuts[i] : cuts[i + 1]] for c, x in cols.items()})) for i in np.flatnonzero(np.diff(cuts)).tolist()]
+
+
 def _ids(column) -> np.ndarray:
     return np.asarray(column.fill_null(_LAST), dtype=np.int64)
 
 
-def _flat(column, kind) -> np.ndarray:
-    """The packed arrays of a column, end to end."""
-    return np.frombuffer(b"".join(x for x in column.to_pylist() if x), dtype=kind)
+_ASKED = ("h", "h2", "doc", "tag", "pos")
+_ASKED_LOW = ("low", "doc", "pos")
+_TOLD = ("doc", "tag", "pos")
+_DEAL = "bucket int, kind int, entries binary"
 
 
 class _Deal:
-    """Column lists of rows ``(bucket, kind, h, h2, doc, tag, pos)`` in the making."""
-
-    schema = "bucket int, kind int, h binary, h2 binary, doc binary, tag binary, pos binary"
+    """Rows ``(bucket, kind, entries)`` in the making: kind 0 asks a bucket about hashes, kind 1 tells what is known."""
 
     def __init__(self, buckets: int):
         self.n = buckets
         self.rows: list[tuple] = []
 
-    def ask(self, h, h2, doc, tag, pos) -> None:
+    def ask(self, h, **cols) -> None:
         """Entries whose other occurrences may be elsewhere, by their hash."""
-        order, cuts = _split((h >> np.uint64(40)).astype(np.int64) % self.n, self.n)
-        cols = [_pack(x[order], cuts) for x in (h, h2, doc, tag, pos)]
-        self.rows += [(i, 0, *(c[i] for c in cols)) for i in np.flatnonzero(np.diff(cuts)).tolist()]
+        bucket = (h >> np.uint64(40)).astype(np.int64) % self.n
+        hashes = {"h": h} if "h2" in cols else {"low": h}
+        self.rows += [(i, 0, x) for i, x in _dealt(bucket, self.n, {**hashes, **cols})]
 
     def tell(self, doc, tag, pos) -> None:
         """Positions that are known already."""
         if len(doc):
-            self.rows.append((int(doc[0] % self.n), 1, b"", b"", doc.tobytes(), tag.tobytes(), pos.tobytes()))
+            self.rows.append((int(doc[0] % self.n), 1, _squeeze({"doc": doc, "tag": tag, "pos": pos})))
 
     def batch(self) -> pa.RecordBatch:
-        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
-        cols = list(zip(*self.rows)) or [[]] * 7
+        cols = list(zip(*self.rows)) or [[]] * 3
         self.rows = []
-        return pa.record_batch([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["bucket", "kind", "h", "h2", "doc", "tag", "pos"])
+        return pa.record_batch([pa.array(list(c), k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "kind", "entries"])
 
 
 def _anchors(batch: pa.RecordBatch, deal: _Deal, size: int) -> None:
@@ -97,18 +137,18 @@ def _anchors(batch: pa.RecordBatch, deal: _Deal, size: int) -> None:
     lead[first] = True
     # of a hash that repeats here, one goes on as a question: it has to tell others that it exists
     ask = lead
-    deal.ask(h[ask], np.zeros(int(ask.sum()), np.uint32), doc[ask], tag[ask], pos[ask])
+    deal.ask(h[ask], doc=doc[ask], pos=pos[ask])
     deal.tell(doc[~one], tag[~one], pos[~one])
 
 
-def _windows(docs: pa.Table, flags: np.ndarray, deal: _Deal, size: int, anchor: int) -> None:
+def _windows(docs: list[pa.RecordBatch], flags: dict, deal: _Deal, size: int, anchor: int) -> None:
     """Hash the windows of the documents that hold a flagged anchor.
 
     flags: rows ``(doc, pos)``, sorted.
     """
-    for batch in docs.combine_chunks().to_batches():
+    for batch in docs:
         hs, h2s, ds, ts, ps = [], [], [], [], []
-        for part in by_bytes(batch, "text"):
+        for part in by_bytes(batch, "text", _PART):
             w = Words(part.column("text"))
             ids, tags = _ids(part.column("doc")), np.asarray(part.column("tag"), dtype=np.int32)
             if len(w.start) < size:
@@ -141,7 +181,7 @@ def _windows(docs: pa.Table, flags: np.ndarray, deal: _Deal, size: int, anchor:
         if hs:
             h, h2, doc, tag, pos = map(np.concatenate, (hs, h2s, ds, ts, ps))
             lead, dup = _first(h, h2, doc, pos)
-            deal.ask(h[lead], h2[lead], doc[lead], tag[lead], pos[lead])
+            deal.ask(h[lead], h2=h2[lead], doc=doc[lead], tag=tag[lead], pos=pos[lead])
             deal.tell(doc[dup], tag[dup], pos[dup])
 
 
@@ -157,10 +197,8 @@ def _first(h, h2, doc, pos) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _emit(out: list, groups: int, doc, tag, pos) -> None:
-    """Rows ``(g, doc, tag, pos)``, dealt to the groups that hold the documents."""
-    order, cuts = _split(_group(doc, groups), groups)
-    cols = [_pack(x[order], cuts) for x in (doc, tag, pos)]
-    out += [(i, *(c[i] for c in cols)) for i in np.flatnonzero(np.diff(cuts)).tolist()]
+    """Rows ``(g, entries)``, dealt to the groups that hold the documents."""
+    out += _dealt(_group(doc, groups), groups, {"doc": doc, "tag": tag, "pos": pos})
 
 
 _PRIME, _MULT = (1 << 31) - 1, 1_103_515_245
@@ -175,27 +213,32 @@ def _group_col(doc, groups: int):
     return (F.pmod(doc, F.lit(_PRIME)) * F.lit(_MULT) % F.lit(_PRIME) % F.lit(groups)).cast("int")
 
 
-_ROWS = "g int, doc binary, tag binary, pos binary"
+_ROWS = "g int, entries binary"
 
 
 def _rows(out: list) -> pa.Table:
-    cols = list(zip(*out)) or [[]] * 4
-    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-    return pa.table([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["g", "doc", "tag", "pos"])
+    cols = list(zip(*out)) or [[]] * 2
+    return pa.table([pa.array(list(c), k) for c, k in zip(cols, (pa.int32(), pa.binary()))], names=["g", "entries"])
 
 
-def _told(table: pa.Table, groups: int, out: list) -> pa.Table:
-    """Pass on what is known; the rest of the bucket is returned."""
-    known = table.filter(pa.compute.equal(table["kind"], 1))
-    _emit(out, groups, *(_flat(known[c], k) for c, k in (("doc", np.int64), ("tag", np.int32), ("pos", np.int32))))
-    return table.filter(pa.compute.equal(table["kind"], 0))
+def _answered(table: pa.Table, groups: int, out: list, names: tuple) -> list[np.ndarray]:
+    """Pass on what is known; the bucket's questions are returned."""
+    blobs = {k: table.filter(pa.compute.equal(table["kind"], k))["entries"].to_pylist() for k in (0, 1)}
+    for blob in blobs[1]:
+        _emit(out, groups, *_unsqueeze([blob], _TOLD))
+    return _unsqueeze(blobs[0], names)
 
 
-def _asked(table: pa.Table) -> list[np.ndarray]:
-    return [_flat(table[c], k) for c, k in (("h", np.uint64), ("h2", np.uint32), ("doc", np.int64), ("tag", np.int32), ("pos", np.int32))]
+def _texts(table: pa.Table) -> list[pa.RecordBatch]:
+    """The documents of a group, as they were packed."""
+    out = []
+    for blob in table["docs"].to_pylist():
+        with pa.ipc.open_stream(blob) as reader:
+            out += list(reader)
+    return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, carry: tuple = (), join_all: bool = True, piece_bytes: int = 16 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, carry: tuple = (), join_all: bool = True, piece_bytes: int = 8 << 20) -> DataFrame:
     """Remove each word that a window covers whose word sequence also starts earlier.
 
     Earlier means in a smaller doc_id, or in the same document at an earlier word. Windows are
@@ -222,78 +265,95 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.struct(F.col(id_col).alias("id"), *[F.col(c) for c in carry]).alias("rest"),
     )
 
+    def pack_texts(batches):
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            order, cuts = _split(np.asarray(batch.column(0), np.int64), n)
+            rows = batch.select(["doc", "tag", "text", "rest"])
+            for i in np.flatnonzero(np.diff(cuts)).tolist():
+                part = rows.take(pa.array(order[cuts[i] : cuts[i + 1]]))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema, options=options) as writer:
+                    writer.write_batch(part)
+                yield pa.record_batch([pa.array([i], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["g", "docs"])
+
     def hash_anchors(batches):
         for batch in batches:
-            for part in by_bytes(batch, "text", 8 << 20):
+            for part in by_bytes(batch, "text", 2 * _PART):
                 deal = _Deal(n)
                 _anchors(part, deal, anchor)
                 yield deal.batch()
 
     def repeated(table: pa.Table) -> pa.Table:
         out: list = []
-        h, _, doc, tag, pos = _asked(_told(table, n, out))
+        h, doc, pos = _answered(table, n, out, _ASKED_LOW)
         order = np.argsort(h, kind="stable")
         s = h[order]
         twice = np.zeros(len(s), bool)
         same = s[1:] == s[:-1]
         twice[1:] |= same
         twice[:-1] |= same
-        hit = order[twice]
-        _emit(out, n, doc[hit], tag[hit], pos[hit])
+        hit = np.sort(order[twice])
+        _emit(out, n, doc[hit], np.zeros(len(hit), np.int32), pos[hit])
         return _rows(out)
 
     def hash_windows(left: pa.Table, right: pa.Table) -> pa.Table:
         deal = _Deal(n)
-        doc, pos = _flat(right["doc"], np.int64), _flat(right["pos"], np.int32)
+        doc, _, pos = _unsqueeze(right["entries"].to_pylist(), _TOLD)
         order = np.lexsort((pos, doc))
-        flags = {"doc": doc[order], "pos": pos[order]}
         if len(doc):
-            _windows(left.select(["doc", "tag", "text"]), flags, deal, window, anchor)
+            _windows(_texts(left), {"doc": doc[order], "pos": pos[order]}, deal, window, anchor)
         return pa.Table.from_batches([deal.batch()])
 
     def later(table: pa.Table) -> pa.Table:
         out: list = []
-        h, h2, doc, tag, pos = _asked(_told(table, n, out))
+        h, h2, doc, tag, pos = _answered(table, n, out, _ASKED)
         _, dup = _first(h, h2, doc, pos)
+        dup = np.sort(dup)
         _emit(out, n, doc[dup], tag[dup], pos[dup])
         return _rows(out)
 
     rest_type = [(f.name, f.dataType) for f in base.schema["rest"].dataType.fields]
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        doc, tag, pos = (_flat(right[c], k) for c, k in (("doc", np.int64), ("tag", np.int32), ("pos", np.int32)))
+        doc, tag, pos = _unsqueeze(right["entries"].to_pylist(), _TOLD)
         order = np.lexsort((tag, doc))
         doc, tag, pos = doc[order], tag[order], pos[order]
         new = np.ones(len(doc), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])
         begin = np.append(np.flatnonzero(new), len(doc)).tolist()
         where = {(int(doc[a]), int(tag[a])): (a, b) for a, b in zip(begin, begin[1:])}
-        texts, n_words, n_removed = [], [], []
-        ids, tags = _ids(left["doc"]).tolist(), left["tag"].to_pylist()
-        for i, t, text in zip(ids, tags, left["text"].cast(pa.large_binary())):
-            raw = text.as_py()
-            words = (raw or b"").split()
-            at = where.get((i, t))
-            gone = 0
-            if at:
-                step = np.zeros(len(words) + 1, np.int32)
-                starts = pos[at[0] : at[1]]
-                np.add.at(step, starts, 1)
-                np.add.at(step, starts + window, -1)
-                kept = np.cumsum(step[:-1]) == 0
-                gone = len(words) - int(kept.sum())
-                raw = b" ".join([words[k] for k in np.flatnonzero(kept).tolist()])
-            elif join_all:
-                raw = b" ".join(words)
-            texts.append(raw)
-            n_words.append(len(words))
-            n_removed.append(gone)
-        return pa.table([left["rest"], pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=["rest", "text", "n_words", "n_removed"])
-
-    flags = base.select("doc", "tag", "text").mapInArrow(hash_anchors, _Deal.schema).groupBy("bucket").applyInArrow(repeated, _ROWS)
-    found = base.groupBy("g").cogroup(flags.groupBy("g")).applyInArrow(hash_windows, _Deal.schema)
+        done = []
+        for batch in _texts(left):
+            texts, n_words, n_removed = [], [], []
+            ids, tags = _ids(batch.column("doc")).tolist(), batch.column("tag").to_pylist()
+            for i, t, text in zip(ids, tags, batch.column("text").cast(pa.large_binary())):
+                raw = text.as_py()
+                words = (raw or b"").split()
+                at = where.get((i, t))
+                gone = 0
+                if at:
+                    step = np.zeros(len(words) + 1, np.int32)
+                    starts = pos[at[0] : at[1]]
+                    np.add.at(step, starts, 1)
+                    np.add.at(step, starts + window, -1)
+                    kept = np.cumsum(step[:-1]) == 0
+                    gone = len(words) - int(kept.sum())
+                    raw = b" ".join([words[k] for k in np.flatnonzero(kept).tolist()])
+                elif join_all:
+                    raw = b" ".join(words)
+                texts.append(raw)
+                n_words.append(len(words))
+                n_removed.append(gone)
+            done.append(pa.record_batch([batch.column("rest"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=["rest", "text", "n_words", "n_removed"]))
+        return pa.Table.from_batches(done) if done else empty
+
+    packed = base.mapInArrow(pack_texts, "g int, docs binary")
+    flags = base.select("doc", "tag", "text").mapInArrow(hash_anchors, _DEAL).groupBy("bucket").applyInArrow(repeated, _ROWS)
+    found = packed.groupBy("g").cogroup(flags.groupBy("g")).applyInArrow(hash_windows, _DEAL)
     marks = found.groupBy("bucket").applyInArrow(later, _ROWS)
     out_type = base.select("rest", "text").withColumn("n_words", F.lit(0).cast("long")).withColumn("n_removed", F.lit(0).cast("long")).schema
-    done = base.groupBy("g").cogroup(marks.groupBy("g")).applyInArrow(cut, out_type)
+    empty = to_arrow_schema(out_type).empty_table()
+    done = packed.groupBy("g").cogroup(marks.groupBy("g")).applyInArrow(cut, out_type)
     names = [c for c, _ in rest_type[1:]]
     return done.select(F.col("rest.id").alias(id_col), F.col("text").alias(text_col), *[F.col("rest")[c].alias(c) for c in names], "n_words", "n_removed")
