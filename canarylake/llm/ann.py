@@ -161,7 +161,7 @@ def build_graph(nodes: DataFrame, k: int = 32, trees: int = 16, leaf: int = 1024
     return graph, coded
 
 
-def search(graph: DataFrame, coded: DataFrame, starts: DataFrame, pool: int = 64, width: int = 12, steps: int = 3) -> DataFrame:
+def search(graph: DataFrame, coded: DataFrame, starts: DataFrame, pool: int = 128, width: int = 32, steps: int = 6) -> DataFrame:
     """``(q, c)``: the ``pool`` best nodes that a greedy search from each node ``q`` of ``starts`` finds.
 
     A step opens the ``width`` best nodes not opened yet, and looks at all their neighbours.

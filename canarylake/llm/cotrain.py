@@ -146,12 +146,13 @@ def train(docs: DataFrame, labels: DataFrame, pages: DataFrame | None = None, ma
     marked = sample.where("y is not null").withColumn("y", 1 - F.col("y"))
     chosen = choose(marked, max_features)
     chosen_meta = [r[0] for r in sample.select(F.explode("meta").alias("f")).groupBy("f").count().where("count >= 20").orderBy(F.desc("count"), "f").limit(max_features).select("f").collect()]
-    data = narrowed(sample, Chosen(chosen), "meta", "y", "doc_id").orderBy("doc_id").toPandas()
+    data = narrowed(sample, {"features": Chosen(chosen), "meta": Chosen(chosen_meta)}, "y", "doc_id").orderBy("doc_id").toPandas()
     labelled = data["y"].notna().to_numpy() if len(data) else np.zeros(0, bool)
     target = data["y"].fillna(0).to_numpy().astype(float) if len(data) else np.zeros(0)
     if labelled.sum() < 8 or len(np.unique(target[labelled])) < 2:
         return CoModel(View([], np.zeros(1)), View([], np.zeros(1)), (0.0, 0.0, 0.0))
-    text, meta = matrix(data["features"].tolist(), Chosen(chosen)), matrix(data["meta"].tolist(), Chosen(chosen_meta))
+    text, meta = matrix(data["features"].tolist()), matrix(data["meta"].tolist())
+    del data["features"], data["meta"]
     thetas, held = co_train(text, meta, target, labelled, (len(chosen), len(chosen_meta)), rounds)
     views = []
     for (row, col), theta, names in ((text, thetas[0], chosen), (meta, thetas[1], chosen_meta)):

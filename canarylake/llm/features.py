@@ -121,29 +121,34 @@ def choose(sample: DataFrame, most: int = 4096, least_docs: int = 4, only_for: b
     return [r[0] for r in top.select("f").collect()]
 
 
-def matrix(features: list, chosen: Chosen) -> tuple[np.ndarray, np.ndarray]:
-    """``(row, column)`` of the chosen features in a list of feature lists."""
-    lengths = [len(f) for f in features]
-    flat = np.concatenate([np.asarray(f, np.int64) for f in features]) if sum(lengths) else np.zeros(0, np.int64)
-    hit, col = chosen.find(flat)
-    return np.repeat(np.arange(len(features)), lengths)[hit], col
+def matrix(places: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, column)`` from the packed places of :func:`narrowed`."""
+    rows = np.repeat(np.arange(len(places), dtype=np.int32), [len(p) // 2 for p in places]) if len(places) else np.zeros(0, np.int32)
+    return rows, np.frombuffer(b"".join(places), "<i2").astype(np.int32)
 
 
-def narrowed(sample: DataFrame, chosen: Chosen, *others: str) -> DataFrame:
-    """``sample`` with only the chosen of its features, and ``n_features``, their number before."""
+def narrowed(sample: DataFrame, chosen: dict[str, Chosen], *others: str) -> DataFrame:
+    """``sample`` with, for each column of features in ``chosen``, the places of its chosen ones as packed 16-bit numbers.
+
+    ``n_features`` is the number of the first column's features before. Numbers are packed, as the driver
+    holds the sample while it fits.
+    """
 
     def run(batches):
         for b in batches:
-            lists = b.column(0)
-            n = np.asarray(pa.compute.list_value_length(lists), np.int64)
-            row = np.repeat(np.arange(len(lists)), n)
-            hit, _ = chosen.find(np.asarray(lists.flatten(), np.int64))
-            cut = np.searchsorted(row[hit], np.arange(len(lists) + 1)).astype(np.int32)
-            kept = pa.ListArray.from_arrays(pa.array(cut), lists.flatten().take(pa.array(hit)))
-            yield pa.record_batch([kept, pa.array(n), *b.columns[1:]], names=["features", "n_features", *others])
-
-    rows = sample.select("features", *others)
-    out = sample.withColumn("n_features", F.lit(0).cast("long")).select("features", "n_features", *others).schema
+            out = []
+            for i, c in enumerate(chosen.values()):
+                lists = b.column(i)
+                n = np.asarray(pa.compute.list_value_length(lists), np.int64)
+                hit, place = c.find(np.asarray(lists.flatten(), np.int64))
+                cut = np.searchsorted(np.repeat(np.arange(len(lists)), n)[hit], np.arange(len(lists) + 1))
+                out.append(pa.array([place[x:y].astype("<i2").tobytes() for x, y in zip(cut, cut[1:])], pa.binary()))
+                if not i:
+                    size = pa.array(n)
+            yield pa.record_batch([*out, size, *b.columns[len(chosen) :]], names=[*chosen, "n_features", *others])
+
+    rows = sample.select(*chosen, *others)
+    out = rows.withColumn("n_features", F.lit(0).cast("long")).withColumns({c: F.lit(None).cast("binary") for c in chosen}).select(*chosen, "n_features", *others).schema
     return rows.mapInArrow(run, out)
 
 

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, materialize
 
-#: Rounds of the swap-or-not shuffle.
-ROUNDS = 18
+#: Rounds of the swap-or-not shuffle, and slots that one row stands for before they are made.
+ROUNDS, PIECE = 18, 8192
 
 
 def permute(x, n, *key):
@@ -90,9 +90,10 @@ class Mix:
         all_slots = F.sum("k").over(Window.partitionBy())
         ahead_k = F.sum("k").over(Window.orderBy(F.col("source").asc_nulls_last())) - F.col("k")
         plan = plan.withColumn("all", all_slots).withColumn("ahead", ahead_k).where("k > 0")
-        # in pieces first, so that a large source's slots are made by many tasks
-        piece = plan.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1, F.lit(65536).cast("long")))).repartition(F.col("source"), F.col("from"))
-        each = piece.withColumn("i", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + 65535, F.col("k") - 1))))
+        # in pieces first, so that a large source's slots are made by many tasks; a given number, as the few rows would be put together again
+        tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        piece = plan.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1, F.lit(PIECE).cast("long")))).repartition(tasks, F.col("source"), F.col("from"))
+        each = piece.withColumn("i", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + (PIECE - 1), F.col("k") - 1))))
         turn = (F.col("i") / F.col("n")).cast("long")
         slot = permute(F.col("ahead") + F.col("i"), F.col("all"), F.lit(seed))
         self.slots = each.select(

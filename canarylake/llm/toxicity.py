@@ -79,15 +79,17 @@ def train(docs: DataFrame, labels: DataFrame, grade_col: str | None = None, grad
     """
     y = F.col(grade_col or "toxic").cast("int")
     graded = labels.where(y.isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max(y).alias("y"))
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(graded, F.col("doc_id") == F.col("label_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    picked = materialize(picked, "labelled")
-    sample = materialize(listed(picked, KINDS).join(picked.select(F.col("doc_id").alias("d"), "y").distinct(), F.col("doc_id") == F.col("d")).select("doc_id", "features", "y"), "sample")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(graded, F.col("doc_id") == F.col("label_id")).select("doc_id", "y").distinct()
+    ids = materialize(named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train), "labelled")
+    # at most max_train ids are sent to the texts, which are not shuffled
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids.select(F.col("doc_id").alias("d"), "y")), F.col("doc_id") == F.col("d"))
+    sample = materialize(listed(picked, KINDS).join(F.broadcast(ids.select(F.col("doc_id").alias("d"), "y")), F.col("doc_id") == F.col("d")).select("doc_id", "features", "y"), "sample")
     chosen = choose(sample, max_features, only_for=True)
     lists = Chosen(chosen)
-    rows = narrowed(sample, lists, "y", "doc_id").orderBy("doc_id").toPandas()
+    rows = narrowed(sample, {"features": lists}, "y", "doc_id").orderBy("doc_id").toPandas()
     if not len(rows) or not chosen or rows["y"].nunique() < 2:
         return OrdinalModel([], np.zeros(0), np.full(grades - 1, 40.0))
-    row, col = matrix(rows["features"].tolist(), lists)
+    row, col = matrix(rows["features"].tolist())
     grade = rows["y"].to_numpy().clip(0, grades - 1)
     if grade_col is None:
         toxic = np.bincount(col, weights=(grade > 0)[row], minlength=len(chosen)) / np.maximum(1, np.bincount(col, minlength=len(chosen)))
@@ -100,10 +102,11 @@ def train(docs: DataFrame, labels: DataFrame, grade_col: str | None = None, grad
     return OrdinalModel(chosen, weights, cuts)
 
 
-def severity(docs: DataFrame, model: OrdinalModel, carry: tuple = ()) -> DataFrame:
+def severity(docs: DataFrame, model: OrdinalModel, carry: tuple = (), least: float = 0.5) -> DataFrame:
     """``(doc_id, severity, grade, toxic)`` and the columns in ``carry``, for every row.
 
-    ``severity`` is the expected grade, ``grade`` the likeliest, ``toxic`` whether a grade over 0 is likelier than not.
+    ``severity`` is the expected grade, ``grade`` the likeliest, ``toxic`` whether a grade over 0 has
+    at least the probability ``least``.
     Null and empty texts have no features and get the score of none; whole texts are read.
     """
     table, weights = Chosen(model.chosen), model.weights
@@ -114,7 +117,7 @@ def severity(docs: DataFrame, model: OrdinalModel, carry: tuple = ()) -> DataFra
                 above = model.above(linear_scores(part.column("text"), KINDS, table, weights))
                 full = np.concatenate([np.ones((len(above), 1)), above, np.zeros((len(above), 1))], axis=1)
                 likeliest = np.argmax(full[:, :-1] - full[:, 1:], axis=1)
-                toxic = above[:, 0] > 0.5
+                toxic = above[:, 0] >= least
                 yield pa.record_batch([part.column("rest"), pa.array(above.sum(axis=1)), pa.array(np.where(toxic, np.maximum(likeliest, 1), 0).astype(np.int32)), pa.array(toxic)], names=["rest", "severity", "grade", "toxic"])
 
     rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c) for c in carry]).alias("rest"), "text")
