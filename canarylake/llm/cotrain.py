@@ -45,15 +45,35 @@ def _meta_ids(col="meta"):
     return F.transform(col, lambda m: F.pmod(F.xxhash64(m), F.lit(1 << BITS)))
 
 
-def fit_logistic(row, col, y, weight, n_features: int, l2: float = 1e-3, rounds: int = 250, rate: float = 0.1) -> np.ndarray:
-    """Weights and, last, the intercept, by Adam on the weighted mean loss."""
-    theta, n = np.zeros(n_features + 1), len(y)
+class Sparse:
+    """A 0/1 matrix by rows and by columns, for products as segment sums."""
+
+    def __init__(self, row, col, n_rows: int, n_cols: int):
+        order = np.argsort(col, kind="stable")
+        self.col, self.row = np.asarray(col, np.int32), np.asarray(row, np.int32)[order]
+        self.row_cut, self.col_cut = np.searchsorted(row, np.arange(n_rows + 1)), np.searchsorted(np.asarray(col)[order], np.arange(n_cols + 1))
+
+    def _sums(self, values, cut):
+        total = np.concatenate([[0.0], np.cumsum(values)])
+        return total[cut[1:]] - total[cut[:-1]]
+
+    def dot(self, w):
+        """Per row, the sum of the weights of its columns."""
+        return self._sums(w[self.col], self.row_cut)
+
+    def back(self, g):
+        """Per column, the sum of the values of its rows."""
+        return self._sums(g[self.row], self.col_cut)
+
+
+def fit_logistic(x: Sparse, y, weight, theta: np.ndarray, l2: float = 1e-3, rounds: int = 120, rate: float = 0.1) -> np.ndarray:
+    """Weights and, last, the intercept, by Adam on the weighted mean loss, from ``theta`` on."""
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     weight = weight / weight.sum()
     for step in range(1, rounds + 1):
-        z = (np.bincount(row, weights=theta[:-1][col], minlength=n) if len(row) else np.zeros(n)) + theta[-1]
+        z = x.dot(theta[:-1]) + theta[-1]
         g = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        grad = np.append((np.bincount(col, weights=g[row], minlength=n_features) if len(row) else np.zeros(n_features)) + l2 * theta[:-1], g.sum())
+        grad = np.append(x.back(g) + l2 * theta[:-1], g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return theta
@@ -104,18 +124,20 @@ def co_train(text: tuple, meta: tuple, y: np.ndarray, labelled: np.ndarray, widt
     weights = [np.zeros(n) for _ in range(2)]
     for w in weights:
         w[fit] = 1.0
-    thetas = [None, None]
+    thetas = [np.zeros(k + 1) for k in widths]
+    views = [Sparse(*rc, n, k) for rc, k in zip((text, meta), widths)]
     for step in range(rounds + 1):
         margins = []
-        for i, (row, col) in enumerate((text, meta)):
+        for i, x in enumerate(views):
             used = weights[i] > 0
             w = weights[i].copy()
             for c in (0, 1):  # both classes weigh the same
                 mask = used & (labels[i] == c)
                 if mask.any():
                     w[mask] *= 0.5 / w[mask].sum()
-            thetas[i] = fit_logistic(row, col, labels[i], np.maximum(w, 0), widths[i])
-            margins.append(np.bincount(row, weights=thetas[i][:-1][col], minlength=n) + thetas[i][-1] if len(row) else np.full(n, thetas[i][-1]))
+            # later rounds go on from the last one's weights
+            thetas[i] = fit_logistic(x, labels[i], w, thetas[i], rounds=120 if step == 0 else 40)
+            margins.append(x.dot(thetas[i][:-1]) + thetas[i][-1])
         if step == rounds:
             break
         for i in (0, 1):
