@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 
@@ -53,3 +54,37 @@ def test_empty_documents(spark, sf):
     for name, stage in cp.STAGES:
         docs = cp.materialize(stage(spark, docs, sf), name)
         assert docs.count() == 0, name
+
+
+def five_words(text):
+    words = WORD.findall("".join(c.lower() if c.isascii() else c for c in text or ""))
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def edited(n=40, seed=5):
+    """Texts of unlike words with copies of a Jaccard similarity around 0.8 and over, one of them a chain, beside random documents."""
+    rng = random.Random(seed)
+    rows = [r for r in random_docs() if r[0] is not None]
+    for i in range(n):
+        words = ["v%d" % rng.randrange(5000) for _ in range(rng.choice([6, 40, 120, 400]))]
+        for j in range(4):
+            rows.append((10_000 + 10 * i + j, " ".join(words), "en", "a", None))
+            for at in rng.sample(range(len(words)), rng.choice([0, 1, max(1, len(words) // 60), max(1, len(words) // 40)])):
+                words[at] = "u%d" % rng.randrange(5000)
+    return rows
+
+
+def test_near_copies_equal_brute_force_jaccard(spark):
+    rows = edited()
+    sets = [five_words(r[1]) for r in rows]
+    root = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                old, new = root[i], root[j]
+                root = [new if x == old else x for x in root]
+    least = {}
+    for r, c in zip(rows, root):
+        least[c] = min(least.get(c, r[0]), r[0])
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    assert Counter(r.doc_id for r in cp.drop_near_copies(spark, docs, "").collect()) == Counter(least.values())
