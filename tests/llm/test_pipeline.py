@@ -88,3 +88,14 @@ def test_near_copies_equal_brute_force_jaccard(spark):
         least[c] = min(least.get(c, r[0]), r[0])
     docs = spark.createDataFrame(rows, DOCS).repartition(3)
     assert Counter(r.doc_id for r in cp.drop_near_copies(spark, docs, "").collect()) == Counter(least.values())
+
+
+def test_null_and_repeated_ids_keep_clean_documents(spark):
+    rng = random.Random(8)
+    texts = [" ".join("q%d" % rng.randrange(10**6) for _ in range(30)) for _ in range(8)]
+    ids = [None, None, None, 5, 5, 6, None, 7]
+    rows = [(d, t, "en", "a", len(t)) for d, t in zip(ids, texts)]
+    copy, again = (None, texts[5], "en", "a", None), (None, texts[6], "en", "a", len(texts[6]))
+    docs = spark.createDataFrame([copy, *rows, again], DOCS).repartition(3)
+    out = cp.drop_near_copies(spark, docs, "").collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter(zip(ids, texts))
