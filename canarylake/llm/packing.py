@@ -14,7 +14,6 @@ import base64
 import json
 import os
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from .common import materialize
 MIN_CUT = 16
 _MERGED = 1 << 62
 _TREE = 64
-_SCHEMA = "part int, sequence_id long, doc_id long, start long, length long, offset long, ids_crc32 long, doc_tokens long, ids binary, leftover boolean"
+_SCHEMA = "part int, sequence_id long, doc_id long, text_key long, start long, length long, offset long, doc_tokens long, ids binary, leftover boolean"
 
 
 class ByteBPE:
@@ -84,14 +83,13 @@ class Packer:
 
     def _close(self, pieces: list[tuple], leftover: bool = False) -> None:
         at = 0
-        for doc, start, ids, n_doc in pieces:
-            raw = ids.tobytes()
-            self.rows.append((self.part, self.next, doc, start, len(ids), at, zlib.crc32(raw), n_doc, raw if leftover else None, leftover))
+        for (doc, key), start, ids, n_doc in pieces:
+            self.rows.append((self.part, self.next, doc, key, start, len(ids), at, n_doc, ids.tobytes(), leftover))
             at += len(ids)
         self.next += 1
 
     def add(self, doc, ids: np.ndarray) -> None:
-        """Place one document."""
+        """Place one document; ``doc`` is its id and the hash of its text."""
         n, at = len(ids), 0
         while n - at >= self.size:
             self._close([(doc, at, ids[at : at + self.size], n)])
@@ -148,7 +146,10 @@ class Packer:
 
 
 def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, open_windows: int = 64, end_id: int = 1) -> DataFrame:
-    """Pieces ``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)`` that tile all documents.
+    """Pieces ``(doc_id, text_key, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset)`` that tile all documents.
+
+    ``ids`` are a piece's token ids, as little-endian unsigned 32-bit integers, and ``ids_crc32`` is their CRC; the ids of
+    a ``sequence_id`` by ``offset`` are its window. ``text_key`` is the text's XXH64 in Spark, which tells apart the texts of one doc_id.
 
     A document is its text's ids and then ``end_id``; null texts count as empty and give one id.
     ``sequence_id`` is unique to a window of at most ``size`` ids, ``offset`` a piece's place there,
@@ -163,14 +164,14 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, id_col: str
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 piece = batch.slice(at, 500)
-                texts = [x or "" for x in piece.column(1).to_pylist()]
-                for doc, ids in zip(piece.column(0).to_pylist(), _tokenizer(tokenizer, ranks).encode(texts)):
+                texts = [x or "" for x in piece.column(2).to_pylist()]
+                for doc, ids in zip(zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()), _tokenizer(tokenizer, ranks).encode(texts)):
                     packer.add(doc, np.append(ids, end))
                 yield packer.table()
         packer.finish()
         yield packer.table()
 
-    first = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _SCHEMA)
+    first = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _SCHEMA)
     level = materialize(first, "packed")
     done, depth = level.where("not leftover"), 0
     while True:
@@ -184,7 +185,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, id_col: str
             table = table.sort_by([("part", "ascending"), ("offset", "ascending")])
             group = table["part"][0].as_py() // _TREE
             packer = Packer(size, 0, _MERGED + (depth << 56) + (group << 20), group)
-            pieces = [(d, s, np.frombuffer(i, "<u4"), n) for d, s, i, n in zip(*(table[c].to_pylist() for c in ("doc_id", "start", "ids", "doc_tokens")))]
+            pieces = [((d, k), s, np.frombuffer(i, "<u4"), n) for d, k, s, i, n in zip(*(table[c].to_pylist() for c in ("doc_id", "text_key", "start", "ids", "doc_tokens")))]
             packer.open = [[sum(len(p[2]) for p in pieces), pieces]]
             packer.finish(last)
             return pa.Table.from_batches([packer.table()])
@@ -194,4 +195,4 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, id_col: str
         if last:
             break
         depth += 1
-    return done.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return done.select("doc_id", "text_key", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -63,7 +63,8 @@ def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), *tokenizer_paths())
+    packed = packing.pack(table(spark, sf_dir, "documents"), *tokenizer_paths())
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,3 +99,23 @@ def test_null_and_repeated_ids_keep_clean_documents(spark):
     docs = spark.createDataFrame([copy, *rows, again], DOCS).repartition(3)
     out = cp.drop_near_copies(spark, docs, "").collect()
     assert Counter((r.doc_id, r.text) for r in out) == Counter(zip(ids, texts))
+
+
+def test_pieces_give_back_their_texts(spark):
+    import numpy as np
+    from canarylake.llm import packing, queries
+
+    tokenizer, ranks = queries.tokenizer_paths()
+    rows = [(1, "alpha beta gamma delta", "en", "a", 1), (1, "alpha beta", "en", "a", 1), (None, "some other words", "en", "a", 1), (2, " ".join("n%d" % i for i in range(3000)), "en", "b", 1), (3, None, "en", "b", 1)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    key = {r.k: (r.doc_id, r.text) for r in docs.select("doc_id", "text", F.xxhash64("text").alias("k")).collect()}
+    parts, places = {}, {}
+    for p in cp.pack_windows(spark, docs, "").collect():
+        ids = np.frombuffer(p.ids, "<u4").tolist()
+        assert len(ids) == p.length and key[p.text_key][0] == p.doc_id
+        parts.setdefault(p.text_key, {})[p.start] = ids
+        places.setdefault(p.sequence_id, {})[p.offset] = ids
+    encode = packing.ByteBPE(tokenizer).encode
+    for k, (_, text) in key.items():
+        assert [i for at in sorted(parts[k]) for i in parts[k][at]] == [*encode([text or ""])[0].tolist(), 1]
+    assert all(at == sum(len(x) for b, x in w.items() if b < at) for w in places.values() for at in w)
