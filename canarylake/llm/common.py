@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,10 +21,12 @@ _own_dirs: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder in ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The shared folder in ``spark.checkpoint.dir``; where that is unset, a local one, and only in local mode."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="canarylake-")
@@ -169,7 +172,7 @@ def windows(words: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
     return _splitmix((sums[size:] - sums[:-size]) * down[:n])
 
 
-def by_bytes(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+def by_bytes(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
     """Slices of a batch with about ``most`` bytes in ``column`` each, so that arrays stay small."""
     size = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0), dtype=np.int64) + 1
     total = np.cumsum(size)

@@ -14,22 +14,35 @@ BITS = 48
 
 
 class Chosen:
-    """The chosen features: finds their places in arrays of hashes."""
+    """The chosen features: finds their places in arrays of hashes.
+
+    Features are chained by their last ``SLOTS`` bits, so two that share these are both found.
+    """
 
     SLOTS = 20
 
     def __init__(self, features: list[int]):
-        self.features = np.array(features, np.int64).reshape(-1)
-        self.slot = np.full(1 << self.SLOTS, -1, np.int16)
-        at = self.features & ((1 << self.SLOTS) - 1)
-        self.slot[at[::-1]] = np.arange(len(at))[::-1]  # of two in one slot the first, stronger one stays
+        features = np.array(features, np.int64).reshape(-1)
+        slots = features & ((1 << self.SLOTS) - 1)
+        self.place = np.argsort(slots, kind="stable")
+        self.features = features[self.place]
+        self.first = np.full(1 << self.SLOTS, -1, np.int32)
+        at, start, self.length = np.unique(slots[self.place], return_index=True, return_counts=True)
+        self.first[at] = start
+        self.chain = int(self.length.max()) if len(at) else 0
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of ``h`` are chosen, and their places."""
-        place = self.slot[h & ((1 << self.SLOTS) - 1)]
-        maybe = np.flatnonzero(place >= 0)
-        maybe = maybe[self.features[place[maybe]] == h[maybe]]
-        return maybe, place[maybe].astype(np.int64)
+        """Which of ``h`` are chosen, in order, and their places."""
+        start = self.first[h & ((1 << self.SLOTS) - 1)]
+        maybe = np.flatnonzero(start >= 0)
+        start, want = start[maybe], h[maybe]
+        found = np.full(len(maybe), -1, np.int64)
+        for k in range(self.chain):
+            at = np.minimum(start + k, len(self.features) - 1)
+            hit = self.features[at] == want
+            found[hit] = self.place[at[hit]]
+        hit = found >= 0
+        return maybe[hit], found[hit]
 
 
 def word_features(texts: pa.Array, stems: tuple = (4, 5, 7)) -> tuple[np.ndarray, np.ndarray]:
@@ -101,11 +114,12 @@ def listed(rows: DataFrame, kinds: tuple, id_col: str = "doc_id") -> DataFrame:
     return rows.select(F.col(id_col).cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, features array<long>")
 
 
-def choose(sample: DataFrame, most: int = 4096, least_docs: int = 4, only_for: bool = False) -> list[int]:
+def choose(sample: DataFrame, most: int = 4096, least_docs: int = 4, only_for: bool = False, least_chi: float = 10.8) -> list[int]:
     """The features most unlike between the rows with ``y`` > 0 and the others, at most ``most``.
 
     They are ranked by the chi-square statistic of presence; counts are summed by Spark. ``only_for`` leaves
-    out features that speak against ``y`` > 0.
+    out features that speak against ``y`` > 0. The cuts keep the fit on the bounded labelled sample from learning
+    chance: features in under ``least_docs`` rows, or whose statistic is under ``least_chi`` (p = 0.001), are left out.
     """
     totals = sample.agg(F.count(F.lit(1)), F.sum((F.col("y") > 0).cast("int"))).first()
     n, pos = totals[0], totals[1] or 0
@@ -117,18 +131,18 @@ def choose(sample: DataFrame, most: int = 4096, least_docs: int = 4, only_for: b
     chi = (a * n - c * pos) * (a * n - c * pos) / (c * pos * (n - c + 1e-9) * (n - pos)) * n
     if only_for:
         counts = counts.where(a * n > c * pos)
-    top = counts.withColumn("chi", chi).where("chi > 10.8").orderBy(F.desc("chi"), "f").limit(most)
+    top = counts.withColumn("chi", chi).where(F.col("chi") > least_chi).orderBy(F.desc("chi"), "f").limit(most)
     return [r[0] for r in top.select("f").collect()]
 
 
 def matrix(places: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """``(row, column)`` from the packed places of :func:`narrowed`."""
-    rows = np.repeat(np.arange(len(places), dtype=np.int32), [len(p) // 2 for p in places]) if len(places) else np.zeros(0, np.int32)
-    return rows, np.frombuffer(b"".join(places), "<i2").astype(np.int32)
+    rows = np.repeat(np.arange(len(places), dtype=np.int32), [len(p) // 4 for p in places]) if len(places) else np.zeros(0, np.int32)
+    return rows, np.frombuffer(b"".join(places), "<i4")
 
 
 def narrowed(sample: DataFrame, chosen: dict[str, Chosen], *others: str) -> DataFrame:
-    """``sample`` with, for each column of features in ``chosen``, the places of its chosen ones as packed 16-bit numbers.
+    """``sample`` with, for each column of features in ``chosen``, the places of its chosen ones as packed 32-bit numbers.
 
     ``n_features`` is the number of the first column's features before. Numbers are packed, as the driver
     holds the sample while it fits.
@@ -142,7 +156,7 @@ def narrowed(sample: DataFrame, chosen: dict[str, Chosen], *others: str) -> Data
                 n = np.asarray(pa.compute.list_value_length(lists), np.int64)
                 hit, place = c.find(np.asarray(lists.flatten(), np.int64))
                 cut = np.searchsorted(np.repeat(np.arange(len(lists)), n)[hit], np.arange(len(lists) + 1))
-                out.append(pa.array([place[x:y].astype("<i2").tobytes() for x, y in zip(cut, cut[1:])], pa.binary()))
+                out.append(pa.array([place[x:y].astype("<i4").tobytes() for x, y in zip(cut, cut[1:])], pa.binary()))
                 if not i:
                     size = pa.array(n)
             yield pa.record_batch([*out, size, *b.columns[len(chosen) :]], names=[*chosen, "n_features", *others])

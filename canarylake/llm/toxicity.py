@@ -70,57 +70,103 @@ def fit_ordinal(row: np.ndarray, col: np.ndarray, grade: np.ndarray, n_features:
     return unpack(theta)
 
 
+def out_of_fold(row: np.ndarray, col: np.ndarray, toxic: np.ndarray, n_features: int, rounds: int = 150) -> np.ndarray:
+    """Each row's score by a two-grade model that was fitted on the other half of the rows."""
+    half, score = np.arange(len(toxic)) % 2, np.zeros(len(toxic))
+    for f in (0, 1):
+        fit, place = np.flatnonzero(half != f), np.cumsum(half != f) - 1
+        mine = half[row] != f
+        weights, _ = fit_ordinal(place[row[mine]], col[mine], toxic[fit], n_features, 2, rounds=rounds)
+        z = np.bincount(row[~mine], weights=weights[col[~mine]], minlength=len(toxic))
+        score[half == f] = z[half == f]
+    return score
+
+
 def train(docs: DataFrame, labels: DataFrame, grade_col: str | None = None, grades: int = 4, max_train: int = 20_000, max_features: int = 4096) -> OrdinalModel:
     """Fit on at most ``max_train`` labelled documents, picked by a hash of their ids.
 
     ``grade_col`` of ``labels`` holds grades 0..grades-1. Where labels only say toxic or not, toxic
-    rows are graded 1..grades-1 by the share of their features that speak for toxicity, in equal parts.
-    Labels that are null are left out; of several for a document the gravest counts.
+    rows are graded 1..grades-1 by their score under a model that was fitted on other labelled rows (:func:`out_of_fold`),
+    in equal parts: grades then say how strongly the labels of other documents speak against one.
+    Labels that are null, or have a null id, are left out; of several for a document the gravest counts. Rows of
+    ``docs`` that repeat an id are all learnt from; null texts count as empty ones. Without labelled rows of
+    both kinds the model finds nothing toxic. Columns beside ``doc_id`` and ``text`` are not read.
     """
     y = F.col(grade_col or "toxic").cast("int")
     graded = labels.where(y.isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max(y).alias("y"))
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(graded, F.col("doc_id") == F.col("label_id")).select("doc_id", "y").distinct()
     ids = materialize(named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train), "labelled")
     # at most max_train ids are sent to the texts, which are not shuffled
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids.select(F.col("doc_id").alias("d"), "y")), F.col("doc_id") == F.col("d"))
-    sample = materialize(listed(picked, KINDS).join(F.broadcast(ids.select(F.col("doc_id").alias("d"), "y")), F.col("doc_id") == F.col("d")).select("doc_id", "features", "y"), "sample")
+    asked = F.broadcast(ids.select(F.col("doc_id").alias("d"), "y"))
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(asked, F.col("doc_id") == F.col("d"))
+    sample = materialize(listed(picked.select("doc_id", "text"), KINDS).join(asked, F.col("doc_id") == F.col("d")).select("doc_id", "features", "y"), "sample")
     chosen = choose(sample, max_features, only_for=True)
     lists = Chosen(chosen)
-    rows = narrowed(sample, {"features": lists}, "y", "doc_id").orderBy("doc_id").toPandas()
+    rows = narrowed(sample, {"features": lists}, "y", "doc_id").orderBy("doc_id", "features").toPandas()
     if not len(rows) or not chosen or rows["y"].nunique() < 2:
         return OrdinalModel([], np.zeros(0), np.full(grades - 1, 40.0))
     row, col = matrix(rows["features"].tolist())
     grade = rows["y"].to_numpy().clip(0, grades - 1)
     if grade_col is None:
-        toxic = np.bincount(col, weights=(grade > 0)[row], minlength=len(chosen)) / np.maximum(1, np.bincount(col, minlength=len(chosen)))
-        rate = np.bincount(row, weights=toxic[col], minlength=len(grade)) / np.maximum(1, rows["n_features"].to_numpy())
-        bad = np.flatnonzero(grade > 0)
-        ranks = np.argsort(np.argsort(rate[bad], kind="stable"), kind="stable")
+        toxic = (grade > 0).astype(np.int64)
+        bad = np.flatnonzero(toxic)
+        score = out_of_fold(row, col, toxic, len(chosen))
+        ranks = np.argsort(np.argsort(score[bad], kind="stable"), kind="stable")
         grade = np.zeros(len(grade), np.int64)
         grade[bad] = 1 + ranks * (grades - 1) // len(bad)
     weights, cuts = fit_ordinal(row, col, grade, len(chosen), grades)
     return OrdinalModel(chosen, weights, cuts)
 
 
+class _Judge:
+    """Severity, grade and verdict of texts."""
+
+    def __init__(self, model: OrdinalModel, least: float):
+        self.model, self.least, self.table = model, least, Chosen(model.chosen)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        above = self.model.above(linear_scores(texts, KINDS, self.table, self.model.weights))
+        full = np.concatenate([np.ones((len(above), 1)), above, np.zeros((len(above), 1))], axis=1)
+        likeliest = np.argmax(full[:, :-1] - full[:, 1:], axis=1)
+        toxic = above[:, 0] >= self.least
+        return above.sum(axis=1), np.where(toxic, np.maximum(likeliest, 1), 0).astype(np.int32), toxic
+
+
 def severity(docs: DataFrame, model: OrdinalModel, carry: tuple = (), least: float = 0.5) -> DataFrame:
     """``(doc_id, severity, grade, toxic)`` and the columns in ``carry``, for every row.
 
     ``severity`` is the expected grade, ``grade`` the likeliest, ``toxic`` whether a grade over 0 has
     at least the probability ``least``.
-    Null and empty texts have no features and get the score of none; whole texts are read.
+    Null and empty texts have no features and get the score of none; whole texts are read. Null and repeated ids stay as they are.
+    Carried columns may not have the names of the results.
+    """
+    names = ["doc_id", *carry, "severity", "grade", "toxic"]
+    if len({n.lower() for n in names}) < len(names):
+        raise ValueError("a carried column has the name of a result")
+    judge = _Judge(model, least)
+
+    def run(batches):
+        for batch in batches:
+            for part in by_bytes(batch, "text"):
+                value, grade, toxic = judge(part.column("text"))
+                yield pa.record_batch([*(part.column(i) for i in range(1, part.num_columns)), pa.array(value), pa.array(grade), pa.array(toxic)], names=names)
+
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("__id"), *[F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)])
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry)
+    return rows.mapInArrow(run, kept.withColumn("severity", F.lit(0.0)).withColumn("grade", F.lit(0)).withColumn("toxic", F.lit(False)).schema)
+
+
+def keep_clean(docs: DataFrame, model: OrdinalModel, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that :func:`severity` does not call toxic, with all their columns, whatever their names.
+
+    Texts go to Python and back once, in pieces, and rejected ones do not come back.
     """
-    table, weights = Chosen(model.chosen), model.weights
+    judge, names = _Judge(model, least), docs.columns
+    at = names.index("text")
 
     def run(batches):
         for batch in batches:
             for part in by_bytes(batch, "text"):
-                above = model.above(linear_scores(part.column("text"), KINDS, table, weights))
-                full = np.concatenate([np.ones((len(above), 1)), above, np.zeros((len(above), 1))], axis=1)
-                likeliest = np.argmax(full[:, :-1] - full[:, 1:], axis=1)
-                toxic = above[:, 0] >= least
-                yield pa.record_batch([part.column("rest"), pa.array(above.sum(axis=1)), pa.array(np.where(toxic, np.maximum(likeliest, 1), 0).astype(np.int32)), pa.array(toxic)], names=["rest", "severity", "grade", "toxic"])
-
-    rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c) for c in carry]).alias("rest"), "text")
-    out = rows.select("rest").withColumn("severity", F.lit(0.0)).withColumn("grade", F.lit(0)).withColumn("toxic", F.lit(False)).schema
-    done = rows.mapInArrow(run, out)
-    return done.select("rest.doc_id", *[F.col("rest")[c].alias(c) for c in carry], "severity", "grade", "toxic")
+                yield part.filter(pa.array(~judge(part.column(at))[2]))
+
+    return docs.mapInArrow(run, docs.schema)
