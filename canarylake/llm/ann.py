@@ -1,38 +1,62 @@
 """Approximate nearest neighbours by NN-descent and greedy graph search.
 
-Equal vectors become one node.  Random projection trees deal the nodes into
-small leaves, whose exact neighbours start the graph.  A round of NN-descent
-lets every node introduce its neighbours, both ways, to each other (neighbours of
+Equal vectors become one node.  A few random projection trees with small leaves give
+every node a list to start from.  A round of NN-descent lets every node
+introduce its neighbours, both ways, to each other (neighbours of
 neighbours, by joins on node ids); pairs better than a node's worst neighbour go
-to its list.  Graph rounds work on vectors rounded to a byte per component.
+to its list.  Rounds and searches work on vectors rounded to a byte per component, each by its own scale.
 A query starts at its own node, repeatedly takes the best nodes it has not
-opened and looks at their neighbours; its best candidates are scored on the original vectors.
+opened and looks at their neighbours, both ways; its best candidates are scored on the original vectors.
+
+How many rounds and steps there are follows from recall: a fixed number of queries is
+held against all vectors, and the graph and the searches go on until they find the wanted share of these
+queries' true neighbours, whatever the number of vectors.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-_EDGE = "u long, v long, sim float"
+_EDGE = "u long, v long, sim double"
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``(vec_id, x)`` without null ids and null, zero, non-finite or odd-sized vectors."""
+    """``(vec_id, x)`` without null ids and null, zero or non-finite vectors."""
     x = F.transform(F.col(vector_col), lambda v: v.cast("double"))
-    good = F.col(id_col).isNotNull() & (F.size(vector_col) > 0) & F.forall(vector_col, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < F.lit(float("inf")))) & F.exists(vector_col, lambda v: v != 0)
-    rows = vectors.where(F.coalesce(good, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x"))
-    usual = rows.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("x") == (usual[0] if usual else 0))
+    good = F.col(id_col).isNotNull() & F.forall(vector_col, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < F.lit(float("inf")))) & F.exists(vector_col, lambda v: v != 0)
+    return vectors.where(F.coalesce(good, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x"))
+
+
+def _filled(lists: pa.Array, dims: int) -> np.ndarray:
+    """Rows of doubles, filled up with zeros to ``dims``."""
+    n = np.asarray(pa.compute.list_value_length(lists), np.int64)
+    flat = np.asarray(lists.flatten(), np.float64)
+    if len(flat) == len(n) * dims:
+        return flat.reshape(len(n), dims)
+    out = np.zeros((len(n), dims))
+    out[np.repeat(np.arange(len(n)), n), np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)] = flat
+    return out
+
+
+def _codes(x: np.ndarray) -> list[bytes]:
+    """Each row as its scale, a double, and a byte per component."""
+    scale = np.abs(x).max(axis=1) / 127.0
+    scale[scale == 0] = 1.0
+    small = np.rint(x / scale[:, None]).astype(np.int8)
+    return [s.tobytes() + c.tobytes() for s, c in zip(scale, small)]
 
 
-def _matrix(column, kind) -> np.ndarray:
+def _decoded(column) -> tuple[np.ndarray, np.ndarray]:
+    """``(components, scales)`` of codes; the inner product of two rows is that of the components, by both scales."""
     rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1)
+    raw = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+    return raw[:, 8:].view(np.int8).astype(np.float32), np.ascontiguousarray(raw[:, :8]).view(np.float64).ravel()
 
 
 def _top(sim: np.ndarray, k: int) -> np.ndarray:
@@ -41,22 +65,25 @@ def _top(sim: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(-sim, k - 1, axis=1)[:, :k] if k < sim.shape[1] else np.tile(np.arange(k), (len(sim), 1))
 
 
-def _encode(nodes: DataFrame, scale: float, trees: int, depth: int, dims: int, seed: int) -> DataFrame:
+def _batch(cols: tuple, names: tuple, kinds: tuple) -> pa.RecordBatch:
+    """Lists of arrays, end to end, as one batch."""
+    return pa.record_batch([pa.array(np.concatenate(c) if c else np.zeros(0, k)) for c, k in zip(cols, kinds)], names=list(names))
+
+
+def _encode(nodes: DataFrame, trees: int, depth: int, dims: int, seed: int) -> DataFrame:
     """``(id, code, cells)``: vectors in bytes, and the leaf of each tree as the signs of random projections."""
     rng = np.random.default_rng(seed)
     planes = rng.standard_normal((trees, max(depth, 1), dims))
-    # pairs of nodes decide through the signs of their differences, so shift every plane by a random amount
     weights = 1 << np.arange(max(depth, 1))
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            x = np.asarray(b.column(1).flatten(), np.float64).reshape(b.num_rows, -1)
-            code = np.clip(np.rint(x * scale), -127, 127).astype(np.int8)
-            bits = np.einsum("nd,tpd->tnp", x, planes) > 0
+            x = _filled(b.column(1), dims)
+            bits = np.einsum("nd,tpd->tnp", x / np.abs(x).max(axis=1)[:, None], planes) > 0
             cells = (bits * weights).sum(axis=2).T if depth else np.zeros((b.num_rows, trees), np.int64)
-            yield pa.record_batch([b.column(0), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(cells.tolist(), pa.list_(pa.int64()))], names=["id", "code", "cells"])
+            yield pa.record_batch([b.column(0), pa.array(_codes(x), pa.binary()), pa.array(cells.tolist(), pa.list_(pa.int64()))], names=["id", "code", "cells"])
 
     return nodes.mapInArrow(run, "id long, code binary, cells array<long>")
 
@@ -66,23 +93,26 @@ def _leaf_graph(coded: DataFrame, k: int, leaf: int) -> DataFrame:
     rows = coded.select("id", "code", F.posexplode("cells").alias("tree", "cell"))
     sizes = rows.groupBy("tree", "cell").count().select("tree", "cell", F.ceil(F.col("count") / (2 * leaf)).cast("int").alias("cuts"))
     rows = rows.join(sizes, ["tree", "cell"]).withColumn("cut", F.pmod(F.xxhash64("id", "tree"), F.col("cuts")))
+    leaves = rows.groupBy("tree", "cell", "cut").agg(F.collect_list(F.struct("id", "code")).alias("n"))
 
-    def run(table: pa.Table) -> pa.Table:
-        ids = np.asarray(table["id"], np.int64)
-        x = _matrix(table["code"].combine_chunks(), np.int8).astype(np.float32)
-        us, vs, ss = [], [], []
-        for at in range(0, len(ids), 1024):
-            sim = x[at : at + 1024] @ x.T
-            sim[np.arange(len(sim)), np.arange(at, at + len(sim))] = -np.inf
-            top = _top(sim, k)
-            us.append(np.repeat(ids[at : at + 1024], top.shape[1]))
-            vs.append(ids[top].ravel())
-            ss.append(np.take_along_axis(sim, top, 1).ravel())
-        u, v, s = map(np.concatenate, (us, vs, ss))
-        keep = np.isfinite(s)
-        return pa.table([u[keep], v[keep], s[keep].astype(np.float32)], names=["u", "v", "sim"])
-
-    return rows.select("tree", "cell", "cut", "id", "code").groupBy("tree", "cell", "cut").applyInArrow(run, _EDGE)
+    def run(batches):
+        for b in batches:
+            us, vs, ss = [], [], []
+            for rows_ in b.column(0):
+                f = rows_.values
+                ids = np.asarray(f.field("id"))
+                if len(ids) < 2:
+                    continue
+                x, scale = _decoded(f.field("code"))
+                sim = (x @ x.T) * scale[:, None] * scale[None, :]
+                np.fill_diagonal(sim, -np.inf)
+                top = _top(sim, min(k, len(ids) - 1))
+                us.append(np.repeat(ids, top.shape[1]))
+                vs.append(ids[top].ravel())
+                ss.append(np.take_along_axis(sim, top, 1).ravel())
+            yield _batch((us, vs, ss), ("u", "v", "sim"), (np.int64, np.int64, np.float64))
+
+    return leaves.select("n").mapInArrow(run, _EDGE)
 
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
@@ -105,76 +135,126 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
                 vs.append(v[first])
                 ss.append(s[first])
                 fs.append(~np.isin(v[first], np.asarray(f.field("v"))[old == 1]))
-            yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.list_(pa.int64())), pa.array(ss, pa.list_(pa.float32())), pa.array(fs, pa.list_(pa.bool_()))], names=["u", "vs", "sims", "fresh"])
+            yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.list_(pa.int64())), pa.array(ss, pa.list_(pa.float64())), pa.array(fs, pa.list_(pa.bool_()))], names=["u", "vs", "sims", "fresh"])
 
     gathered = edges.groupBy("u").agg(F.collect_list(F.struct("v", "sim", "old")).alias("e"))
-    return gathered.mapInArrow(run, "u long, vs array<long>, sims array<float>, fresh array<boolean>")
-
-
-def _descend(graph: DataFrame, coded: DataFrame, k: int, sample: int) -> DataFrame:
-    """One round: candidate edges ``(u, v, sim)`` better than u's worst, from pairs of neighbours of one node."""
-    listed = graph.select("u", F.posexplode(F.arrays_zip("vs", "fresh")).alias("p", "e")).select("u", "p", F.col("e.vs").alias("v"), F.col("e.fresh").alias("fresh"))
-    forward = listed.where(F.col("p") < sample).select(F.col("u").alias("w"), F.col("v").alias("x"), "fresh")
-    # a node that many list keeps the `sample` of them that a hash picks
-    back = listed.where(F.col("p") < sample).select(F.col("v").alias("w"), F.col("u").alias("x"), "fresh")
-    back = back.withColumn("r", F.row_number().over(Window.partitionBy("w").orderBy(F.desc("fresh"), F.xxhash64("x", "w")))).where(F.col("r") <= sample).drop("r")
-    met = forward.unionByName(back).groupBy("w", "x").agg(F.max("fresh").alias("fresh"))
-    worst = graph.select(F.col("u").alias("x"), F.when(F.size("sims") >= k, F.element_at("sims", -1)).otherwise(F.lit(float("-inf"))).cast("float").alias("worst"))
+    return gathered.mapInArrow(run, "u long, vs array<long>, sims array<double>, fresh array<boolean>")
+
+
+def _descend(graph: DataFrame, coded: DataFrame, k: int) -> DataFrame:
+    """One round: candidate edges ``(u, v, sim)`` better than u's worst, from pairs of neighbours of one node.
+
+    A pair of which both were neighbours of the node before was looked at then.
+    """
+    listed = graph.select("u", F.explode(F.arrays_zip("vs", "fresh")).alias("e")).select("u", F.col("e.vs").alias("v"), F.col("e.fresh").alias("fresh"))
+    forward = listed.select(F.col("u").alias("w"), F.col("v").alias("x"), "fresh")
+    # a node that many list keeps k of them, fresh ones first, as a hash picks them
+    back = listed.select(F.col("v").alias("w"), F.col("u").alias("x"), "fresh")
+    back = back.withColumn("r", F.row_number().over(Window.partitionBy("w").orderBy(F.desc("fresh"), F.xxhash64("x", "w")))).where(F.col("r") <= k).drop("r")
+    met = forward.unionByName(back)
+    worst = graph.select(F.col("u").alias("x"), F.when(F.size("sims") >= k, F.element_at("sims", -1)).otherwise(F.lit(float("-inf"))).alias("worst"))
     known = coded.select(F.col("id").alias("x"), "code").join(worst, "x")
-    groups = met.join(known, "x").groupBy("w").agg(F.collect_list(F.struct("x", "fresh", "worst", "code")).alias("n"))
+    groups = met.join(known, "x").groupBy("w").agg(F.collect_list(F.struct("x", "fresh", "worst", "code")).alias("n"), F.bool_or("fresh").alias("any")).where("any")
 
     def run(batches):
         for b in batches:
             us, vs, ss = [], [], []
             for rows in b.column(0):
                 f = rows.values
-                ids, fresh, worst_of = np.asarray(f.field("x")), np.asarray(f.field("fresh").cast(pa.int8())) > 0, np.asarray(f.field("worst"))
-                code = _matrix(f.field("code"), np.int8).astype(np.float32)
-                sim = code @ code.T
-                good = (sim > worst_of[:, None]) & (fresh[:, None] | fresh[None, :])
+                ids, first = np.unique(np.asarray(f.field("x")), return_index=True)
+                fresh, worst_of = np.asarray(f.field("fresh").cast(pa.int8())) > 0, np.asarray(f.field("worst"))
+                fresh = np.isin(ids, np.asarray(f.field("x"))[fresh])  # a neighbour both ways is fresh if it is in one
+                x, scale = _decoded(f.field("code").take(pa.array(first)))
+                sim = (x @ x.T) * scale[:, None] * scale[None, :]
+                good = (sim > worst_of[first][:, None]) & (fresh[:, None] | fresh[None, :])
                 np.fill_diagonal(good, False)
                 i, j = np.nonzero(good)
                 us.append(ids[i])
                 vs.append(ids[j])
                 ss.append(sim[i, j])
-            cols = [np.concatenate(c) if c else np.zeros(0, d) for c, d in ((us, np.int64), (vs, np.int64), (ss, np.float32))]
-            yield pa.record_batch([pa.array(c) for c in cols], names=["u", "v", "sim"])
+            yield _batch((us, vs, ss), ("u", "v", "sim"), (np.int64, np.int64, np.float64))
 
     return groups.select("n").mapInArrow(run, _EDGE)
 
 
-def build_graph(nodes: DataFrame, k: int = 32, trees: int = 16, leaf: int = 1024, rounds: int = 3, sample: int = 16, seed: int = 5) -> tuple[DataFrame, DataFrame]:
-    """``(graph, coded)``: rows ``(u, vs, sims, fresh)`` of each node's k neighbours, and the nodes' byte vectors."""
-    stats = nodes.agg(F.count(F.lit(1)), F.max(F.size("x")), F.max(F.array_max(F.transform("x", lambda v: F.abs(v))))).first()
-    n, dims, largest = stats[0], stats[1] or 1, stats[2] or 1.0
+def truth(nodes: DataFrame, starts: DataFrame, probes: int = 64, near: int = 20) -> DataFrame:
+    """``(q, c)``: the ``near`` best nodes of ``probes`` of ``starts``, held against all nodes.
+
+    The probes, a number that does not grow, are what is sent to the tasks.
+    """
+    picked = starts.orderBy(F.xxhash64("q"), "q").limit(probes).join(nodes, F.col("q") == F.col("id")).select("q", "x").toPandas()
+    ids = picked["q"].to_numpy(np.int64)
+    dims = max([len(x) for x in picked["x"]], default=1)
+    asked = np.array([np.pad(np.asarray(x, np.float64), (0, dims - len(x))) for x in picked["x"]]).reshape(len(ids), dims)
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows or not len(ids):
+                continue
+            c = np.asarray(b.column(0))
+            wide = max(dims, int(pa.compute.max(pa.compute.list_value_length(b.column(1))).as_py()))
+            sim = asked @ _filled(b.column(1), wide)[:, :dims].T
+            sim[ids[:, None] == c[None, :]] = -np.inf
+            top = _top(sim, near)
+            yield pa.record_batch([pa.array(np.repeat(ids, top.shape[1])), pa.array(c[top].ravel()), pa.array(np.take_along_axis(sim, top, 1).ravel())], names=["q", "c", "sim"])
+
+    best = nodes.select("id", "x").mapInArrow(run, "q long, c long, sim double").where(F.col("sim") > float("-inf"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "c"))
+    return materialize(best.withColumn("r", rank).where(F.col("r") <= near).select("q", "c"), "truth")
+
+
+def recall(found: DataFrame, true: DataFrame) -> float:
+    """The share of the rows of ``true`` that ``found`` has; both hold distinct ``(q, c)``."""
+    hit = true.join(found, ["q", "c"], "left_semi").count()
+    return hit / max(1, true.count())
+
+
+def build_graph(nodes: DataFrame, true: DataFrame | None = None, k: int = 48, trees: int = 4, leaf: int = 128, rounds: int = 16, enough: float = 0.8, seed: int = 5) -> tuple[DataFrame, DataFrame]:
+    """``(graph, coded)``: rows ``(u, vs, sims, fresh)`` of each node's k neighbours, and the nodes' byte vectors.
+
+    Rounds end once the lists hold the share ``enough`` of ``true``, or hardly change any more.
+    """
+    stats = nodes.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
+    n, dims = stats[0], stats[1] or 1
     depth = max(0, int(np.ceil(np.log2(max(n, 1) / leaf))))
-    coded = materialize(_encode(nodes.select("id", "x"), 127.0 / largest, trees if depth else 1, depth, dims, seed), "coded")
-    start = _leaf_graph(coded, k, leaf)
-    graph = materialize(_best(start.withColumn("old", F.lit(False)), k), "graph")
-    for _ in range(rounds if depth else 0):
-        new = _descend(graph, coded, k, sample)
+    coded = materialize(_encode(nodes.select("id", "x"), trees if depth else 1, depth, dims, seed), "coded")
+    graph = materialize(_best(_leaf_graph(coded, k, leaf).withColumn("old", F.lit(False)), k), "graph")
+    for _ in range(rounds):
+        new = _descend(graph, coded, k)
         old = graph.select("u", F.explode(F.arrays_zip("vs", "sims")).alias("e")).select("u", F.col("e.vs").alias("v"), F.col("e.sims").alias("sim"), F.lit(True).alias("old"))
         graph = materialize(_best(old.unionByName(new.withColumn("old", F.lit(False))), k), "graph")
         moved = graph.agg(F.sum(F.size(F.filter("fresh", lambda f: f))), F.sum(F.size("vs"))).first()
         if (moved[0] or 0) < 0.01 * (moved[1] or 1):
             break
+        if true is not None and recall(graph.select(F.col("u").alias("q"), F.explode("vs").alias("c")), true) >= enough:
+            break
     return graph, coded
 
 
-def search(graph: DataFrame, coded: DataFrame, starts: DataFrame, pool: int = 128, width: int = 32, steps: int = 6) -> DataFrame:
+def both_ways(graph: DataFrame, k: int) -> DataFrame:
+    """``(o, near)``: each node's neighbours and up to k of those that list it, the nearest first."""
+    edges = graph.select("u", F.explode(F.arrays_zip("vs", "sims")).alias("e")).select("u", F.col("e.vs").alias("v"), F.col("e.sims").alias("sim"))
+    rank = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("sim"), "u"))
+    back = edges.withColumn("r", rank).where(F.col("r") <= k).select(F.col("v").alias("o"), F.col("u").alias("c"))
+    every = edges.select(F.col("u").alias("o"), F.col("v").alias("c")).unionByName(back)
+    return materialize(every.groupBy("o").agg(F.collect_set("c").alias("near")), "lists")
+
+
+def search(graph: DataFrame, coded: DataFrame, starts: DataFrame, true: DataFrame | None = None, k: int = 48, pool: int = 256, width: int = 32, steps: int = 16, enough: float = 0.98) -> DataFrame:
     """``(q, c)``: the ``pool`` best nodes that a greedy search from each node ``q`` of ``starts`` finds.
 
-    A step opens the ``width`` best nodes not opened yet, and looks at all their neighbours.
+    A step opens the ``width`` best nodes not opened yet, and looks at all their neighbours, both ways. Steps end once the
+    pools hold the share ``enough`` of ``true``, or nothing is left to open.
     """
-    lists = graph.select(F.col("u").alias("o"), F.col("vs").alias("near"))
+    lists = both_ways(graph, k)
     own = starts.join(graph, starts.q == graph.u).select("q", F.explode(F.arrays_zip("vs", "sims")).alias("e"))
     pools = own.select("q", F.col("e.vs").alias("c"), F.col("e.sims").alias("sim"), F.lit(False).alias("opened"))
-    pools = pools.unionByName(starts.select("q", F.col("q").alias("c"), F.lit(float("inf")).cast("float").alias("sim"), F.lit(True).alias("opened")))
+    pools = pools.unionByName(starts.select("q", F.col("q").alias("c"), F.lit(float("inf")).alias("sim"), F.lit(True).alias("opened")))
     codes = coded.select(F.col("id").alias("c"), "code")
     mine = coded.select(F.col("id").alias("q"), F.col("code").alias("mine"))
+    order = Window.partitionBy("q").orderBy(F.desc("sim"), "c")
     for _ in range(steps):
-        order = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "c"))
-        closed = pools.where(~F.col("opened")).withColumn("r", order).where(F.col("r") <= width)
+        closed = pools.where(~F.col("opened")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= width)
         pools = pools.join(closed.select("q", "c", F.lit(True).alias("now")), ["q", "c"], "left").withColumn("opened", F.col("opened") | F.coalesce("now", F.lit(False))).drop("now")
         new = closed.join(lists, closed.c == lists.o).select("q", F.explode("near").alias("c")).distinct().join(pools.select("q", "c"), ["q", "c"], "left_anti")
         asked = new.join(codes, "c").groupBy("q").agg(F.collect_list(F.struct("c", "code")).alias("n")).join(mine, "q")
@@ -182,44 +262,56 @@ def search(graph: DataFrame, coded: DataFrame, starts: DataFrame, pool: int = 12
         def score(batches):
             for b in batches:
                 qs, cs, ss = [], [], []
-                for q, rows, me in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+                for q, rows, me in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
                     f = rows.values
-                    sim = _matrix(f.field("code"), np.int8).astype(np.float32) @ np.frombuffer(me, np.int8).astype(np.float32)
+                    x, scale = _decoded(f.field("code"))
+                    y, mine_ = _decoded(pa.array([me.as_py()]))
+                    sim = (x @ y[0]) * scale * mine_[0]
                     top = _top(sim[None, :], pool)[0]
                     cs.append(np.asarray(f.field("c"))[top])
                     ss.append(sim[top])
                     qs.append(np.full(len(top), q, np.int64))
-                cols = [np.concatenate(c) if c else np.zeros(0, d) for c, d in ((qs, np.int64), (cs, np.int64), (ss, np.float32))]
-                yield pa.record_batch([pa.array(c) for c in cols], names=["q", "c", "sim"])
+                yield _batch((qs, cs, ss), ("q", "c", "sim"), (np.int64, np.int64, np.float64))
 
-        scored = asked.select("q", "n", "mine").mapInArrow(score, "q long, c long, sim float").withColumn("opened", F.lit(False))
-        merged = pools.unionByName(scored).withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "c")))
+        scored = asked.select("q", "n", "mine").mapInArrow(score, "q long, c long, sim double").withColumn("opened", F.lit(False))
+        merged = pools.unionByName(scored).withColumn("r", F.row_number().over(order))
         pools = materialize(merged.where(F.col("r") <= pool + 1).drop("r"), "pools")
+        if true is not None and recall(pools.select("q", "c"), true) >= enough:  # the best of a pool are found on the original vectors
+            break
+        if pools.where(~F.col("opened")).isEmpty():
+            break
     return pools.select("q", "c")
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", graph_options: dict | None = None, search_options: dict | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", probes: int = 64, graph_options: dict | None = None, search_options: dict | None = None) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k nearest found by inner product, ties to smaller ids.
 
     Queries are the rows whose id ``every`` divides, candidates all rows with another id. The score is the inner
-    product in double precision on the original vectors. Vectors that are null, zero, of another length
-    than most, or hold null or non-finite components take no part. Copies of a vector are all found with it.
-    Other columns are ignored.
+    product in double precision on the original vectors, of which a shorter one counts as filled up with zeros. Vectors
+    that are null, zero, or hold null or non-finite components take no part. Copies of a vector are all found with it.
+    Of rows that repeat a query's id, the least vector asks; as candidates they count as so many rows. Other columns are ignored.
+
+    probes: so many queries are held against all vectors, to tell when graph and searches are good enough.
     """
     rows = materialize(usable(vectors, id_col, vector_col), "vectors")
-    nodes = materialize(rows.groupBy("x").agg(F.min("vec_id").alias("id")).select("id", "x"), "nodes")
-    named = rows.join(nodes, "x").select("vec_id", "id")
-    # no answer needs more than the k + 1 least ids of equal vectors
-    members = named.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("vec_id"))).where(F.col("r") <= k + 1).select("id", "vec_id")
-    asked = materialize(named.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), F.col("id").alias("q")), "queries")
+    nodes = materialize(rows.groupBy("x").agg(F.min("vec_id").alias("id")).groupBy("id").agg(F.sort_array(F.collect_list("x")).alias("xs")).select(F.posexplode("xs").alias("p", "x"), F.col("id").alias("least")).select(F.when(F.col("p") == 0, F.col("least")).otherwise(F.xxhash64("least", "p", F.lit("again"))).alias("id"), "x"), "nodes")
+    # no answer needs more than the k + 1 least ids of equal vectors, nor one of them more than k times
+    counted = rows.groupBy("x", "vec_id").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("n"))
+    first = counted.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy("vec_id"))).where(F.col("r") <= k + 1)
+    members = first.join(nodes, "x").select("id", "vec_id", "n")
+    asking = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("x").alias("x"))
+    asked = materialize(asking.join(nodes, "x").select(F.col("vec_id").alias("query_id"), F.col("id").alias("q")), "queries")
     starts = asked.select("q").distinct()
-    graph, coded = build_graph(nodes, **(graph_options or {}))
-    found = search(graph, coded, starts, **(search_options or {}))
+    true = truth(nodes, starts, probes, k)
+    graph, coded = build_graph(nodes, true, **(graph_options or {}))
+    found = search(graph, coded, starts, true, **(search_options or {}))
     left, right = nodes.select(F.col("id").alias("q"), F.col("x").alias("a")), nodes.select(F.col("id").alias("c"), F.col("x").alias("b"))
-    product = F.aggregate(F.zip_with("a", "b", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    product = F.aggregate(F.zip_with("a", "b", lambda a, b: F.coalesce(a * b, F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
     scored = found.join(right, "c").join(left, "q").select("q", "c", product.alias("score"))
-    spread = scored.join(members, F.col("c") == F.col("id")).select("q", "vec_id", "score")
-    best = spread.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)
-    lists = best.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("best"))
-    each = asked.join(lists, "q").withColumn("kept", F.slice(F.filter("best", lambda e: e["vec_id"] != F.col("query_id")), 1, k))
-    return each.select("query_id", F.posexplode("kept").alias("p", "e")).select("query_id", (F.col("p") + 1).alias("rank"), F.col("e.vec_id").alias("vec_id"), F.col("e.score").alias("score"))
+    spread = scored.join(members, F.col("c") == F.col("id")).groupBy("q", "vec_id").agg(F.collect_list(F.struct("score", "n")).alias("scores"), F.max("score").alias("top"))
+    best = spread.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("top"), "vec_id"))).where(F.col("r") <= k + 1)
+    lists = best.groupBy("q").agg(F.collect_list(F.struct("vec_id", "scores")).alias("best"))
+    others = F.filter("best", lambda e: e["vec_id"] != F.col("query_id"))
+    each = F.flatten(F.transform(others, lambda e: F.flatten(F.transform(e["scores"], lambda s: F.array_repeat(F.struct((-s["score"]).alias("s"), e["vec_id"].alias("vec_id")), s["n"])))))
+    kept = asked.join(lists, "q").select("query_id", F.posexplode(F.slice(F.array_sort(each), 1, k)).alias("p", "e"))
+    return kept.select("query_id", (F.col("p") + 1).alias("rank"), F.col("e.vec_id").alias("vec_id"), (-F.col("e.s")).alias("score"))

@@ -200,7 +200,7 @@ def vectors(spark, n=1500, dims=24, seed=2):
 
 
 def usable(rows, dims, zero):
-    return [(i, v) for i, v, _ in rows if v is not None and len(v) == dims and all(c is not None and np.isfinite(c) for c in v) and (zero or any(v))]
+    return [(i, list(v) + [0.0] * (dims - len(v))) for i, v, _ in rows if v is not None and all(c is not None and np.isfinite(c) for c in v) and (zero or any(v))]
 
 
 def test_bit_slices_add_and_select():
@@ -259,6 +259,55 @@ def test_neighbours_recall(spark):
     assert ann.nearest(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("graph", [{}, {"k": 24}])
+def test_neighbours_with_outliers_and_odd_lengths(spark, graph):
+    """A row far larger than all others, shorter rows, and repeated ids change nothing for the others."""
+    df, rows, x = vectors(spark, n=400)
+    more = [(1000, [1e30] + [0.0] * 23, 0), (1020, [0.5, 0.25], 0), (40, [0.125] * 24, 0), (40, [0.5] * 24, 0)]
+    both = df.where("vec_id <> 40").unionByName(spark.createDataFrame(more, df.schema))
+    good = [(i, np.pad(np.array(v, np.float64), (0, 24 - len(v)))) for i, v, _ in [r for r in rows if r[0] != 40] + more if v is not None and all(c is not None and np.isfinite(c) for c in v) and any(v)]
+    good += [(24, np.pad([1.0], (0, 23)))] if not any(i == 24 for i, _ in good) else []
+    ids, m = np.array([i for i, _ in good]), np.array([v for _, v in good])
+    got = defaultdict(list)
+    for r in ann.nearest(both, graph_options=graph).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    hit = total = 0
+    for q in sorted({int(i) for i in ids if i % 20 == 0}):
+        me = np.array(min(m[ids == q].tolist()))
+        s = m @ me
+        s[ids == q] = -np.inf
+        want = [int(ids[b]) for b in np.lexsort((ids, -s))[:20]]
+        assert [r for r, _, _ in sorted(got[q])] == list(range(1, 21))
+        hit += len({v for _, v, _ in got[q]} & set(want))
+        total += 20
+    assert 1020 in got and hit / total > 0.95
+
+
+def test_neighbours_with_the_settings_of_the_query(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = table.select("vec_id", "embedding").toPandas()
+    ids, x = rows["vec_id"].to_numpy(), np.array(rows["embedding"].tolist(), np.float64)
+    got = queries.op5_ann(spark, "/root/testdata/sf0.1").toPandas().groupby("query_id")["vec_id"].apply(set)
+    hit = 0
+    for a in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[a]
+        s[a] = -np.inf
+        hit += len(got[ids[a]] & set(ids[np.lexsort((ids, -s))[:20]].tolist()))
+    assert hit / (20 * len(got)) > 0.95
+
+
+def test_top_k_with_large_components_and_odd_lengths(spark):
+    rows = [(0, [1.0, 2.0]), (1, [1e6, 0.5]), (2, [0.5, 0.25]), (3, [-1e15, 3.0]), (4, [1e30, 0.0]), (5, [2.0]), (6, []), (7, None), (8, [None, 1.0]), (9, [float("inf"), 1.0]), (50, [4.0, 0.5, -1.0]), (50, [3.0]), (100, [1e17, 1e17])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("clash"))
+    full = [(i, [int(np.floor(256 * c)) if abs(256 * c) < 2**53 else int(256 * c) for c in v] + [0] * (3 - len(v))) for i, v in rows if v is not None and all(c is not None and np.isfinite(c) for c in v)]
+    want = []
+    for q in (0, 50, 100):
+        me = min(v for i, v in full if i == q)
+        best = sorted(((-sum(a * b for a, b in zip(me, v)), i) for i, v in full if i != q))[:5]
+        want += [(q, r + 1, i, -s if abs(s) < 2**63 else None) for r, (s, i) in enumerate(best)]
+    assert sorted(tuple(r) for r in topk.top_k(df, block_rows=4, batch=2).collect()) == sorted(want)
+
+
 # ------------------------------------------------------------------ 6
 
 def test_packing_tiles_every_document(spark, docs, none):
