@@ -209,7 +209,7 @@ def recall(found: DataFrame, true: DataFrame) -> float:
     return hit / max(1, true.count())
 
 
-def build_graph(nodes: DataFrame, true: DataFrame | None = None, k: int = 48, trees: int = 4, leaf: int = 128, rounds: int = 16, enough: float = 0.8, seed: int = 5) -> tuple[DataFrame, DataFrame]:
+def build_graph(nodes: DataFrame, true: DataFrame | None = None, k: int = 48, trees: int = 4, leaf: int = 128, rounds: int = 16, enough: float = 0.65, seed: int = 5) -> tuple[DataFrame, DataFrame]:
     """``(graph, coded)``: rows ``(u, vs, sims, fresh)`` of each node's k neighbours, and the nodes' byte vectors.
 
     Rounds end once the lists hold the share ``enough`` of ``true``, or hardly change any more.
@@ -231,56 +231,96 @@ def build_graph(nodes: DataFrame, true: DataFrame | None = None, k: int = 48, tr
     return graph, coded
 
 
-def both_ways(graph: DataFrame, k: int) -> DataFrame:
-    """``(o, near)``: each node's neighbours and up to k of those that list it, the nearest first."""
+def both_ways(graph: DataFrame, coded: DataFrame, k: int) -> DataFrame:
+    """``(o, ids, codes)``: each node's neighbours and up to k of those that list it, the nearest first, packed with their vectors."""
     edges = graph.select("u", F.explode(F.arrays_zip("vs", "sims")).alias("e")).select("u", F.col("e.vs").alias("v"), F.col("e.sims").alias("sim"))
     rank = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("sim"), "u"))
     back = edges.withColumn("r", rank).where(F.col("r") <= k).select(F.col("v").alias("o"), F.col("u").alias("c"))
     every = edges.select(F.col("u").alias("o"), F.col("v").alias("c")).unionByName(back)
-    return materialize(every.groupBy("o").agg(F.collect_set("c").alias("near")), "lists")
+    lists = every.join(coded.select(F.col("id").alias("c"), "code"), "c").groupBy("o").agg(F.collect_list(F.struct("c", "code")).alias("n"))
+
+    def run(batches):
+        for b in batches:
+            ids, codes = [], []
+            for rows in b.column(1):
+                f = rows.values
+                c, first = np.unique(np.asarray(f.field("c")), return_index=True)
+                ids.append(c.tobytes())
+                codes.append(b"".join(f.field("code").take(pa.array(first)).to_pylist()))
+            yield pa.record_batch([b.column(0), pa.array(ids, pa.binary()), pa.array(codes, pa.binary())], names=["o", "ids", "codes"])
+
+    return materialize(lists.mapInArrow(run, "o long, ids binary, codes binary"), "lists")
+
+
+_POOL = "q long, mine binary, ids binary, sims binary, opened binary, todo array<long>"
+
+
+def _pooled(q: int, mine: bytes, ids, sims, opened, pool: int, width: int) -> tuple:
+    """One row of pools: the ``pool`` best candidates, of which the ``width`` best not opened yet are to be opened next."""
+    order = np.lexsort((ids, -sims))[:pool]
+    ids, sims, opened = ids[order], sims[order], opened[order].copy()
+    next_ = np.flatnonzero(~opened)[:width]
+    opened[next_] = True
+    return q, mine, ids.tobytes(), sims.tobytes(), opened.tobytes(), ids[next_].tolist()
 
 
-def search(graph: DataFrame, coded: DataFrame, starts: DataFrame, true: DataFrame | None = None, k: int = 48, pool: int = 256, width: int = 32, steps: int = 16, enough: float = 0.98) -> DataFrame:
+def _pool_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), *[pa.binary()] * 4, pa.list_(pa.int64()))
+    return pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=["q", "mine", "ids", "sims", "opened", "todo"])
+
+
+def search(graph: DataFrame, coded: DataFrame, starts: DataFrame, true: DataFrame | None = None, k: int = 48, pool: int = 256, width: int = 32, steps: int = 16, enough: float = 0.97) -> DataFrame:
     """``(q, c)``: the ``pool`` best nodes that a greedy search from each node ``q`` of ``starts`` finds.
 
-    A step opens the ``width`` best nodes not opened yet, and looks at all their neighbours, both ways. Steps end once the
-    pools hold the share ``enough`` of ``true``, or nothing is left to open.
+    A step opens the ``width`` best nodes not opened yet, and looks at all their neighbours, both ways. A query is one row with its
+    pool. Steps end once the pools hold the share ``enough`` of ``true``, or nothing is left to open.
     """
-    lists = both_ways(graph, k)
-    own = starts.join(graph, starts.q == graph.u).select("q", F.explode(F.arrays_zip("vs", "sims")).alias("e"))
-    pools = own.select("q", F.col("e.vs").alias("c"), F.col("e.sims").alias("sim"), F.lit(False).alias("opened"))
-    pools = pools.unionByName(starts.select("q", F.col("q").alias("c"), F.lit(float("inf")).alias("sim"), F.lit(True).alias("opened")))
-    codes = coded.select(F.col("id").alias("c"), "code")
-    mine = coded.select(F.col("id").alias("q"), F.col("code").alias("mine"))
-    order = Window.partitionBy("q").orderBy(F.desc("sim"), "c")
+    lists = both_ways(graph, coded, k)
+    own = starts.join(graph, starts.q == graph.u).join(coded.select("id", F.col("code").alias("mine")), F.col("q") == F.col("id"))
+
+    def begin(batches):
+        for b in batches:
+            rows = []
+            for q, mine, vs, sims in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                ids = np.asarray(vs.values, np.int64)
+                rows.append(_pooled(q, mine, ids, np.asarray(sims.values, np.float64), np.zeros(len(ids), bool), pool, width))
+            yield _pool_batch(rows)
+
+    def step(batches):
+        for b in batches:
+            rows = []
+            for i in range(b.num_rows):
+                q, mine, ids, sims, opened = (b.column(j)[i].as_py() for j in range(5))
+                ids, sims, opened = np.frombuffer(ids, np.int64), np.frombuffer(sims, np.float64), np.frombuffer(opened, bool)
+                f = b.column(5)[i].values
+                if f is not None and len(f):
+                    near = np.frombuffer(b"".join(f.field("ids").to_pylist()), np.int64)
+                    raw = np.frombuffer(b"".join(f.field("codes").to_pylist()), np.uint8).reshape(len(near), -1)
+                    near, first = np.unique(near, return_index=True)
+                    new = ~np.isin(near, ids) & (near != q)
+                    raw = raw[first[new]]
+                    me = np.frombuffer(mine, np.uint8)
+                    sim = raw[:, 8:].view(np.int8).astype(np.float32) @ me[8:].view(np.int8).astype(np.float32)
+                    sim = sim * np.ascontiguousarray(raw[:, :8]).view(np.float64).ravel() * me[:8].view(np.float64)[0]
+                    ids, sims, opened = np.concatenate([ids, near[new]]), np.concatenate([sims, sim]), np.concatenate([opened, np.zeros(len(sim), bool)])
+                rows.append(_pooled(q, mine, ids, sims, opened, pool, width))
+            yield _pool_batch(rows)
+
+    def named(batches):
+        for b in batches:
+            ids = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
+            q = np.repeat(np.asarray(b.column(0)), [len(x) for x in ids])
+            yield pa.record_batch([pa.array(q), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64))], names=["q", "c"])
+
+    pools = materialize(own.select("q", "mine", "vs", "sims").mapInArrow(begin, _POOL), "pools")
     for _ in range(steps):
-        closed = pools.where(~F.col("opened")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= width)
-        pools = pools.join(closed.select("q", "c", F.lit(True).alias("now")), ["q", "c"], "left").withColumn("opened", F.col("opened") | F.coalesce("now", F.lit(False))).drop("now")
-        new = closed.join(lists, closed.c == lists.o).select("q", F.explode("near").alias("c")).distinct().join(pools.select("q", "c"), ["q", "c"], "left_anti")
-        asked = new.join(codes, "c").groupBy("q").agg(F.collect_list(F.struct("c", "code")).alias("n")).join(mine, "q")
-
-        def score(batches):
-            for b in batches:
-                qs, cs, ss = [], [], []
-                for q, rows, me in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                    f = rows.values
-                    x, scale = _decoded(f.field("code"))
-                    y, mine_ = _decoded(pa.array([me.as_py()]))
-                    sim = (x @ y[0]) * scale * mine_[0]
-                    top = _top(sim[None, :], pool)[0]
-                    cs.append(np.asarray(f.field("c"))[top])
-                    ss.append(sim[top])
-                    qs.append(np.full(len(top), q, np.int64))
-                yield _batch((qs, cs, ss), ("q", "c", "sim"), (np.int64, np.int64, np.float64))
-
-        scored = asked.select("q", "n", "mine").mapInArrow(score, "q long, c long, sim double").withColumn("opened", F.lit(False))
-        merged = pools.unionByName(scored).withColumn("r", F.row_number().over(order))
-        pools = materialize(merged.where(F.col("r") <= pool + 1).drop("r"), "pools")
-        if true is not None and recall(pools.select("q", "c"), true) >= enough:  # the best of a pool are found on the original vectors
-            break
-        if pools.where(~F.col("opened")).isEmpty():
+        found = pools.select("q", F.explode("todo").alias("o")).join(lists, "o").groupBy("q").agg(F.collect_list(F.struct("ids", "codes")).alias("n"))
+        pools = materialize(pools.drop("todo").join(found, "q", "left").mapInArrow(step, _POOL), "pools")
+        if true is not None and recall(pools.select("q", "ids").mapInArrow(named, "q long, c long"), true) >= enough:
+            break  # the best of a pool are found on the original vectors
+        if pools.where(F.size("todo") > 0).isEmpty():
             break
-    return pools.select("q", "c")
+    return pools.select("q", "ids").mapInArrow(named, "q long, c long")
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", probes: int = 64, graph_options: dict | None = None, search_options: dict | None = None) -> DataFrame:
