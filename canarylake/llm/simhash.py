@@ -27,6 +27,17 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _BLOCK = 1 << 16
 
 
+def majority(blocks) -> int:
+    """The 64-bit SimHash of hashes, given in arrays: a bit is set if it is set in over half of them; 0 for none."""
+    counts, n = np.zeros((8, 8), np.int64), 0
+    for h in blocks:
+        lanes = np.ascontiguousarray(h, "<u8").view(np.uint8).reshape(-1, 8) + _LANE
+        counts += np.bincount(lanes.ravel(), minlength=2048).reshape(8, 256) @ _BITS
+        n += len(h)
+    set_bits = (2 * counts.ravel() > n).astype(np.uint8)
+    return int(np.packbits(set_bits, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42) -> int:
     """The 64-bit SimHash of one text; 0 where it has no words.
 
@@ -41,15 +52,14 @@ def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42) -> int:
     start = end - size
     n = max(1, len(words) - shingle + 1)
     last = end[min(shingle, len(words)) - 1 :]
-    counts = np.zeros((8, 8), np.int64)
     digest = xxhash.xxh64_intdigest
-    for at in range(0, n, _BLOCK):
-        a, b = start[at : min(n, at + _BLOCK)].tolist(), last[at : min(n, at + _BLOCK)].tolist()
-        h = np.fromiter([digest(joined[x:y], seed) for x, y in zip(a, b)], "<u8", len(a))
-        lanes = h.view(np.uint8).reshape(-1, 8) + _LANE
-        counts += np.bincount(lanes.ravel(), minlength=2048).reshape(8, 256) @ _BITS
-    set_bits = (2 * counts.ravel() > n).astype(np.uint8)
-    return int(np.packbits(set_bits, bitorder="little").view("<u8")[0])
+
+    def hashes():
+        for at in range(0, n, _BLOCK):
+            a, b = start[at : min(n, at + _BLOCK)].tolist(), last[at : min(n, at + _BLOCK)].tolist()
+            yield np.fromiter([digest(joined[x:y], seed) for x, y in zip(a, b)], "<u8", len(a))
+
+    return majority(hashes())
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
