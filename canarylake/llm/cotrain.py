@@ -1,10 +1,11 @@
 """A quality classifier by co-training of a text view and a page-metadata view.
 
-Each view has its own logistic regression.  In every round each view labels
-the rows of an unlabelled pool it is sure of, and the *other* view learns from
-them.  The views' scores are calibrated on held-out labelled rows and added up
-in a last logistic regression.  Training takes at most ``max_train`` labelled and
-``max_pool`` unlabelled documents; every document is scored.
+Each view has its own logistic regression.  In every round each view scores all
+unlabelled documents, and the *other* view learns from those it is sure of: from a draw among them, over all
+documents and anew in each round, of ``draw`` per view and class on average.  The views' scores are calibrated on held-out labelled
+rows and added up in a last logistic regression.  Training takes at most ``max_train`` labelled documents; every document is scored.
+
+Texts are read once: what is kept of them are the places of the chosen features.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bytes, materialize
-from .features import BITS, Chosen, choose, linear_scores, listed, matrix, narrowed, shape_features, word_features
+from .features import BITS, Chosen, choose, listed, shape_features, word_features
 
 TEXT = (word_features, shape_features)
 
@@ -66,14 +67,16 @@ class Sparse:
         return self._sums(g[self.row], self.col_cut)
 
 
-def fit_logistic(x: Sparse, y, weight, theta: np.ndarray, l2: float = 1e-3, rounds: int = 120, rate: float = 0.1) -> np.ndarray:
-    """Weights and, last, the intercept, by Adam on the weighted mean loss, from ``theta`` on."""
+def fit_logistic(x: Sparse, y, weight, theta: np.ndarray, l2: float = 1e-3, rounds: int = 200, rate: float = 0.1, small: float = 1e-3) -> np.ndarray:
+    """Weights and, last, the intercept, by Adam on the weighted mean loss, from ``theta`` on, until no slope is over ``small``."""
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     weight = weight / weight.sum()
     for step in range(1, rounds + 1):
         z = x.dot(theta[:-1]) + theta[-1]
         g = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
         grad = np.append(x.back(g) + l2 * theta[:-1], g.sum())
+        if np.abs(grad).max() < small:
+            break
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return theta
@@ -109,110 +112,204 @@ def _logit_fit(x: np.ndarray, y: np.ndarray, l2: float = 1e-3) -> np.ndarray:
     return w
 
 
-def co_train(text: tuple, meta: tuple, y: np.ndarray, labelled: np.ndarray, widths: tuple[int, int], rounds: int = 3, sure: float = 0.95, share: float = 0.1) -> tuple:
-    """Thetas of both views, and the rows held out for calibration.
+def _places(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, place)`` of packed 16-bit places."""
+    raw = lists.to_pylist()
+    return np.repeat(np.arange(len(raw)), [len(r) // 2 for r in raw]).astype(np.int64), np.frombuffer(b"".join(raw), "<u2").astype(np.int64)
+
+
+def _packed(row: np.ndarray, place: np.ndarray, n: int, width: int) -> pa.Array:
+    """The distinct places of each of n rows, packed."""
+    both = np.unique(row * max(1, width) + place)
+    row, place = both // max(1, width), (both % max(1, width)).astype("<u2")
+    cut = np.searchsorted(row, np.arange(n + 1))
+    return pa.array([place[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())
+
+
+def read_texts(docs: DataFrame, chosen: list[int]) -> DataFrame:
+    """``(doc_id, h, source, lang, n_chars, text)`` for every row: a hash of the row, and the places of the text's chosen features."""
+    table = Chosen(chosen)
+    names = ["doc_id", "h", "source", "lang", "n_chars", "text"]
+
+    def run(batches):
+        for batch in batches:
+            for part in by_bytes(batch, "text"):
+                pairs = [k(part.column("text")) for k in TEXT]
+                row, h = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
+                hit, place = table.find(h)
+                yield pa.record_batch([*(part.column(c) for c in names[:-1]), _packed(row[hit], place, part.num_rows, len(chosen))], names=names)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("h"), *[F.col(c).cast("string").alias(c) for c in ("source", "lang")], F.col("n_chars").cast("long").alias("n_chars"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, h long, source string, lang string, n_chars long, text binary")
+
+
+def _with_meta(read: DataFrame, pages: DataFrame | None) -> DataFrame:
+    """``(doc_id, h, text, meta)`` with hashes of the metadata values; texts were read before, so that only their places are shuffled."""
+    return meta_names(read, pages).select("doc_id", "h", "text", _meta_ids().alias("meta"))
+
+
+def narrow_meta(views: DataFrame, chosen: list[int]) -> DataFrame:
+    """``views`` with the places of chosen metadata values in place of all their hashes."""
+    table = Chosen(chosen)
+
+    def run(batches):
+        for b in batches:
+            ids = b.column("meta")
+            row = np.repeat(np.arange(len(ids)), np.asarray(pa.compute.list_value_length(ids)))
+            hit, place = table.find(np.asarray(ids.flatten(), np.int64))
+            yield pa.record_batch([*(b.column(c) for c in ("doc_id", "h", "text")), _packed(row[hit], place, len(ids), len(chosen))], names=["doc_id", "h", "text", "meta"])
+
+    return views.select("doc_id", "h", "text", "meta").mapInArrow(run, "doc_id long, h long, text binary, meta binary")
+
+
+def _margins(batch: pa.RecordBatch, thetas: list[np.ndarray]) -> list[np.ndarray]:
+    """Both views' log odds for each row."""
+    out = []
+    for name, theta in zip(("text", "meta"), thetas):
+        row, place = _places(batch.column(name))
+        out.append((np.bincount(row, weights=theta[:-1][place], minlength=batch.num_rows) if len(row) else np.zeros(batch.num_rows)) + theta[-1])
+    return out
+
+
+def _sigmoid(z):
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def confident(free: DataFrame, thetas: list[np.ndarray], sure: float, draw: int, salt: int) -> list[tuple]:
+    """Rows ``(view, label, text, meta)`` that a view is sure of: of all of ``free``, about ``draw`` per view and class, as a hash picks them."""
+
+    def sure_of(batch):
+        for view, z in enumerate(_margins(batch, thetas)):
+            p = _sigmoid(z)
+            yield view, 1, np.flatnonzero(p > sure)
+            yield view, 0, np.flatnonzero(p < 1 - sure)
 
-    text, meta: ``(row, column)`` of all rows; y: labels, of use where ``labelled``. A view passes on at most ``share`` of
-    the pool per round and class, its surest rows first, and only those beyond ``sure``.
+    def count(batches):
+        for b in batches:
+            rows = [(v, c, len(at)) for v, c, at in sure_of(b)]
+            yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64()))], names=["view", "label", "n"])
+
+    counts = {(r[0], r[1]): r[2] or 0 for r in free.mapInArrow(count, "view int, label int, n long").groupBy("view", "label").agg(F.sum("n")).collect()}
+    share = {k: min(1.0, draw / n) for k, n in counts.items() if n}
+
+    def pick(batches):
+        for b in batches:
+            x = np.asarray(b.column("h"), np.int64).view(np.uint64)
+            for view, c, at in sure_of(b):
+                key = (x[at] + np.uint64(salt * 4 + view * 2 + c)) * np.uint64(0x9E3779B97F4A7C15)
+                at = at[(key >> np.uint64(33)) < share.get((view, c), 0.0) * 2.0**31]
+                some = b.take(pa.array(at))
+                yield pa.record_batch([pa.array([view] * len(at), pa.int32()), pa.array([c] * len(at), pa.int32()), *(some.column(n) for n in ("h", "text", "meta"))], names=["view", "label", "h", "text", "meta"])
+
+    picked = free.mapInArrow(pick, "view int, label int, h long, text binary, meta binary").dropDuplicates(["view", "label", "h"]).orderBy("view", "label", "h")
+    return [(r.view, r.label, bytes(r.text), bytes(r.meta)) for r in picked.collect()]
+
+
+def _sparse(raw: list[bytes], width: int) -> Sparse:
+    row, place = _places(pa.array(raw, pa.binary()))
+    return Sparse(row.astype(np.int32), place, len(raw), width)
+
+
+def co_train(labelled: tuple[list, list, np.ndarray], free: DataFrame, widths: tuple[int, int], rounds: int = 3, sure: float = 0.95, draw: int = 1500) -> tuple[list[np.ndarray], np.ndarray]:
+    """Thetas of both views, and the rows of ``labelled`` held out for calibration.
+
+    labelled: packed places of the text and the metadata view, and labels. Rows that a view is sure of teach the other at half weight;
+    each round's draw takes the place of the last one's.
     """
-    n = len(y)
-    known = np.flatnonzero(labelled)
-    held = known[np.arange(len(known)) % 4 == 3]
-    fit = np.setdiff1d(known, held)
-    # per view: label and weight of each row; pseudo-labels weigh half
-    labels = [np.where(labelled, y, 0).astype(float) for _ in range(2)]
-    weights = [np.zeros(n) for _ in range(2)]
-    for w in weights:
-        w[fit] = 1.0
+    y = labelled[2]
+    held = np.flatnonzero(np.arange(len(y)) % 4 == 3)
+    fit = np.flatnonzero(np.arange(len(y)) % 4 != 3)
     thetas = [np.zeros(k + 1) for k in widths]
-    views = [Sparse(*rc, n, k) for rc, k in zip((text, meta), widths)]
+    taught: list[list[tuple[bytes, int]]] = [[], []]
     for step in range(rounds + 1):
-        margins = []
-        for i, x in enumerate(views):
-            used = weights[i] > 0
-            w = weights[i].copy()
+        for i in (0, 1):
+            x = _sparse([labelled[i][k] for k in fit] + [r for r, _ in taught[i]], widths[i])
+            goal = np.append(y[fit], [float(c) for _, c in taught[i]])
+            w = np.append(np.ones(len(fit)), np.full(len(taught[i]), 0.5))
             for c in (0, 1):  # both classes weigh the same
-                mask = used & (labels[i] == c)
-                if mask.any():
-                    w[mask] *= 0.5 / w[mask].sum()
-            # later rounds go on from the last one's weights
-            thetas[i] = fit_logistic(x, labels[i], w, thetas[i], rounds=120 if step == 0 else 40)
-            margins.append(x.dot(thetas[i][:-1]) + thetas[i][-1])
+                w[goal == c] *= 0.5 / max(1e-9, w[goal == c].sum())
+            thetas[i] = fit_logistic(x, goal, w, thetas[i])  # from the last round's weights on
         if step == rounds:
             break
-        for i in (0, 1):
-            p = 1 / (1 + np.exp(-np.clip(margins[i], -40, 40)))
-            other = 1 - i
-            free = ~labelled & (weights[other] == 0)
-            for c, order in ((1, np.argsort(-p, kind="stable")), (0, np.argsort(p, kind="stable"))):
-                best = order[free[order]][: int(share * max(1, (~labelled).sum()))]
-                best = best[(p[best] > sure) if c else (p[best] < 1 - sure)]
-                labels[other][best] = c
-                weights[other][best] = 0.5
+        taught = [[], []]
+        for view, c, text, meta in confident(free, thetas, sure, draw, step):
+            taught[1 - view].append(((meta, text)[view], c))
     return thetas, held
 
 
-def train(docs: DataFrame, labels: DataFrame, pages: DataFrame | None = None, max_train: int = 20_000, max_pool: int = 10_000, max_features: int = 4096, rounds: int = 3) -> CoModel:
-    """Co-train on samples picked by a hash of the ids. Null labels count as none; of several the lowest counts."""
-    y = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min(F.col("quality").cast("int")).alias("y"))
-    order = [F.xxhash64("doc_id"), "doc_id"]
+def _labels(labels: DataFrame) -> DataFrame:
+    return labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min(F.col("quality").cast("int")).alias("y"))
+
+
+_NOTHING = (0.0, 0.0, 0.0)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, pages: DataFrame | None, max_train: int, max_features: int, least_meta: int, rounds: int, draw: int) -> tuple[CoModel, DataFrame]:
+    """The model, and the views of all documents."""
+    if max_features > 1 << 16:
+        raise ValueError("places have 16 bits")
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    known = every.join(y, F.col("doc_id") == F.col("label_id")).select("doc_id", "y").orderBy(*order).limit(max_train)
-    pool = every.join(y, F.col("doc_id") == F.col("label_id"), "left_anti").select("doc_id", F.lit(None).cast("int").alias("y")).orderBy(*order).limit(max_pool)
-    # at most max_train + max_pool ids are sent to the texts, which are not shuffled
-    ids = F.broadcast(materialize(known.unionByName(pool), "cotrain_ids").select(F.col("doc_id").alias("d"), "y"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "source", "lang", "n_chars").join(ids, F.col("doc_id") == F.col("d")).drop("d")
-    picked = materialize(meta_names(texts, pages).select("doc_id", "text", "meta", "y").dropDuplicates(["doc_id"]), "cotrain")
-    keyed = picked.select(F.col("doc_id").alias("d"), "y", _meta_ids().alias("meta"))
-    sample = materialize(listed(picked, TEXT).join(keyed, F.col("doc_id") == F.col("d")).select("doc_id", "features", "meta", "y"), "sample")
-    marked = sample.where("y is not null").withColumn("y", 1 - F.col("y"))
-    chosen = choose(marked, max_features)
-    chosen_meta = [r[0] for r in sample.select(F.explode("meta").alias("f")).groupBy("f").count().where("count >= 20").orderBy(F.desc("count"), "f").limit(max_features).select("f").collect()]
-    data = narrowed(sample, {"features": Chosen(chosen), "meta": Chosen(chosen_meta)}, "y", "doc_id").orderBy("doc_id").toPandas()
-    labelled = data["y"].notna().to_numpy() if len(data) else np.zeros(0, bool)
-    target = data["y"].fillna(0).to_numpy().astype(float) if len(data) else np.zeros(0)
-    if labelled.sum() < 8 or len(np.unique(target[labelled])) < 2:
-        return CoModel(View([], np.zeros(1)), View([], np.zeros(1)), (0.0, 0.0, 0.0))
-    text, meta = matrix(data["features"].tolist()), matrix(data["meta"].tolist())
-    del data["features"], data["meta"]
-    thetas, held = co_train(text, meta, target, labelled, (len(chosen), len(chosen_meta)), rounds)
-    views = []
-    for (row, col), theta, names in ((text, thetas[0], chosen), (meta, thetas[1], chosen_meta)):
-        z = np.bincount(row, weights=theta[:-1][col], minlength=len(data)) + theta[-1] if len(row) else np.full(len(data), theta[-1])
-        scale, shift = _logit_fit(z[held], target[held])
-        views.append((View(names, theta, float(scale), float(shift)), (z * scale + shift)[held]))
-    joint = _logit_fit(np.column_stack([views[0][1], views[1][1]]), target[held])
-    return CoModel(views[0][0], views[1][0], tuple(map(float, joint)))
+    known = every.join(_labels(labels), F.col("doc_id") == F.col("label_id")).select(F.col("doc_id").alias("d"), "y").orderBy(F.xxhash64("d"), "d").limit(max_train)
+    # at most max_train ids are sent to the texts, which are not shuffled
+    ids = F.broadcast(materialize(known, "cotrain_ids"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(ids, F.col("doc_id") == F.col("d"))
+    sample = materialize(listed(texts.select("doc_id", "text"), TEXT).join(ids, F.col("doc_id") == F.col("d")).select("features", (1 - F.col("y")).alias("y")), "sample")
+    chosen = choose(sample, max_features)
+    views = materialize(_with_meta(materialize(read_texts(docs, chosen), "read"), pages), "views")
+    often = views.select(F.explode("meta").alias("f")).groupBy("f").count().where(F.col("count") >= least_meta)
+    chosen_meta = [r[0] for r in often.orderBy(F.desc("count"), "f").limit(max_features).select("f").collect()]
+    views = materialize(narrow_meta(views, chosen_meta), "narrow")
+    mine = views.join(ids, F.col("doc_id") == F.col("d")).groupBy("doc_id").agg(F.min(F.struct("h", "text", "meta", "y")).alias("r"))
+    data = mine.select("r.*", F.xxhash64("doc_id").alias("o")).orderBy("o", "h").toPandas()
+    y = data["y"].to_numpy(float) if len(data) else np.zeros(0)
+    if len(y) < 8 or len(np.unique(y)) < 2:
+        return CoModel(View(chosen, np.zeros(len(chosen) + 1)), View(chosen_meta, np.zeros(len(chosen_meta) + 1)), _NOTHING), views
+    raw = [[bytes(v) for v in data[c]] for c in ("text", "meta")]
+    # documents with a label that were not drawn take no part as unlabelled ones
+    free = views.join(_labels(labels).select("label_id"), F.col("doc_id") == F.col("label_id"), "left_anti")
+    widths = (len(chosen), len(chosen_meta))
+    thetas, held = co_train((raw[0], raw[1], y), free, widths, rounds, draw=draw)
+    out = []
+    for places, theta, names, k in zip(raw, thetas, (chosen, chosen_meta), widths):
+        z = _sparse([places[i] for i in held], k).dot(theta[:-1]) + theta[-1]
+        scale, shift = _logit_fit(z[:, None], y[held])
+        out.append((View(names, theta, float(scale), float(shift)), z * scale + shift))
+    joint = _logit_fit(np.column_stack([out[0][1], out[1][1]]), y[held])
+    return CoModel(out[0][0], out[1][0], tuple(map(float, joint))), views
+
+
+def train(docs: DataFrame, labels: DataFrame, pages: DataFrame | None = None, max_train: int = 10_000, max_features: int = 4096, least_meta: int = 20, rounds: int = 3, draw: int = 1500) -> CoModel:
+    """Co-train on at most ``max_train`` labelled documents, picked by a hash of their ids, and on all others without labels.
+
+    Null labels, and labels of null ids, count as none; of several for a document the lowest counts, and of rows that repeat an id one is learnt from.
+    With under 8 labelled documents, or labels of one kind only, the model scores every document a half and so keeps it. Text features
+    are the ``max_features`` most telling of the labelled sample; metadata values are the most frequent ones of all documents, of those with
+    ``least_meta`` or more. ``draw``: pseudo-labels per round, view and class on average. Columns beside doc_id, text, source, lang and n_chars are not read.
+    """
+    return _fit(docs, labels, pages, max_train, max_features, least_meta, rounds, draw)[0]
+
+
+def _scored(views: DataFrame, model: CoModel) -> DataFrame:
+    def run(batches):
+        for part in batches:
+            t, m = (z * v.scale + v.shift for z, v in zip(_margins(part, [model.text.theta, model.meta.theta]), (model.text, model.meta)))
+            p = _sigmoid(model.joint[0] * t + model.joint[1] * m + model.joint[2])
+            yield pa.record_batch([part.column("doc_id"), pa.array(_sigmoid(t)), pa.array(_sigmoid(m)), pa.array(p), pa.array(p >= 0.5)], names=["doc_id", "text_score", "meta_score", "score", "keep"])
+
+    return views.mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, keep boolean")
 
 
 def score(docs: DataFrame, model: CoModel, pages: DataFrame | None = None) -> DataFrame:
     """``(doc_id, text_score, meta_score, score, keep)`` for every row.
 
     Scores are probabilities of good quality: each view's calibrated one, and the joint one; ``keep`` is whether the
-    joint one is at least a half. Null and empty texts are scored as texts without words.
+    joint one is at least a half. Null and empty texts are scored as texts without words, null ids as documents without a page. Rows that repeat are scored alike.
     """
-    t_table, m_table = Chosen(model.text.chosen), Chosen(model.meta.chosen)
-
-    def sigmoid(z):
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    return _scored(narrow_meta(_with_meta(read_texts(docs, model.text.chosen), pages), model.meta.chosen), model)
 
-    def score_text(batches):
-        for batch in batches:
-            for part in by_bytes(batch, "text"):
-                t = linear_scores(part.column("text"), TEXT, t_table, model.text.theta[:-1]) + model.text.theta[-1]
-                yield pa.record_batch([*(part.column(c) for c in ("doc_id", "source", "lang", "n_chars")), pa.array(t)], names=["doc_id", "source", "lang", "n_chars", "t"])
 
-    def score_both(batches):
-        for part in batches:
-            t, ids = np.asarray(part.column("t"), np.float64), part.column("meta")
-            row = np.repeat(np.arange(len(ids)), np.asarray(pa.compute.list_value_length(ids)))
-            hit, col = m_table.find(np.asarray(ids.flatten(), np.int64))
-            m = (np.bincount(row[hit], weights=model.meta.theta[:-1][col], minlength=len(ids)) if len(hit) else np.zeros(len(ids))) + model.meta.theta[-1]
-            t, m = t * model.text.scale + model.text.shift, m * model.meta.scale + model.meta.shift
-            p = sigmoid(model.joint[0] * t + model.joint[1] * m + model.joint[2])
-            yield pa.record_batch([part.column("doc_id"), pa.array(sigmoid(t)), pa.array(sigmoid(m)), pa.array(p), pa.array(p >= 0.5)], names=["doc_id", "text_score", "meta_score", "score", "keep"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars"))
-    # texts are read first, so that only their scores are joined with the pages
-    read = rows.mapInArrow(score_text, "doc_id long, source string, lang string, n_chars long, t double")
-    return meta_names(read, pages).select("doc_id", "t", _meta_ids().alias("meta")).mapInArrow(score_both, "doc_id long, text_score double, meta_score double, score double, keep boolean")
+def classify(docs: DataFrame, labels: DataFrame, pages: DataFrame | None = None, **options) -> DataFrame:
+    """:func:`train` on documents and :func:`score` of the same ones; texts are read once for both."""
+    defaults = dict(max_train=10_000, max_features=4096, least_meta=20, rounds=3, draw=1500)
+    model, views = _fit(docs, labels, pages, **{**defaults, **options})
+    return _scored(views, model)

@@ -78,7 +78,7 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_cotrain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages").select("url")
-    return cotrain.score(docs, cotrain.train(docs, table(spark, sf_dir, "labels"), pages), pages)
+    return cotrain.classify(docs, table(spark, sf_dir, "labels"), pages)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
