@@ -91,31 +91,55 @@ def _ids(column) -> np.ndarray:
 _ASKED = ("h", "h2", "doc", "tag", "pos")
 _ASKED_LOW = ("low", "doc", "pos")
 _TOLD = ("doc", "tag", "pos")
+#: Packed bytes of known positions that are passed on together.
+_TOLD_BYTES = 4 << 20
 _DEAL = "bucket int, kind int, entries binary"
 
 
 class _Deal:
-    """Rows ``(bucket, kind, entries)`` in the making: kind 0 asks a bucket about hashes, kind 1 tells what is known."""
+    """Rows ``(bucket, kind, entries)`` in the making: kind 0 asks a bucket about hashes, kind 1 tells what is known.
+
+    Entries gather over many parts of text before they are dealt, so that what a bucket gets at a time does not shrink much as buckets grow in number.
+    """
+
+    MANY = 1 << 20
 
     def __init__(self, buckets: int):
         self.n = buckets
-        self.rows: list[tuple] = []
+        self.asked: list[dict] = []
+        self.told: list[dict] = []
+        self.size = 0
 
     def ask(self, h, **cols) -> None:
         """Entries whose other occurrences may be elsewhere, by their hash."""
-        bucket = (h >> np.uint64(40)).astype(np.int64) % self.n
-        hashes = {"h": h} if "h2" in cols else {"low": h}
-        self.rows += [(i, 0, x) for i, x in _dealt(bucket, self.n, {**hashes, **cols})]
+        self.asked.append({"h": h, **cols})
+        self.size += len(h)
 
     def tell(self, doc, tag, pos) -> None:
         """Positions that are known already."""
         if len(doc):
-            self.rows.append((int(doc[0] % self.n), 1, _squeeze({"doc": doc, "tag": tag, "pos": pos})))
+            self.told.append({"doc": doc, "tag": tag, "pos": pos})
+            self.size += len(doc)
+
+    @property
+    def full(self) -> bool:
+        return self.size >= self.MANY
 
     def batch(self) -> pa.RecordBatch:
-        cols = list(zip(*self.rows)) or [[]] * 3
-        self.rows = []
-        return pa.record_batch([pa.array(list(c), k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "kind", "entries"])
+        """What has gathered, which is then forgotten."""
+        rows: list[tuple] = []
+        if self.asked:
+            cols = {c: np.concatenate([x[c] for x in self.asked]) for c in self.asked[0]}
+            bucket = (cols["h"] >> np.uint64(40)).astype(np.int64) % self.n
+            if "h2" not in cols:
+                cols = {"low": cols.pop("h"), **cols}
+            rows += [(i, 0, x) for i, x in _dealt(bucket, self.n, cols)]
+        if self.told:
+            cols = {c: np.concatenate([x[c] for x in self.told]) for c in ("doc", "tag", "pos")}
+            rows.append((int(cols["doc"][0] % self.n), 1, _squeeze(cols)))
+        self.asked, self.told, self.size = [], [], 0
+        out = list(zip(*rows)) or [[]] * 3
+        return pa.record_batch([pa.array(list(c), k) for c, k in zip(out, (pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "kind", "entries"])
 
 
 def _anchors(batch: pa.RecordBatch, deal: _Deal, size: int) -> None:
@@ -224,8 +248,13 @@ def _rows(out: list) -> pa.Table:
 def _answered(table: pa.Table, groups: int, out: list, names: tuple) -> list[np.ndarray]:
     """Pass on what is known; the bucket's questions are returned."""
     blobs = {k: table.filter(pa.compute.equal(table["kind"], k))["entries"].to_pylist() for k in (0, 1)}
-    for blob in blobs[1]:
-        _emit(out, groups, *_unsqueeze([blob], _TOLD))
+    some, size = [], 0
+    for i, blob in enumerate(blobs[1]):
+        some.append(blob)
+        size += len(blob)
+        if size > _TOLD_BYTES or i == len(blobs[1]) - 1:
+            _emit(out, groups, *_unsqueeze(some, _TOLD))
+            some, size = [], 0
     return _unsqueeze(blobs[0], names)
 
 
@@ -242,7 +271,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Remove each word that a window covers whose word sequence also starts earlier.
 
     Earlier means in a smaller doc_id, or in the same document at an earlier word. Windows are
-    judged on the input. Returns ``id_col``, ``text_col`` with the kept words joined by one space
+    judged on the input. Windows are held to be equal where two hashes of 96 bits together are. Returns ``id_col``, ``text_col`` with the kept words joined by one space
     (where nothing was removed the text stays as it is, unless ``join_all``), ``n_words``,
     ``n_removed`` and the columns in ``carry``; other columns are not read. Null texts have no words
     and stay null unless ``join_all``; a null doc_id comes after all others. Rows that repeat both
@@ -278,11 +307,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.record_batch([pa.array([i], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["g", "docs"])
 
     def hash_anchors(batches):
+        deal = _Deal(n)
         for batch in batches:
             for part in by_bytes(batch, "text", 2 * _PART):
-                deal = _Deal(n)
                 _anchors(part, deal, anchor)
-                yield deal.batch()
+                if deal.full:
+                    yield deal.batch()
+        yield deal.batch()
 
     def repeated(table: pa.Table) -> pa.Table:
         out: list = []
