@@ -1,9 +1,10 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Every source's documents, end to end, are cut into blocks of ``block_words``
-words.  The mix is a row of slots, dealt to output shards: a pseudorandom
-permutation of all slots gives each shard its source counts, which is a
-multinomial draw on the condition that every source's total meets its target.
+words.  The mix is a row of slots, dealt to output shards of equal size.  Every shard draws its source
+counts from a multinomial with the targets as weights: each of its slots draws a source for itself.
+Counts are then corrected so that every source's total is the one that meets its target: of a source drawn too often the
+slots beyond its total, in an order by hash, are given to the sources drawn too seldom, as a permutation deals them.
 A source's k-th slot takes the block at place ``k mod n`` of a pseudorandom
 permutation of its n blocks, a new one for each pass, so no block is taken
 again before all others were; slots and blocks are joined by that index.
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, materialize
 
-#: Rounds of the swap-or-not shuffle, and slots that one row stands for before they are made.
-ROUNDS, PIECE = 18, 8192
+#: Rounds of the swap-or-not shuffle; slots of a range that meet in a join; rows that are numbered in one task.
+ROUNDS, PIECE, CHUNK = 18, 8192, 4096
 
 
 def permute(x, n, *key):
@@ -54,9 +55,68 @@ def source_targets(sized: DataFrame, most: float = 3.0) -> DataFrame:
     return per.select("source", "source_size", "weight", F.when(open_, F.col("weight") * F.col("water.level")).otherwise(F.col("cap")).alias("target"))
 
 
+def numbered(rows: DataFrame, by: list[str], n: str, name: str, order: str) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``n`` over the rows of the same ``by`` that come before.
+
+    The order is by a chunk of the hash of ``order`` first, and by ``order`` in it, so that no ``by`` is sorted in one task.
+    """
+    chunks = max(1, -(-rows.agg(F.count_distinct(order)).first()[0] // CHUNK))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64(F.col(order), *by), F.lit(chunks)))
+    inside = Window.partitionBy(*by, "chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = rows.groupBy(*by, "chunk").agg(F.sum(n).alias("sum"))
+    # a row per chunk: a small part of the rows
+    base = sums.select(*by, "chunk", (F.sum("sum").over(Window.partitionBy(*by).orderBy("chunk")) - F.col("sum")).alias("base"))
+    placed = rows.withColumn(name, F.sum(n).over(inside) - F.col(n)).join(base, [*by, "chunk"])
+    return placed.withColumn(name, F.col(name) + F.col("base")).drop("chunk", "base")
+
+
+def cut_ranges(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``lo`` and ``hi``, once for each ``piece`` of ``PIECE`` numbers that the range meets."""
+    return rows.where("hi > lo").withColumn("piece", F.explode(F.sequence((F.col("lo") / PIECE).cast("long"), ((F.col("hi") - 1) / PIECE).cast("long"))))
+
+
+def ranges(plan: DataFrame, n: str) -> DataFrame:
+    """``(s, lo, hi, piece)``: the sources' shares of 0..sum(n) end to end."""
+    lo = F.coalesce(F.sum(n).over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return materialize(cut_ranges(plan.select("s", lo.alias("lo"), (lo + F.col(n)).alias("hi"))), "ranges")
+
+
+def hits(numbers: DataFrame, cut: DataFrame, by: list[str]) -> DataFrame:
+    """``numbers`` with a column ``r``, each with the one row of ``cut`` whose range holds it."""
+    return numbers.withColumn("piece", (F.col("r") / PIECE).cast("long")).join(cut, [*by, "piece"]).where("r >= lo and r < hi")
+
+
+def multinomial(plan: DataFrame, shard_slots: int, seed: int) -> DataFrame:
+    """``(shard, s, n)``: source counts of every shard, drawn and corrected to the totals ``k`` of ``plan(s, k)``."""
+    total = plan.agg(F.sum("k")).first()[0] or 0
+    spark = plan.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total >> 20)
+    slot = spark.range(0, total, 1, tasks).select((F.col("id") / shard_slots).cast("long").alias("shard"), F.pmod(F.xxhash64("id", F.lit(seed), F.lit("draw")), F.lit(max(1, total))).alias("r"))
+    count = F.count(F.lit(1)).alias("n")
+    drawn = materialize(hits(slot, ranges(plan, "k"), []).groupBy("shard", "s").agg(count), "drawn")
+    sums = plan.select("s", "k").join(drawn.groupBy("s").agg(F.sum("n").alias("drawn")), "s", "left").select("s", "k", F.coalesce("drawn", F.lit(0)).alias("drawn"))
+    sums = materialize(sums, "sums")
+    # the slots that a source has too many, anywhere among its slots
+    many = sums.where("drawn > k").withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("drawn") - F.col("k") - 1)))
+    places = cut_ranges(numbered(drawn, ["s"], "n", "lo", "shard").withColumn("hi", F.col("lo") + F.col("n")).select("shard", "s", "lo", "hi"))
+    gone = materialize(hits(many.select("s", permute(F.col("j"), F.col("drawn"), F.lit(seed), F.col("s")).alias("r")), places, ["s"]).groupBy("shard", "s").agg(count), "gone")
+    out = drawn.unionByName(gone.withColumn("n", -F.col("n")))
+    free = gone.groupBy("shard").agg(F.sum("n").alias("free")).withColumn("all", F.lit(1))
+    over = free.agg(F.sum("free")).first()[0] or 0
+    if over:
+        place = numbered(free, ["all"], "free", "at", "shard").withColumn("j", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("free") - 1)))
+        x = place.select("shard", permute(F.col("j"), F.lit(over).cast("long"), F.lit(seed), F.lit("more")).alias("r"))
+        few = sums.select("s", F.greatest(F.lit(0).cast("long"), F.col("k") - F.col("drawn")).alias("more"))
+        out = out.unionByName(hits(x, ranges(few, "more"), []).groupBy("shard", "s").agg(count))
+    return materialize(out.groupBy("shard", "s").agg(F.sum("n").alias("n")).where("n > 0"), "counts")
+
+
 class Mix:
     """The parts of a mix, as DataFrames.
 
+    Null ids, texts and sources are values of their own; texts that are null or have no words are of size 0 and are never taken;
+    rows that repeat a doc_id and a text count each; ties of all orders are broken by hashes; an empty table gives empty parts; other columns are not read.
+
     sized: ``(doc_id, source, text_key, size)`` for every row; sources: see :func:`source_targets`;
     spans: ``(source, block, doc_id, text_key, skip, words)``, the words of documents in blocks;
     slots: ``(shard, slot, source, block)``, the mix itself.
@@ -87,18 +147,18 @@ class Mix:
         # a source of n blocks has a slot for each n-th part of its size, and at most `most` for each block
         blocks = F.ceil(F.col("source_size") / width)
         plan = self.sources.where("source_size > 0").withColumn("n", blocks).withColumn("k", F.least(F.round(F.col("target") * F.col("n") / F.col("source_size")), F.col("n") * most).cast("long"))
-        all_slots = F.sum("k").over(Window.partitionBy())
-        ahead_k = F.sum("k").over(Window.orderBy(F.col("source").asc_nulls_last())) - F.col("k")
-        plan = plan.withColumn("all", all_slots).withColumn("ahead", ahead_k).where("k > 0")
-        # in pieces first, so that a large source's slots are made by many tasks; a given number, as the few rows would be put together again
-        tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        piece = plan.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1, F.lit(PIECE).cast("long")))).repartition(tasks, F.col("source"), F.col("from"))
-        each = piece.withColumn("i", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + (PIECE - 1), F.col("k") - 1))))
-        turn = (F.col("i") / F.col("n")).cast("long")
-        slot = permute(F.col("ahead") + F.col("i"), F.col("all"), F.lit(seed))
+        plan = materialize(plan.where("k > 0").withColumn("s", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))), "plan")
+        counts = multinomial(plan.select("s", "k"), shard_slots, seed)
+        first = numbered(counts, ["s"], "n", "i", "shard").withColumnRenamed("n", "slots")
+        ahead = F.sum("slots").over(Window.partitionBy("shard").orderBy("s")) - F.col("slots")
+        first = first.withColumn("place", ahead).withColumn("size", F.sum("slots").over(Window.partitionBy("shard")))
+        named = plan.select("s", "source", "n")
+        met = first.join(F.broadcast(named) if plan.count() < 100_000 else named, "s")
+        each = met.withColumn("e", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)))
+        i = F.col("i") + F.col("e")
         self.slots = each.select(
-            (slot / shard_slots).cast("long").alias("shard"), slot.alias("slot"), "source",
-            permute(F.col("i") % F.col("n"), F.col("n"), F.lit(seed), F.coalesce(F.xxhash64("source"), F.lit(0)), turn).alias("block"),
+            "shard", (F.col("shard") * shard_slots + permute(F.col("place") + F.col("e"), F.col("size"), F.lit(seed), F.col("shard"))).alias("slot"), "source",
+            permute(i % F.col("n"), F.col("n"), F.lit(seed), F.coalesce(F.xxhash64("source"), F.lit(0)), (i / F.col("n")).cast("long")).alias("block"),
         )
 
     def shard_counts(self) -> DataFrame:

@@ -380,6 +380,21 @@ def test_mixing_meets_its_targets(docs, none):
     assert mixing.Mix(none).taken().count() == 0
 
 
+def test_shards_draw_multinomial_counts(spark):
+    k = {1: 20_000, 2: 9_000, 3: 700, 4: 300}
+    plan = spark.createDataFrame(list(k.items()), "s int, k long")
+    rows = mixing.multinomial(plan, 500, 17).collect()
+    per, total = defaultdict(Counter), Counter()
+    for r in rows:
+        per[r.shard][r.s] += r.n
+        total[r.s] += r.n
+    assert dict(total) == k and len(per) == 60 and all(sum(c.values()) == 500 for c in per.values())
+    for s, n in k.items():
+        p = n / 30_000
+        spread = np.array([per[d][s] for d in per]).var() / (500 * p * (1 - p))
+        assert 0.5 < spread < 1.7, "as wide as a multinomial's"
+
+
 def test_mixed_documents_hold_what_is_taken(docs):
     unique = docs.dropDuplicates(["doc_id", "text"])
     taken = {(r.doc_id, r.size): r.taken for r in mixing.Mix(unique, block_words=16).taken().collect()}
