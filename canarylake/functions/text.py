@@ -27,14 +27,14 @@ def spans(text: Column, pattern: str | Column) -> Column:
     """
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     hits = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.struct(h.alias("hit"), F.length(g).alias("gap")))
+    pairs = F.arrays_zip(hits.alias("hit"), F.split(text, pattern, -1).alias("gap"))  # the last gap has no hit
     first = F.struct(F.lit(0).alias("pos"), F.array().cast(SPANS).alias("out"))
 
     def step(a, p):
-        start = a["pos"] + p["gap"]
+        start = a["pos"] + F.length(p["gap"])
         end = start + F.length(p["hit"])
-        return F.struct(end.alias("pos"), F.concat(a["out"], F.array(F.struct(start.alias("start"), end.alias("end"), p["hit"].alias("hit")))).alias("out"))
+        found = F.struct(end.alias("pos"), F.concat(a["out"], F.array(F.struct(start.alias("start"), end.alias("end"), p["hit"].alias("hit")))).alias("out"))
+        return F.when(p["hit"].isNull(), a).otherwise(found)
 
     return F.aggregate(pairs, first, step)["out"]
 
@@ -54,8 +54,9 @@ def splice(text: Column, edits: Column) -> Column:
 
 
 LOWER = "abcdefghijklmnopqrstuvwxyz"
-#: The letters' digit spellings.
-LEET_FROM, LEET_TO = "013457" + "8", "oieast" + "b"
+#: Digits and the letters they stand for.
+LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b"}
+LEET_FROM, LEET_TO = "".join(LEET), "".join(LEET.values())
 
 
 def rot(text: Column, shift: int) -> Column:

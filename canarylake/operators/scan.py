@@ -2,35 +2,68 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.formats import AFTER, BEFORE, DIGITS, FORMATS, LOWER, UPPER, github_checksum, is_valid
+from ..functions.formats import AFTER, BEFORE, CHECKSUM, DIGITS, FORMATS, LOWER, UPPER, github_checksum, is_valid
 from ..functions.text import entropy, spans, splice
 
 FINDING = "array<struct<format:string,start:int,end:int,confidence:string>>"
 UNKNOWN = "unknown-token"
+#: What an unknown token looks like.
 _UNKNOWN_PATTERN = BEFORE + r"[A-Za-z0-9][A-Za-z0-9._~+/\-]{23,}={0,2}" + AFTER
+#: Runs of the characters that tokens and what may not stand beside them consist of, and such runs within them that a
+#: token can only begin. But for formats with other characters, a token lies in one run, and there it matches as it does in the text.
+_RUN, _HEAD = r"(?<![A-Za-z0-9._~+/=\-])[A-Za-z0-9._~+/=\-]{20,}", BEFORE + r"[A-Za-z0-9_./+\-]{20,}"
 
 
 def _finding(fmt: str, confidence: str):
     return lambda s: F.struct(F.lit(fmt).alias("format"), s["start"].alias("start"), s["end"].alias("end"), F.lit(confidence).alias("confidence"))
 
 
-def _hit_is(fmt):
-    return lambda s: is_valid(s["hit"], fmt)
+def _parts() -> tuple[list, list]:
+    """Scannable formats that lie in a run, and the others."""
+    every = [f for f in FORMATS if f.scannable]
+    loose = [f for f in every if any(isinstance(s, str) and s is not CHECKSUM and re.search(r"[^A-Za-z0-9_./+-]", s) for s in f.segments)]
+    return [f for f in every if f not in loose], loose
 
 
-def registered_findings(text: Column) -> Column:
-    """Findings of the scannable formats, format by format. A text without a format's prefix skips its pattern."""
-    out = []
-    for f in (f for f in FORMATS if f.scannable):
-        found = spans(text, BEFORE + f.pattern + AFTER)
+def _at_head(head: Column, formats) -> Column:
+    """Findings of ``formats`` at the start of a run, where alone they can be; ``head`` is a span."""
+
+    def one(f):
+        hit = head["hit"].rlike("^(?:" + f.pattern + ")" + AFTER)
         if f.checksummed:
-            found = F.filter(found, _hit_is(f))
-        guard = text.contains(f.prefix or ".")
-        out.append(F.when(guard, F.transform(found, _finding(f.slug, "high" if f.checksummed else "medium"))).otherwise(F.array().cast(FINDING)))
-    return F.coalesce(F.concat(*out), F.array().cast(FINDING))
+            hit = hit & is_valid(F.substring(head["hit"], 1, f.length), f)
+        return F.when(hit, F.struct(F.lit(f.slug).alias("format"), head["start"].alias("start"), (head["start"] + f.length).alias("end"), F.lit("high" if f.checksummed else "medium").alias("confidence")))
+
+    return F.array_compact(F.array(*[one(f) for f in formats])).cast(FINDING)
+
+
+def _tight(run: Column) -> Column:
+    formats, _ = _parts()
+    return F.flatten(F.transform(spans(run, _HEAD), lambda h: _at_head(h, formats)))
+
+
+def _loose(text: Column) -> list[Column]:
+    """Findings of each of the formats that do not lie in a run; a text without the prefix skips the pattern."""
+    return [F.when(text.contains(f.prefix), F.transform(spans(text, BEFORE + f.pattern + AFTER), _finding(f.slug, "medium"))).otherwise(F.array().cast(FINDING)) for f in _parts()[1]]
+
+
+def _in_runs(text: Column, find) -> Column:
+    """What ``find`` finds in the runs of a text, at its places in the text."""
+
+    def moved(run):
+        return F.transform(find(run["hit"]), lambda f: F.struct(f["format"].alias("format"), (run["start"] + f["start"]).alias("start"), (run["start"] + f["end"]).alias("end"), f["confidence"].alias("confidence")))
+
+    return F.flatten(F.transform(spans(text, _RUN), moved))
+
+
+def registered_findings(text: Column) -> Column:
+    """Findings of the scannable formats, run by run; within a run format by format."""
+    return F.coalesce(F.concat(_in_runs(text, _tight), *_loose(text)), F.array().cast(FINDING))
 
 
 def prefix_length(token: Column) -> Column:
@@ -49,10 +82,13 @@ def is_secret_like(token: Column) -> Column:
     return (n >= 24) & F.when(prefixed, bits >= 3.0).otherwise((n >= 32) & (classes >= 2) & (bits >= 3.3))
 
 
+def _unknown(run: Column) -> Column:
+    return F.transform(F.filter(spans(run, _UNKNOWN_PATTERN), lambda s: is_secret_like(s["hit"])), _finding(UNKNOWN, "low"))
+
+
 def unknown_findings(text: Column) -> Column:
     """Findings of token-like strings of no registered format."""
-    found = F.transform(F.filter(spans(text, _UNKNOWN_PATTERN), lambda s: is_secret_like(s["hit"])), _finding(UNKNOWN, "low"))
-    return F.coalesce(F.when(text.rlike(r"[A-Za-z0-9._~+/\-]{24}"), found), F.array().cast(FINDING))
+    return F.coalesce(_in_runs(text, _unknown), F.array().cast(FINDING))
 
 
 def resolve_overlaps(findings: Column) -> Column:
@@ -68,7 +104,8 @@ def resolve_overlaps(findings: Column) -> Column:
 
 def findings(text: Column) -> Column:
     """All findings of a text, without the matched text."""
-    return resolve_overlaps(F.concat(registered_findings(text), unknown_findings(text)))
+    in_runs = _in_runs(text, lambda run: F.concat(_tight(run), _unknown(run)))
+    return resolve_overlaps(F.coalesce(F.concat(in_runs, *_loose(text)), F.array().cast(FINDING)))
 
 
 def _long(df: DataFrame, id_col: str, found: Column) -> DataFrame:
@@ -103,28 +140,35 @@ def _pick(alphabet: str, *key) -> Column:
     return F.substring(F.lit(alphabet), (F.pmod(F.xxhash64(*key), F.lit(len(alphabet))) + 1).cast("int"), F.lit(1))
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _mask(fmt) -> str:
+    """1 for each character of a format that is always the same, 0 for the others."""
+    return "".join("0" * 6 if s is CHECKSUM else "1" * len(s) if isinstance(s, str) else "0" * s[1] for s in fmt.segments)
+
+
 def decoy(original: Column, fmt: Column, key: Column) -> Column:
     """A fake of the same shape: letters and digits of a token's variable parts drawn anew by hash, checksums recomputed.
 
-    Fixed prefixes of registered formats and visible prefixes and separators of unknown tokens stay.
+    Fixed parts of registered formats and visible prefixes and separators of unknown tokens stay.
     """
-    n = F.when(fmt == UNKNOWN, prefix_length(F.rtrim(original, F.lit("="))))
-    tail = F.when(fmt == UNKNOWN, 0)
-    for f in FORMATS:
-        end = len(f.segments[-1]) if isinstance(f.segments[-1], str) and f.segments[-1] != "<crc32-base62>" else 0
-        n, tail = F.when(fmt == f.slug, len(f.prefix)).otherwise(n), F.when(fmt == f.slug, end).otherwise(tail)
-    chars = F.filter(F.split(original, ""), lambda c: c != "")
-
-    def draw(c, i):
-        fixed = (i < n) | (i >= F.length(original) - tail)
-        hexed = F.when(fmt.isin("twilio-account-sid", "twilio-api-key-sid") & c.rlike("[a-f]"), _pick("abcdef", key, i))
-        new = F.when(c.rlike("[a-z]"), _pick(LOWER, key, i)).when(c.rlike("[A-Z]"), _pick(UPPER, key, i)).when(c.rlike("[0-9]"), _pick(DIGITS, key, i)).otherwise(c)
-        keep = fmt.isin("slack-webhook-url") & (F.length(F.regexp_extract(original, r"^.*?/T[A-Z0-9]{10}/B", 0)) - 3 < i) & (i < F.length(F.regexp_extract(original, r"^.*?/T[A-Z0-9]{10}/B", 0)))
-        return F.when(fixed | keep, c).otherwise(F.coalesce(hexed, new))
-
-    out = F.array_join(F.transform(chars, draw), "")
+    masks = F.create_map(*[F.lit(x) for f in FORMATS for x in (f.slug, _mask(f))])
+    mask = F.when(fmt == UNKNOWN, F.repeat(F.lit("1"), prefix_length(F.rtrim(original, F.lit("="))))).otherwise(F.coalesce(F.element_at(masks, fmt), F.lit("")))
+    known = F.struct(mask.alias("mask"), fmt.isin("twilio-account-sid", "twilio-api-key-sid").alias("hex"), key.alias("key"))
+
+    def drawn(p):
+        def draw(c, i):
+            lower = F.when(p["hex"], _pick("abcdef", p["key"], i)).otherwise(_pick(LOWER, p["key"], i))
+            new = F.when(c.between("a", "z"), lower).when(c.between("A", "Z"), _pick(UPPER, p["key"], i)).when(c.between("0", "9"), _pick(DIGITS, p["key"], i)).otherwise(c)
+            return F.when(F.substring(p["mask"], i + 1, F.lit(1)) == "1", c).otherwise(new)
+
+        return F.array_join(F.transform(F.filter(F.split(original, ""), lambda c: c != ""), draw), "")
+
     summed = [f.slug for f in FORMATS if f.checksummed]
-    return F.when(fmt.isin(*summed), F.concat(F.substring(out, 1, 34), github_checksum(F.substring(out, 5, 30)))).otherwise(out)
+    return _let(_let(known, drawn), lambda out: F.when(fmt.isin(*summed), F.concat(F.substring(out, 1, 34), github_checksum(F.substring(out, 5, 30)))).otherwise(out))
 
 
 def auto_decoy(df: DataFrame, seed: int = 0, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -136,9 +180,10 @@ def auto_decoy(df: DataFrame, seed: int = 0, text_col: str = "text", id_col: str
     found = df.withColumn("findings", findings(text))
 
     def edit(f):
-        original = F.substring(text, f["start"] + 1, f["end"] - f["start"])
-        tries = [decoy(original, f["format"], F.xxhash64(F.lit(seed), F.col(id_col), f["start"], F.lit(k))) for k in range(2)]
-        value = F.when(tries[0] != original, tries[0]).otherwise(tries[1])
+        def tried(k, original):
+            return decoy(original, f["format"], F.xxhash64(F.lit(seed), F.col(id_col), f["start"], F.lit(k)))
+
+        value = _let(F.substring(text, f["start"] + 1, f["end"] - f["start"]), lambda original: _let(tried(0, original), lambda first: F.when(first != original, first).otherwise(tried(1, original))))
         return F.struct(f["start"].alias("start"), f["end"].alias("end"), value.alias("value"))
 
     return found.withColumn("swapped_text", F.coalesce(splice(text, F.transform("findings", edit)), text))

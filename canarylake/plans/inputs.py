@@ -5,9 +5,10 @@ The tables hold no registered secrets and no canaries, so these are made from ha
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.formats import CHECKSUM, FORMATS, Format, github_checksum
 from ..functions.text import rot
 
 
@@ -16,16 +17,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: One document in so many has no token, a token with a wrong checksum, or a token of each format.
+_TURNS = len(FORMATS) + 3
+_WRONG = len(FORMATS)
+_CASE = {"upper_digits": "upper({})", "digits": "translate({}, 'abcdef', '012345')", "password": "upper({0}[1:5]) || {0}[6:]"}
+
+
+def token_of(fmt: Format, stream: Column) -> Column:
+    """A token of the format from a stream of hex digits, with a true checksum."""
+    out, at = [], 1
+    for s in fmt.segments:
+        if s is CHECKSUM:
+            out.append(github_checksum(F.substring(stream, 1, 30)))
+        elif isinstance(s, str):
+            out.append(F.lit(s))
+        else:
+            piece = F.substring(stream, at, s[1])
+            piece = F.upper(piece) if s[0] == "upper_digits" else F.translate(piece, "abcdef", "012345") if s[0] == "digits" else piece
+            if s[0] == "password":
+                piece = F.concat(F.upper(F.substring(piece, 1, 5)), F.substring(piece, 6, s[1]))
+            out.append(piece)
+            at += s[1]
+    return F.concat(*out)
+
+
+def _token_sql(fmt: Format) -> str:
+    """The same in SQL, but for checksums, which SQL has no function for: they are six z."""
+    out, at = [], 1
+    for s in fmt.segments:
+        if s is CHECKSUM:
+            out.append("'zzzzzz'")
+        elif isinstance(s, str):
+            out.append(f"'{s}'")
+        else:
+            piece = f"h[{at}:{at + s[1] - 1}]"
+            out.append(_CASE.get(s[0], "{}").format(f"({piece})" if s[0] == "password" else piece))
+            at += s[1]
+    return " || ".join(out)
+
+
 def token_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a token of one of four formats, or none, at the end."""
-    sha, k = F.sha2(F.col("doc_id").cast("string"), 256), F.col("doc_id") % 5
-    tok = F.when(k == 0, F.concat(F.lit("AKIA"), F.upper(F.substring(sha, 1, 16)))).when(k == 1, F.concat(F.lit("sk_live_"), F.substring(sha, 1, 24))).when(k == 2, F.concat(F.lit("AC"), F.substring(sha, 1, 32))).when(k == 3, F.concat(F.lit("SK"), F.substring(sha, 1, 32))).otherwise("")
-    return table(spark, sf_dir, "documents").select("doc_id", "source", F.concat(F.col("text"), F.lit("  "), tok, F.lit("  end")).alias("text"), tok.alias("token"))
+    """Documents with a token at the end: by their number, one of each format, one with a wrong checksum, or none."""
+    stream, k = F.concat(F.sha2(F.col("doc_id").cast("string"), 256), F.sha2(F.concat(F.lit("x"), F.col("doc_id").cast("string")), 256)), F.pmod("doc_id", F.lit(_TURNS)).cast("int")
+    tok = F.lit("")
+    for n, f in enumerate(FORMATS):
+        tok = F.when(k == n, token_of(f, stream)).otherwise(tok)
+    tok = F.when(k == _WRONG, F.concat(F.lit("ghp_"), F.substring(stream, 1, 30), F.lit("zzzzzz"))).otherwise(tok)
+    return table(spark, sf_dir, "documents").select("doc_id", "source", F.concat(F.col("text"), F.lit("  "), tok, F.lit("  end")).alias("text"), tok.alias("token"), k.alias("k"))
 
 
-TOKEN_DOCUMENTS = """td AS (SELECT doc_id, source, tok AS token, text || '  ' || tok || '  end' AS text FROM (
-    SELECT *, CASE doc_id % 5 WHEN 0 THEN 'AKIA' || upper(sha[1:16]) WHEN 1 THEN 'sk_live_' || sha[1:24] WHEN 2 THEN 'AC' || sha[1:32] WHEN 3 THEN 'SK' || sha[1:32] ELSE '' END AS tok
-    FROM (SELECT *, sha256(CAST(doc_id AS VARCHAR)) AS sha FROM documents)))"""
+TOKEN_DOCUMENTS = f"""td AS (SELECT doc_id, source, k, tok AS token, text AS base, text || '  ' || tok || '  end' AS text FROM (
+    SELECT *, CASE k {" ".join(f"WHEN {n} THEN {_token_sql(f)}" for n, f in enumerate(FORMATS))} WHEN {_WRONG} THEN 'ghp_' || h[1:30] || 'zzzzzz' ELSE '' END AS tok
+    FROM (SELECT *, CAST(doc_id % {_TURNS} AS INTEGER) AS k, sha256(CAST(doc_id AS VARCHAR)) || sha256('x' || CAST(doc_id AS VARCHAR)) AS h FROM documents)))"""
 
 
 def canaries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,5 +155,5 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     field, mode = F.concat(F.lit("field"), (k % 3).cast("string")), F.when(k % 2 == 0, "a").otherwise("b")
     payload = F.concat(F.lit('\nTool payload: {"selected_field":"'), field, F.lit('","selected_mode":"'), mode, F.lit('","selected_action":"'), action, F.lit('"}'))
     inline = F.concat(F.lit("\nInline policy block: selected_field="), field, F.lit(";selected_mode="), mode, F.lit(";selected_action="), action)
-    text = F.concat(F.substring("text", 1, 40), F.when(F.col("conv_id") % 5 == 0, "").when(F.col("turn") % 2 == 0, payload).otherwise(inline))
+    text = F.concat("text", F.when(F.col("conv_id") % 5 == 0, "").when(F.col("turn") % 2 == 0, payload).otherwise(inline))
     return c.select(F.concat_ws("-", "conv_id", "turn").alias("example_id"), text.alias("text"), "conv_id", "turn")

@@ -18,64 +18,97 @@ TURN = planted.TURN
 
 # ---------------------------------------------------------------- scanning
 
-_FOUR = {"aws-access-key-id": "AKIA[A-Z0-9]{16}", "stripe-sk-live": "sk_live_[A-Za-z0-9]{24}", "twilio-account-sid": "AC[0-9a-f]{32}", "twilio-api-key-sid": "SK[0-9a-f]{32}"}
-_HITS = "hits AS (" + " UNION ALL ".join(f"SELECT doc_id, text, '{f}' AS format, unnest(regexp_extract_all(text, '(^|[^A-Za-z0-9_./+-])({p})([^A-Za-z0-9_/+-]|$)', 2)) AS hit FROM td" for f, p in _FOUR.items()) + ")"
-_UNKNOWN = r"""un0 AS (SELECT doc_id, token, unnest(regexp_extract_all(regexp_replace(text, '\s', '  ', 'g'), '(^|[^A-Za-z0-9_./+-])([A-Za-z0-9][A-Za-z0-9._~+/-]{23,}={0,2})([^A-Za-z0-9_/+-]|$)', 2)) AS tok FROM td),
-    un1 AS (SELECT doc_id, token, tok, rtrim(tok, '=') AS core FROM un0),
+_KINDS = ", ".join(f"({n}, '{f.slug}', '{'high' if f.checksummed else 'medium'}')" for n, f in enumerate(formats.FORMATS) if f.scannable)
+_PLAIN = [f for f in formats.FORMATS if f.scannable and not f.checksummed]
+# tokens at the end are known by their number; the texts before them are searched with every pattern that needs no checksum
+_HITS = f"""hits AS (SELECT doc_id, text, slug AS format, conf, CAST(length(base) + 2 AS INTEGER) AS a, CAST(length(base) + 2 + length(token) AS INTEGER) AS b FROM td JOIN (VALUES {_KINDS}) v(k, slug, conf) USING (k)
+    UNION ALL """ + " UNION ALL ".join(f"SELECT doc_id, text, '{f.slug}', 'medium', CAST(strpos(base, hit) - 1 AS INTEGER), CAST(strpos(base, hit) - 1 + length(hit) AS INTEGER) FROM (SELECT *, unnest(regexp_extract_all(base, '(^|[^A-Za-z0-9_./+-])({f.pattern})([^A-Za-z0-9_/+-]|$)', 2)) AS hit FROM td)" for f in _PLAIN) + ")"
+_UNKNOWN = r"""un0 AS (SELECT doc_id, token, k, unnest(regexp_extract_all(regexp_replace(text, '\s', '  ', 'g'), '(^|[^A-Za-z0-9_./+-])([A-Za-z0-9][A-Za-z0-9._~+/-]{23,}={0,2})([^A-Za-z0-9_/+-]|$)', 2)) AS tok FROM td),
+    un1 AS (SELECT doc_id, token, k, tok, rtrim(tok, '=') AS core FROM un0),
     un2 AS (SELECT *, length(regexp_extract(core[1:24], '^.*[_-]')) AS pre,
         CAST(regexp_matches(core, '[a-z]') AS INT) + CAST(regexp_matches(core, '[A-Z]') AS INT) + CAST(regexp_matches(core, '[0-9]') AS INT) + CAST(regexp_matches(core, '[._~+/-]') AS INT) AS classes,
         list_sum(list_transform(list_distinct(string_split(core, '')), lambda c: -((length(core) - length(replace(core, c, ''))) / length(core)) * log2((length(core) - length(replace(core, c, ''))) / length(core)))) AS bits FROM un1),
-    unk AS (SELECT doc_id, token, tok FROM un2 WHERE length(core) >= 24 AND CASE WHEN pre >= 2 AND length(core) - pre >= 16 AND regexp_matches(core[1:pre], '[A-Za-z]') AND classes >= 2 THEN bits >= 3.0 ELSE length(core) >= 32 AND classes >= 2 AND bits >= 3.3 END)"""
+    unk AS (SELECT doc_id, token, k, tok FROM un2 WHERE length(core) >= 24 AND CASE WHEN pre >= 2 AND length(core) - pre >= 16 AND regexp_matches(core[1:pre], '[A-Za-z]') AND classes >= 2 THEN bits >= 3.0 ELSE length(core) >= 32 AND classes >= 2 AND bits >= 3.3 END)"""
 
 
-@query(f"WITH {i.TOKEN_DOCUMENTS}, {_HITS} SELECT doc_id, format, CAST(strpos(text, hit) - 1 AS INTEGER) AS start, CAST(strpos(text, hit) - 1 + length(hit) AS INTEGER) AS \"end\", 'medium' AS confidence FROM hits")
+@query(f"WITH {i.TOKEN_DOCUMENTS}, {_HITS} SELECT doc_id, format, a AS start, b AS \"end\", conf AS confidence FROM hits")
 def f4_scan_registered(spark, sf_dir):
     return scan.scan_registered(i.token_documents(spark, sf_dir))
 
 
-@query(f"WITH {i.TOKEN_DOCUMENTS}, {_UNKNOWN} SELECT doc_id, 'low' AS confidence, count(*) AS n FROM unk GROUP BY ALL")
+@query(f"WITH {i.TOKEN_DOCUMENTS}, {_UNKNOWN} SELECT doc_id, 'low' AS confidence, count(*) AS n, CAST(sum(length(tok)) AS BIGINT) AS chars FROM unk GROUP BY ALL")
 def f5_scan_unknown(spark, sf_dir):
-    return scan.scan_unknown(i.token_documents(spark, sf_dir)).groupBy("doc_id", "confidence").agg(F.count(F.lit(1)).alias("n"))
+    return scan.scan_unknown(i.token_documents(spark, sf_dir)).groupBy("doc_id", "confidence").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).cast("long").alias("chars"))
 
 
-@query(f"""WITH {i.TOKEN_DOCUMENTS}, {_HITS}, {_UNKNOWN}, f AS (SELECT format, 'medium' AS confidence FROM hits UNION ALL SELECT 'unknown-token', 'low' FROM unk WHERE token = '' OR tok <> token)
-    SELECT format, confidence, count(*) AS n FROM f GROUP BY ALL""")
+_RESOLVED = "f AS (SELECT doc_id, format, a, b, conf, b - a AS chars FROM hits UNION ALL SELECT doc_id, 'unknown-token', NULL, NULL, 'low', length(tok) FROM unk WHERE token = '' OR NOT contains(token, tok) OR k IN (" + ", ".join(str(n) for n, f in enumerate(formats.FORMATS) if not f.scannable) + f", {len(formats.FORMATS)}))"
+
+
+@query(f"WITH {i.TOKEN_DOCUMENTS}, {_HITS}, {_UNKNOWN}, {_RESOLVED} SELECT doc_id, format, conf AS confidence, count(*) AS n, CAST(sum(chars) AS BIGINT) AS chars, CAST(coalesce(min(a), -1) AS INTEGER) AS first_start FROM f GROUP BY ALL")
+def f6_resolve_overlaps(spark, sf_dir):
+    """Registered and unknown findings of each document together, resolved in a step of their own."""
+    docs = i.token_documents(spark, sf_dir)
+    both = scan.scan_registered(docs).unionByName(scan.scan_unknown(docs))
+    per = both.groupBy("doc_id").agg(F.collect_list(F.struct("format", "start", "end", "confidence")).alias("f"))
+    each = per.select("doc_id", F.explode(scan.resolve_overlaps(F.col("f"))).alias("f")).select("doc_id", "f.*")
+    known = F.coalesce(F.min(F.when(F.col("format") != scan.UNKNOWN, F.col("start"))), F.lit(-1))
+    return each.groupBy("doc_id", "format", "confidence").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).cast("long").alias("chars"), known.alias("first_start"))
+
+
+@query(f"WITH {i.TOKEN_DOCUMENTS}, {_HITS}, {_UNKNOWN}, {_RESOLVED} SELECT doc_id, format, conf AS confidence, count(*) AS n, CAST(sum(chars) AS BIGINT) AS chars, CAST(coalesce(min(a), -1) AS INTEGER) AS first_start FROM f GROUP BY ALL")
 def f7_scan_documents(spark, sf_dir):
-    return scan.scan_documents(i.token_documents(spark, sf_dir)).groupBy("format", "confidence").agg(F.count(F.lit(1)).alias("n"))
+    found = scan.scan_documents(i.token_documents(spark, sf_dir))
+    known = F.coalesce(F.min(F.when(F.col("format") != scan.UNKNOWN, F.col("start"))), F.lit(-1))
+    return found.groupBy("doc_id", "format", "confidence").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).cast("long").alias("chars"), known.alias("first_start"))
 
 
-@query(f"""WITH {i.TOKEN_DOCUMENTS}, {_HITS}, {_UNKNOWN}, f AS (SELECT doc_id, 0.65 AS s FROM hits UNION ALL SELECT doc_id, 0.35 FROM unk WHERE token = '' OR tok <> token),
-    g AS (SELECT doc_id, max(s) AS score, count(*) AS match_count FROM f GROUP BY doc_id)
+@query(f"""WITH {i.TOKEN_DOCUMENTS}, {_HITS}, {_UNKNOWN}, {_RESOLVED},
+    g AS (SELECT doc_id, max(CASE conf WHEN 'high' THEN 0.95 WHEN 'medium' THEN 0.65 ELSE 0.35 END) AS score, count(*) AS match_count FROM f GROUP BY doc_id)
     SELECT doc_id, CAST(coalesce(score, 0) AS DOUBLE) AS score, CAST(coalesce(match_count, 0) AS INTEGER) AS match_count, CASE WHEN match_count > 0 THEN 'sanitize' ELSE 'allow' END AS recommended_action FROM td LEFT JOIN g USING (doc_id)""")
 def f8_shape_detector(spark, sf_dir):
     return scan.shape_detector(i.token_documents(spark, sf_dir)).select("doc_id", "score", "match_count", "recommended_action")
 
 
-@query()
+@query(f"""WITH {i.TOKEN_DOCUMENTS}, {_HITS}, {_UNKNOWN}, {_RESOLVED}, g AS (SELECT doc_id, count(*) AS n FROM f GROUP BY doc_id)
+    SELECT doc_id, CAST(coalesce(n, 0) AS INTEGER) AS n, coalesce(n, 0) > 0 AS changed, true AS same_shape, true AS still_valid FROM td LEFT JOIN g USING (doc_id)""")
 def f9_auto_decoy(spark, sf_dir):
-    return scan.auto_decoy(i.token_documents(spark, sf_dir)).select("doc_id", F.size("findings").alias("n"), (F.col("text") != F.col("swapped_text")).alias("changed"), F.sha2("swapped_text", 256).alias("swapped_sha256"))
-
-
-@query()
+    """Decoys have the shape of what they replace, and a token of a format is replaced by another valid one."""
+    out = scan.auto_decoy(i.token_documents(spark, sf_dir))
+    shape = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0")
+    now = F.substring("swapped_text", F.length("text") - F.length("token") - 4, F.length("token"))
+    named = out.withColumn("format", F.element_at(F.array(*[F.lit(f.slug) for f in formats.FORMATS]), F.least(F.col("k"), F.lit(len(formats.FORMATS) - 1)) + 1)).withColumn("now", now)
+    checked = formats.validate_tokens(named.withColumn("kept", F.col("k").isin(*[n for n, f in enumerate(formats.FORMATS) if f.scannable])), "now")
+    summed = F.col("k").isin(*[n for n, f in enumerate(formats.FORMATS) if f.checksummed])  # their last six characters are computed
+    return checked.select("doc_id", F.size("findings").alias("n"), (F.col("text") != F.col("swapped_text")).alias("changed"), (summed | (shape(F.col("text")) == shape(F.col("swapped_text")))).alias("same_shape"), (~F.col("kept") | (F.col("valid") & (F.col("now") != F.col("token")))).alias("still_valid"))
+
+
+@query(f"""WITH {i.TOKEN_DOCUMENTS}, {_HITS}, {_UNKNOWN}, {_RESOLVED}, g AS (SELECT doc_id, count(*) AS n FROM f GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND n > 0 THEN 'decoyed' ELSE 'not_sanitize' END AS reason, doc_id % 2 = 0 AND coalesce(n, 0) > 0 AS changed FROM td LEFT JOIN g USING (doc_id)""")
 def f10_policy_gated_decoy(spark, sf_dir):
     key = ["doc_id"]
     docs = i.token_documents(spark, sf_dir)
     results = scan.shape_detector(docs)
     decisions = results.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("recommended_action")).otherwise("block").alias("action"))
-    return scan.policy_gated_decoy(docs, decisions, results, key).select("doc_id", "reason", F.sha2("released_text", 256).alias("released_sha256"))
+    return scan.policy_gated_decoy(docs, decisions, results, key).select("doc_id", "reason", (F.col("released_text") != F.col("text")).alias("changed"))
 
 
-@query(f"WITH {i.TOKEN_DOCUMENTS} SELECT doc_id, format, regexp_full_match(token, p) AS valid FROM td, (VALUES " + ", ".join(f"('{f}', '{p}')" for f, p in _FOUR.items()) + ") v(format, p) WHERE token <> ''")
+_ALL = ", ".join(f"({n}, '{f.slug}', '{f.pattern}', {str(f.mixed).lower()}, {str(f.checksummed).lower()})" for n, f in enumerate(formats.FORMATS))
+
+
+@query(f"""WITH {i.TOKEN_DOCUMENTS} SELECT doc_id, format, CASE WHEN summed THEN k = n ELSE regexp_full_match(token, p) AND (NOT mixed OR (regexp_matches(token, '[a-z]') AND regexp_matches(token, '[A-Z]') AND regexp_matches(token, '[0-9]'))) END AS valid
+    FROM td, (VALUES {_ALL}) v(n, format, p, mixed, summed) WHERE token <> ''""")
 def f3_validate_tokens(spark, sf_dir):
-    names = F.explode(F.array(*[F.lit(f) for f in _FOUR]))
+    names = F.explode(F.array(*[F.lit(f.slug) for f in formats.FORMATS]))
     return formats.validate_tokens(i.token_documents(spark, sf_dir).where("token <> ''").select("doc_id", "token", names.alias("format"))).select("doc_id", "format", "valid")
 
 
-@query()
+@query("SELECT doc_id, 'github-ghp' AS format, true AS valid, true AS other_rejected FROM documents")
 def f2_github_checksum(spark, sf_dir):
+    """True checksums are accepted, and those of the body's mirror image are not."""
     docs = i.table(spark, sf_dir, "documents").select("doc_id", F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 30).alias("body"))
-    token = F.concat(F.lit("ghp_"), "body", formats.github_checksum(F.col("body")))
-    return formats.validate_tokens(docs.select("doc_id", token.alias("token"), F.lit("github-ghp").alias("format")))
+    made = lambda c: F.concat(F.lit("ghp_"), "body", formats.github_checksum(c))
+    right = formats.validate_tokens(docs.select("doc_id", made(F.reverse("body")).alias("wrong"), made(F.col("body")).alias("token"), F.lit("github-ghp").alias("format")))
+    return formats.validate_tokens(right.withColumnRenamed("valid", "first"), "wrong").select("doc_id", "format", F.col("first").alias("valid"), (~F.col("valid")).alias("other_rejected"))
 
 
 @query("SELECT 'scannable' AS kind, (SELECT count(DISTINCT doc_id) FROM documents) AS docs, 20 AS n UNION ALL SELECT 'other', (SELECT count(DISTINCT doc_id) FROM documents), 3")
@@ -293,18 +326,37 @@ def a2_conformal_coverage(spark, sf_dir):
     return accounting.conformal_coverage(e.where("event_id % 2 = 1"), t).select("n", "covered", "flagged", F.round("coverage", 9).alias("coverage"), "max_score")
 
 
-@query()
+_GIVEN = "CASE CAST(session_id AS BIGINT) % 10 " + " ".join(f"WHEN {n} THEN '{m.upper() if n % 2 else m}-' || value" for n, m in enumerate(accounting.MARKERS)) + " WHEN 7 THEN 'zzzz' || sha256(session_id)[1:20] WHEN 8 THEN 'aaabaaabaaabaaacaaabaaa' ELSE sha256(session_id)[1:24] END"
+_BITS = "list_sum(list_transform(list_distinct(string_split(value, '')), lambda c: -((length(value) - length(replace(value, c, ''))) / length(value)) * log2((length(value) - length(replace(value, c, ''))) / length(value))))"
+
+
+@query(f"""WITH {i.CANARIES}, v AS (SELECT {_GIVEN} AS value FROM can),
+    c AS (SELECT list_concat(list_transform(list_filter(['hny', 'honey', 'canary', 'decoy', 'synthetic', 'fake', 'test'], lambda m: contains(lower(value), m)), lambda m: 'marker:' || m),
+        CASE WHEN len(list_filter(range(1, length(value) - 2), lambda j: value[j] = value[j + 1] AND value[j] = value[j + 2] AND value[j] = value[j + 3])) > 0 THEN ['low_realism:repeated_run'] ELSE [] END,
+        CASE WHEN {_BITS} / log2(len(list_distinct(string_split(value, '')))) < 0.55 THEN ['low_realism:entropy'] ELSE [] END) AS cues FROM v),
+    e AS (SELECT unnest(CASE WHEN len(cues) > 0 THEN list_append(cues, 'any') ELSE cues END) AS cue FROM c)
+    SELECT cue, count(*) AS canaries, count(*) / (SELECT count(*) FROM v) AS share FROM e GROUP BY cue""")
 def a4_beta_surrogate(spark, sf_dir):
-    return accounting.beta_surrogate(i.canaries(spark, sf_dir).withColumn("value", F.when(F.col("session_id") % 4 == 0, F.concat(F.lit("test"), "value")).otherwise(F.col("value"))))
+    sha = F.sha2("session_id", 256)
+    value = F.when(F.col("session_id").cast("long") % 10 == 7, F.concat(F.lit("zzzz"), F.substring(sha, 1, 20))).when(F.col("session_id").cast("long") % 10 == 8, "aaabaaabaaabaaacaaabaaa").otherwise(F.substring(sha, 1, 24))
+    for n, m in enumerate(accounting.MARKERS):
+        value = F.when(F.col("session_id").cast("long") % 10 == n, F.concat(F.lit((m.upper() if n % 2 else m) + "-"), "value")).otherwise(value)
+    return accounting.beta_surrogate(i.canaries(spark, sf_dir).withColumn("value", value))
+
+
+_SAID = [*[(w, True) for w in accounting.PLANTED_WORDS], *[(w, False) for w in accounting.REAL_WORDS], ("Planted-Honeytoken ", True), ("REAL-SECRET", False), ("perhaps", None)]
 
 
-@query(f"WITH {i.CANARIES} SELECT count(*) AS n, avg(CASE WHEN CAST(session_id AS BIGINT) % 3 = 0 THEN 1 ELSE 0 END) AS beta FROM can WHERE CAST(session_id AS BIGINT) % 7 <> 0")
+@query(f"""WITH {i.CANARIES}, p AS (SELECT canary_id, CAST(session_id AS BIGINT) AS s FROM can), w AS (SELECT * FROM (VALUES {", ".join(f"({n}, {str(t).lower() if t is not None else 'NULL'})" for n, (_, t) in enumerate(_SAID))}) v(n, planted)),
+    m AS (SELECT canary_id, CASE WHEN s % 5 = 0 THEN s % 2 = 0 ELSE planted END AS planted FROM p JOIN w ON s % {len(_SAID)} = n WHERE s % 7 <> 0)
+    SELECT count(*) AS n, avg(CAST(planted AS INT)) AS beta, (SELECT count(*) FROM can) - count(*) AS violations FROM m WHERE planted IS NOT NULL""")
 def a5_beta_from_predictions(spark, sf_dir):
+    """One canary in seven has no prediction; one in five a flag, which goes before its word."""
     can = i.canaries(spark, sf_dir)
     s = F.col("session_id").cast("long")
-    guess = can.where(s % 7 != 0).select(F.col("canary_id").alias("token_id"), F.when(s % 3 == 0, "planted").otherwise("real").alias("label"))
-    beta, _ = accounting.beta_from_predictions(guess, can)
-    return beta
+    guess = can.where(s % 7 != 0).select(F.col("canary_id").alias("token_id"), F.when(s % 5 == 0, s % 2 == 0).alias("is_honeytoken"), F.get(F.array(*[F.lit(w) for w, _ in _SAID]), (s % len(_SAID)).cast("int")).alias("class"))
+    beta, bad = accounting.beta_from_predictions(guess, can)
+    return beta.crossJoin(bad.agg(F.count(F.lit(1)).alias("violations")))
 
 
 @query("SELECT event_type, CAST(k AS INTEGER) AS k, CASE WHEN m + k > 0 THEN k / (m + k) * (1 - 0.25) ELSE 0 END AS catch FROM (SELECT event_type, count(*) AS m FROM events GROUP BY event_type), range(0, 9) t(k)")
