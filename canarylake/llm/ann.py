@@ -203,6 +203,11 @@ def truth(nodes: DataFrame, starts: DataFrame, probes: int = 64, near: int = 20)
     return materialize(best.withColumn("r", rank).where(F.col("r") <= near).select("q", "c"), "truth")
 
 
+def probed(rows: DataFrame, true: DataFrame, q: str = "q") -> DataFrame:
+    """The rows of the probes, which are as few as they always are."""
+    return rows.join(F.broadcast(true.select(F.col("q").alias(q)).distinct()), q, "left_semi")
+
+
 def recall(found: DataFrame, true: DataFrame) -> float:
     """The share of the rows of ``true`` that ``found`` has; both hold distinct ``(q, c)``."""
     hit = true.join(found, ["q", "c"], "left_semi").count()
@@ -226,7 +231,7 @@ def build_graph(nodes: DataFrame, true: DataFrame | None = None, k: int = 48, tr
         moved = graph.agg(F.sum(F.size(F.filter("fresh", lambda f: f))), F.sum(F.size("vs"))).first()
         if (moved[0] or 0) < 0.01 * (moved[1] or 1):
             break
-        if true is not None and recall(graph.select(F.col("u").alias("q"), F.explode("vs").alias("c")), true) >= enough:
+        if true is not None and recall(probed(graph, true, "u").select(F.col("u").alias("q"), F.explode("vs").alias("c")), true) >= enough:
             break
     return graph, coded
 
@@ -316,7 +321,7 @@ def search(graph: DataFrame, coded: DataFrame, starts: DataFrame, true: DataFram
     for _ in range(steps):
         found = pools.select("q", F.explode("todo").alias("o")).join(lists, "o").groupBy("q").agg(F.collect_list(F.struct("ids", "codes")).alias("n"))
         pools = materialize(pools.drop("todo").join(found, "q", "left").mapInArrow(step, _POOL), "pools")
-        if true is not None and recall(pools.select("q", "ids").mapInArrow(named, "q long, c long"), true) >= enough:
+        if true is not None and recall(probed(pools.select("q", "ids"), true).mapInArrow(named, "q long, c long"), true) >= enough:
             break  # the best of a pool are found on the original vectors
         if pools.where(F.size("todo") > 0).isEmpty():
             break
