@@ -16,7 +16,7 @@ LOWER = UPPER.lower()
 DIGITS = "0123456789"
 ALNUM = UPPER + LOWER + DIGITS
 SETS = {"upper_digits": UPPER + DIGITS, "alnum": ALNUM, "base64": ALNUM + "+/", "base64url": ALNUM + "-_", "digits": DIGITS, "hex": DIGITS + "abcdef", "password": ALNUM + "!@#$%^&*()-_=+"}
-#: Characters that may not stand beside a token.
+#: Characters that may not stand beside a token.
 BEFORE, AFTER = r"(?<![A-Za-z0-9_./+-])", r"(?![A-Za-z0-9_/+-])"
 BASE62 = DIGITS + UPPER + LOWER
 

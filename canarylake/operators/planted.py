@@ -43,22 +43,33 @@ def value_forms(value: Column) -> Column:
     return F.array_distinct(F.array(*[leet_fold(x) for x in [*raw, alnum(value)]]))
 
 
+#: Grams of all canaries up to which they are sent to the texts; beyond, both are shuffled.
+_SENT_GRAMS = 2_000_000
+
+
 def gram_candidates(outputs: DataFrame, canaries: DataFrame) -> DataFrame:
-    """Turn keys and canary ids where the text holds the middle gram of a form.
+    """Turn keys and canary ids where the text holds one of three grams of a form.
 
-    The gram comes from a form's middle, as prefixes are shared by whole families. Texts and
-    forms are folded alike, also with all but letters and digits left out and with runs decoded.
-    Forms under ``GRAM`` characters give no gram; such values have to be matched by session.
+    The grams come from a form's inside, as prefixes are shared by whole families; three of them, so that a part of a value
+    is met too. A form under ``GRAM`` characters is a gram itself. Texts and
+    forms are folded alike, also with all but letters and digits left out and with runs decoded. Where the grams are few they are
+    sent to the texts, whose own grams then stay in their tasks.
     """
-    forms = canaries.select("canary_id", F.explode(value_forms(F.col("value"))).alias("form")).where(F.length("form") >= GRAM)
-    middle = F.floor((F.length("form") - GRAM) / 2).cast("int") + 1
-    grams = forms.select("canary_id", F.substring("form", middle, F.lit(GRAM)).alias("gram")).distinct()
+    forms = canaries.select("canary_id", F.explode(value_forms(F.col("value"))).alias("form")).where(F.length("form") > 0)
+    size = F.least(F.length("form"), F.lit(GRAM))
+    starts = F.array(*[F.floor((F.length("form") - size) * q).cast("int") + 1 for q in (0.25, 0.5, 0.75)])
+    grams = forms.select("canary_id", F.explode(F.transform(starts, lambda at: F.substring("form", at, size))).alias("gram")).distinct()
+    sizes = [r[0] for r in grams.select(F.length("gram").alias("n")).distinct().orderBy("n").collect()]  # GRAM numbers at most
+    few = grams.limit(_SENT_GRAMS + 1).count() <= _SENT_GRAMS
     outputs = outputs.select(*TURN, "text")
     decoded = decoded_candidates(outputs).groupBy(*TURN).agg(F.concat_ws(" ", F.collect_list("decoded")).alias("decoded"))
-    texts = outputs.join(decoded, TURN, "left").select(*TURN, F.explode(F.array(leet_fold(F.col("text")), leet_fold(alnum(F.col("text"))), leet_fold(F.coalesce("decoded", F.lit(""))))).alias("t"))
-    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - GRAM + 1, F.lit(1))), lambda i: F.substring("t", i, F.lit(GRAM)))
-    found = texts.select(*TURN, F.explode(F.array_distinct(cut)).alias("gram"))
-    return found.join(grams, "gram").select(*TURN, "canary_id").distinct()
+    texts = outputs.join(decoded, TURN, "left").select(*TURN, F.explode(F.array_distinct(F.array(leet_fold(F.col("text")), leet_fold(alnum(F.col("text"))), leet_fold(F.coalesce("decoded", F.lit("")))))).alias("t"))
+
+    def cut(n):
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - n + 1, F.lit(1))), lambda i: F.substring("t", i, F.lit(n)))
+
+    found = texts.select(*TURN, F.explode(F.array_distinct(F.flatten(F.array(*[cut(n) for n in sizes])))).alias("gram")) if sizes else texts.select(*TURN, F.col("t").alias("gram")).where("false")
+    return found.join(F.broadcast(grams) if few else grams, "gram").select(*TURN, "canary_id").distinct()
 
 
 def exact_canary_matches(outputs: DataFrame, canaries: DataFrame, by: str | None = "session_id") -> DataFrame:
@@ -111,6 +122,7 @@ def encoded_canary_detector(outputs: DataFrame, canaries: DataFrame, partial_thr
     return canary_detector(outputs, encoded_canary_matches(outputs, canaries, partial_threshold, by), "encoded_canary")
 
 
+#: Runs that may hold an encoded text.
 _RUNS = (("base64", "[A-Za-z0-9+/]{8,}={0,2}"), ("base32", "[A-Za-z2-7]{8,}={0,6}"), ("hex", "[0-9a-fA-F]{8,}"))
 
 
@@ -139,9 +151,10 @@ def decoded_candidates(outputs: DataFrame) -> DataFrame:
 
 
 def _bounded(text: Column, form: Column, alphabet: str) -> Column:
-    """Whether the form, with or without padding, stands in the text as a whole run of its alphabet."""
+    """Whether the form, with or without padding, stands in the text as a whole run of its alphabet. Only texts that hold it are matched."""
     bare = F.rtrim(form, F.lit("="))
-    return F.greatest(*[F.rlike(text, F.concat(F.lit(f"(?<![{alphabet}])"), quote_col(x), F.lit(f"(?![{alphabet}])"))) for x in (form, bare)])
+    alone = F.greatest(*[F.rlike(text, F.concat(F.lit(f"(?<![{alphabet}])"), quote_col(x), F.lit(f"(?![{alphabet}])"))) for x in (form, bare)])
+    return F.when(text.contains(bare), alone).otherwise(False)
 
 
 def planted_exact_matches(outputs: DataFrame, canaries: DataFrame, by: str | None = "session_id") -> DataFrame:
@@ -152,7 +165,7 @@ def planted_exact_matches(outputs: DataFrame, canaries: DataFrame, by: str | Non
     met = met.join(blobs, TURN, "left")
     literal = [("direct", v), ("reverse", F.reverse(v))]
     turned = [(f"rot{k}", rot(v, k)) for k in range(1, 26)]
-    leet = leet_fold(t).contains(leet_fold(v)) & F.rlike(t, leet_pattern(v))
+    leet = F.when(leet_fold(t).contains(leet_fold(v)), F.rlike(t, leet_pattern(v))).otherwise(False)
     channel = None
     for name, form in literal:
         channel = F.when(t.contains(form), name) if channel is None else channel.when(t.contains(form), name)
@@ -175,7 +188,9 @@ def planted_fuzzy_scores(outputs: DataFrame, canaries: DataFrame, by: str | None
     """``(turn key, canary_id, similarity)``: longest common subsequence of lower-cased letters and digits, over the value's."""
     met = pairs(outputs, canaries, by)
     run, token = alnum(F.substring("text", 1, MAX_FUZZY), True), alnum(F.col("value"), True)
-    scored = met.withColumn("similarity", F.when((token != "") & run.contains(token), 1.0).otherwise(subsequence_ratio(token, F.coalesce(run, F.lit("")))))
+    whole = F.coalesce((token != "") & run.contains(token), F.lit(False))
+    # only what is not there whole is compared in Python
+    scored = met.withColumn("similarity", F.when(whole, 1.0).otherwise(subsequence_ratio(token, F.when(whole, "").otherwise(F.coalesce(run, F.lit(""))))))
     return scored.select(*TURN, "canary_id", "similarity")
 
 
@@ -237,12 +252,12 @@ def attack_cases(canaries: DataFrame) -> DataFrame:
     b64, b32, hexed = F.base64(v.cast("binary")), base32(v), F.lower(F.hex(v.cast("binary")))
     wrapped = F.concat(F.lit("note: "), v, F.lit(" end"))
     third = F.greatest(F.floor(F.length(v) / 3).cast("int"), F.lit(1))
-    pieces = F.concat_ws(" - ", F.substring(v, F.lit(1), third), F.substring(v, third + 1, third), F.substring(v, third * 2 + 1, F.length(v)))
+    pieces = F.concat_ws(" :: ", F.substring(v, F.lit(1), third), F.substring(v, third + 1, third), F.substring(v, third * 2 + 1, F.length(v)))
     cases = [
         ("direct", "direct", v), ("reverse", "reverse", F.reverse(v)), ("leet_normalized", "leet_normalized", leet_spell(v)), ("rot_n", "rot13", rot(v, 13)),
         ("base64", "base64", b64), ("base32", "base32", b32), ("hex", "hex", hexed),
         ("decoded_base64_blob", "decoded_base64", F.base64(wrapped.cast("binary"))), ("decoded_base32_blob", "decoded_base32", base32(wrapped)), ("decoded_hex_blob", "decoded_hex", F.lower(F.hex(wrapped.cast("binary")))),
-        ("fragmentation", "fragmentation", pieces), ("partial_fuzzy", "partial_lcs", F.substring(v, F.lit(1), F.floor(F.length(v) * 0.72).cast("int"))),
+        ("fragmentation", "fragmentation", pieces), ("partial_fuzzy", "partial_lcs", F.substring(v, F.lit(1), F.ceil(F.length(v) * F.lit("0.72").cast("decimal(3,2)")).cast("int"))),
     ]
     each = F.explode(F.array(*[F.struct(F.lit(a).alias("attack"), F.lit(c).alias("expected_channel"), F.concat(F.lit("out "), x, F.lit(" .")).alias("text")) for a, c, x in cases]))
     return canaries.select("canary_id", "session_id", each.alias("c")).select("canary_id", "session_id", "c.*")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,13 +67,36 @@ def linear_score(turns: DataFrame, mean: list[float], scale: list[float], coef:
     return turns.select(*TURN, F.lit("linear_probe").alias("detector_name"), score.alias("score"), F.when(mode & fits & (p >= threshold), "block").otherwise("allow").alias("recommended_action"), status.alias("capability_status"))
 
 
-def banded_monitor(turns: DataFrame, scores: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(results, errors)``: bands allow under 0.25, review under 0.5, else balanced; turns without a score are errors."""
+@dataclass(frozen=True)
+class BandProfile:
+    """Where the bands of a monitor begin, and what it asks for in each."""
+
+    detector_name: str = "banded_monitor"
+    review_threshold: float = 0.25
+    balanced_threshold: float = 0.5
+    low_action: str = "allow"
+    review_action: str = "warn"
+    balanced_action: str = "warn"
+    capability: str = "self_hosted_introspection"
+
+    def __post_init__(self):
+        if not 0 <= self.review_threshold <= self.balanced_threshold <= 1:
+            raise ValueError("thresholds must be in order within [0, 1]")
+
+
+def banded_monitor(turns: DataFrame, scores: DataFrame, profile: BandProfile = BandProfile()) -> tuple[DataFrame, DataFrame]:
+    """``(results, errors)``: bands allow, review and balanced by the profile's thresholds, with its actions.
+
+    Turns of a mode without access to the model are ``unavailable`` and allowed; others without a score, or with one outside [0, 1], are errors.
+    """
     met = turns.join(scores.select("example_id", F.col("score").alias("__s")), "example_id", "left")
-    good = met.where("__s is not null")
-    band = F.when(F.col("__s") < 0.25, "allow").when(F.col("__s") < 0.5, "review").otherwise("balanced")
-    results = good.select(*TURN, F.lit("banded_monitor").alias("detector_name"), F.col("__s").alias("score"), band.alias("band"), F.when(band == "allow", "allow").otherwise("warn").alias("recommended_action"))
-    return results, met.where("__s is null").select(*TURN, "example_id", F.lit("missing_score").alias("violation"))
+    seen = F.col("capability_mode").isin("self_hosted_introspection", "offline_eval")
+    s = F.col("__s")
+    fine = F.coalesce(s.between(0.0, 1.0), F.lit(False))
+    band = F.when(s >= profile.balanced_threshold, "balanced").when(s >= profile.review_threshold, "review").otherwise("allow")
+    action = F.when(~seen, "allow").when(s >= profile.balanced_threshold, profile.balanced_action).when(s >= profile.review_threshold, profile.review_action).otherwise(profile.low_action)
+    results = met.where(~seen | fine).select(*TURN, F.lit(profile.detector_name).alias("detector_name"), F.when(seen, s).otherwise(0.0).alias("score"), F.when(seen, band).otherwise("none").alias("band"), action.alias("recommended_action"), F.lit(profile.capability).alias("capability_required"), F.when(seen, "active").otherwise("unavailable").alias("capability_status"))
+    return results, met.where(seen & ~fine).select(*TURN, "example_id", F.when(s.isNull(), "missing_score").otherwise("score_out_of_range").alias("violation"))
 
 
 def decide(results: DataFrame, turns: DataFrame | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -232,9 +233,22 @@ def l2_plant(spark, sf_dir):
     return ledger.plant(ledger.extract_placeholders(i.turns(spark, sf_dir))).select("session_id", "slot_name", "credential_type", "canary_id", "turn_planted")
 
 
-@query()
+_TYPES = "['" + "', '".join([*generate.CREDENTIAL_FORMATS, "other"]) + "']"
+
+
+@query(f"""SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(turn AS INTEGER) AS turn_index, coalesce(format, 'generic-sk') AS format, true AS valid, true AS repeatable
+    FROM conversations LEFT JOIN (VALUES {", ".join(f"('{k}', '{v}')" for k, v in generate.CREDENTIAL_FORMATS.items())}) v(kind, format) ON {_TYPES}[(conv_id + turn) % {len(generate.CREDENTIAL_FORMATS) + 1} + 1] = kind""")
 def l3_session_token(spark, sf_dir):
-    return ledger.plant(ledger.extract_placeholders(i.turns(spark, sf_dir)), salt="s").select("session_id", "slot_name", "value", "sha256")
+    """A token of its type's format for every turn's slot, from a chain trained on the token documents; drawn twice, it is the same."""
+    types = F.array(*[F.lit(k) for k in [*generate.CREDENTIAL_FORMATS, "other"]])
+    c = i.table(spark, sf_dir, "conversations")
+    kind = F.get(types, ((F.col("conv_id") + F.col("turn")) % (len(generate.CREDENTIAL_FORMATS) + 1)).cast("int"))
+    slots = c.select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("int").alias("turn_index"), F.concat(F.lit("slot"), "turn").alias("slot_name"), kind.alias("credential_type"))
+    chain = generate.train_bigrams(_corpus(spark, sf_dir))
+    one = generate.session_tokens(slots, chain)
+    two = generate.session_tokens(slots.repartition(3), chain).select("session_id", "turn_index", F.col("value").alias("again"))
+    met = one.join(two, ["session_id", "turn_index"]).withColumnRenamed("value", "token")
+    return formats.validate_tokens(met).select("session_id", "turn_index", "format", "valid", (F.col("token") == F.col("again")).alias("repeatable"))
 
 
 @query(f"WITH {_PLACE} SELECT session_id, turn_index, CAST(1 AS INTEGER) AS n_spans, true AS audit_clean FROM pl")
@@ -295,11 +309,20 @@ def r3_linear_score(spark, sf_dir):
     return out.select("trace_id", F.round("score", 6).alias("score"), "recommended_action", "capability_status")
 
 
-@query("SELECT CAST(vec_id AS VARCHAR) AS trace_id, (vec_id % 10) / 10 AS score, CASE WHEN (vec_id % 10) / 10 < 0.25 THEN 'allow' WHEN (vec_id % 10) / 10 < 0.5 THEN 'review' ELSE 'balanced' END AS band FROM embeddings WHERE vec_id % 4 <> 0")
+_BANDS = """CASE WHEN vec_id % 3 = 1 THEN {none} WHEN (vec_id % 10) / 10 < {low} THEN {a} WHEN (vec_id % 10) / 10 < {high} THEN {b} ELSE {c} END"""
+
+
+@query(f"""SELECT CAST(vec_id AS VARCHAR) AS trace_id, name AS detector_name, CASE WHEN vec_id % 3 = 1 THEN 0 ELSE (vec_id % 10) / 10 END AS score,
+    CASE WHEN name = 'banded_monitor' THEN {_BANDS.format(none="'none'", low=0.25, high=0.5, a="'allow'", b="'review'", c="'balanced'")} ELSE {_BANDS.format(none="'none'", low=0.1, high=0.8, a="'allow'", b="'review'", c="'balanced'")} END AS band,
+    CASE WHEN name = 'banded_monitor' THEN {_BANDS.format(none="'allow'", low=0.25, high=0.5, a="'allow'", b="'warn'", c="'warn'")} ELSE {_BANDS.format(none="'allow'", low=0.1, high=0.8, a="'allow'", b="'warn'", c="'block'")} END AS recommended_action,
+    CASE WHEN vec_id % 3 = 1 THEN 'unavailable' ELSE 'active' END AS capability_status FROM embeddings, (VALUES ('banded_monitor'), ('strict')) v(name) WHERE vec_id % 4 <> 0 OR vec_id % 3 = 1""")
 def r4_banded_monitor(spark, sf_dir):
+    """Two profiles over the same scores."""
     t = _modes(spark, sf_dir)
-    good, _ = runtime.banded_monitor(t, t.where("vec_id % 4 <> 0").select("example_id", (F.col("vec_id") % 10 / 10).alias("score")))
-    return good.select("trace_id", "score", "band")
+    scores = t.where("vec_id % 4 <> 0").select("example_id", (F.col("vec_id") % 10 / 10).alias("score"))
+    plain, _ = runtime.banded_monitor(t, scores)
+    strict, _ = runtime.banded_monitor(t, scores, runtime.BandProfile("strict", 0.1, 0.8, balanced_action="block"))
+    return plain.unionByName(strict).select("trace_id", "detector_name", "score", "band", "recommended_action", "capability_status")
 
 
 @query(f"""WITH {i.OUTPUTS} SELECT trace_id, session_id, turn_index, CASE WHEN contains(text, value) THEN 'escalate' ELSE 'allow' END AS action, CAST(contains(text, value) AS DOUBLE) AS risk_score FROM outs""")
@@ -704,8 +727,18 @@ def s2_check_prompts(spark, sf_dir):
     return good.select(F.lit("good").alias("violation")).unionByName(bad.select("violation")).groupBy("violation").agg(F.count(F.lit(1)).alias("n"))
 
 
+_own: list[str] = []
+
+
 def _written(spark, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/canarylake"
+    """A new folder in the shared one; where ``spark.checkpoint.dir`` is unset, and only in local mode, in one of our own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="canarylake-"))
+        base = "file://" + _own[0]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -793,11 +826,12 @@ def g1_synthetic_corpus(spark, sf_dir):
 
 # ---------------------------------------------------------------- streams
 
-def _stream(spark, sf_dir, name):
-    """The table as a stream of files; it is written to a folder first, as a stream cannot read a lone file."""
+def _stream(spark, sf_dir, name, first=None):
+    """The table as a stream of files, rows for which ``first`` holds in earlier batches; it is written to a folder first, as a stream cannot read a lone file."""
     rows, path = i.table(spark, sf_dir, name), _written(spark, name)
-    rows.write.parquet(path)
-    return spark.readStream.schema(rows.schema).parquet(path)
+    for part in [rows] if first is None else [rows.where(first), rows.where(~first)]:
+        part.write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", len(rows.inputFiles()) if first is not None else 1000).parquet(path)
 
 
 @query(f"WITH {i.OUTPUTS} SELECT trace_id, CASE WHEN contains(text, value) THEN 'escalate' ELSE 'other' END AS action FROM outs")
@@ -811,18 +845,26 @@ def t1_stream_guard(spark, sf_dir):
     return spark.read.parquet(audit).select("trace_id", F.when(F.col("action") == "escalate", "escalate").otherwise("other").alias("action"))
 
 
-def _run(spark, df, mode):
-    """All that a stateful stream has given after it has read what there is."""
-    name = "q" + uuid.uuid4().hex
-    df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", _written(spark, name)).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+def _run(spark, df, *key):
+    """The last row of each key that a stateful stream has given after it has read what there is; every batch is written as it comes."""
+    path = _written(spark, "batches")
+
+    def write(batch, number):
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    df.writeStream.outputMode("update").option("checkpointLocation", _written(spark, "state")).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(path)
+    every = [c for c in rows.columns if c not in (*key, "batch")]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*every), "batch").alias("r")).select(*key, "r.*")
 
 
-@query("SELECT DISTINCT CAST(conv_id AS VARCHAR) AS session_id, 'slot' || (turn % 3) AS slot_name FROM conversations")
+@query("""SELECT CAST(conv_id AS VARCHAR) AS session_id, 'slot' || (turn % 3) AS slot_name, CAST(min(turn) AS INTEGER) AS turn_index, 'type' || (min(turn) % 2) AS credential_type, true AS stable FROM conversations GROUP BY ALL""")
 def t2_stream_ledger(spark, sf_dir):
-    c = _stream(spark, sf_dir, "conversations")
+    """The stream brings the first turns of all sessions last; they still plant."""
+    c = _stream(spark, sf_dir, "conversations", F.col("turn") >= 2)
     p = c.select(F.col("conv_id").cast("string").alias("session_id"), F.concat(F.lit("slot"), (F.col("turn") % 3).cast("string")).alias("slot_name"), F.concat(F.lit("type"), (F.col("turn") % 2).cast("string")).alias("credential_type"), F.col("turn").cast("int").alias("turn_index"))
-    return _run(spark, jobs.stream_ledger(p), "append").select("session_id", "slot_name")
+    out = _run(spark, jobs.stream_ledger(p), "session_id", "slot_name")
+    return out.withColumn("stable", F.col("value") == ledger.hash_token("canary")).select("session_id", "slot_name", "turn_index", "credential_type", "stable")
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS session_id, max((event_id % 101) / 101) AS max_risk, count(*) AS turns, ['allow', 'warn', 'sanitize', 'block', 'escalate'][max(event_id % 5) + 1] AS gravest FROM events GROUP BY user_id")
@@ -830,4 +872,4 @@ def t3_stream_session_risk(spark, sf_dir):
     e = _stream(spark, sf_dir, "events")
     action = F.get(F.array(*[F.lit(a) for a in ("allow", "warn", "sanitize", "block", "escalate")]), (F.col("event_id") % 5).cast("int"))
     d = e.select(F.col("user_id").cast("string").alias("session_id"), action.alias("action"), (F.col("event_id") % 101 / 101).alias("risk_score"))
-    return _run(spark, jobs.stream_session_risk(d), "complete").select("session_id", "max_risk", "turns", "gravest")
+    return _run(spark, jobs.stream_session_risk(d), "session_id").select("session_id", "max_risk", "turns", "gravest")

@@ -36,16 +36,15 @@ def stream_guard(outputs: DataFrame, canaries: DataFrame, path: str, checkpoint:
 
 
 def stream_ledger(placeholders: DataFrame, salt: str = "canary", delay: str | None = None) -> DataFrame:
-    """The first planting of each session and slot, over all batches of an ordered stream.
+    """The first planting of each session and slot: that of its earliest turn, whichever batch brings it.
 
-    ``delay`` bounds the state by a watermark on ``ts``; a slot that comes again after it is planted anew.
+    Run it in update mode: a row that comes again replaces the last one of its slot. ``delay`` bounds the state by a watermark on
+    ``ts``; each slot is then planted per window of that length, and in append mode once the window has passed.
     """
-    seen = placeholders
-    if delay:
-        seen = placeholders.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["session_id", "slot_name"])
-    else:
-        seen = placeholders.dropDuplicates(["session_id", "slot_name"])
-    return seen.select("session_id", "slot_name", "credential_type", "turn_index", hash_token(salt).alias("value"))
+    window = [F.window("ts", delay)] if delay else []
+    rows = placeholders.withWatermark("ts", delay) if delay else placeholders
+    first = rows.groupBy("session_id", "slot_name", *window).agg(F.min(F.struct("turn_index", "credential_type")).alias("first"))
+    return first.select("session_id", "slot_name", "first.credential_type", "first.turn_index").withColumn("value", hash_token(salt))
 
 
 def stream_session_risk(decisions: DataFrame, delay: str | None = None) -> DataFrame:
