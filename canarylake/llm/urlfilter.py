@@ -38,27 +38,46 @@ def rule_columns(rules: list[tuple[str, str, str]], host, path):
     return (rule, verdict) if rules else (F.lit(None).cast("string"), F.lit(None).cast("string"))
 
 
-def templates(pages: DataFrame, depth: int = 6, least_distinct: int = 16, least_share: float = 0.5) -> DataFrame:
+#: Parts of a host's rows in a join with something small per host, so that no host is joined in one task.
+_SALTS = 16
+
+
+def _salted(rows: DataFrame, small: DataFrame, keys: list[str], spread: str, how: str = "inner") -> DataFrame:
+    """Join on ``keys``, null-free, where one of ``rows``'s keys may hold most rows: ``small`` meets each of its parts."""
+    left = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(_SALTS)).cast("int"))
+    right = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return left.join(right, [*keys, "salt"], how).drop("salt")
+
+
+def templates(pages: DataFrame, least_distinct: int = 16, least_share: float = 0.5) -> DataFrame:
     """``(host, path, segs, n, labelled, bad, tmpl)`` per distinct host and path of ``pages(host, path, bad)``.
 
-    ``tmpl`` has as many entries as ``segs``: a segment or ``*``. Segments beyond ``depth`` become one ``**``.
+    ``tmpl`` has as many entries as ``segs``: a segment or ``*``. A path goes down the tree as long as another one shares its node; from
+    there on it has nothing to vary against and keeps its segments, but for those that look like ids.
     """
     per = pages.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad"))
-    segs = F.filter(F.split("path", "/"), lambda s: s != "")
-    segs = F.when(F.size(segs) > depth, F.concat(F.slice(segs, 1, depth), F.array(F.lit("**")))).otherwise(segs)
-    now = materialize(per.withColumn("segs", segs).withColumn("tmpl", F.array().cast("array<string>")), "paths")
-    levels = now.agg(F.max(F.size("segs"))).first()[0] or 0
-    for d in range(levels):
+    now = per.withColumn("segs", F.filter(F.split("path", "/"), lambda s: s != "")).withColumn("tmpl", F.array().cast("array<string>"))
+    now, done, d = materialize(now, "paths"), [], 0
+    while True:
         seg = F.get("segs", F.lit(d))
-        now = now.withColumn("seg", F.when(seg.rlike(_ID), "*").otherwise(seg))
-        kids = now.where("seg is not null and seg <> '*'").groupBy("host", "tmpl", "seg").agg(F.sum("n").alias("n"))
-        nodes = kids.groupBy("host", "tmpl").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("visits"))
-        wild = nodes.where((F.col("kinds") >= least_distinct) & (F.col("kinds") >= least_share * F.col("visits"))).select(F.col("host").alias("h"), F.col("tmpl").alias("t"))
-        met = now.join(wild, (F.col("host") == F.col("h")) & (F.col("tmpl") == F.col("t")), "left")
-        step = F.when(F.col("h").isNotNull() & (F.col("seg") != "**"), "*").otherwise(F.col("seg"))
-        now = met.withColumn("tmpl", F.when(F.col("seg").isNull(), F.col("tmpl")).otherwise(F.concat("tmpl", F.array(step)))).drop("h", "t", "seg")
-        now = materialize(now, "paths")  # each level reads the last one twice
-    return now
+        step = now.withColumn("seg", F.when(seg.rlike(_ID), "*").otherwise(seg))
+        kids = step.where("seg is not null").groupBy("host", "tmpl", "seg").agg(F.sum(F.when(F.col("seg") != "*", F.col("n"))).alias("n"), F.count(F.lit(1)).alias("paths"))
+        nodes = kids.groupBy("host", "tmpl").agg(F.count("n").alias("kinds"), F.sum("n").alias("visits"), F.sum("paths").alias("paths"))
+        nodes = nodes.select("host", "tmpl", (F.coalesce((F.col("kinds") >= least_distinct) & (F.col("kinds") >= least_share * F.col("visits")), F.lit(False))).alias("wild"), (F.col("paths") == 1).alias("alone"))
+        met = _salted(step, nodes, ["host", "tmpl"], "path", "left")
+        rest = F.transform(F.slice("segs", d + 1, F.greatest(F.size("segs") - d, F.lit(0))), lambda s: F.when(s.rlike(_ID), "*").otherwise(s))
+        ends = F.col("seg").isNull() | F.col("alone")
+        met = met.withColumn("tmpl", F.when(F.col("seg").isNull(), F.col("tmpl")).when(F.col("alone"), F.concat("tmpl", rest)).otherwise(F.concat("tmpl", F.array(F.when(F.col("wild"), "*").otherwise(F.col("seg"))))))
+        met = materialize(met.withColumn("ends", ends).select(*now.columns, "ends"), "paths")  # each level reads the last one twice
+        done.append(met.where("ends").drop("ends"))
+        now = met.where("not ends").drop("ends")
+        if now.isEmpty():
+            break
+        d += 1
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def merge_similar(leaves: DataFrame, z: float = 1.96) -> DataFrame:
@@ -71,19 +90,21 @@ def merge_similar(leaves: DataFrame, z: float = 1.96) -> DataFrame:
     now = materialize(now, "branches")
     levels = now.agg(F.max(F.size("tmpl"))).first()[0] or 0
     for d in range(levels - 1, -1, -1):
-        wild = F.transform("merged", lambda s, i: F.when((i == d) & (s != "**"), "*").otherwise(s))
-        branch = now.groupBy("host", wild.alias("wild"), "merged").agg(F.sum("labelled").alias("b_labelled"), F.sum("bad").alias("b_bad"))
+        wild = F.transform("merged", lambda s, i: F.when(i == d, "*").otherwise(s))
+        deep = now.where(F.size("merged") > d)
+        branch = deep.groupBy("host", wild.alias("wild"), "merged").agg(F.sum("labelled").alias("b_labelled"), F.sum("bad").alias("b_bad"))
         pool = branch.groupBy("host", "wild").agg(F.sum("b_labelled").alias("p_labelled"), F.sum("b_bad").alias("p_bad"), F.count(F.lit(1)).alias("branches"))
         share = (F.col("p_bad") + 1) / (F.col("p_labelled") + 2)
         close = (F.col("b_labelled") == 0) | (F.abs(F.col("b_bad") / F.col("b_labelled") - share) <= z * F.sqrt(share * (1 - share) / F.col("b_labelled")))
-        met = branch.join(pool, ["host", "wild"]).select(F.col("host").alias("h"), F.col("merged").alias("m"), F.when(close & (F.col("branches") > 1), F.col("wild")).otherwise(F.col("merged")).alias("to"))
-        now = now.join(met, (F.col("host") == F.col("h")) & (F.col("merged") == F.col("m"))).withColumn("merged", F.col("to")).drop("h", "m", "to")
+        to = F.when(close & (F.col("branches") > 1), F.col("wild")).otherwise(F.col("merged"))
+        met = _salted(branch, pool, ["host", "wild"], "merged").select("host", "merged", to.alias("to"))
+        now = _salted(now, met, ["host", "merged"], "tmpl", "left").withColumn("merged", F.coalesce("to", "merged")).drop("to")
         now = materialize(now, "branches")
-    sums = now.groupBy(F.col("host").alias("h"), F.col("merged").alias("m")).agg(F.sum("labelled").alias("s_labelled"), F.sum("bad").alias("s_bad"))
-    return now.join(sums, (F.col("host") == F.col("h")) & (F.col("merged") == F.col("m"))).select("host", "tmpl", "merged", F.col("s_labelled").alias("labelled"), F.col("s_bad").alias("bad"))
+    sums = now.groupBy("host", "merged").agg(F.sum("labelled").alias("s_labelled"), F.sum("bad").alias("s_bad"))
+    return _salted(now, sums, ["host", "merged"], "tmpl").select("host", "tmpl", "merged", F.col("s_labelled").alias("labelled"), F.col("s_bad").alias("bad"))
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = (), id_col: str = "page_id", url_col: str = "url", least_purity: float = 0.5, prior: float = 4.0, depth: int = 6) -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = (), id_col: str = "page_id", url_col: str = "url", least_purity: float = 0.5, prior: float = 4.0) -> DataFrame:
     """``(page_id, host, path, rule, template, purity, verdict)`` for every row.
 
     labels: ``(page_id, bad)``; pages without one, or with null, count as unlabelled, and of several the worst counts. The
@@ -95,12 +116,12 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str,
     marks = labels.where("bad is not null and page_id is not null").groupBy(F.col("page_id").alias("l_id")).agg(F.max(F.col("bad").cast("int")).alias("bad"))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path")).join(marks, F.col("page_id") == F.col("l_id"), "left").drop("l_id")
     rows = materialize(rows, "urls")
-    leaves = materialize(templates(rows.select("host", "path", "bad"), depth), "templates")
+    leaves = materialize(templates(rows.select("host", "path", "bad")), "templates")
     merged = merge_similar(leaves)
     overall = rows.agg(F.coalesce(1 - F.avg("bad"), F.lit(1.0))).first()[0]
     good = F.col("labelled") - F.col("bad")
     judged = materialize(merged.select("host", "tmpl", "merged", ((good + prior * overall) / (F.col("labelled") + prior)).alias("purity")), "judged")
-    by_path = leaves.select("host", "path", "tmpl").join(judged, ["host", "tmpl"]).select("host", "path", F.concat(F.col("host"), F.lit("/"), F.array_join("merged", "/")).alias("template"), "purity")
+    by_path = _salted(leaves.select("host", "path", "tmpl"), judged, ["host", "tmpl"], "path").select("host", "path", F.concat(F.col("host"), F.lit("/"), F.array_join("merged", "/")).alias("template"), "purity")
     rule, fixed = rule_columns(list(rules), F.col("host"), F.col("path"))
     out = rows.join(by_path, ["host", "path"]).withColumn("rule", rule).withColumn("fixed", fixed)
     own = F.when(F.col("purity") < least_purity, "block").otherwise("allow")

@@ -431,6 +431,91 @@ def test_url_rules_and_parts(spark):
     assert urlfilter.judge_urls(pages.where("false"), spark.createDataFrame([], "page_id long, bad boolean")).count() == 0
 
 
+ID = re.compile(r"^(?:\d+|[0-9a-f]{8,}|[0-9a-f]{8}-[0-9a-f-]{27}|\d{4}-\d{2}-\d{2})(?:\.\w{1,5})?$")
+
+
+def brute_templates(paths):
+    """paths: {path: n} of one host; the template of each, node by node from the root."""
+    out = {}
+
+    def go(prefix, d, members):
+        here = [(p, s) for p, s in members if len(s) > d]
+        out.update({p: prefix for p, s in members if len(s) <= d})
+        names = {p: "*" if ID.match(s[d]) else s[d] for p, s in here}
+        if len(here) == 1:
+            p, s = here[0]
+            out[p] = prefix + tuple("*" if ID.match(x) else x for x in s[d:])
+            return
+        kinds = {n for n in names.values() if n != "*"}
+        visits = sum(paths[p] for p, n in names.items() if n != "*")
+        wild = len(kinds) >= 16 and len(kinds) >= 0.5 * visits
+        kids = defaultdict(list)
+        for p, s in here:
+            kids["*" if wild else names[p]].append((p, s))
+        for n, m in kids.items():
+            go(prefix + (n,), d + 1, m)
+
+    go((), 0, [(p, [x for x in p.split("/") if x]) for p in paths])
+    return out
+
+
+def brute_merge(labels):
+    """labels: {template: [labelled, bad]}; the branch of each template."""
+    to = {t: t for t in labels}
+    for d in range(max(map(len, labels), default=0) - 1, -1, -1):
+        sums, pools = defaultdict(lambda: [0, 0]), defaultdict(list)
+        for t, (n, b) in labels.items():
+            if len(to[t]) > d:
+                sums[to[t]][0] += n
+                sums[to[t]][1] += b
+        for m in sums:
+            pools[m[:d] + ("*",) + m[d + 1 :]].append(m)
+        now = {}
+        for w, ms in pools.items():
+            n, b = (sum(sums[m][k] for m in ms) for k in (0, 1))
+            share = (b + 1) / (n + 2)
+            for m in ms:
+                mine = sums[m]
+                close = mine[0] == 0 or abs(mine[1] / mine[0] - share) <= 1.96 * (share * (1 - share) / mine[0]) ** 0.5
+                now[m] = w if close and len(ms) > 1 else m
+        to = {t: now.get(m, m) for t, m in to.items()}
+    return to
+
+
+def test_url_verdicts_equal_brute_force(spark):
+    rng = random.Random(4)
+    rows, marks = [], []
+    for i in range(900):
+        host = rng.choice(["hot.example"] * 4 + ["b.example", "c.example"])
+        kind = rng.choice(["a", "b", "c", "post", "tag"])
+        deep = ["x", "y"][: rng.randrange(3)] + rng.choice([[], ["d1", "d2", "d3", "d4", "d5", "d6", rng.choice(["good", "bad"]), "p%d" % i]])
+        path = "/" + "/".join([kind, *deep, rng.choice(["item%d" % rng.randrange(60), str(i), "same", "2024-01-%02d" % rng.randrange(1, 29)])])
+        rows.append((i, f"http://{host}{path}" + rng.choice(["", "?q=1"]), host, path))
+        if rng.random() < 0.6:
+            marks.append((i, "bad" in deep or (kind == "tag" and rng.random() < 0.9) or rng.random() < 0.1))
+    got = {r.page_id: (r.template, round(r.purity, 9), r.verdict) for r in urlfilter.judge_urls(spark.createDataFrame([r[:2] for r in rows], "page_id long, url string").repartition(4), spark.createDataFrame(marks, "page_id long, bad boolean")).collect()}
+    bad = dict(marks)
+    overall = 1 - sum(bad.values()) / len(bad)
+    for host in {r[2] for r in rows}:
+        mine = [r for r in rows if r[2] == host]
+        tmpl = brute_templates(Counter(r[3] for r in mine))
+        labels = {t: [0, 0] for t in tmpl.values()}
+        for r in mine:
+            if r[0] in bad:
+                labels[tmpl[r[3]]][0] += 1
+                labels[tmpl[r[3]]][1] += bad[r[0]]
+        to, sums = brute_merge(labels), defaultdict(lambda: [0, 0])
+        for t, (n, b) in labels.items():
+            sums[to[t]][0] += n
+            sums[to[t]][1] += b
+        for r in mine:
+            m = to[tmpl[r[3]]]
+            n, b = sums[m]
+            purity = (n - b + 4 * overall) / (n + 4)
+            assert got[r[0]] == (host + "/" + "/".join(m), round(purity, 9), "block" if purity < 0.5 else "allow")
+    assert {v for _, _, v in got.values()} == {"allow", "block"}
+
+
 def test_bad_templates_are_rejected(spark):
     rows, labels = [], []
     for i in range(400):
