@@ -1,7 +1,7 @@
 """A quality classifier by co-training of a text view and a page-metadata view.
 
 Each view has its own logistic regression.  In every round each view scores all
-unlabelled documents, and the *other* view learns from those it is sure of: from a draw among them, over all
+documents, and the *other* view learns from those without a label that it is sure of: from a draw among them, over all
 documents and anew in each round, of ``draw`` per view and class on average.  The views' scores are calibrated on held-out labelled
 rows and added up in a last logistic regression.  Training takes at most ``max_train`` labelled documents; every document is scored.
 
@@ -143,13 +143,14 @@ def read_texts(docs: DataFrame, chosen: list[int]) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, h long, source string, lang string, n_chars long, text binary")
 
 
-def _with_meta(read: DataFrame, pages: DataFrame | None) -> DataFrame:
-    """``(doc_id, h, text, meta)`` with hashes of the metadata values; texts were read before, so that only their places are shuffled."""
-    return meta_names(read, pages).select("doc_id", "h", "text", _meta_ids().alias("meta"))
+def _with_meta(read: DataFrame, pages: DataFrame | None, *columns: str) -> DataFrame:
+    """``columns`` and ``meta``, the hashes of the metadata values; what is kept of texts is not shuffled unless it is among the columns."""
+    few = read.select(*dict.fromkeys(("doc_id", "source", "lang", "n_chars", *columns)))
+    return meta_names(few, pages).select(*columns, _meta_ids().alias("meta"))
 
 
-def narrow_meta(views: DataFrame, chosen: list[int]) -> DataFrame:
-    """``views`` with the places of chosen metadata values in place of all their hashes."""
+def narrow_meta(rows: DataFrame, chosen: list[int], *columns: str) -> DataFrame:
+    """``columns`` with ``meta``, the places of chosen metadata values in place of all their hashes."""
     table = Chosen(chosen)
 
     def run(batches):
@@ -157,52 +158,58 @@ def narrow_meta(views: DataFrame, chosen: list[int]) -> DataFrame:
             ids = b.column("meta")
             row = np.repeat(np.arange(len(ids)), np.asarray(pa.compute.list_value_length(ids)))
             hit, place = table.find(np.asarray(ids.flatten(), np.int64))
-            yield pa.record_batch([*(b.column(c) for c in ("doc_id", "h", "text")), _packed(row[hit], place, len(ids), len(chosen))], names=["doc_id", "h", "text", "meta"])
+            yield pa.record_batch([*(b.column(c) for c in columns), _packed(row[hit], place, len(ids), len(chosen))], names=[*columns, "meta"])
 
-    return views.select("doc_id", "h", "text", "meta").mapInArrow(run, "doc_id long, h long, text binary, meta binary")
+    return rows.select(*columns, "meta").mapInArrow(run, rows.select(*columns).withColumn("meta", F.lit(None).cast("binary")).schema)
 
 
-def _margins(batch: pa.RecordBatch, thetas: list[np.ndarray]) -> list[np.ndarray]:
-    """Both views' log odds for each row."""
-    out = []
-    for name, theta in zip(("text", "meta"), thetas):
-        row, place = _places(batch.column(name))
-        out.append((np.bincount(row, weights=theta[:-1][place], minlength=batch.num_rows) if len(row) else np.zeros(batch.num_rows)) + theta[-1])
-    return out
+def _margin(column, theta: np.ndarray) -> np.ndarray:
+    """A view's log odds for each row of packed places."""
+    row, place = _places(column)
+    return (np.bincount(row, weights=theta[:-1][place], minlength=len(column)) if len(row) else np.zeros(len(column))) + theta[-1]
 
 
 def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def confident(free: DataFrame, thetas: list[np.ndarray], sure: float, draw: int, salt: int) -> list[tuple]:
-    """Rows ``(view, label, text, meta)`` that a view is sure of: of all of ``free``, about ``draw`` per view and class, as a hash picks them."""
+def confident(rows: DataFrame, view: str, theta: np.ndarray, sure: float, draw: int, salt: int) -> DataFrame:
+    """``(label, h, doc_id)`` of rows that a view is sure of: of all of ``rows``, about ``draw`` per class, as a hash picks them."""
+    packed = rows.select("doc_id", "h", F.col(view).alias("x"))
 
     def sure_of(batch):
-        for view, z in enumerate(_margins(batch, thetas)):
-            p = _sigmoid(z)
-            yield view, 1, np.flatnonzero(p > sure)
-            yield view, 0, np.flatnonzero(p < 1 - sure)
+        p = _sigmoid(_margin(batch.column("x"), theta))
+        return (1, np.flatnonzero(p > sure)), (0, np.flatnonzero(p < 1 - sure))
 
     def count(batches):
         for b in batches:
-            rows = [(v, c, len(at)) for v, c, at in sure_of(b)]
-            yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64()))], names=["view", "label", "n"])
+            found = sure_of(b)
+            yield pa.record_batch([pa.array([c for c, _ in found], pa.int32()), pa.array([len(at) for _, at in found], pa.int64())], names=["label", "n"])
 
-    counts = {(r[0], r[1]): r[2] or 0 for r in free.mapInArrow(count, "view int, label int, n long").groupBy("view", "label").agg(F.sum("n")).collect()}
-    share = {k: min(1.0, draw / n) for k, n in counts.items() if n}
+    counts = {r[0]: r[1] or 0 for r in packed.mapInArrow(count, "label int, n long").groupBy("label").agg(F.sum("n")).collect()}
+    share = {c: min(1.0, draw / n) for c, n in counts.items() if n}
 
     def pick(batches):
         for b in batches:
             x = np.asarray(b.column("h"), np.int64).view(np.uint64)
-            for view, c, at in sure_of(b):
-                key = (x[at] + np.uint64(salt * 4 + view * 2 + c)) * np.uint64(0x9E3779B97F4A7C15)
-                at = at[(key >> np.uint64(33)) < share.get((view, c), 0.0) * 2.0**31]
-                some = b.take(pa.array(at))
-                yield pa.record_batch([pa.array([view] * len(at), pa.int32()), pa.array([c] * len(at), pa.int32()), *(some.column(n) for n in ("h", "text", "meta"))], names=["view", "label", "h", "text", "meta"])
+            for c, at in sure_of(b):
+                key = (x[at] + np.uint64(2 * salt + c)) * np.uint64(0x9E3779B97F4A7C15)
+                some = b.take(pa.array(at[(key >> np.uint64(33)) < share.get(c, 0.0) * 2.0**31]))
+                yield pa.record_batch([pa.array([c] * some.num_rows, pa.int32()), some.column("h"), some.column("doc_id")], names=["label", "h", "doc_id"])
+
+    return packed.mapInArrow(pick, "label int, h long, doc_id long").dropDuplicates(["label", "h"])
 
-    picked = free.mapInArrow(pick, "view int, label int, h long, text binary, meta binary").dropDuplicates(["view", "label", "h"]).orderBy("view", "label", "h")
-    return [(r.view, r.label, bytes(r.text), bytes(r.meta)) for r in picked.collect()]
+
+def lessons(texts: DataFrame, metas: DataFrame, labels: DataFrame, thetas: list[np.ndarray], sure: float, draw: int, salt: int) -> list[list[tuple[bytes, int]]]:
+    """What each view learns from the other: its packed places of rows that the other is sure of and that have no label, and their labels."""
+    out = []
+    for mine, mine_name, other, name, theta in ((texts, "text", metas, "meta", thetas[1]), (metas, "meta", texts, "text", thetas[0])):
+        picks = materialize(confident(other, name, theta, sure, draw, salt), "picks")
+        some = F.broadcast(picks)  # some 2 * draw rows
+        known = F.broadcast(labels.join(F.broadcast(picks.select(F.col("doc_id").alias("label_id")).distinct()), "label_id", "left_semi").select(F.col("label_id").alias("doc_id")))
+        rows = mine.select("h", F.col(mine_name).alias("x")).join(some, "h").join(known, "doc_id", "left_anti").dropDuplicates(["label", "h"]).orderBy("label", "h")
+        out.append([(bytes(r.x), r.label) for r in rows.select("x", "label").collect()])
+    return out
 
 
 def _sparse(raw: list[bytes], width: int) -> Sparse:
@@ -210,11 +217,11 @@ def _sparse(raw: list[bytes], width: int) -> Sparse:
     return Sparse(row.astype(np.int32), place, len(raw), width)
 
 
-def co_train(labelled: tuple[list, list, np.ndarray], free: DataFrame, widths: tuple[int, int], rounds: int = 3, sure: float = 0.95, draw: int = 1500) -> tuple[list[np.ndarray], np.ndarray]:
+def co_train(labelled: tuple[list, list, np.ndarray], teach, widths: tuple[int, int], rounds: int = 3) -> tuple[list[np.ndarray], np.ndarray]:
     """Thetas of both views, and the rows of ``labelled`` held out for calibration.
 
-    labelled: packed places of the text and the metadata view, and labels. Rows that a view is sure of teach the other at half weight;
-    each round's draw takes the place of the last one's.
+    labelled: packed places of the text and the metadata view, and labels. ``teach(thetas, round)`` gives what the views learn from each other, at
+    half weight; each round's draw takes the place of the last one's.
     """
     y = labelled[2]
     held = np.flatnonzero(np.arange(len(y)) % 4 == 3)
@@ -229,11 +236,8 @@ def co_train(labelled: tuple[list, list, np.ndarray], free: DataFrame, widths: t
             for c in (0, 1):  # both classes weigh the same
                 w[goal == c] *= 0.5 / max(1e-9, w[goal == c].sum())
             thetas[i] = fit_logistic(x, goal, w, thetas[i])  # from the last round's weights on
-        if step == rounds:
-            break
-        taught = [[], []]
-        for view, c, text, meta in confident(free, thetas, sure, draw, step):
-            taught[1 - view].append(((meta, text)[view], c))
+        if step < rounds:
+            taught = teach(thetas, step)
     return thetas, held
 
 
@@ -244,8 +248,8 @@ def _labels(labels: DataFrame) -> DataFrame:
 _NOTHING = (0.0, 0.0, 0.0)
 
 
-def _fit(docs: DataFrame, labels: DataFrame, pages: DataFrame | None, max_train: int, max_features: int, least_meta: int, rounds: int, draw: int) -> tuple[CoModel, DataFrame]:
-    """The model, and the views of all documents."""
+def _fit(docs: DataFrame, labels: DataFrame, pages: DataFrame | None, max_train: int, max_features: int, least_meta: int, rounds: int, draw: int, sure: float = 0.95) -> tuple[CoModel, DataFrame]:
+    """The model, and what was read of all texts."""
     if max_features > 1 << 16:
         raise ValueError("places have 16 bits")
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
@@ -255,48 +259,61 @@ def _fit(docs: DataFrame, labels: DataFrame, pages: DataFrame | None, max_train:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(ids, F.col("doc_id") == F.col("d"))
     sample = materialize(listed(texts.select("doc_id", "text"), TEXT).join(ids, F.col("doc_id") == F.col("d")).select("features", (1 - F.col("y")).alias("y")), "sample")
     chosen = choose(sample, max_features)
-    views = materialize(_with_meta(materialize(read_texts(docs, chosen), "read"), pages), "views")
-    often = views.select(F.explode("meta").alias("f")).groupBy("f").count().where(F.col("count") >= least_meta)
+    read = materialize(read_texts(docs, chosen), "read")
+    metas = materialize(_with_meta(read, pages, "doc_id", "h"), "metas")
+    often = metas.select(F.explode("meta").alias("f")).groupBy("f").count().where(F.col("count") >= least_meta)
     chosen_meta = [r[0] for r in often.orderBy(F.desc("count"), "f").limit(max_features).select("f").collect()]
-    views = materialize(narrow_meta(views, chosen_meta), "narrow")
-    mine = views.join(ids, F.col("doc_id") == F.col("d")).groupBy("doc_id").agg(F.min(F.struct("h", "text", "meta", "y")).alias("r"))
-    data = mine.select("r.*", F.xxhash64("doc_id").alias("o")).orderBy("o", "h").toPandas()
+    metas = materialize(narrow_meta(metas, chosen_meta, "doc_id", "h"), "narrow")
+    mine = read.join(ids, F.col("doc_id") == F.col("d")).groupBy("doc_id").agg(F.min(F.struct("h", "text", "y")).alias("r")).select("doc_id", "r.*")
+    mine = materialize(mine, "mine")
+    own = F.broadcast(mine.select("doc_id", "h"))  # at most max_train rows
+    data = mine.join(metas.join(own, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]), ["doc_id", "h"]).orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "meta", "y").toPandas()
     y = data["y"].to_numpy(float) if len(data) else np.zeros(0)
     if len(y) < 8 or len(np.unique(y)) < 2:
-        return CoModel(View(chosen, np.zeros(len(chosen) + 1)), View(chosen_meta, np.zeros(len(chosen_meta) + 1)), _NOTHING), views
+        return CoModel(View(chosen, np.zeros(len(chosen) + 1)), View(chosen_meta, np.zeros(len(chosen_meta) + 1)), _NOTHING), read
     raw = [[bytes(v) for v in data[c]] for c in ("text", "meta")]
-    # documents with a label that were not drawn take no part as unlabelled ones
-    free = views.join(_labels(labels).select("label_id"), F.col("doc_id") == F.col("label_id"), "left_anti")
     widths = (len(chosen), len(chosen_meta))
-    thetas, held = co_train((raw[0], raw[1], y), free, widths, rounds, draw=draw)
+    marked = _labels(labels).select("label_id")
+    thetas, held = co_train((raw[0], raw[1], y), lambda thetas, step: lessons(read, metas, marked, thetas, sure, draw, step), widths, rounds)
     out = []
     for places, theta, names, k in zip(raw, thetas, (chosen, chosen_meta), widths):
         z = _sparse([places[i] for i in held], k).dot(theta[:-1]) + theta[-1]
         scale, shift = _logit_fit(z[:, None], y[held])
         out.append((View(names, theta, float(scale), float(shift)), z * scale + shift))
     joint = _logit_fit(np.column_stack([out[0][1], out[1][1]]), y[held])
-    return CoModel(out[0][0], out[1][0], tuple(map(float, joint))), views
+    return CoModel(out[0][0], out[1][0], tuple(map(float, joint))), read
 
 
-def train(docs: DataFrame, labels: DataFrame, pages: DataFrame | None = None, max_train: int = 10_000, max_features: int = 4096, least_meta: int = 20, rounds: int = 3, draw: int = 1500) -> CoModel:
+def train(docs: DataFrame, labels: DataFrame, pages: DataFrame | None = None, max_train: int = 10_000, max_features: int = 4096, least_meta: int = 20, rounds: int = 3, draw: int = 2500) -> CoModel:
     """Co-train on at most ``max_train`` labelled documents, picked by a hash of their ids, and on all others without labels.
 
     Null labels, and labels of null ids, count as none; of several for a document the lowest counts, and of rows that repeat an id one is learnt from.
     With under 8 labelled documents, or labels of one kind only, the model scores every document a half and so keeps it. Text features
     are the ``max_features`` most telling of the labelled sample; metadata values are the most frequent ones of all documents, of those with
-    ``least_meta`` or more. ``draw``: pseudo-labels per round, view and class on average. Columns beside doc_id, text, source, lang and n_chars are not read.
+    ``least_meta`` or more. ``draw``: documents per round, view and class on average, of which those without a label teach the other view. Columns beside doc_id, text, source, lang and n_chars are not read.
     """
     return _fit(docs, labels, pages, max_train, max_features, least_meta, rounds, draw)[0]
 
 
-def _scored(views: DataFrame, model: CoModel) -> DataFrame:
-    def run(batches):
+def _scored(read: DataFrame, model: CoModel, pages: DataFrame | None) -> DataFrame:
+    m_table = Chosen(model.meta.chosen)
+    names = ("doc_id", "source", "lang", "n_chars")
+
+    def text(batches):
         for part in batches:
-            t, m = (z * v.scale + v.shift for z, v in zip(_margins(part, [model.text.theta, model.meta.theta]), (model.text, model.meta)))
+            yield pa.record_batch([*(part.column(c) for c in names), pa.array(_margin(part.column("text"), model.text.theta) * model.text.scale + model.text.shift)], names=[*names, "t"])
+
+    def both(batches):
+        for part in batches:
+            ids, t = part.column("meta"), np.asarray(part.column("t"), np.float64)
+            row = np.repeat(np.arange(len(ids)), np.asarray(pa.compute.list_value_length(ids)))
+            hit, place = m_table.find(np.asarray(ids.flatten(), np.int64))
+            m = _margin(_packed(row[hit], place, len(ids), len(model.meta.chosen)), model.meta.theta) * model.meta.scale + model.meta.shift
             p = _sigmoid(model.joint[0] * t + model.joint[1] * m + model.joint[2])
             yield pa.record_batch([part.column("doc_id"), pa.array(_sigmoid(t)), pa.array(_sigmoid(m)), pa.array(p), pa.array(p >= 0.5)], names=["doc_id", "text_score", "meta_score", "score", "keep"])
 
-    return views.mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, keep boolean")
+    scored = read.select(*names, "text").mapInArrow(text, "doc_id long, source string, lang string, n_chars long, t double")
+    return _with_meta(scored, pages, "doc_id", "t").mapInArrow(both, "doc_id long, text_score double, meta_score double, score double, keep boolean")
 
 
 def score(docs: DataFrame, model: CoModel, pages: DataFrame | None = None) -> DataFrame:
@@ -305,11 +322,11 @@ def score(docs: DataFrame, model: CoModel, pages: DataFrame | None = None) -> Da
     Scores are probabilities of good quality: each view's calibrated one, and the joint one; ``keep`` is whether the
     joint one is at least a half. Null and empty texts are scored as texts without words, null ids as documents without a page. Rows that repeat are scored alike.
     """
-    return _scored(narrow_meta(_with_meta(read_texts(docs, model.text.chosen), pages), model.meta.chosen), model)
+    return _scored(read_texts(docs, model.text.chosen), model, pages)
 
 
 def classify(docs: DataFrame, labels: DataFrame, pages: DataFrame | None = None, **options) -> DataFrame:
     """:func:`train` on documents and :func:`score` of the same ones; texts are read once for both."""
-    defaults = dict(max_train=10_000, max_features=4096, least_meta=20, rounds=3, draw=1500)
-    model, views = _fit(docs, labels, pages, **{**defaults, **options})
-    return _scored(views, model)
+    defaults = dict(max_train=10_000, max_features=4096, least_meta=20, rounds=3, draw=2500)
+    model, read = _fit(docs, labels, pages, **{**defaults, **options})
+    return _scored(read, model, pages)
