@@ -531,6 +531,63 @@ def test_bad_templates_are_rejected(spark):
 
 # ------------------------------------------------------------------ 7, 9
 
+def test_chosen_features_that_share_a_slot_are_both_found():
+    from canarylake.llm.features import Chosen
+
+    many = [5, 5 + (1 << 20), 5 + (3 << 20), 7, *range(100_000, 150_000)]
+    hit, place = Chosen(many).find(np.array([7, 5 + (2 << 20), 5, 5 + (3 << 20), 149_999, 8]))
+    assert hit.tolist() == [0, 2, 3, 4] and [many[p] for p in place] == [7, 5, 5 + (3 << 20), 149_999]
+    assert len(Chosen([]).find(np.array([1, 2]))[0]) == 0
+
+
+def test_severity_equals_brute_force(spark, docs):
+    """Scores of a given model, text by text, from the hashes of its words."""
+    from canarylake.llm.features import word_features
+    import pyarrow as pa
+
+    texts = [r[1] or "" for r in random_docs()]
+    row, h = word_features(pa.array(texts))
+    chosen = sorted(set(h.tolist()))[::7]
+    weights = np.linspace(-1, 1, len(chosen))
+    model = toxicity.OrdinalModel(chosen, weights, np.array([0.1, 0.4, 1.2]))
+    at = {f: w for f, w in zip(chosen, weights)}
+    want = []
+    for i, r in enumerate(random_docs()):
+        z = sum(at[f] for f in set(h[row == i].tolist()) if f in at)
+        above = [1 / (1 + np.exp(-(z - c))) for c in (0.1, 0.4, 1.2)]
+        share = [a - b for a, b in zip([1, *above], [*above, 0])]
+        toxic = above[0] >= 0.5
+        want.append((r[0], round(sum(above), 9), max(1, int(np.argmax(share))) if toxic else 0, toxic))
+    got = [(r.doc_id, round(r.severity, 9), r.grade, r.toxic) for r in toxicity.severity(docs, model).collect()]
+    assert Counter(got) == Counter(want)
+    kept = toxicity.keep_clean(docs.withColumn("toxic", F.lit("clash")), model)
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(w[0] for w in want if not w[3])
+
+
+def test_classification_equals_training_and_scoring(spark, none):
+    """Texts read once or twice give the same scores, and views learn from each other: a source without labels is told apart."""
+    rng = random.Random(1)
+    rows, labels = [], []
+    for i in range(1500):
+        good = i % 3 > 0
+        source = ("g1" if good else "b1") if i % 2 else ("g2" if good else "b2")
+        text = " ".join(rng.choice(["alpha", "beta", "gamma"] if good else ["zeta", "eta", "theta"]) + rng.choice(["", "x"]) for _ in range(20))
+        rows.append((i, text, "en", source, len(text)))
+        if source in ("g1", "b1") and i % 4 < 2:
+            labels.append((i, int(good), 0))
+    docs = spark.createDataFrame([*rows, (None, rows[0][1], "en", "g2", 3), (1, rows[1][1], "en", "b1", None), (9000, "", None, None, None), (9001, None, "en", "g1", 0)], DOCS).repartition(5)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    one = {(r.doc_id, round(r.score, 9), r.keep) for r in cotrain.classify(docs, marks).collect()}
+    model = cotrain.train(docs, marks)
+    assert one == {(r.doc_id, round(r.score, 9), r.keep) for r in cotrain.score(docs, model).collect()}
+    kept = {d: k for d, _, k in one}
+    assert sum(kept[r[0]] == (r[0] % 3 > 0) for r in rows) > 0.98 * len(rows)
+    names = dict(zip(model.meta.chosen, model.meta.theta))
+    ids = {s: spark.range(1).select(F.pmod(F.xxhash64(F.lit("source=" + s)), F.lit(1 << 48))).first()[0] for s in ("g2", "b2")}
+    assert names[ids["g2"]] > 0.1 > -0.1 > names[ids["b2"]], "learnt from the text view alone"
+    assert cotrain.classify(none, marks).count() == 0
+
+
 def test_toxicity_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.1"  # 4,000 labels; the 400 of sf0.01 do not hold most of the words
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))

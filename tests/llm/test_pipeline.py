@@ -9,7 +9,7 @@ from collections import Counter
 import corpus_pipeline as cp
 from pyspark.sql import functions as F
 
-from .test_operators import DOCS, WORD, brute_components, brute_fingerprint, brute_repeats, random_docs
+from .test_operators import DOCS, WORD, brute_repeats, random_docs
 
 
 def test_stages_keep_the_columns(spark, sf):
@@ -24,21 +24,42 @@ def test_stages_keep_the_columns(spark, sf):
     assert packed.agg(F.sum("length")).first()[0] > 0
 
 
-def test_near_copies_keep_one_of_each_group(spark):
-    rows = random_docs()
-    docs = spark.createDataFrame(rows, DOCS)
-    kept = [r.doc_id for r in cp.drop_near_copies(spark, docs, "").collect()]
-    # five-word shingles
-    def print5(text):
-        import xxhash
+def jaccard_components(rows):
+    """A number per row: components of links of a Jaccard similarity of 0.8 or more."""
+    sets = [five_words(r[1]) for r in rows]
+    root = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                old, new = root[i], root[j]
+                root = [new if x == old else x for x in root]
+    return root
 
-        words = WORD.findall("".join(c.lower() if c.isascii() else c for c in text or ""))
-        h = [xxhash.xxh64_intdigest(" ".join(words[i : i + 5]).encode(), 42) for i in range(max(1, len(words) - 4))] if words else []
-        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
 
-    want = {c for d, f, c in brute_components([(r[0], print5(r[1])) for r in rows])}
-    assert Counter(kept) == Counter(want)
-    assert brute_fingerprint("") == 0
+def test_near_copies_keep_one_of_each_group(spark):
+    """The least id of each group of Jaccard 0.8 or more on five-word shingles stays; null ids come last."""
+    rows = random_docs()
+    kept = [r.doc_id for r in cp.drop_near_copies(spark, spark.createDataFrame(rows, DOCS), "").collect()]
+    least = {}
+    for r, c in zip(rows, jaccard_components(rows)):
+        key = 10**18 if r[0] is None else r[0]
+        least[c] = min(least.get(c, key), key)
+    assert Counter(10**18 if d is None else d for d in kept) == Counter(least.values())
+
+
+def test_stages_take_clashing_names_and_long_texts(spark, sf):
+    """Columns with the names of results pass through, and a text of half a million words goes whole through every stage."""
+    rng = random.Random(3)
+    long = " ".join("l%d" % rng.randrange(10**6) for _ in range(500_000))
+    docs = spark.createDataFrame([*random_docs(30), (7000, long, "en", "a", len(long)), (7001, long, "en", "b", len(long))], DOCS)
+    names = ("toxic", "grade", "severity", "n_words", "n_removed", "kept_id", "component", "rest", "row", "key", "id", "fp", "sid", "tmpl")
+    docs = docs.select("*", *[F.lit(n).alias(n) for n in names])
+    for name, stage in cp.STAGES[:-1]:
+        docs = cp.materialize(stage(spark, docs, sf), name)
+        assert docs.where(" and ".join(f"{n} = '{n}'" for n in names)).count() == docs.count() > 0, name
+    assert docs.where(F.length("text") > 2_000_000).select("doc_id").distinct().count() == 1
+    packed = cp.pack_windows(spark, docs, sf)
+    assert packed.where("doc_id >= 7000").agg(F.sum("length")).first()[0] > 1_000_000
 
 
 def test_repeats_go_and_clean_documents_stay(spark):
@@ -76,13 +97,7 @@ def edited(n=40, seed=5):
 
 def test_near_copies_equal_brute_force_jaccard(spark):
     rows = edited()
-    sets = [five_words(r[1]) for r in rows]
-    root = list(range(len(rows)))
-    for i, a in enumerate(sets):
-        for j in range(i):
-            if a == sets[j] or 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
-                old, new = root[i], root[j]
-                root = [new if x == old else x for x in root]
+    root = jaccard_components(rows)
     least = {}
     for r, c in zip(rows, root):
         least[c] = min(least.get(c, r[0]), r[0])
