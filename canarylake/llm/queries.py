@@ -18,18 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tokenizer_paths() -> tuple[str, str]:
-    """The tokenizer file and the rank file of the same vocabulary."""
-    import sys
-
-    try:
-        import public_tokenizers
-    except ImportError:
-        sys.path.append("/opt")
-        import importlib.util
-
-        spec = importlib.util.spec_from_file_location("public_tokenizers", "/opt/tokenizers/__init__.py")
-        public_tokenizers = importlib.util.module_from_spec(spec)
-        spec.loader.exec_module(public_tokenizers)
+    """The tokenizer file and the rank file of the same vocabulary, as the installed package names them."""
+    import public_tokenizers
+
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -45,43 +36,52 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of four-word shingles, linked at four bits or fewer."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of at most ``SHARD_BYTES`` bytes of text."""
     return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every text once repeated windows of twenty words are gone, as a hash."""
     kept = substring.remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest vectors found of every twentieth."""
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in windows of 2048 tokens."""
     packed = packing.pack(table(spark, sf_dir, "documents"), *tokenizer_paths())
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity, grade and verdict of every document."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.severity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest integer inner products of every fiftieth vector."""
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
 def op9_cotrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every document from its text and its page."""
     docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages").select("url")
     return cotrain.classify(docs, table(spark, sf_dir, "labels"), pages)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes."""
     return mixing.Mix(table(spark, sf_dir, "documents")).taken()
 
 
