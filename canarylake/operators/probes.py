@@ -56,10 +56,22 @@ def pool_tokens(tokens: DataFrame, readout: DataFrame | None = None) -> DataFram
     return out
 
 
+#: Parts of a label's rows that are numbered on their own.
+_PARTS = 1024
+
+
 def stratified_folds(df: DataFrame, k: int, seed: int = 0, id_col: str = "example_id", label_col: str = "target") -> DataFrame:
-    """``df`` with ``fold``: rows of each label dealt to the folds in turn, in the order of a hash."""
-    n = F.row_number().over(Window.partitionBy(label_col).orderBy(F.xxhash64(F.lit(seed), id_col), id_col))
-    return df.withColumn("fold", (n - 1) % k)
+    """``df`` with ``fold``: rows of each label dealt to the folds in turn, in the order of a hash.
+
+    Rows are numbered within parts of a label, and a part begins where the ones before it end, so that no label is sorted in one task.
+    """
+    named = df.withColumn("__h", F.xxhash64(F.lit(seed), id_col)).withColumn("__part", F.pmod("__h", F.lit(_PARTS)).cast("int"))
+    sizes = named.groupBy(F.col(label_col).alias("__label"), F.col("__part").alias("__p")).agg(F.count(F.lit(1)).alias("n"))
+    ahead = F.sum("n").over(Window.partitionBy("__label").orderBy("__p")) - F.col("n")
+    starts = F.broadcast(sizes.select("__label", "__p", ahead.alias("__start")))  # so many rows per label
+    n = F.row_number().over(Window.partitionBy(label_col, "__part").orderBy("__h", id_col))
+    met = named.withColumn("__n", n).join(starts, F.col(label_col).eqNullSafe(F.col("__label")) & (F.col("__part") == F.col("__p")))
+    return met.withColumn("fold", ((F.col("__start") + F.col("__n") - 1) % k).cast("int")).drop("__h", "__part", "__label", "__p", "__start", "__n")
 
 
 def grouped_folds(df: DataFrame, k: int, seed: int = 0, family_col: str = "family", label_col: str = "target") -> DataFrame:
@@ -167,13 +179,15 @@ def text_probe_cv(rows: DataFrame, k: int, kind: str = "word", c: float = 1.0, v
     return out.withColumn("is_correct", F.col("true_label") == F.col("predicted_label"))
 
 
-def rank_features(metrics: DataFrame, baseline: str | None = None) -> DataFrame:
-    """``metrics(feature_key, macro_f1, accuracy)`` ranked, with differences to a baseline key."""
-    ranked = metrics.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("macro_f1"), F.desc("accuracy"), "feature_key")))
+def rank_features(metrics: DataFrame, baseline: str | None = None, by: list[str] | None = None) -> DataFrame:
+    """``metrics(by..., feature_key, macro_f1, accuracy)`` ranked within ``by``, with differences to a baseline key. There is a row per key."""
+    by = by or []
+    ranked = metrics.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("macro_f1"), F.desc("accuracy"), "feature_key")))
     if baseline is None:
         return ranked
-    base = metrics.where(F.col("feature_key") == baseline).select(F.col("macro_f1").alias("b1"), F.col("accuracy").alias("b2"))
-    return ranked.crossJoin(F.broadcast(base)).withColumn("delta_macro_f1", F.col("macro_f1") - F.col("b1")).withColumn("delta_accuracy", F.col("accuracy") - F.col("b2")).drop("b1", "b2")
+    base = metrics.where(F.col("feature_key") == baseline).select(*by, F.col("macro_f1").alias("b1"), F.col("accuracy").alias("b2"))
+    met = ranked.join(base, by) if by else ranked.crossJoin(F.broadcast(base))
+    return met.withColumn("delta_macro_f1", F.col("macro_f1") - F.col("b1")).withColumn("delta_accuracy", F.col("accuracy") - F.col("b2")).drop("b1", "b2")
 
 
 def crosscheck(metrics: DataFrame, reference: str, candidate: str) -> tuple[DataFrame, DataFrame]:

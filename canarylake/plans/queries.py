@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import formats
+from ..functions import formats, text
 from ..operators import accounting, calibration, errors, generate, ledger, planted, policytext, probes, residual, runtime, scan
 from ..sources import io, lineage
 from ..streaming import jobs
@@ -209,6 +209,49 @@ def _cases(spark, sf_dir):
     return cases.withColumn("trace_id", F.concat_ws("-", "canary_id", "attack")).withColumn("turn_index", F.lit(1))
 
 
+_LEAKS = [("direct", "direct"), ("reverse", "reverse"), ("leet_normalized", "leet_normalized"), ("rot_n", "rot13"), ("base64", "base64"), ("base32", "base32"), ("hex", "hex"), ("decoded_base64_blob", "decoded_base64"), ("decoded_base32_blob", "decoded_base32"), ("decoded_hex_blob", "decoded_hex"), ("fragmentation", "fragmentation")]
+_LEAKED = f"WITH {i.CANARIES}, k AS (SELECT * FROM (VALUES {', '.join(str(x) for x in _LEAKS)}) v(attack, channel)) "
+
+
+@query(_LEAKED + "SELECT canary_id || '-' || attack AS trace_id, session_id, canary_id, channel FROM can, k")
+def p5_every_channel(spark, sf_dir):
+    """Every value leaked in every exact way."""
+    return planted.planted_exact_matches(_cases(spark, sf_dir).select(*TURN, "text"), i.canaries(spark, sf_dir)).where(~F.col("trace_id").endswith("partial_fuzzy")).select("trace_id", "session_id", "canary_id", "channel")
+
+
+@query(_LEAKED + "SELECT canary_id || '-' || attack AS trace_id, session_id, canary_id, channel FROM can, k")
+def p5_every_channel_global(spark, sf_dir):
+    """The same by a registry without sessions."""
+    return planted.planted_exact_matches(_cases(spark, sf_dir).select(*TURN, "text"), i.canaries(spark, sf_dir), by=None).where(~F.col("trace_id").endswith("partial_fuzzy")).select("trace_id", "session_id", "canary_id", "channel")
+
+
+@query(f"WITH {i.CANARIES} SELECT canary_id AS trace_id, session_id, canary_id, 'rot' || (CAST(session_id AS BIGINT) % 25 + 1) AS channel FROM can")
+def p5_every_rotation(spark, sf_dir):
+    can = i.canaries(spark, sf_dir)
+    turned = F.get(F.array(*[text.rot(F.col("value"), k) for k in range(1, 26)]), (F.col("session_id").cast("long") % 25).cast("int"))
+    out = can.select(F.col("canary_id").alias("trace_id"), "session_id", F.lit(1).alias("turn_index"), F.concat(F.lit("it is "), turned, F.lit(" now")).alias("text"))
+    return planted.planted_exact_matches(out, can).select("trace_id", "session_id", "canary_id", "channel")
+
+
+@query(_LEAKED + "SELECT canary_id || '-' || attack AS trace_id, canary_id, CASE WHEN attack = 'leet_normalized' THEN 'leet' WHEN attack = 'decoded_hex_blob' THEN 'hex' ELSE channel END AS channel FROM can, k WHERE attack NOT IN ('direct', 'base32', 'decoded_base32_blob')")
+def p3_every_channel(spark, sf_dir):
+    found = planted.encoded_canary_matches(_cases(spark, sf_dir).select(*TURN, "text"), i.canaries(spark, sf_dir))
+    return found.where(F.col("exact") & ~F.col("trace_id").endswith("partial_fuzzy") & ~F.col("trace_id").contains("base32")).select("trace_id", "canary_id", "channel")
+
+
+@query(f"WITH {i.OUTPUTS} SELECT trace_id, session_id, turn_index, canary_id, {_CHANNEL} AS channel, CAST(1 AS DOUBLE) AS similarity FROM outs WHERE {_CHANNEL} IS NOT NULL")
+def p8_scan_planted_exact(spark, sf_dir):
+    """The exact half of the scan; :func:`p8_scan_planted` has the scores too."""
+    matches, _ = planted.scan_planted(i.outputs(spark, sf_dir), i.canaries(spark, sf_dir))
+    return matches.where("exact").select(*TURN, "canary_id", "channel", "similarity")
+
+
+@query(_LEAKED + "SELECT attack, count(*) AS tp, CAST(0 AS BIGINT) AS fn, CAST(1 AS DOUBLE) AS recall FROM can, k GROUP BY attack")
+def a3_exact_attacks(spark, sf_dir):
+    """The rows of :func:`a3_detection_table` that need no threshold."""
+    return a3_detection_table(spark, sf_dir).where("attack <> 'partial_fuzzy'").select("attack", "tp", "fn", "recall")
+
+
 @query()
 def a3_detection_table(spark, sf_dir):
     can, cases, benign = i.canaries(spark, sf_dir), _cases(spark, sf_dir), _benign(spark, sf_dir)
@@ -486,15 +529,34 @@ def v1_parse_policy(spark, sf_dir):
     return good.select("example_id", "has_payload", "selected_field", "selected_mode", "policy_label")
 
 
-@query()
-def v2_policy_windows(spark, sf_dir):
+def _windows_sql(keys: str) -> str:
+    """Four-character tokens that the assignments of ``keys`` meet; a text without a policy has no window."""
+    return f"""WITH p AS (SELECT conv_id || '-' || turn AS example_id, text AS base, turn % 2 = 0 AS load, 'field' || ((turn + conv_id) % 3) AS f, CASE WHEN (turn + conv_id) % 2 = 0 THEN 'a' ELSE 'b' END AS m, ['summary', 'mask', 'copy', 'erase'][(turn + conv_id) % 4 + 1] AS c FROM conversations WHERE conv_id % 5 <> 0),
+    w AS (SELECT example_id, base || CASE WHEN load THEN chr(10) || 'Tool payload: {{"selected_field":"' || f || '","selected_mode":"' || m || '","selected_action":"' || c || '"}}' ELSE chr(10) || 'Inline policy block: selected_field=' || f || ';selected_mode=' || m || ';selected_action=' || c END AS t,
+        unnest({keys}) AS k, load, f, m, c FROM p),
+    s AS (SELECT example_id, t, CASE WHEN load THEN '"selected_' || k || '":"' || v || '"' ELSE 'selected_' || k || '=' || v END AS a FROM (SELECT *, CASE k WHEN 'field' THEN f WHEN 'mode' THEN m ELSE c END AS v FROM w)),
+    i AS (SELECT DISTINCT example_id, unnest(range((strpos(t, a) - 1) // 4, (strpos(t, a) - 2 + length(a)) // 4 + 1)) AS i FROM s)
+    SELECT example_id, CAST(count(*) AS INTEGER) AS n, CAST(min(i) AS INTEGER) AS first, CAST(max(i) AS INTEGER) AS last FROM i GROUP BY example_id"""
+
+
+def _windows(spark, sf_dir, kind):
     p = i.prompts(spark, sf_dir)
     n = F.floor((F.length("text") + 3) / 4).cast("int")
     offsets = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda k: F.struct((k * 4).alias("start"), F.least(k * 4 + 4, F.length("text")).alias("end")))
-    good, _ = policytext.policy_windows(p.withColumn("offsets", offsets))
+    good, _ = policytext.policy_windows(p.withColumn("offsets", offsets), kind)
     return good.select("example_id", F.size("window").alias("n"), F.array_min("window").alias("first"), F.array_max("window").alias("last"))
 
 
+@query(_windows_sql("['field', 'mode']"))
+def v2_policy_windows(spark, sf_dir):
+    return _windows(spark, sf_dir, "selector")
+
+
+@query(_windows_sql("['field', 'mode', 'action']"))
+def v2_policy_windows_with_action(spark, sf_dir):
+    return _windows(spark, sf_dir, "policy")
+
+
 @query("""SELECT conv_id || '-' || turn AS example_id, CASE turn % 5 WHEN 0 THEN 'copy' WHEN 1 THEN 'mask' WHEN 2 THEN 'invalid' WHEN 3 THEN 'invalid' ELSE 'mask' END AS resolution FROM conversations""")
 def v3_parse_resolutions(spark, sf_dir):
     k = F.col("turn") % 5
@@ -549,9 +611,9 @@ def b3_pool_tokens(spark, sf_dir):
     return probes.pool_tokens(t).select("example_id", "feature_key", F.round(F.get("vector", F.lit(6)), 6).alias("x"))
 
 
-@query()
+@query("WITH t AS (SELECT CASE WHEN label < 5 THEN 'low' ELSE 'high' END AS target, count(*) AS n FROM embeddings GROUP BY 1) SELECT target, CAST(f AS INTEGER) AS fold, CAST((n - f + 4) // 5 AS BIGINT) AS n FROM t, range(0, 5) r(f)")
 def b4_stratified_folds(spark, sf_dir):
-    return probes.stratified_folds(i.task_rows(spark, sf_dir), 5).groupBy("target", "fold").agg(F.count(F.lit(1)).alias("n"))
+    return probes.stratified_folds(i.task_rows(spark, sf_dir), 5).groupBy("target", F.col("fold").cast("int").alias("fold")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
@@ -582,9 +644,12 @@ def _metrics(spark, sf_dir):
     return e.groupBy((F.col("user_id") % 4).cast("string").alias("dataset_id"), F.col("event_type").alias("feature_key")).agg(F.round(F.avg("value"), 9).alias("macro_f1"), F.round(F.avg(F.col("event_id") % 10), 9).alias("accuracy"))
 
 
-@query(f"WITH {_METRICS} SELECT feature_key, CAST(row_number() OVER (ORDER BY macro_f1 DESC, accuracy DESC, feature_key) AS INTEGER) AS rank FROM mt WHERE dataset_id = '1'")
+@query(f"WITH {_METRICS}, f AS (SELECT dataset_id, macro_f1 AS b1, accuracy AS b2 FROM mt WHERE feature_key = (SELECT min(event_type) FROM events)) SELECT dataset_id, feature_key, CAST(row_number() OVER (PARTITION BY dataset_id ORDER BY macro_f1 DESC, accuracy DESC, feature_key) AS INTEGER) AS rank, round(macro_f1 - b1, 6) AS delta_macro_f1, round(accuracy - b2, 6) AS delta_accuracy FROM mt JOIN f USING (dataset_id)")
 def b9_rank_features(spark, sf_dir):
-    return probes.rank_features(_metrics(spark, sf_dir).where("dataset_id = '1'")).select("feature_key", "rank")
+    """Ranks in every dataset, with the differences to the first key."""
+    base = i.table(spark, sf_dir, "events").agg(F.min("event_type")).first()[0]
+    r = probes.rank_features(_metrics(spark, sf_dir), base, by=["dataset_id"])
+    return r.select("dataset_id", "feature_key", "rank", F.round("delta_macro_f1", 6).alias("delta_macro_f1"), F.round("delta_accuracy", 6).alias("delta_accuracy"))
 
 
 @query(f"WITH {_METRICS}, p AS (SELECT a.dataset_id, CASE WHEN (b.macro_f1, b.accuracy) > (a.macro_f1, a.accuracy) THEN b.feature_key WHEN (b.macro_f1, b.accuracy) < (a.macro_f1, a.accuracy) THEN a.feature_key ELSE 'tie' END AS winner FROM mt a JOIN mt b USING (dataset_id) WHERE a.feature_key = (SELECT min(event_type) FROM events) AND b.feature_key = (SELECT max(event_type) FROM events)) SELECT winner, count(*) AS wins FROM p GROUP BY winner")
@@ -605,17 +670,33 @@ def b12_linear_model(spark, sf_dir):
     return probes.predict_linear_model(rows, probes.train_linear_model(rows, "low")).select("example_id", F.round("positive_probability", 4).alias("p"), "is_positive")
 
 
-@query("SELECT dim, round(avg(x), 6) AS mean, round(var_pop(x), 6) AS variance FROM (SELECT CAST(i AS INTEGER) AS dim, CAST(embedding[i + 1] AS DOUBLE) AS x FROM embeddings, range(0, 16) r(i)) GROUP BY dim")
+_KEYS = "['mean_pool_layer_11', 'mean_pool_layer_16', 'final_token_layer_11', 'final_token_layer_16']"
+_X = f"x AS (SELECT vec_id, {_KEYS}[i // 16 + 1] AS feature_key, CAST(i % 16 AS INTEGER) AS dim, CAST(embedding[i + 1] AS DOUBLE) AS x FROM embeddings, range(0, 64) r(i))"
+
+
+@query(f"WITH {_X} SELECT feature_key, dim, round(avg(x), 6) AS mean, round(var_pop(x), 6) AS variance FROM x GROUP BY ALL")
 def c2_fit_diagonal(spark, sf_dir):
-    d = residual.fit_diagonal(i.features(spark, sf_dir).where("feature_key = 'mean_pool_layer_11'"))
-    return d.select(F.posexplode(F.arrays_zip("mean", "variance")).alias("dim", "x")).select("dim", F.round("x.mean", 6).alias("mean"), F.round("x.variance", 6).alias("variance"))
+    d = residual.fit_diagonal(i.features(spark, sf_dir))
+    return d.select("feature_key", F.posexplode(F.arrays_zip("mean", "variance")).alias("dim", "x")).select("feature_key", "dim", F.round("x.mean", 6).alias("mean"), F.round("x.variance", 6).alias("variance"))
 
 
-@query("""WITH x AS (SELECT vec_id, CAST(i AS INTEGER) AS dim, CAST(embedding[i + 1] AS DOUBLE) AS x FROM embeddings, range(0, 16) r(i)), m AS (SELECT dim, avg(x) AS m, var_pop(x) AS v FROM x GROUP BY dim)
-    SELECT CAST(vec_id AS VARCHAR) AS example_id, round(sqrt(sum((x - m) * (x - m) / (v + 1e-6))), 5) AS distance FROM x JOIN m USING (dim) GROUP BY vec_id""")
+@query(f"""WITH {_X}, m AS (SELECT feature_key, dim, avg(x) AS m, var_pop(x) AS v FROM x GROUP BY ALL)
+    SELECT CAST(vec_id AS VARCHAR) AS example_id, feature_key, round(sqrt(sum((x - m) * (x - m) / (v + 1e-6))), 5) AS distance FROM x JOIN m USING (feature_key, dim) GROUP BY ALL""")
 def c3_residual_features(spark, sf_dir):
-    f = i.features(spark, sf_dir).where("feature_key = 'mean_pool_layer_11'")
-    return residual.residual_features(f, residual.fit_diagonal(f), "diagonal_distance").select("example_id", F.round(F.get("vector", F.lit(0)), 5).alias("distance"))
+    f = i.features(spark, sf_dir)
+    keys = F.array(*[F.lit(k) for k in ("final_token_layer_11", "final_token_layer_16", "mean_pool_layer_11", "mean_pool_layer_16")])
+    out = residual.residual_features(f, residual.fit_diagonal(f), "diagonal_distance")
+    return out.select("example_id", F.explode(F.arrays_zip(keys.alias("k"), F.col("vector").alias("v"))).alias("e")).select("example_id", F.col("e.k").alias("feature_key"), F.round("e.v", 5).alias("distance"))
+
+
+@query(f"""WITH {_X}, m AS (SELECT feature_key, dim, avg(x) AS m, var_pop(x) AS v FROM x GROUP BY ALL)
+    SELECT CAST(vec_id AS VARCHAR) AS example_id, round(sum(abs((x - m) / sqrt(v + 1e-6))), 4) AS total, round(sum((x - m) / sqrt(v + 1e-6)), 4) AS signed FROM x JOIN m USING (feature_key, dim) GROUP BY ALL""")
+def c3_residual_kinds(spark, sf_dir):
+    """The other two kinds, summed up."""
+    f = i.features(spark, sf_dir)
+    c = residual.fit_diagonal(f)
+    total = lambda kind, name: residual.residual_features(f, c, kind).select("example_id", F.round(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v), 4).alias(name))
+    return total("absolute", "total").join(total("residual", "signed"), "example_id")
 
 
 @query()
@@ -685,10 +766,10 @@ def c12_logit_contributions(spark, sf_dir):
     return residual.logit_contributions(s, coefs, wrong)[1]
 
 
-@query(f"WITH {_S} SELECT example_id, count(*) AS n FROM sc WHERE role = 'train' AND feature_key = 'mean_pool_layer_11' AND y GROUP BY ALL")
+@query(f"WITH {_S} SELECT example_id, count(*) AS n FROM sc WHERE role = 'train' AND y GROUP BY ALL")
 def c1_calibration_rows(spark, sf_dir):
-    s = _scores(spark, sf_dir).where("feature_key = 'mean_pool_layer_11'").withColumn("label", F.when(F.col("is_positive"), "p").otherwise("n"))
-    folds = s.select("example_id", F.when(F.col("role") == "test", 0).otherwise(1).alias("fold"))
+    s = _scores(spark, sf_dir).withColumn("label", F.when(F.col("is_positive"), "p").otherwise("n"))
+    folds = s.select("example_id", F.when(F.col("role") == "test", 0).otherwise(1).alias("fold")).distinct()
     return residual.calibration_rows(s, folds, 0, ["p"]).groupBy("example_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -787,10 +868,12 @@ def g2_train_bigrams_private(spark, sf_dir):
     return generate.train_bigrams(_corpus(spark, sf_dir), epsilon=1.0, seed=3)
 
 
-@query()
+@query("SELECT 'stripe-sk-live' AS format, count(*) AS n, count(*) AS valid FROM documents")
 def g3_sample_tokens(spark, sf_dir):
-    t = generate.sample_tokens(generate.train_bigrams(_corpus(spark, sf_dir)), ["stripe-sk-live"], 200, 1)
-    return formats.validate_tokens(t)
+    """As many tokens as there are documents to plant them in."""
+    n = i.table(spark, sf_dir, "documents").count()
+    t = generate.sample_tokens(generate.train_bigrams(_corpus(spark, sf_dir)), ["stripe-sk-live"], n, 1)
+    return formats.validate_tokens(t).groupBy("format").agg(F.count_distinct("token_id").alias("n"), F.count_if("valid").alias("valid"))
 
 
 @query()
