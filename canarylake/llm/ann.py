@@ -275,20 +275,21 @@ def _pool_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def search(graph: DataFrame, coded: DataFrame, starts: DataFrame, true: DataFrame | None = None, k: int = 48, pool: int = 256, width: int = 32, steps: int = 16, enough: float = 0.97) -> DataFrame:
-    """``(q, c)``: the ``pool`` best nodes that a greedy search from each node ``q`` of ``starts`` finds.
+    """``(q, c)``: the ``pool`` best nodes that a greedy search from each node ``q`` of ``starts`` finds, and ``q`` itself.
 
     A step opens the ``width`` best nodes not opened yet, and looks at all their neighbours, both ways. A query is one row with its
     pool. Steps end once the pools hold the share ``enough`` of ``true``, or nothing is left to open.
     """
     lists = both_ways(graph, coded, k)
-    own = starts.join(graph, starts.q == graph.u).join(coded.select("id", F.col("code").alias("mine")), F.col("q") == F.col("id"))
+    # a node without neighbours has no row in the graph, and yet asks: other ids may have its vector
+    own = starts.join(graph, starts.q == graph.u, "left").join(coded.select("id", F.col("code").alias("mine")), F.col("q") == F.col("id"))
 
     def begin(batches):
         for b in batches:
             rows = []
             for q, mine, vs, sims in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
-                ids = np.asarray(vs.values, np.int64)
-                rows.append(_pooled(q, mine, ids, np.asarray(sims.values, np.float64), np.zeros(len(ids), bool), pool, width))
+                ids, sims = (np.asarray(x.values if x.is_valid else [], kind) for x, kind in ((vs, np.int64), (sims, np.float64)))
+                rows.append(_pooled(q, mine, ids, sims, np.zeros(len(ids), bool), pool, width))
             yield _pool_batch(rows)
 
     def step(batches):
@@ -313,8 +314,9 @@ def search(graph: DataFrame, coded: DataFrame, starts: DataFrame, true: DataFram
 
     def named(batches):
         for b in batches:
-            ids = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
-            q = np.repeat(np.asarray(b.column(0)), [len(x) for x in ids])
+            own = np.asarray(b.column(0))
+            ids = [np.append(np.frombuffer(x, np.int64), q) for x, q in zip(b.column(1).to_pylist(), own)]
+            q = np.repeat(own, [len(x) for x in ids])
             yield pa.record_batch([pa.array(q), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64))], names=["q", "c"])
 
     pools = materialize(own.select("q", "mine", "vs", "sims").mapInArrow(begin, _POOL), "pools")
