@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, cotrain, mixing, packing, sharding, simhash, substring, topk, toxicity, urlfilter
+from . import ann, cotrain, lexical, mixing, packing, sharding, simhash, substring, topk, toxicity, urlfilter
 
 #: Fixed rules of the URL query: (verdict, host, path).
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -85,7 +85,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(table(spark, sf_dir, "documents")).taken()
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_sharding, op4_substring, op5_ann, op6_packing, op7_toxicity, op8_topk, op9_cotrain, op10_mixing)}
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents of the highest score for every item of the benchmark."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_sharding, op4_substring, op5_ann, op6_packing, op7_toxicity, op8_topk, op9_cotrain, op10_mixing, op11_lexical)}
 
 ORACLE_SQL = {
     "op3_sharding": sharding.oracle(SHARD_BYTES),
@@ -99,4 +104,5 @@ ORACLE_SQL = {
     SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, CAST(len(w.words) - coalesce(kept.n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
     FROM w LEFT JOIN kept USING (doc_id)""",
     "op8_topk": topk.ORACLE,
+    "op11_lexical": lexical.ORACLE,
 }
