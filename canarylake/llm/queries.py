@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, cotrain, htmltext, lexical, mixing, packing, sharding, simhash, substring, topk, toxicity, urlfilter
+from . import ann, cotrain, htmltext, lexical, mixing, packing, sharding, simhash, substring, topk, toxicity, urlfilter, variants
 
 #: Fixed rules of the URL query: (verdict, host, path).
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -90,12 +90,17 @@ def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with its spelling variants' form."""
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page and its number of code points."""
     return htmltext.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_sharding, op4_substring, op5_ann, op6_packing, op7_toxicity, op8_topk, op9_cotrain, op10_mixing, op11_lexical, op13_html)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_sharding, op4_substring, op5_ann, op6_packing, op7_toxicity, op8_topk, op9_cotrain, op10_mixing, op11_lexical, op12_variants, op13_html)}
 
 ORACLE_SQL = {
     "op3_sharding": sharding.oracle(SHARD_BYTES),
@@ -110,5 +115,6 @@ ORACLE_SQL = {
     FROM w LEFT JOIN kept USING (doc_id)""",
     "op8_topk": topk.ORACLE,
     "op11_lexical": lexical.ORACLE,
+    "op12_variants": variants.ORACLE,
     "op13_html": htmltext.ORACLE,
 }

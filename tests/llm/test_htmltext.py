@@ -91,7 +91,7 @@ def test_odd_pages(spark):
         texts.setdefault(r["page_id"], []).append(r["text"])
     assert len(got) == len(rows)
     assert texts[1] == [""] and texts[2] == ["a b <c> € &unknown; &amp;"] and texts[None] == ["plain text, no markup"] and texts[4] == [""]
-    assert texts[5] == ["open bold next end one two 1 2 3"] and texts[6] == ["in linebreak"] and texts[7] == ["cut"]
+    assert texts[5] == ["open bold next end one two 1 2 3"] and texts[6] == ["in linebreak"] and texts[7] == ["cut rest"]
     assert texts[8] == ["deep"] and sorted(map(len, texts[9])) == [7, 7, 2_199_999] and texts[10] == ["kept"]
     assert texts[11] == ["T body"] and texts[12] == ["a < b and c <3 d e f h"] and texts[13] == ["yes tail"]
     assert htmltext.main_text(spark.createDataFrame([], PAGES)).count() == 0
