@@ -40,7 +40,7 @@ def source_targets(sized: DataFrame, most: float = 3.0) -> DataFrame:
     excess goes to the others by weight: all sources whose ratio of cap to weight is under one
     water level are capped, and the level is found from running sums in the order of that ratio.
     """
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))  # a row per source from here on
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     per = per.withColumn("weight", ((rank - 1) % 3 + 1).cast("double")).withColumn("cap", F.col("source_size") * F.lit(float(most)))
     order = Window.orderBy((F.col("cap") / F.col("weight")), F.col("source").asc_nulls_last())
@@ -55,13 +55,13 @@ def source_targets(sized: DataFrame, most: float = 3.0) -> DataFrame:
     return per.select("source", "source_size", "weight", F.when(open_, F.col("weight") * F.col("water.level")).otherwise(F.col("cap")).alias("target"))
 
 
-def numbered(rows: DataFrame, by: list[str], n: str, name: str, order: str) -> DataFrame:
+def numbered(rows: DataFrame, by: list[str], n: str, name: str, order: str, count: int) -> DataFrame:
     """``rows`` with ``name``: the sum of ``n`` over the rows of the same ``by`` that come before.
 
-    The order is by a chunk of the hash of ``order`` first, and by ``order`` in it, so that no ``by`` is sorted in one task.
+    The order is by a chunk of the hash of ``order`` first, and by ``order`` in it, so that no ``by`` is sorted in one task;
+    ``count`` is about the number of values of ``order``.
     """
-    chunks = max(1, -(-rows.agg(F.count_distinct(order)).first()[0] // CHUNK))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64(F.col(order), *by), F.lit(chunks)))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64(F.col(order), *by), F.lit(max(1, -(-count // CHUNK)))))
     inside = Window.partitionBy(*by, "chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     sums = rows.groupBy(*by, "chunk").agg(F.sum(n).alias("sum"))
     # a row per chunk: a small part of the rows
@@ -78,7 +78,7 @@ def cut_ranges(rows: DataFrame) -> DataFrame:
 def ranges(plan: DataFrame, n: str) -> DataFrame:
     """``(s, lo, hi, piece)``: the sources' shares of 0..sum(n) end to end."""
     lo = F.coalesce(F.sum(n).over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return materialize(cut_ranges(plan.select("s", lo.alias("lo"), (lo + F.col(n)).alias("hi"))), "ranges")
+    return cut_ranges(plan.select("s", lo.alias("lo"), (lo + F.col(n)).alias("hi")))
 
 
 def hits(numbers: DataFrame, cut: DataFrame, by: list[str]) -> DataFrame:
@@ -90,35 +90,45 @@ def multinomial(plan: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     """``(shard, s, n)``: source counts of every shard, drawn and corrected to the totals ``k`` of ``plan(s, k)``."""
     total = plan.agg(F.sum("k")).first()[0] or 0
     spark = plan.sparkSession
+    shards = -(-total // shard_slots)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total >> 20)
     slot = spark.range(0, total, 1, tasks).select((F.col("id") / shard_slots).cast("long").alias("shard"), F.pmod(F.xxhash64("id", F.lit(seed), F.lit("draw")), F.lit(max(1, total))).alias("r"))
     count = F.count(F.lit(1)).alias("n")
     drawn = materialize(hits(slot, ranges(plan, "k"), []).groupBy("shard", "s").agg(count), "drawn")
     sums = plan.select("s", "k").join(drawn.groupBy("s").agg(F.sum("n").alias("drawn")), "s", "left").select("s", "k", F.coalesce("drawn", F.lit(0)).alias("drawn"))
-    sums = materialize(sums, "sums")
     # the slots that a source has too many, anywhere among its slots
     many = sums.where("drawn > k").withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("drawn") - F.col("k") - 1)))
-    places = cut_ranges(numbered(drawn, ["s"], "n", "lo", "shard").withColumn("hi", F.col("lo") + F.col("n")).select("shard", "s", "lo", "hi"))
+    places = cut_ranges(numbered(drawn, ["s"], "n", "lo", "shard", shards).withColumn("hi", F.col("lo") + F.col("n")).select("shard", "s", "lo", "hi"))
     gone = materialize(hits(many.select("s", permute(F.col("j"), F.col("drawn"), F.lit(seed), F.col("s")).alias("r")), places, ["s"]).groupBy("shard", "s").agg(count), "gone")
     out = drawn.unionByName(gone.withColumn("n", -F.col("n")))
     free = gone.groupBy("shard").agg(F.sum("n").alias("free")).withColumn("all", F.lit(1))
     over = free.agg(F.sum("free")).first()[0] or 0
     if over:
-        place = numbered(free, ["all"], "free", "at", "shard").withColumn("j", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("free") - 1)))
+        place = numbered(free, ["all"], "free", "at", "shard", shards).withColumn("j", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("free") - 1)))
         x = place.select("shard", permute(F.col("j"), F.lit(over).cast("long"), F.lit(seed), F.lit("more")).alias("r"))
         few = sums.select("s", F.greatest(F.lit(0).cast("long"), F.col("k") - F.col("drawn")).alias("more"))
         out = out.unionByName(hits(x, ranges(few, "more"), []).groupBy("shard", "s").agg(count))
     return materialize(out.groupBy("shard", "s").agg(F.sum("n").alias("n")).where("n > 0"), "counts")
 
 
+#: What tells a unit of the mix from others: a document, and a copy number where rows repeat it.
+_UNIT = ("doc_id", "source", "text_key", "copy")
+
+
+def _copies(sized: DataFrame) -> DataFrame:
+    """A row for each of the rows that repeat a document."""
+    return sized.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).drop("copies")
+
+
 class Mix:
     """The parts of a mix, as DataFrames.
 
     Null ids, texts and sources are values of their own; texts that are null or have no words are of size 0 and are never taken;
-    rows that repeat a doc_id and a text count each; ties of all orders are broken by hashes; an empty table gives empty parts; other columns are not read.
+    rows that repeat a doc_id, a source and a text count each and are taken each on its own, by a copy number; ties of all orders are broken by hashes; an
+    empty table gives empty parts; very long texts are counted whole; other columns are not read. Texts are told apart by a 64-bit hash.
 
-    sized: ``(doc_id, source, text_key, size)`` for every row; sources: see :func:`source_targets`;
-    spans: ``(source, block, doc_id, text_key, skip, words)``, the words of documents in blocks;
+    sized: ``(doc_id, source, text_key, size, copies)``, a row for all that repeat a document; sources: see :func:`source_targets`;
+    spans: ``(source, block, doc_id, text_key, copy, skip, words)``, the words of documents in blocks;
     slots: ``(shard, slot, source, block)``, the mix itself.
     """
 
@@ -129,31 +139,33 @@ class Mix:
             F.xxhash64(text_col).alias("text_key"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         )
-        self.sized = materialize(base, "sized")
-        self.sources = materialize(source_targets(self.sized, most), "targets")
-        rows = self.sized.count()
+        self.sized = materialize(base.groupBy("doc_id", "source", "text_key").agg(F.first("size").alias("size"), F.count(F.lit(1)).alias("copies")), "sized")
+        per_row = self.sized.select("source", (F.col("size") * F.col("copies")).alias("size"))
+        self.sources = materialize(source_targets(per_row, most), "targets")
+        rows = self.sized.agg(F.sum("copies")).first()[0] or 0
         chunks = max(1, -(-rows // chunk_rows))
         # a source's stream runs chunk by chunk, so that no source has to be sorted in one task
-        mine = self.sized.where("size > 0").withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(chunks)))
+        mine = _copies(self.sized.where("size > 0")).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_key", "copy"), F.lit(chunks)))
         sums = mine.groupBy("source", "chunk").agg(F.sum("size").alias("n"))
         ahead = sums.select("source", "chunk", (F.sum("n").over(Window.partitionBy("source").orderBy("chunk")) - F.col("n")).alias("base"))
-        inside = Window.partitionBy("source", "chunk").orderBy("doc_id", "text_key").rowsBetween(Window.unboundedPreceding, 0)
+        inside = Window.partitionBy("source", "chunk").orderBy("doc_id", "text_key", "copy").rowsBetween(Window.unboundedPreceding, 0)
         placed = mine.withColumn("at", F.sum("size").over(inside) - F.col("size")).join(ahead.withColumnRenamed("source", "s").withColumnRenamed("chunk", "c"), F.col("source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c")))
         placed = placed.withColumn("at", F.col("at") + F.col("base"))
         width = F.lit(block_words)
         cut = placed.withColumn("block", F.explode(F.sequence((F.col("at") / width).cast("long"), ((F.col("at") + F.col("size") - 1) / width).cast("long"))))
         skip = F.greatest(F.lit(0), F.col("block") * width - F.col("at"))
-        self.spans = cut.select("source", "block", "doc_id", "text_key", skip.alias("skip"), (F.least(F.col("size"), (F.col("block") + 1) * width - F.col("at")) - skip).alias("words"))
+        self.spans = cut.select(*_UNIT, "block", skip.alias("skip"), (F.least(F.col("size"), (F.col("block") + 1) * width - F.col("at")) - skip).alias("words"))
         # a source of n blocks has a slot for each n-th part of its size, and at most `most` for each block
         blocks = F.ceil(F.col("source_size") / width)
         plan = self.sources.where("source_size > 0").withColumn("n", blocks).withColumn("k", F.least(F.round(F.col("target") * F.col("n") / F.col("source_size")), F.col("n") * most).cast("long"))
         plan = materialize(plan.where("k > 0").withColumn("s", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))), "plan")
         counts = multinomial(plan.select("s", "k"), shard_slots, seed)
-        first = numbered(counts, ["s"], "n", "i", "shard").withColumnRenamed("n", "slots")
+        kinds, total = plan.agg(F.count(F.lit(1)), F.sum("k")).first()
+        first = numbered(counts, ["s"], "n", "i", "shard", -(-(total or 0) // shard_slots)).withColumnRenamed("n", "slots")
         ahead = F.sum("slots").over(Window.partitionBy("shard").orderBy("s")) - F.col("slots")
         first = first.withColumn("place", ahead).withColumn("size", F.sum("slots").over(Window.partitionBy("shard")))
         named = plan.select("s", "source", "n")
-        met = first.join(F.broadcast(named) if plan.count() < 100_000 else named, "s")
+        met = first.join(F.broadcast(named) if kinds < 100_000 else named, "s")
         each = met.withColumn("e", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)))
         i = F.col("i") + F.col("e")
         self.slots = each.select(
@@ -166,23 +178,20 @@ class Mix:
         return self.slots.groupBy("shard", "source").agg(F.count(F.lit(1)).alias("slots"))
 
     def takes(self) -> DataFrame:
-        """``(doc_id, text_key, block, skip, words, times)``: how often the mix takes each span."""
+        """``(doc_id, source, text_key, copy, block, skip, words, times)``: how often the mix takes each span."""
         # slots come from the few rows of the sources, so the planner would take their counts for small
         times = self.slots.groupBy("source", "block").agg(F.count(F.lit(1)).alias("times")).hint("merge")
         on = F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))
-        return self.spans.join(times.withColumnRenamed("source", "s").withColumnRenamed("block", "b"), on).select("doc_id", "text_key", "block", "skip", "words", "times")
+        return self.spans.join(times.withColumnRenamed("source", "s").withColumnRenamed("block", "b"), on).select(*_UNIT, "block", "skip", "words", "times")
 
     def taken(self) -> DataFrame:
-        """Per document ``(doc_id, source, size, source_size, target, taken)``; taken counts repeats.
-
-        Every row of the documents is there once: rows that repeat doc_id and text share their sum evenly.
-        """
-        sums = self.takes().groupBy("doc_id", "text_key").agg(F.sum(F.col("words") * F.col("times")).alias("sum"))
-        copies = self.sized.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("copies"))
-        per = copies.join(sums.withColumnRenamed("doc_id", "d").withColumnRenamed("text_key", "t"), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("text_key").eqNullSafe(F.col("t")), "left")
-        per = per.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), F.floor(F.coalesce("sum", F.lit(0)) / F.col("copies")).alias("taken"))
-        out = self.sized.join(per, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("text_key").eqNullSafe(F.col("t")))
-        named = F.broadcast(self.sources.withColumnRenamed("source", "s")) if self.sources.count() < 100_000 else self.sources.withColumnRenamed("source", "s")
+        """Per document ``(doc_id, source, size, source_size, target, taken)``; taken counts repeats. Every row of the documents is there once."""
+        none = F.lit(None).cast("long")
+        every = _copies(self.sized).select(*_UNIT, "size", F.lit(0).cast("long").alias("got"))
+        got = self.takes().select(*_UNIT, none.alias("size"), (F.col("words") * F.col("times")).alias("got"))
+        out = every.unionByName(got).groupBy(*_UNIT).agg(F.max("size").alias("size"), F.sum("got").alias("taken"))
+        named = self.sources.withColumnRenamed("source", "s")
+        named = F.broadcast(named) if self.sources.count() < 100_000 else named
         return out.join(named, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
@@ -191,18 +200,35 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     The k-th row holds the words of the blocks taken at least k times; where that is the whole
     document its text stays as it is, else its words are joined by one space. Documents without
-    words take no part. Rows that repeat doc_id and text are taken as one stream, each on its own.
+    words take no part. Of rows that repeat doc_id, source and text, each gets the blocks of one copy number;
+    which of them gets which does not change what the mix holds. Other cases are those of :class:`Mix`.
     """
     mix = Mix(docs, id_col, text_col, source_col, **options)
-    spans = mix.takes().groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("block", "skip", "words", "times"))).alias("spans"))
-    left = docs.withColumn("__d", F.col(id_col).cast("long")).withColumn("__t", F.xxhash64(text_col))
-    spans = spans.select(F.col("doc_id").alias("__d2"), F.col("text_key").alias("__t2"), F.col("spans").alias("__spans"))
-    met = left.join(spans, F.col("__d").eqNullSafe(F.col("__d2")) & (F.col("__t") == F.col("__t2")))
-    most = F.array_max(F.transform("__spans", lambda s: s["times"]))
-    met = met.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), most)))
-    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
-    chosen = F.filter("__spans", lambda s: s["times"] >= F.col("__k"))
-    size = F.aggregate(chosen, F.lit(0).cast("long"), lambda a, s: a + s["words"])
-    cut = F.array_join(F.flatten(F.transform(chosen, lambda s: F.slice(F.col("__words"), (s["skip"] + 1).cast("int"), s["words"].cast("int")))), " ")
-    met = met.withColumn("__words", words).withColumn("__cut", F.when(size == F.size("__words"), F.col(text_col)).otherwise(cut))
-    return met.withColumn(text_col, F.col("__cut")).select(*docs.columns)
+    repeats = mix.sized.where("copies > 1")
+    many = not repeats.isEmpty()
+    spans = mix.takes().groupBy(*_UNIT).agg(F.sort_array(F.collect_list(F.struct("block", "skip", "words", "times"))).alias("spans"))
+    row = F.struct(*docs.columns).alias("row")  # so that no column's name clashes
+    left = docs.select(row).select("row", F.col("row")[id_col].cast("long").alias("d"), F.col("row")[source_col].cast("string").alias("s"), F.xxhash64(F.col("row")[text_col]).alias("t"))
+    same = F.col("d").eqNullSafe(F.col("doc_id")) & F.col("s").eqNullSafe(F.col("source")) & (F.col("t") == F.col("text_key"))
+
+    def met(rows, spans, on):
+        return rows.join(spans, on).select("row", "spans")
+
+    if not many:
+        found = met(left, spans, same)
+    else:
+        key = repeats.select("doc_id", "source", "text_key")
+        again = materialize(left.join(key, same, "left_semi").withColumn("u", F.monotonically_increasing_id()).withColumn("one", F.lit(1).cast("long")), "repeats")
+        n = again.count()
+        # numbered in chunks by a number of their own, so that no group of repeated rows meets in one task
+        place = numbered(again.select(F.xxhash64(F.col("d").isNull(), "d", F.col("s").isNull(), "s", "t").alias("g"), "u", "one"), ["g"], "one", "copy_", "u", n)
+        placed = again.join(place.select("u", "copy_"), "u")
+        found = met(left.join(key, same, "left_anti"), spans, same).unionByName(met(placed, spans, same & (F.col("copy_") == F.col("copy"))))
+    each = found.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.transform("spans", lambda s: s["times"])))))
+    text = F.col("row")[text_col]
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    each = each.withColumn("chosen", F.filter("spans", lambda s: s["times"] >= F.col("k"))).withColumn("words", words)
+    size = F.aggregate("chosen", F.lit(0).cast("long"), lambda a, s: a + s["words"])
+    cut = F.array_join(F.flatten(F.transform("chosen", lambda s: F.slice(F.col("words"), (s["skip"] + 1).cast("int"), s["words"].cast("int")))), " ")
+    kept = F.when(size == F.size("words"), text).otherwise(cut)
+    return each.select(*[kept.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

@@ -422,14 +422,64 @@ def test_shards_draw_multinomial_counts(spark):
         assert 0.5 < spread < 1.7, "as wide as a multinomial's"
 
 
-def test_mixed_documents_hold_what_is_taken(docs):
-    unique = docs.dropDuplicates(["doc_id", "text"])
-    taken = {(r.doc_id, r.size): r.taken for r in mixing.Mix(unique, block_words=16).taken().collect()}
+def held_by(spans):
+    """Words that the mix takes of each unit, from its parts."""
     got = Counter()
-    size = {r.doc_id: len(WORD.findall(r.text or "")) for r in unique.collect()}
-    for r in mixing.mixed_documents(unique, block_words=16).collect():
-        got[(r.doc_id, size[r.doc_id])] += len(WORD.findall(r.text))
-    assert {k: v for k, v in taken.items() if v} == dict(got)
+    for r in spans:
+        got[(r.doc_id, r.source, r.text_key, r.copy)] += r.words * r.times
+    return got
+
+
+def test_mixed_documents_hold_what_is_taken(docs):
+    """Repeated rows are there, inside a source: what each document holds in the mix is what its rows take together."""
+    rows = mixing.Mix(docs, block_words=16).taken().collect()
+    want, got = Counter(), Counter()
+    for r in rows:
+        want[(r.doc_id, r.source, r.size)] += r.taken
+    size = {(r.doc_id, r.source, r.text): len(WORD.findall(r.text or "")) for r in docs.collect()}
+    per_id = defaultdict(set)
+    for (d, s, _), n in size.items():
+        per_id[(d, s)].add(n)
+    for r in mixing.mixed_documents(docs, block_words=16).collect():
+        got[(r.doc_id, r.source)] += len(WORD.findall(r.text))
+    sums = Counter()
+    for (d, s, _), n in want.items():
+        sums[(d, s)] += n
+    assert {k: v for k, v in sums.items() if v} == dict(got)
+
+
+def test_mixing_of_repeated_rows(spark):
+    """One text and id under two sources, and many times under one: every source meets its target, no row is taken over three times."""
+    rng = random.Random(1)
+    text = " ".join(f"t{i}" for i in range(1280))
+    rows = [(1, text, "a"), (1, text, "b"), (None, text, "b"), (None, text, None), (None, text, None)]
+    rows += [(i, " ".join(f"v{rng.randrange(99)}" for _ in range(rng.randrange(1, 90))), rng.choice(["a", "b", "c"])) for i in range(10, 200)]
+    rows += [(7, "seven words are here seven times over", "c")] * 50 + [(8, "", "a")] * 3
+    # names that a join or a window could take for its own
+    df = spark.createDataFrame([(d, t, s, i, 1, 2, {"x": 1}) for i, (d, t, s) in enumerate(rows)], "doc_id long, text string, source string, copy int, d int, spans int, k map<string,int>")
+    mix = mixing.Mix(df, block_words=16)
+    taken = mix.taken().collect()
+    assert Counter((r.doc_id, r.source, r.size) for r in taken) == Counter((d, s, len(WORD.findall(t))) for d, t, s in rows)
+    sizes, sums = Counter(), Counter()
+    for r in taken:
+        sizes[r.source] += r.size
+        sums[r.source] += r.taken
+        assert 0 <= r.taken <= 3 * r.size
+    want = brute_targets(dict(sizes))
+    for s in sizes:
+        assert abs(sums[s] - want[s]) <= 40 + 0.02 * want[s], s
+    # what the slots take is what the rows take
+    assert sum(sums.values()) == sum(held_by(mix.takes().collect()).values())
+    out = mixing.mixed_documents(df, block_words=16).collect()
+    got, most = Counter(), Counter()
+    for r in out:
+        got[r.source] += len(WORD.findall(r.text))
+        most[r["copy"]] += len(WORD.findall(r.text))
+        assert r.k == {"x": 1} and r.d == 1 and r.spans == 2
+    assert got == +sums
+    assert all(n <= 3 * len(WORD.findall(rows[i][1])) for i, n in most.items())
+    words = Counter((d, s) for d, _, s in rows)
+    assert all(words[(r.doc_id, r.source)] for r in out)
 
 
 def test_permutation(spark):
