@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-import math
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+from .fits import Model, classify_sparse, fit_many, fit_sparse, predict_many
+
 
 def binary_task(prompts: DataFrame, labels: dict[str, str | None]) -> DataFrame:
     """``prompts`` with ``target``: source labels mapped to two targets, or dropped where mapped to None."""
@@ -74,108 +73,141 @@ def stratified_folds(df: DataFrame, k: int, seed: int = 0, id_col: str = "exampl
     return met.withColumn("fold", ((F.col("__start") + F.col("__n") - 1) % k).cast("int")).drop("__h", "__part", "__label", "__p", "__start", "__n")
 
 
+#: A family with this share of some label's rows or more is dealt on its own; so there are at most that many for each label.
+_HEAVY = 2_000
+#: Families of one profile that are numbered together.
+_DEALT = 100_000
+
+
+def _greedy(families: list[tuple], total: list[int], k: int, seed: int) -> list[tuple]:
+    """``(family, fold)``: the largest first, each to the fold with fewest rows of its labels so far."""
+    have = [[0.0] * len(total) for _ in range(k)]
+    rows = []
+    for family, counts in sorted(families, key=lambda r: (-sum(r[1]), hashlib.sha256(f"{seed}|{r[0]}".encode()).hexdigest())):
+        gain = [n / max(1, t) for n, t in zip(counts, total)]
+        best = min(range(k), key=lambda f: (sum((h + g) ** 2 - h**2 for h, g in zip(have[f], gain)), f))
+        have[best] = [h + g for h, g in zip(have[best], gain)]
+        rows.append((family, best))
+    return rows
+
+
 def grouped_folds(df: DataFrame, k: int, seed: int = 0, family_col: str = "family", label_col: str = "target") -> DataFrame:
     """``df`` with ``fold``: no family crosses folds, and labels stay near balance.
 
-    Families are counted by Spark; their table (one row each, far smaller than the data) is dealt greedily,
-    largest first, to the fold with fewest rows of the family's labels so far.
+    Families are counted by Spark. The few that hold a two-thousandth of a label's rows or more are dealt greedily on the driver, largest
+    first, to the fold with fewest rows of their labels so far. All others are dealt in turn among the families with the same counts of all
+    labels, in the order of a hash and from a fold by hash, in parts, so that no table of families is gathered. A null family is one family.
     """
-    table = df.groupBy(family_col).pivot(label_col).count().na.fill(0).toPandas()
-    labels = [c for c in table.columns if c != family_col]
-    if any((table[c] > 0).sum() < k for c in labels):
+    labels = [r[0] for r in df.select(label_col).distinct().orderBy(label_col).collect()]  # a few
+    counts = [F.count_if(F.col(label_col).eqNullSafe(F.lit(x))).alias(f"n{i}") for i, x in enumerate(labels)]
+    names = [f"n{i}" for i in range(len(labels))]
+    table = written(df.groupBy(F.col(family_col).alias("family")).agg(*counts), "families")
+    sums = table.agg(F.count(F.lit(1)), *[F.sum(n) for n in names], *[F.count_if(F.col(n) > 0) for n in names]).first()
+    families, total, holders = sums[0], [x or 0 for x in sums[1 : 1 + len(names)]], sums[1 + len(names) :]
+    if any(h < k for h in holders) or not labels:
         raise ValueError("every label needs at least k families")
-    keys = [str(f) for f in table[family_col]]
-    order = sorted(range(len(table)), key=lambda i: (-int(table.loc[i, labels].sum()), hashlib.sha256(f"{seed}|{keys[i]}".encode()).hexdigest()))
-    total = {c: max(1, int(table[c].sum())) for c in labels}
-    have = [dict.fromkeys(labels, 0.0) for _ in range(k)]
-    rows = []
-    for i in order:
-        gain = {c: int(table.loc[i, c]) / total[c] for c in labels}
-        best = min(range(k), key=lambda f: (sum((have[f][c] + gain[c]) ** 2 - have[f][c] ** 2 for c in labels), f))
-        for c in labels:
-            have[best][c] += gain[c]
-        rows.append((table[family_col][i], best))
-    kind = df.schema[family_col].dataType.simpleString()
-    spark = df.sparkSession
-    rows = [(int(a) if "int" in kind else a, b) for a, b in rows]
-    return df.join(F.broadcast(spark.createDataFrame(rows, f"{family_col} {kind}, fold int")) if len(rows) < 100_000 else spark.createDataFrame(rows, f"{family_col} {kind}, fold int"), family_col)
-
-
-def fit_logistic(train: DataFrame, c: float = 1.0, balanced: bool = True, scale: bool = True, positive: str = "1"):
-    """``(predict, parameters)`` of an L2 logistic regression on ``(vector, target)``.
-
-    Features are standardised by the training rows' mean and population deviation; the penalty is 1 / (c n) per row.
-    """
-    rows = train.select(array_to_vector(F.transform("vector", lambda v: v.cast("double"))).alias("x"), (F.col("target") == positive).cast("double").alias("label"))
-    s = rows.agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("x")).alias("s"), F.sum("label").alias("p")).select("s.mean", "s.variance", "s.count", "p").first()
-    n, pos = s["count"], s["p"]
-    mean = [float(v) for v in s["mean"]] if scale else [0.0] * len(s["mean"])
-    std = [(float(v) * (n - 1) / n) ** 0.5 or 1.0 for v in s["variance"]] if scale else [1.0] * len(mean)
-    arr = lambda x: F.array(*[F.lit(v) for v in x])
-    scaled = lambda v: F.zip_with(F.zip_with(F.transform(v, lambda a: a.cast("double")), arr(mean), lambda a, m: a - m), arr(std), lambda d, q: d / q)
-    weight = F.when(F.col("label") == 1, n / (2 * pos)).otherwise(n / (2 * (n - pos))) if balanced else F.lit(1.0)
-    data = train.select(array_to_vector(scaled("vector")).alias("features"), (F.col("target") == positive).cast("double").alias("label")).withColumn("w", weight).persist()
-    model = LogisticRegression(regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, family="binomial", weightCol="w", maxIter=200, tol=1e-9).fit(data)
-    data.unpersist()
-    coef, intercept = [float(v) for v in model.coefficients], float(model.intercept)
-    z = lambda v: F.aggregate(F.zip_with(scaled(v), arr(coef), lambda a, b: a * b), F.lit(intercept), lambda a, b: a + b)
-    return (lambda df: df.withColumn("positive_probability", 1 / (1 + F.exp(-z("vector"))))), {"mean": mean, "scale": std, "coef": coef, "intercept": intercept, "n": n}
+    large = F.lit(False)
+    for n, t in zip(names, total):
+        large = large | (F.col(n) * _HEAVY >= t) & (F.col(n) > 0)
+    heavy = _greedy([(r[0], list(r[1:])) for r in table.where(large).select("family", *names).collect()], total, k, seed)
+    parts = max(1, -(-families // _DEALT))
+    light = table.where(~large).withColumn("h", F.xxhash64(F.lit(seed), "family"))
+    light = light.withColumn("part", F.pmod("h", F.lit(parts)))
+    start = F.pmod(F.xxhash64(F.lit(seed), "part", *names), F.lit(k))
+    place = F.row_number().over(Window.partitionBy("part", *names).orderBy("h", "family"))
+    light = light.select("family", F.pmod(start + place, F.lit(k)).cast("int").alias("fold"))
+    dealt = light.unionByName(df.sparkSession.createDataFrame(heavy, light.schema))
+    return df.join(dealt.withColumnRenamed("family", "__family"), F.col(family_col).eqNullSafe(F.col("__family"))).drop("__family")
 
 
 def activation_probe_cv(rows: DataFrame, k: int, positive: str, negative: str, c: float = 1.0, balanced: bool = True, scale: bool = True) -> DataFrame:
-    """Predictions of every fold by a probe fitted on the other folds; ``rows`` have ``example_id, vector, target, fold``."""
-    out, rows = None, rows.persist()
-    for fold in range(k):
-        predict, _ = fit_logistic(rows.where(F.col("fold") != fold), c, balanced, scale, positive)
-        part = predict(rows.where(F.col("fold") == fold)).withColumn("fold_index", F.lit(fold))
-        out = part if out is None else out.unionByName(part)
+    """Predictions of every fold by a probe fitted on the other folds; ``rows`` have ``example_id, vector, target, fold``. All folds are fitted together."""
+    kept = tuple(x for x in rows.columns if x != "vector")
+    others = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: f != F.col("fold"))
+    table = written(rows.withColumn("groups", others).withColumn("asks", F.array("fold")), "probe-rows")
+    models = fit_many(table, [Model(f, c) for f in range(k)], positive, balanced, scale)
+    out = predict_many(table, models, keep=kept).withColumnRenamed("model", "fold_index")
     label = F.when(F.col("positive_probability") >= 0.5, positive).otherwise(negative)
     out = out.withColumn("true_label", F.col("target")).withColumn("predicted_label", label).withColumn("positive_label", F.lit(positive))
-    return out.withColumn("is_correct", F.col("true_label") == F.col("predicted_label")).drop("vector")
-
-
-def tfidf(train: DataFrame, kind: str = "word", vocabulary: int = 20_000):
-    """A function that adds ``vector``: L2-normalised smoothed TF-IDF of word 1-2-grams or in-word character 3-5-grams."""
-    def terms(df):
-        if kind == "word":
-            t = RegexTokenizer(inputCol="text", outputCol="t1", pattern=r"\w\w+", gaps=False).transform(df)
-            t = NGram(n=2, inputCol="t1", outputCol="t2").transform(t)
-            return t.withColumn("terms", F.concat("t1", "t2")).drop("t1", "t2")
-        words = F.transform(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-        grams = [F.flatten(F.transform(words, lambda w, n=n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(n))))) for n in (3, 4, 5)]
-        return df.withColumn("terms", F.concat(*grams))
-
-    counted = terms(train).persist()
-    cv = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=vocabulary).fit(counted)
-    spark = train.sparkSession
-    n = counted.count()
-    names = spark.createDataFrame(list(enumerate(cv.vocabulary)), "i int, term string")
-    df_ = counted.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("d")).join(names, "term").orderBy("i").select("d").toPandas()["d"]
-    counted.unpersist()
-    idf = ElementwiseProduct(scalingVec=Vectors.dense([math.log((1 + n) / (1 + d)) + 1 for d in df_]), inputCol="tf", outputCol="tfidf")
-    norm = Normalizer(inputCol="tfidf", outputCol="features")
-    return lambda df: norm.transform(idf.transform(cv.transform(terms(df)))).drop("terms", "tf", "tfidf")
-
-
-def text_probe_cv(rows: DataFrame, k: int, kind: str = "word", c: float = 1.0, vocabulary: int = 20_000) -> DataFrame:
-    """Fold predictions of a text baseline on ``(example_id, text, target, fold)``; two targets or more."""
-    out, rows = None, rows.persist()
+    return out.withColumn("is_correct", F.col("true_label") == F.col("predicted_label"))
+
+
+#: Words of two letters or more, in any script.
+_WORD = r"(?U)\b\w\w+\b"
+#: Terms that are numbered together.
+_TERMS = 200_000
+
+
+def text_terms(kind: str = "word", column: str = "text"):
+    """An array of a text's terms with repeats: words and pairs of neighbours, or (``char``) pieces of 3 to 5 characters inside words with a space at both ends."""
+    text = F.lower(F.coalesce(F.col(column), F.lit("")))
+    if kind == "word":
+        words = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
+        pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.concat(words, pairs)
+    if kind != "char":
+        raise ValueError(f"no kind {kind}")
+    words = F.transform(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    pieces = lambda w, n: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - (n - 1)), lambda i: F.substring(w, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.flatten(F.transform(words, lambda w: F.concat(*[pieces(w, n) for n in (3, 4, 5)])))
+
+
+def term_dictionary(counts: DataFrame, k: int) -> tuple[DataFrame, int]:
+    """``(term, id, dfs)`` and the number of terms of ``counts(fold, term, ...)``, a row per text and term.
+
+    ``dfs`` are the numbers of texts outside of each fold that hold the term. Ids are dense: terms are numbered in parts by hash, and
+    a part begins where the ones before it end, so that neither a task nor the driver holds the dictionary.
+    """
+    inside = [F.count_if(F.col("fold") == f) for f in range(k)]
+    terms = counts.groupBy("term").agg(F.array(*[F.count(F.lit(1)) - i for i in inside]).alias("dfs"))
+    terms = written(terms, "terms")
+    parts = max(1, -(-terms.count() // _TERMS))
+    named = terms.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
+    sizes = named.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    starts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))  # a row per part
+    place = F.row_number().over(Window.partitionBy("part").orderBy("term"))
+    out = named.withColumn("place", place).join(F.broadcast(starts), "part")
+    return written(out.select("term", (F.col("start") + F.col("place") - 1).alias("id"), "dfs"), "dictionary"), terms.count()
+
+
+def tfidf(rows: DataFrame, k: int, kind: str = "word") -> tuple[DataFrame, int]:
+    """``(example_id, target, fold, model_fold, ids, values)`` and the number of terms: every text's sparse row under every fold's statistics.
+
+    ``values`` are term counts times ``ln((1 + n) / (1 + df)) + 1``, with n and df of the texts outside of ``model_fold``, scaled to length 1. Terms that
+    no such text holds are left out, and no others: the vocabulary is that of all these texts.
+    """
+    counts = rows.select("example_id", "target", "fold", F.explode(text_terms(kind)).alias("term")).groupBy("example_id", "target", "fold", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counts = written(counts, "counts")
+    names, size = term_dictionary(counts, k)
+    n = {r[0]: r[1] for r in rows.groupBy("fold").count().collect()}  # a row per fold
+    outside = [sum(n.values()) - n.get(f, 0) for f in range(k)]
+    met = counts.join(names, "term").groupBy("example_id", "target", "fold").agg(F.sort_array(F.collect_list(F.struct("id", "tf", "dfs"))).alias("t"))
+    # texts without a term are rows too
+    met = rows.select("example_id", "target", "fold").join(met.select("example_id", "t"), "example_id", "left").withColumn("t", F.coalesce("t", F.filter(F.array(F.struct(F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("tf"), F.array(F.lit(0).cast("long")).alias("dfs"))), lambda x: x["id"] > 0)))
+    each = met.withColumn("m", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.lit(float(m)).alias("n")) for f, m in enumerate(outside)])))
+    kept = F.filter("t", lambda x: F.get(x["dfs"], F.col("m.f")) > 0)
+    each = each.withColumn("t", kept)
+    raw = F.transform("t", lambda x: x["tf"] * (F.log((1 + F.col("m.n")) / (1 + F.get(x["dfs"], F.col("m.f")))) + 1))
+    each = each.withColumn("raw", raw).withColumn("length", F.sqrt(F.aggregate("raw", F.lit(0.0), lambda a, v: a + v * v)))
+    return each.select("example_id", "target", "fold", F.col("m.f").alias("model_fold"), F.transform("t", lambda x: x["id"].cast("int")).alias("ids"), F.transform("raw", lambda v: v / F.col("length")).alias("values")), size
+
+
+def text_probe_cv(rows: DataFrame, k: int, kind: str = "word", c: float = 1.0) -> DataFrame:
+    """Fold predictions of a text baseline on ``(example_id, text, target, fold)``; two targets or more.
+
+    A balanced logistic regression, multinomial beyond two targets, on :func:`tfidf` rows over the whole vocabulary; all folds are fitted
+    together. The weights, one for each term and target, are what the driver holds.
+    """
     names = [r[0] for r in rows.select("target").distinct().orderBy("target").collect()]  # at most a few labels
+    table, size = tfidf(rows.select("example_id", "text", "target", "fold"), k, kind)
     index = F.array_position(F.array(*[F.lit(x) for x in names]), F.col("target")) - 1
-    for fold in range(k):
-        train, test = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
-        vector = tfidf(train, kind, vocabulary)
-        n = train.count()
-        sizes = {r[0]: r[1] for r in train.groupBy("target").count().collect()}
-        w = F.lit(1.0)
-        for t, m in sizes.items():
-            w = F.when(F.col("target") == t, n / (len(sizes) * m)).otherwise(w)
-        data = vector(train).withColumn("label", index.cast("double")).withColumn("w", w)
-        model = LogisticRegression(regParam=1.0 / (c * n), standardization=False, weightCol="w", maxIter=100).fit(data)
-        got = model.transform(vector(test))
-        label = F.get(F.array(*[F.lit(x) for x in names]), F.col("prediction").cast("int"))
-        part = got.select("example_id", F.lit(fold).alias("fold_index"), F.col("target").alias("true_label"), label.alias("predicted_label"))
-        out = part if out is None else out.unionByName(part)
+    own, none = F.array("model_fold"), F.array().cast("array<int>")
+    same = F.col("fold") == F.col("model_fold")
+    table = written(table.select("example_id", "target", "ids", "values", index.alias("label"), F.when(same, none).otherwise(own).alias("groups"), F.when(same, own).otherwise(none).alias("asks")), "tfidf")
+    weights = fit_sparse(table, size, list(range(k)), len(names), c)
+    got = classify_sparse(table, weights, ("example_id", "target"))
+    label = F.get(F.array(*[F.lit(x) for x in names]), F.col("prediction"))
+    out = got.select("example_id", F.col("group").alias("fold_index"), F.col("target").alias("true_label"), label.alias("predicted_label"))
     return out.withColumn("is_correct", F.col("true_label") == F.col("predicted_label"))
 
 
@@ -210,8 +242,9 @@ def feature_stability(metrics: DataFrame) -> DataFrame:
 
 def train_linear_model(rows: DataFrame, positive: str, c: float = 1.0, feature_key: str = "") -> DataFrame:
     """A one-row table of a model fitted on all rows: what :func:`..runtime.linear_score` needs."""
-    _, m = fit_logistic(rows, c, positive=positive)
-    return rows.sparkSession.createDataFrame([(feature_key, positive, 0.5, m["mean"], m["scale"], m["coef"], m["intercept"], m["n"])], "feature_key string, positive_label string, threshold double, mean array<double>, scale array<double>, coef array<double>, intercept double, n long")
+    table = written(rows.select("vector", "target", F.array(F.lit(0)).alias("groups")), "model-rows")
+    m = fit_many(table, [Model(0, c)], positive)[0]
+    return rows.sparkSession.createDataFrame([(feature_key, positive, 0.5, m.mean.tolist(), m.scale.tolist(), m.coef.tolist(), m.intercept, m.n)], "feature_key string, positive_label string, threshold double, mean array<double>, scale array<double>, coef array<double>, intercept double, n long")
 
 
 def predict_linear_model(rows: DataFrame, model: DataFrame) -> DataFrame:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import formats, text
 from ..operators import accounting, calibration, errors, generate, ledger, planted, policytext, probes, residual, runtime, scan
 from ..sources import io, lineage
+from ..sources.scratch import new_path
 from ..streaming import jobs
 from . import inputs as i
 from .registry import query
@@ -616,9 +614,22 @@ def b4_stratified_folds(spark, sf_dir):
     return probes.stratified_folds(i.task_rows(spark, sf_dir), 5).groupBy("target", F.col("fold").cast("int").alias("fold")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("""WITH e AS (SELECT CAST(vec_id % 25 AS VARCHAR) AS family, CASE WHEN label < 5 THEN 'low' ELSE 'high' END AS target FROM embeddings), t AS (SELECT target, count(*) AS n, count(DISTINCT family) AS families FROM e GROUP BY target)
+    SELECT target, n, families, 0 AS split_families, true AS balanced FROM t""")
 def b5_grouped_folds(spark, sf_dir):
-    return probes.grouped_folds(i.task_rows(spark, sf_dir), 5).groupBy("fold", "target").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("family").alias("families"))
+    """Every row and family is in one fold, and no fold's share of a label is far from a fifth."""
+    out = probes.grouped_folds(i.task_rows(spark, sf_dir), 5)
+    per = out.groupBy("target", "fold").agg(F.count(F.lit(1)).alias("n"), F.collect_set("family").alias("f"))
+    split = out.groupBy("family").agg(F.count_distinct("fold").alias("k")).agg(F.count_if(F.col("k") > 1).cast("int").alias("split_families"))
+    by = per.groupBy("target").agg(F.sum("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("f")))).cast("long").alias("families"), ((F.max("n") - F.min("n")) <= 0.3 * F.avg("n")).alias("balanced"))
+    return by.crossJoin(F.broadcast(split)).select("target", "n", "families", "split_families", "balanced")
+
+
+@query()
+def b5_event_folds(spark, sf_dir):
+    """Users of all events dealt to four folds by three kinds of events, and what each fold has."""
+    e = i.table(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("string").alias("family"), F.when(F.col("value") > 50, "high").otherwise("low").alias("target"))
+    return probes.grouped_folds(e, 4).groupBy("fold", "target").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("family").alias("families"))
 
 
 @query()
@@ -628,11 +639,43 @@ def b6_activation_probe_cv(spark, sf_dir):
     return metrics
 
 
+def _labelled(spark, sf_dir):
+    """Labelled documents as texts of two targets, in two folds."""
+    d = i.table(spark, sf_dir, "labels").join(i.table(spark, sf_dir, "documents"), "doc_id")
+    return d.select(F.col("doc_id").cast("string").alias("example_id"), "text", "lang", F.when(F.col("quality") == 1, "good").otherwise("bad").alias("target"), (F.floor(F.col("doc_id") / 3) % 2).cast("int").alias("fold"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, CAST((doc_id // 3) % 2 AS INTEGER) AS fold, regexp_extract_all(lower(text), '[\pL\pN\pM_]{2,}') AS w FROM labels JOIN documents USING (doc_id)),
+    t AS (SELECT doc_id, fold, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM d), c AS (SELECT doc_id, fold, term, count(*) AS tf FROM t GROUP BY ALL),
+    n AS (SELECT f AS model_fold, count(*) FILTER (fold <> f) AS n FROM d, range(0, 2) r(f) GROUP BY f), df AS (SELECT f AS model_fold, term, count(*) FILTER (fold <> f) AS df FROM c, range(0, 2) r(f) GROUP BY f, term HAVING count(*) FILTER (fold <> f) > 0),
+    v AS (SELECT doc_id, model_fold, term, tf * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS v FROM c JOIN df USING (term) JOIN n USING (model_fold))
+    SELECT CAST(doc_id AS VARCHAR) AS example_id, CAST(model_fold AS INTEGER) AS model_fold, count(*) AS terms, round(max(v) / sqrt(sum(v * v)), 6) AS largest, round(sum(v) / sqrt(sum(v * v)), 4) AS total FROM v GROUP BY ALL""")
+def b7_tfidf(spark, sf_dir):
+    """Every labelled document's TF-IDF row under each fold's statistics, over the whole vocabulary."""
+    rows, _ = probes.tfidf(_labelled(spark, sf_dir), 2, "word")
+    total = F.aggregate("values", F.lit(0.0), lambda a, v: a + v)
+    return rows.where(F.size("ids") > 0).select("example_id", "model_fold", F.size("ids").cast("long").alias("terms"), F.round(F.array_max("values"), 6).alias("largest"), F.round(total, 4).alias("total"))
+
+
 @query()
 def b7_text_probe_cv(spark, sf_dir):
-    d = i.table(spark, sf_dir, "labels").join(i.table(spark, sf_dir, "documents"), "doc_id")
-    rows = d.select(F.col("doc_id").cast("string").alias("example_id"), "text", F.when(F.col("quality") == 1, "good").otherwise("bad").alias("target"), F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("fold"))
-    metrics, _ = calibration.cv_metrics(probes.text_probe_cv(rows, 2, "word", vocabulary=5000))
+    """Words and their pairs, whole vocabulary."""
+    metrics, _ = calibration.cv_metrics(probes.text_probe_cv(_labelled(spark, sf_dir), 2, "word"))
+    return metrics
+
+
+@query()
+def b7_text_probe_cv_char(spark, sf_dir):
+    """Pieces inside words, whole vocabulary."""
+    metrics, _ = calibration.cv_metrics(probes.text_probe_cv(_labelled(spark, sf_dir), 2, "char"))
+    return metrics
+
+
+@query()
+def b7_text_probe_cv_classes(spark, sf_dir):
+    """More than two targets: the language of a document."""
+    rows = _labelled(spark, sf_dir).withColumn("target", F.col("lang"))
+    metrics, _ = calibration.cv_metrics(probes.text_probe_cv(rows, 2, "word"))
     return metrics
 
 
@@ -733,20 +776,44 @@ def c7_layer_head_cv(spark, sf_dir):
     return residual.layer_head_cv(_scores(spark, sf_dir)).groupBy("fold", "is_positive", "predicted_positive").agg(F.count(F.lit(1)).alias("n"))
 
 
+_SOURCES = ["final_token_layer_11", "final_token_layer_16", "mean_pool_layer_11", "mean_pool_layer_16"]
+
+
+def _oof(spark, sf_dir):
+    """Nested scores of all four sources."""
+    rows = probes.grouped_folds(i.task_rows(spark, sf_dir), 2).drop("vector")
+    return residual.source_oof_scores(i.features(spark, sf_dir), rows, _SOURCES, 2, 2, "low", "high")
+
+
+@query("""SELECT CAST(vec_id AS VARCHAR) AS example_id, feature_key, 1 AS trains, 1 AS tests, label < 5 AS is_positive, true AS in_range FROM embeddings, (SELECT unnest(['mean_pool_layer_11', 'mean_pool_layer_16', 'final_token_layer_11', 'final_token_layer_16']) AS feature_key)""")
+def c8_source_oof_coverage(spark, sf_dir):
+    """Every example has one score of each source in its own outer fold, and one out-of-fold score in the other."""
+    s = _oof(spark, sf_dir)
+    return s.groupBy("example_id", "feature_key", "is_positive").agg(F.count_if(F.col("role") == "train").cast("int").alias("trains"), F.count_if(F.col("role") == "test").cast("int").alias("tests"), F.min((F.col("score") > 0) & (F.col("score") < 1)).alias("in_range"))
+
+
 @query()
 def c8_source_oof_scores(spark, sf_dir):
-    rows = probes.grouped_folds(i.task_rows(spark, sf_dir), 2).drop("vector")
-    s = residual.source_oof_scores(i.features(spark, sf_dir), rows, ["mean_pool_layer_16"], 2, 2, "low", "high")
+    s = _oof(spark, sf_dir)
     return s.groupBy("fold", "role", "feature_key").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score"))
 
 
 @query()
 def c9_meta_head_cv(spark, sf_dir):
-    s = _scores(spark, sf_dir)
-    p, _ = residual.meta_head_cv(s, residual.source_sets(["mean_pool_layer_11", "mean_pool_layer_16", "final_token_layer_11"])["full"], 2)
+    """All four sources' nested scores, cut at a learned threshold."""
+    p, _ = residual.meta_head_cv(_oof(spark, sf_dir), _SOURCES, 2, learned=True)
     return p.groupBy("fold", "is_positive", "predicted_positive").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def c9_meta_sweep(spark, sf_dir):
+    """Every set of sources at every C against the baseline source, the best first."""
+    s = _oof(spark, sf_dir)
+    p, _ = residual.meta_sweep(s, residual.source_sets(_SOURCES), 2, (0.1, 1.0, 10.0))
+    base = s.where("role = 'test' and feature_key = 'mean_pool_layer_16'").select("example_id", ((F.col("score") >= 0.5) == F.col("is_positive")).alias("is_correct"))
+    return residual.sweep_summary(p, base)
+
+
 @query(f"""WITH {_S}, r AS (SELECT *, row_number() OVER (PARTITION BY fold, example_id ORDER BY score DESC, feature_key) AS k FROM sc WHERE role = 'test'), c AS (SELECT fold, example_id, avg(score) AS mean, max(score) AS "max", avg(score) FILTER (k <= 2) AS top_two, avg(CAST(score >= 0.5 AS INT)) AS votes FROM r GROUP BY ALL)
     SELECT fold, example_id, rule, round(score, 6) AS score FROM (UNPIVOT c ON mean, "max", top_two, votes INTO NAME rule VALUE score)""")
 def c10_combine_scores(spark, sf_dir):
@@ -758,10 +825,32 @@ def c11_transform_scores(spark, sf_dir):
     return residual.transform_scores(_scores(spark, sf_dir), "logit").select("fold", "example_id", "feature_key", F.round("score", 6).alias("score"))
 
 
+@query(f"""WITH {_S}, m AS (SELECT fold, role, example_id, y, avg(score) FILTER (feature_key LIKE 'final%') AS f, avg(score) FILTER (feature_key LIKE 'mean%') AS m FROM sc GROUP BY ALL)
+    SELECT fold, role, example_id, feature_key, round(score, 6) AS score FROM (SELECT fold, role, example_id, feature_key, score FROM sc UNION ALL SELECT fold, role, example_id, k, CASE k WHEN 'final_token_mean' THEN f WHEN 'mean_pool_mean' THEN m WHEN 'mean_gap' THEN m - f ELSE abs(m - f) END FROM m, (SELECT unnest(['final_token_mean', 'mean_pool_mean', 'mean_gap', 'absolute_mean_gap']) AS k))""")
+def c11_interaction_scores(spark, sf_dir):
+    """The sources, the means of each pooling, and their gaps."""
+    s = residual.interaction_scores(_scores(spark, sf_dir), "family_mean_gaps")
+    return s.select("fold", "role", "example_id", "feature_key", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_S}, m AS (SELECT fold, role, example_id, split_part(feature_key, '_layer_', 1) AS source, avg(score) AS m FROM sc GROUP BY ALL)
+    SELECT fold, role, example_id, round(max(m) - min(m), 6) AS abs_gap, round(max(m) FILTER (source = 'final_token') - max(m) FILTER (source = 'mean_pool'), 6) AS gap FROM m GROUP BY ALL""")
+def c11_family_means(spark, sf_dir):
+    m = residual.family_means(_scores(spark, sf_dir), ["fold", "role", "example_id"])
+    return m.select("fold", "role", "example_id", F.round("abs_gap", 6).alias("abs_gap"), F.round("gap", 6).alias("gap"))
+
+
+@query()
+def c11_platt_scores(spark, sf_dir):
+    """Every source's scores through a Platt fit of its fold."""
+    s = residual.transform_scores(_scores(spark, sf_dir), "platt")
+    return s.groupBy("fold", "role", "feature_key").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
+
+
 @query()
 def c12_logit_contributions(spark, sf_dir):
     s = _scores(spark, sf_dir)
-    p, coefs = residual.meta_head_cv(s, ["mean_pool_layer_11", "mean_pool_layer_16"], 2)
+    p, coefs = residual.meta_head_cv(s, _SOURCES, 2)
     wrong = p.where(F.col("predicted_positive") != F.col("is_positive"))
     return residual.logit_contributions(s, coefs, wrong)[1]
 
@@ -775,9 +864,10 @@ def c1_calibration_rows(spark, sf_dir):
 
 @query()
 def k1_nested_platt(spark, sf_dir):
+    """Calibrated predictions of all four sources."""
     rows = probes.grouped_folds(i.task_rows(spark, sf_dir), 2).drop("vector")
-    p = residual.nested_platt(i.features(spark, sf_dir), rows, "mean_pool_layer_16", 2, 2, "low", "high")
-    return calibration.calibration_report(p)
+    p = residual.nested_platt(i.features(spark, sf_dir), rows, _SOURCES, 2, 2, "low", "high")
+    return p.groupBy("feature_key", "fold_index", "true_label", "predicted_label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("positive_probability"), 6).alias("mean_probability"))
 
 
 # ---------------------------------------------------------------- sources
@@ -808,24 +898,9 @@ def s2_check_prompts(spark, sf_dir):
     return good.select(F.lit("good").alias("violation")).unionByName(bad.select("violation")).groupBy("violation").agg(F.count(F.lit(1)).alias("n"))
 
 
-_own: list[str] = []
-
-
-def _written(spark, name: str) -> str:
-    """A new folder in the shared one; where ``spark.checkpoint.dir`` is unset, and only in local mode, in one of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="canarylake-"))
-        base = "file://" + _own[0]
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT count(*) AS n, count(DISTINCT turn) AS turns FROM conversations")
 def s1_read_turns(spark, sf_dir):
-    path = _written(spark, "turns")
+    path = new_path(spark, "turns")
     t = i.turns(spark, sf_dir).withColumn("capability_mode", F.lit("black_box"))
     t.write.json(path)
     good, _ = io.read_turns(spark, path)
@@ -834,7 +909,7 @@ def s1_read_turns(spark, sf_dir):
 
 @query("SELECT CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS component, count(*) AS n FROM events GROUP BY ALL")
 def s3_write_detector_results(spark, sf_dir):
-    path = _written(spark, "results")
+    path = new_path(spark, "results")
     io.write_detector_results(i.results(spark, sf_dir).withColumn("component", F.when(F.col("position") % 2 == 0, "a").otherwise("b")), path)
     return spark.read.parquet(path).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
 
@@ -884,7 +959,7 @@ def g4_realism_report(spark, sf_dir):
 
 @query()
 def s5_load_transitions(spark, sf_dir):
-    path = _written(spark, "model")
+    path = new_path(spark, "model")
     t = generate.train_bigrams(_corpus(spark, sf_dir))
     meta = t.select("format").distinct().select("format", F.lit(1.0).alias("epsilon"), F.lit(2.0).alias("clip"), F.lit(1).alias("corpus_size"), F.lit(0).alias("train_seed"))
     lineage.write_transitions(t, meta, path)
@@ -911,7 +986,7 @@ def g1_synthetic_corpus(spark, sf_dir):
 
 def _stream(spark, sf_dir, name, first=None):
     """The table as a stream of files, rows for which ``first`` holds in earlier batches; it is written to a folder first, as a stream cannot read a lone file."""
-    rows, path = i.table(spark, sf_dir, name), _written(spark, name)
+    rows, path = i.table(spark, sf_dir, name), new_path(spark, name)
     for part in [rows] if first is None else [rows.where(first), rows.where(~first)]:
         part.write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", len(rows.inputFiles()) if first is not None else 1000).parquet(path)
@@ -920,22 +995,22 @@ def _stream(spark, sf_dir, name, first=None):
 @query(f"WITH {i.OUTPUTS} SELECT trace_id, CASE WHEN contains(text, value) THEN 'escalate' ELSE 'other' END AS action FROM outs")
 def t1_stream_guard(spark, sf_dir):
     """Outputs arrive as a file stream; canaries are static."""
-    out, path = i.outputs(spark, sf_dir), _written(spark, "outputs")
+    out, path = i.outputs(spark, sf_dir), new_path(spark, "outputs")
     out.write.parquet(path)
     stream = spark.readStream.schema(out.schema).parquet(path)
-    audit = _written(spark, "audit")
-    jobs.stream_guard(stream, i.canaries(spark, sf_dir), audit, _written(spark, "guard")).awaitTermination()
+    audit = new_path(spark, "audit")
+    jobs.stream_guard(stream, i.canaries(spark, sf_dir), audit, new_path(spark, "guard")).awaitTermination()
     return spark.read.parquet(audit).select("trace_id", F.when(F.col("action") == "escalate", "escalate").otherwise("other").alias("action"))
 
 
 def _run(spark, df, *key):
     """The last row of each key that a stateful stream has given after it has read what there is; every batch is written as it comes."""
-    path = _written(spark, "batches")
+    path = new_path(spark, "batches")
 
     def write(batch, number):
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    df.writeStream.outputMode("update").option("checkpointLocation", _written(spark, "state")).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    df.writeStream.outputMode("update").option("checkpointLocation", new_path(spark, "state")).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.parquet(path)
     every = [c for c in rows.columns if c not in (*key, "batch")]
     return rows.groupBy(*key).agg(F.max_by(F.struct(*every), "batch").alias("r")).select(*key, "r.*")

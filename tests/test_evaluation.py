@@ -126,3 +126,130 @@ def test_policy_text(spark):
     assert bad.first().violation == "no_policy"
     got = policytext.parse_resolutions(spark.createDataFrame([('{"action":"mask"} copy',), ("please COPY",), ("copy mask",), ("",), (None,)], "text string")).collect()
     assert [r.resolution for r in got] == ["mask", "copy", "invalid", "invalid", "invalid"]
+
+
+def test_grouped_folds_of_many_families(spark):
+    """So many families that none is dealt on the driver: folds within two percent of each other for both labels, families whole, also a null one."""
+    n = 200_000
+    h = F.xxhash64("id")
+    df = spark.range(n).select("id", F.when(F.col("id") > 10, (F.floor(F.col("id") / (1 + F.pmod(F.floor(F.col("id") / 1000), F.lit(7))))).cast("string")).alias("family"), F.when(F.pmod(h, F.lit(10)) < 3, "a").otherwise("b").alias("target"))
+    out = probes.grouped_folds(df, 4, seed=3).cache()
+    assert out.count() == n
+    assert out.groupBy("family").agg(F.count_distinct("fold").alias("k")).where("k > 1").count() == 0
+    per = {}
+    for r in out.groupBy("target", "fold").count().collect():
+        per.setdefault(r["target"], []).append(r["count"])
+    out.unpersist()
+    assert all(len(c) == 4 and max(c) < 1.02 * min(c) for c in per.values()), per
+
+
+def test_grouped_folds_of_few_large_families(spark):
+    """One family holds a third of the rows; the rest go where it is not."""
+    rows = [(i, "huge" if i % 3 == 0 else f"f{i % 50}", "a" if i % 2 else "b") for i in range(3000)]
+    out = probes.grouped_folds(spark.createDataFrame(rows, "example_id long, family string, target string"), 3)
+    sizes = sorted(r["count"] for r in out.groupBy("fold").count().collect())
+    assert sum(sizes) == 3000 and sizes[-1] <= 1040
+
+
+def brute_terms(text, kind):
+    import re
+
+    text = (text or "").lower()
+    if kind == "word":
+        w = re.findall(r"\b\w\w+\b", text)
+        return w + [f"{a} {b}" for a, b in zip(w, w[1:])]
+    out = []
+    for w in text.split():
+        w = f" {w} "
+        for n in (3, 4, 5):
+            out += [w[i : i + n] for i in range(len(w) - n + 1)]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["word", "char"])
+def test_tfidf_has_the_whole_vocabulary(spark, kind):
+    import math
+    from collections import Counter
+
+    texts = ["The cat's été, the Ünï cat", "a dog a x1 y_2 dog dog", None, "", "cat dog\tbird  bird", "only here: zebra", "!!", "naïve Straße 12 3", "the the the"]
+    rows = [(i, t, "p" if i % 2 else "n", i % 3) for i, t in enumerate(texts)]
+    got, size = probes.tfidf(spark.createDataFrame(rows, "example_id long, text string, target string, fold int"), 3, kind)
+    counts = {i: Counter(brute_terms(t, kind)) for i, t in enumerate(texts)}
+    assert size == len({t for c in counts.values() for t in c})
+    found = got.collect()
+    assert len(found) == 3 * len(texts)
+    for r in found:
+        train = [c for i, c in counts.items() if i % 3 != r.model_fold]
+        df = Counter(t for c in train for t in c)
+        want = [n * (math.log((1 + len(train)) / (1 + df[t])) + 1) for t, n in counts[r.example_id].items() if t in df]
+        norm = math.sqrt(sum(v * v for v in want))
+        assert len(set(r.ids)) == len(r.ids) and all(0 <= x < size for x in r.ids)
+        assert sorted(round(v, 9) for v in r["values"]) == sorted(round(v / norm, 9) for v in want)
+
+
+def test_text_probe_with_three_targets(spark):
+    words = {"x": "alpha beta gamma", "y": "delta epsilon zeta", "z": "eta theta iota"}
+    rows = [(i, f"{words[t]} common word{i}", t, (i // 3) % 2) for i, t in enumerate("xyz" * 12)]
+    p = probes.text_probe_cv(spark.createDataFrame(rows, "example_id long, text string, target string, fold int"), 2, "word").collect()
+    assert len(p) == 36 and all(r.is_correct for r in p)
+
+
+def nested(spark, n=180):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    y = rng.integers(0, 2, n)
+    x = {"final_token_layer_01": y[:, None] + rng.standard_normal((n, 3)), "final_token_layer_02": 0.3 * y[:, None] + rng.standard_normal((n, 2)), "mean_pool_layer_01": 0.6 * y[:, None] + rng.standard_normal((n, 3)), "mean_pool_layer_02": rng.standard_normal((n, 3))}
+    features = spark.createDataFrame([(str(i), k, [float(a) for a in v[i]]) for k, v in x.items() for i in range(n)], "example_id string, feature_key string, vector array<double>")
+    rows = spark.createDataFrame([(str(i), f"f{i % 30}", "p" if y[i] else "n") for i in range(n)], "example_id string, family string, target string")
+    return features, rows, list(x)
+
+
+def test_nested_scores_and_the_sweep(spark):
+    """Each example has a test score and out-of-fold scores; a sweep of one set and C is the meta head; the summary counts errors."""
+    features, rows, keys = nested(spark)
+    folds = probes.grouped_folds(rows, 3)
+    s = residual.source_oof_scores(features, folds, keys, 3, 2, "p", "n").cache()
+    per = s.groupBy("example_id", "feature_key").agg(F.count_if(F.col("role") == "test").alias("t"), F.count_if(F.col("role") == "train").alias("o"), F.count_distinct("fold").alias("f")).collect()
+    assert len(per) == 180 * 4 and all((r.t, r.o, r.f) == (1, 2, 3) for r in per)
+    # one source's test scores are those of a probe that its outer training rows fit
+    one = probes.activation_probe_cv(features.where("feature_key = 'mean_pool_layer_01'").join(folds, "example_id"), 3, "p", "n")
+    a = {r.example_id: r.score for r in s.where("role = 'test' and feature_key = 'mean_pool_layer_01'").collect()}
+    assert all(abs(a[r.example_id] - r.positive_probability) < 1e-9 for r in one.collect())
+    sets = residual.source_sets(keys)
+    assert list(sets) == ["full_dual_readout", "drop_last_mean_pool", "drop_last_two_mean_pool", "drop_last_final_token", "drop_last_dual_readout_layer", "mean_pool_only"]
+    p, coefs = residual.meta_sweep(s, sets, 3, (0.1, 10.0), learned=True)
+    p = p.cache()
+    assert p.count() == 6 * 2 * 180 and coefs.count() == 3 * 2 * sum(map(len, sets.values()))
+    alone, _ = residual.meta_head_cv(s, sets["mean_pool_only"], 3, 10.0, learned=True)
+    b = {r.example_id: (r.score, r.threshold) for r in p.where("source_set = 'mean_pool_only' and c = 10").collect()}
+    assert all(abs(b[r.example_id][0] - r.score) < 1e-9 and abs(b[r.example_id][1] - r.threshold) < 1e-9 for r in alone.collect())
+    base = s.where("role = 'test' and feature_key = 'mean_pool_layer_02'").select("example_id", ((F.col("score") >= 0.5) == F.col("is_positive")).alias("is_correct"))
+    was = {r.example_id: r.is_correct for r in base.collect()}
+    summary = {(r.source_set, r.c): r for r in residual.sweep_summary(p, base).collect()}
+    for (name, c), r in summary.items():
+        now = {x.example_id: x.predicted_positive == x.is_positive for x in p.where(f"source_set = '{name}' and c = {c}").collect()}
+        assert r.errors == sum(not v for v in now.values()) and r.fixed == sum(now[e] and not was[e] for e in now) and r.introduced == sum(was[e] and not now[e] for e in now)
+    best = min(summary.values(), key=lambda r: (r.net, r.introduced, r.errors, -r.fixed, -r.mean_accuracy, r.source_set, r.c))
+    assert best["rank"] == 1
+    s.unpersist()
+    p.unpersist()
+
+
+def test_platt_fits_are_unweighted_on_raw_probabilities(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    features, rows, keys = nested(spark)
+    folds = probes.grouped_folds(rows, 2)
+    got = residual.nested_platt(features, folds, keys[:1], 2, 2, "p", "n").collect()
+    s = residual.source_oof_scores(features, folds, keys[:1], 2, 2, "p", "n").where("fold = 0 and role = 'train'")
+    n = s.count()
+    one = LogisticRegression(regParam=1.0 / n, standardization=False, maxIter=500, tol=1e-12).fit(s.select(array_to_vector(F.array("score")).alias("features"), F.col("is_positive").cast("double").alias("label")))
+    import math
+
+    for r in got:
+        if r.fold_index == 0:
+            z = one.coefficients[0] * r.raw_probability + one.intercept
+            assert abs(r.positive_probability - 1 / (1 + math.exp(-z))) < 1e-5
+    assert len(got) == 180
