@@ -53,7 +53,7 @@ def test_stages_take_clashing_names_and_long_texts(spark, sf):
     long = " ".join("l%d" % rng.randrange(10**6) for _ in range(500_000))
     docs = spark.createDataFrame([*random_docs(30), (7000, long, "en", "a", len(long)), (7001, long, "en", "b", len(long))], DOCS)
     names = ("toxic", "grade", "severity", "n_words", "n_removed", "kept_id", "component", "rest", "row", "key", "id", "fp", "sid", "tmpl")
-    docs = docs.select("*", *[F.lit(n).alias(n) for n in names])
+    docs = docs.select("*", *[F.lit(n).alias(n) for n in names], F.create_map(F.lit("k"), F.lit(1)).alias("tags"))
     for name, stage in cp.STAGES[:-1]:
         docs = cp.materialize(stage(spark, docs, sf), name)
         assert docs.where(" and ".join(f"{n} = '{n}'" for n in names)).count() == docs.count() > 0, name
@@ -105,6 +105,52 @@ def test_near_copies_equal_brute_force_jaccard(spark):
     assert Counter(r.doc_id for r in cp.drop_near_copies(spark, docs, "").collect()) == Counter(least.values())
 
 
+def test_near_copies_with_a_key_in_all_texts(spark, monkeypatch):
+    """Unlike texts that share much of their words, dealt to many blocks and parts, beside copies: as brute force has it."""
+    from canarylake.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "_BLOCK", 7)
+    monkeypatch.setattr(jaccard, "_HOT", 3)
+    rng = random.Random(12)
+    shared = ["s%d" % i for i in range(60)]
+    rows = []
+    for i in range(70):
+        words = shared[:]
+        for at in rng.sample(range(60), rng.choice([1, 2, 3, 5])):
+            words[at] = "d%d" % rng.randrange(40)
+        rows.append((i, " ".join(words), "en", "a", 1))
+    rows += [(100 + i, rows[i][1].upper(), "en", "b", 1) for i in range(10)]
+    least = {}
+    for r, c in zip(rows, jaccard_components(rows)):
+        least[c] = min(least.get(c, r[0]), r[0])
+    assert 1 < len(least) < 70
+    docs = spark.createDataFrame(rows, DOCS).repartition(5)
+    assert Counter(r.doc_id for r in cp.drop_near_copies(spark, docs, "").collect()) == Counter(least.values())
+
+
+def test_blocks_lose_no_pair():
+    """Sizes and signatures keep every pair of a similarity of 0.8 or more, inside a block and across two."""
+    import numpy as np
+    from canarylake.llm import jaccard
+
+    rng = np.random.default_rng(3)
+    sets = []
+    for n in (1, 4, 5, 30, 130, 700):
+        base = rng.integers(1, 2**63, n).astype(np.uint64)
+        for k in range(5):
+            some = base.copy()
+            for at in rng.integers(0, n, k * max(1, n // 45)):
+                some[at] = rng.integers(1, 2**63)
+            sets.append(np.unique(some[: max(1, n - rng.integers(0, 1 + n // 10))]))
+    want = {(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))}
+    sizes, sigs, roots = [len(x) for x in sets], [jaccard._sig(x) for x in sets], list(range(len(sets)))
+    inside = {tuple(sorted(p, reverse=True)) for p in jaccard.block_pairs(roots, sizes, roots, sigs, [False] * len(sets), 0.8)}
+    assert want <= inside and len(inside) < 3 * len(want) + 20
+    side = [i % 2 == 0 for i in roots]
+    across = {tuple(sorted(p, reverse=True)) for p in jaccard.block_pairs(roots, sizes, roots, sigs, side, 0.8)}
+    assert {p for p in want if side[p[0]] != side[p[1]]} <= across and all(side[a] != side[b] for a, b in across)
+
+
 def test_null_and_repeated_ids_keep_clean_documents(spark):
     rng = random.Random(8)
     texts = [" ".join("q%d" % rng.randrange(10**6) for _ in range(30)) for _ in range(8)]
