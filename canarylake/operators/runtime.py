@@ -115,23 +115,73 @@ def decide(results: DataFrame, turns: DataFrame | None = None) -> DataFrame:
     return every.select(*TURN, F.coalesce("action", F.lit("allow")).alias("action"), F.coalesce("triggered_detectors", F.array().cast("array<string>")).alias("triggered_detectors"), F.coalesce("risk_score", F.lit(0.0)).alias("risk_score"))
 
 
-_RESULT = ["detector_name", "score", "recommended_action", "capability_status", "position"]
+def result(turns: DataFrame, name: str, score: Column, action: Column, status: Column | None = None) -> DataFrame:
+    """A detector's results: a row per turn with its score and the action that it asks for."""
+    return turns.select(*TURN, F.lit(name).alias("detector_name"), score.cast("double").alias("score"), action.alias("recommended_action"), (F.lit("active") if status is None else status).alias("capability_status"))
 
 
-def evaluate_turns(turns: DataFrame, outputs: DataFrame, detectors: list[DataFrame]) -> DataFrame:
-    """Audit rows: results of all detectors, the decision, and the output, replaced where it is not let through."""
-    results = None
+def _positioned(detectors: list[DataFrame], stages: list[str] | None = None) -> DataFrame:
+    """The results of all detectors with their ``position`` and their ``stage``."""
+    out = None
     for i, d in enumerate(detectors):
         status = F.col("capability_status") if "capability_status" in d.columns else F.lit("active")
-        part = d.select(*TURN, "detector_name", F.col("score").cast("double").alias("score"), "recommended_action", status.alias("capability_status"), F.lit(i).alias("position"))
-        results = part if results is None else results.unionByName(part)
+        part = d.select(*TURN, "detector_name", F.col("score").cast("double").alias("score"), "recommended_action", status.alias("capability_status"), F.lit(i).alias("position"), F.lit(stages[i] if stages else "post").alias("stage"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def withheld(action: Column) -> Column:
+    """Whether an output is not let through as it is."""
+    return action.isin("sanitize", "block", "escalate")
+
+
+def _audit(turns: DataFrame, results: DataFrame) -> DataFrame:
+    """Audit rows of ``turns(trace_id, session_id, turn_index, text)``."""
     decisions = decide(results, turns)
-    listed = results.groupBy(*TURN).agg(F.sort_array(F.collect_list(F.struct("position", "detector_name", "score", "recommended_action", "capability_status"))).alias("results"))
-    met = turns.join(outputs.select(*TURN, "text"), TURN, "left").join(listed, TURN, "left").join(decisions, TURN)
-    shown = F.when(F.col("action").isin("sanitize", "block", "escalate"), F.concat(F.lit("[withheld: "), "action", F.lit("]"))).otherwise(F.col("text"))
+    listed = results.groupBy(*TURN).agg(F.sort_array(F.collect_list(F.struct("position", "stage", "detector_name", "score", "recommended_action", "capability_status"))).alias("results"))
+    met = turns.select(*TURN, "text").join(listed, TURN, "left").join(decisions, TURN)
+    shown = F.when(withheld(F.col("action")), F.concat(F.lit("[withheld: "), "action", F.lit("]"))).otherwise(F.col("text"))
     return met.select(*TURN, "results", "action", "triggered_detectors", "risk_score", shown.alias("released_text"))
 
 
+def audit_rows(outputs: DataFrame, detectors: list[DataFrame]) -> DataFrame:
+    """Audit rows of ``outputs(trace_id, session_id, turn_index, text)``: results of all detectors, the decision, and the output, replaced where it is not let through."""
+    return _audit(outputs, _positioned(detectors))
+
+
+def evaluate_turns(turns: DataFrame, outputs: DataFrame, detectors: list[DataFrame]) -> DataFrame:
+    """:func:`audit_rows` of turns whose outputs may be missing."""
+    return audit_rows(turns.select(*TURN).join(outputs.select(*TURN, "text"), TURN, "left"), detectors)
+
+
+def evaluate_stages(turns: DataFrame, outputs: DataFrame, pre: list, post: list, session: list) -> DataFrame:
+    """Audit rows of an evaluation in three stages; a stage is a list of functions from rows to a detector's results.
+
+    ``pre`` sees the turns before there is an output, ``post`` the turns with ``text``, and ``session`` the turns with what the two before
+    decided and the session's state in its order of turns: ``action, risk_score``, and over the turns up to this one ``max_risk, total_risk, gravest`` and
+    ``earlier_withheld``, the number of turns before this one that were not let through. The decision is over the results of all stages.
+    """
+    met = turns.join(outputs.select(*TURN, "text"), TURN, "left")
+    first = [f(turns) for f in pre] + [f(met) for f in post]
+    names = ["pre"] * len(pre) + ["post"] * len(post)
+    so_far = decide(_positioned(first, names), turns) if first else turns.select(*TURN, F.lit("allow").alias("action"), F.lit(0.0).alias("risk_score"))
+    before = Window.partitionBy("session_id").orderBy("turn_index", "trace_id").rowsBetween(Window.unboundedPreceding, -1)
+    state = session_risk(so_far).withColumn("earlier_withheld", F.coalesce(F.count_if(withheld(F.col("action"))).over(before), F.lit(0)))
+    state = state.select(*TURN, "action", "risk_score", "max_risk", "total_risk", "gravest", "earlier_withheld")
+    last = met.drop("action", "risk_score").join(state, TURN)
+    return _audit(met, _positioned(first + [f(last) for f in session], names + ["session"] * len(session)))
+
+
+def risk_budget(limit: float):
+    """A session detector: once the summed risk of a session is over ``limit``, its turns are blocked."""
+    return lambda rows: result(rows, "risk_budget", F.least(F.col("total_risk") / F.lit(limit), F.lit(1.0)), F.when(F.col("total_risk") > limit, "block").otherwise("allow"))
+
+
+def repeat_offender(turns: int):
+    """A session detector: after ``turns`` withheld turns, all that follow are warned of."""
+    return lambda rows: result(rows, "repeat_offender", F.when(F.col("earlier_withheld") >= turns, 0.5).otherwise(0.0), F.when(F.col("earlier_withheld") >= turns, "warn").otherwise("allow"))
+
+
 def capability_report(results: DataFrame, by: list[str]) -> DataFrame:
     """Active detectors, and unavailable or degraded ones with their status, per mode and model."""
     off = F.col("capability_status") != "active"

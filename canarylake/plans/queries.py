@@ -373,6 +373,26 @@ def r6_evaluate_turns(spark, sf_dir):
     return audit.select(*TURN, "action", "risk_score")
 
 
+@query(f"""WITH {i.OUTPUTS}, r AS (SELECT trace_id, session_id, turn_index, text, value, turn_index % 5 = 3 AS odd, length(text) > 300 AS long, contains(text, value) AS said, contains(text, reverse(value)) AS turned FROM outs),
+    f AS (SELECT *, greatest(CASE WHEN said THEN 4 WHEN turned THEN 3 ELSE 0 END, CASE WHEN odd OR long THEN 1 ELSE 0 END) AS sev FROM r),
+    s AS (SELECT *, CASE WHEN sev = 4 THEN 1.0 WHEN sev = 3 THEN 0.9 WHEN sev = 1 THEN CASE WHEN odd THEN 0.3 ELSE 0.2 END ELSE 0.0 END AS risk FROM f),
+    t AS (SELECT *, sum(risk) OVER w AS total, coalesce(sum(CAST(sev >= 2 AS INT)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held FROM s WINDOW w AS (PARTITION BY session_id ORDER BY turn_index, trace_id)),
+    d AS (SELECT *, greatest(sev, CASE WHEN total > 1.5 THEN 3 ELSE 0 END, CASE WHEN held >= 2 THEN 1 ELSE 0 END) AS final FROM t)
+    SELECT trace_id, session_id, turn_index, {i.ACTION.format('final')} AS action, list_filter(['odd_turn', 'long_output', 'canary', 'reversed', 'risk_budget', 'repeat_offender'], lambda n: CASE n WHEN 'odd_turn' THEN odd AND final = 1 WHEN 'long_output' THEN long AND final = 1 WHEN 'canary' THEN said AND final = 4 WHEN 'reversed' THEN turned AND final = 3 WHEN 'risk_budget' THEN total > 1.5 AND final = 3 ELSE held >= 2 AND final = 1 END) AS triggered,
+    final >= 2 AS held_back FROM d""")
+def r6_evaluate_stages(spark, sf_dir):
+    """Three stages of two detectors each; the last reads what the session's earlier turns came to."""
+    out, can = i.outputs(spark, sf_dir), i.canaries(spark, sf_dir).select("session_id", "value")
+    has = lambda f: lambda rows: rows.join(can, "session_id", "left").withColumn("__hit", F.coalesce(F.col("text").contains(f(F.col("value"))), F.lit(False)))
+    found = lambda name, f, score, action: lambda rows: runtime.result(has(f)(rows), name, F.when(F.col("__hit"), score).otherwise(0.0), F.when(F.col("__hit"), action).otherwise("allow"))
+    odd = F.col("turn_index") % 5 == 3
+    pre = [lambda t: runtime.result(t, "odd_turn", F.when(odd, 0.3).otherwise(0.0), F.when(odd, "warn").otherwise("allow")), lambda t: runtime.result(t, "long_output", F.when(F.col("n") > 300, 0.2).otherwise(0.0), F.when(F.col("n") > 300, "warn").otherwise("allow"))]
+    post = [found("canary", lambda v: v, 1.0, "escalate"), found("reversed", F.reverse, 0.9, "block")]
+    turns = out.select(*TURN, F.length("text").alias("n"))
+    audit = runtime.evaluate_stages(turns, out, pre, post, [runtime.risk_budget(1.5), runtime.repeat_offender(2)])
+    return audit.select(*TURN, "action", F.col("triggered_detectors").alias("triggered"), F.col("released_text").startswith("[withheld").alias("held_back"))
+
+
 # ---------------------------------------------------------------- accounting
 
 @query("""WITH s AS (SELECT event_type, (event_id % 97) / 97 AS score FROM events), m AS (SELECT event_type, count(*) AS m, CAST(ceil((count(*) + 1) * 0.95::DECIMAL(12, 10)) AS BIGINT) AS rank FROM s GROUP BY event_type),
@@ -992,15 +1012,24 @@ def _stream(spark, sf_dir, name, first=None):
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", len(rows.inputFiles()) if first is not None else 1000).parquet(path)
 
 
-@query(f"WITH {i.OUTPUTS} SELECT trace_id, CASE WHEN contains(text, value) THEN 'escalate' ELSE 'other' END AS action FROM outs")
+_GUARD = f"""{i.OUTPUTS}, g AS (SELECT trace_id, value, text, contains(text, value) AS said, contains(text, reverse(value)) OR contains(lower(text), lower(hex(encode(value)))) AS coded FROM outs)"""
+
+
+@query(f"WITH {_GUARD} SELECT trace_id, CASE WHEN said THEN 'escalate' WHEN coded THEN 'block' ELSE 'other' END AS action, CASE WHEN said THEN 'canary' WHEN coded THEN 'encoded' ELSE '' END AS triggered, CAST(CASE WHEN said THEN 1.0 WHEN coded THEN 0.9 ELSE 0.0 END AS DOUBLE) AS risk, 1 AS rows FROM g")
 def t1_stream_guard(spark, sf_dir):
-    """Outputs arrive as a file stream; canaries are static."""
+    """Outputs arrive as a file stream and pass three detectors; each is audited once, also when the stream starts again. Shapes are judged in f8."""
     out, path = i.outputs(spark, sf_dir), new_path(spark, "outputs")
     out.write.parquet(path)
-    stream = spark.readStream.schema(out.schema).parquet(path)
-    audit = new_path(spark, "audit")
-    jobs.stream_guard(stream, i.canaries(spark, sf_dir), audit, new_path(spark, "guard")).awaitTermination()
-    return spark.read.parquet(audit).select("trace_id", F.when(F.col("action") == "escalate", "escalate").otherwise("other").alias("action"))
+    can, audit, place = i.canaries(spark, sf_dir), new_path(spark, "audit"), new_path(spark, "guard")
+    detectors = [jobs.canary_detector(can), jobs.encoded_detector(can), jobs.shape_detector]
+    for _ in range(2):
+        stream = spark.readStream.schema(out.schema).parquet(path)
+        jobs.stream_guard(stream, detectors, audit, place).awaitTermination()
+    rows = jobs.read_audit(spark, audit)
+    hard = F.col("action").isin("escalate", "block")
+    first = F.filter("triggered_detectors", lambda d: d != "shape")
+    per = rows.groupBy("trace_id").agg(F.first("action").alias("action"), F.first(first).alias("t"), F.first("risk_score").alias("risk_score"), F.count(F.lit(1)).cast("int").alias("rows"))
+    return per.select("trace_id", F.when(hard, F.col("action")).otherwise("other").alias("action"), F.when(hard, F.array_join("t", ",")).otherwise("").alias("triggered"), F.when(hard, F.col("risk_score")).otherwise(0.0).alias("risk"), "rows")
 
 
 def _run(spark, df, *key):
