@@ -37,10 +37,14 @@ def calibration_bins(predictions: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def calibration_report(predictions: DataFrame) -> DataFrame:
-    """One row: count, accuracy, Brier score, log loss (clipped at 1e-9) and expected calibration error."""
-    p, y = F.col("positive_probability"), (F.col("true_label") == F.col("positive_label")).cast("int")
+    """One row: count, accuracy, macro F1 of the positive label and the other, Brier score, log loss (clipped at 1e-9) and expected calibration error."""
+    t, g = F.col("true_label") == F.col("positive_label"), F.col("predicted_label") == F.col("positive_label")
+    p, y = F.col("positive_probability"), t.cast("int")
     c = F.greatest(F.least(p, F.lit(1 - 1e-9)), F.lit(1e-9))
-    plain = predictions.agg(F.count(F.lit(1)).alias("count"), F.avg((F.col("true_label") == F.col("predicted_label")).cast("int")).alias("accuracy"), F.avg((p - y) * (p - y)).alias("brier"), F.avg(-(y * F.log(c) + (1 - y) * F.log(1 - c))).alias("log_loss"))
+    f1 = lambda hit: F.coalesce(F.try_divide(2 * F.count_if(hit), 2 * F.count_if(hit) + F.count_if(t != g)), F.lit(0.0))
+    plain = predictions.agg(
+        F.count(F.lit(1)).alias("count"), F.avg((F.col("true_label") == F.col("predicted_label")).cast("int")).alias("accuracy"), ((f1(t & g) + f1(~t & ~g)) / 2).alias("macro_f1"),
+        F.avg((p - y) * (p - y)).alias("brier"), F.avg(-(y * F.log(c) + (1 - y) * F.log(1 - c))).alias("log_loss"))
     ece = calibration_bins(predictions).agg((F.sum(F.col("count") * F.abs(F.col("mean_probability") - F.col("positive_rate"))) / F.sum("count")).alias("ece"))
     return plain.crossJoin(F.broadcast(ece))
 

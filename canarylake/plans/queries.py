@@ -134,6 +134,37 @@ _CHANNEL = f"""CASE WHEN contains(text, value) THEN 'direct' WHEN contains(text,
     WHEN contains(text, lower(hex(encode(value)))) THEN 'hex' WHEN contains(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), regexp_replace(value, '[^a-z0-9]', '', 'g')) THEN 'fragmentation' END"""
 
 
+_PARTS = f"""{i.OUTPUTS}, po AS (SELECT trace_id, session_id, turn_index, canary_id, regexp_replace(value, '[^A-Za-z0-9]', '', 'g') AS v, regexp_replace(c.text || ' ' || substr(value, 1 + turn_index % 5, 14 + turn_index % 12) || ' .', '[^A-Za-z0-9]', '', 'g') AS t FROM outs JOIN conversations c ON outs.trace_id = 't' || c.conv_id || '-' || c.turn),
+    pr AS (SELECT *, list_max(list_transform(flatten(list_transform(range(1, length(v) + 1), lambda a: list_transform(range(1, length(v) - a + 2), lambda n: {{'a': a, 'n': n}}))), lambda x: CASE WHEN contains(t, substr(v, x.a, x.n)) THEN x.n ELSE 0 END)) / length(v) AS ratio FROM po)"""
+
+
+def _partial_outputs(spark, sf_dir):
+    """Assistant turns with a piece of their session's canary."""
+    o = i.outputs(spark, sf_dir).drop("text").join(i.canaries(spark, sf_dir).select("session_id", "value"), "session_id")
+    c = i.table(spark, sf_dir, "conversations").select(F.concat(F.lit("t"), "conv_id", F.lit("-"), "turn").alias("trace_id"), F.col("text").alias("said"))
+    piece = F.substring(F.col("value"), F.col("turn_index") % 5 + 1, F.col("turn_index") % 12 + 14)
+    return o.join(c, "trace_id").select(*TURN, F.concat("said", F.lit(" "), piece, F.lit(" .")).alias("text"))
+
+
+@query(f"WITH {_PARTS} SELECT trace_id, session_id, turn_index, canary_id, 'partial' AS channel, round(ratio, 6) AS ratio FROM pr WHERE ratio >= 0.6")
+def p3_partial_matches(spark, sf_dir):
+    """Pieces of a canary, by the longest common substring's share."""
+    found = planted.encoded_canary_matches(_partial_outputs(spark, sf_dir), i.canaries(spark, sf_dir)).where(~F.col("exact"))
+    return found.select(*TURN, "canary_id", "channel", F.round("ratio", 6).alias("ratio"))
+
+
+@query(f"WITH {_PARTS} SELECT trace_id, session_id, turn_index, 'encoded_canary' AS detector_name, CASE WHEN ratio >= 0.6 THEN round(ratio, 6) ELSE 0.0 END AS score, CASE WHEN ratio >= 0.6 THEN 'sanitize' ELSE 'allow' END AS recommended_action, 'active' AS capability_status FROM pr")
+def p4_encoded_partial_detector(spark, sf_dir):
+    """The encoded-form detector where only pieces are said: it sanitises."""
+    return planted.encoded_canary_detector(_partial_outputs(spark, sf_dir), i.canaries(spark, sf_dir)).drop("canary_ids").withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {i.OUTPUTS} SELECT trace_id, session_id, turn_index, CASE WHEN NOT contains(text, value) AND {_CHANNEL} IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score, CASE WHEN NOT contains(text, value) AND {_CHANNEL} IS NOT NULL THEN 'escalate' ELSE 'allow' END AS recommended_action FROM outs")
+def p4_encoded_canary_detector(spark, sf_dir):
+    """The encoded-form detector on outputs that leak a whole canary in some form."""
+    return planted.encoded_canary_detector(i.outputs(spark, sf_dir), i.canaries(spark, sf_dir)).select(*TURN, "score", "recommended_action")
+
+
 @query(f"WITH {i.OUTPUTS} SELECT trace_id, session_id, turn_index, canary_id, {_CHANNEL} AS channel FROM outs WHERE {_CHANNEL} IS NOT NULL AND NOT contains(text, value)")
 def p3_encoded_canary_matches(spark, sf_dir):
     return planted.encoded_canary_matches(i.outputs(spark, sf_dir), i.canaries(spark, sf_dir)).where("exact").select(*TURN, "canary_id", "channel")
@@ -478,10 +509,10 @@ def k2_calibration_bins(spark, sf_dir):
     return b.select("bin", "count", F.round("mean_probability", 9).alias("mean_probability"), F.round("positive_rate", 9).alias("positive_rate"))
 
 
-@query(_BINS + ", s AS (SELECT count(*) AS count, avg(CAST(is_correct AS INT)) AS accuracy, avg((p - y) * (p - y)) AS brier, avg(-(y * ln(greatest(least(p, 1 - 1e-9), 1e-9)) + (1 - y) * ln(1 - greatest(least(p, 1 - 1e-9), 1e-9)))) AS log_loss FROM (SELECT *, CAST(true_label = 'good' AS INT) AS y FROM pred)) SELECT count, round(accuracy, 9) AS accuracy, round(brier, 9) AS brier, round(log_loss, 9) AS log_loss, round((SELECT sum(b.count * abs(mp - pr)) / sum(b.count) FROM b), 9) AS ece FROM s")
+@query(_BINS + ", s AS (SELECT count(*) AS count, avg(CAST(is_correct AS INT)) AS accuracy, (count(*) FILTER (is_correct AND y = 1) / (count(*) FILTER (is_correct AND y = 1) + count(*) FILTER (NOT is_correct) / 2) + count(*) FILTER (is_correct AND y = 0) / (count(*) FILTER (is_correct AND y = 0) + count(*) FILTER (NOT is_correct) / 2)) / 2 AS macro_f1, avg((p - y) * (p - y)) AS brier, avg(-(y * ln(greatest(least(p, 1 - 1e-9), 1e-9)) + (1 - y) * ln(1 - greatest(least(p, 1 - 1e-9), 1e-9)))) AS log_loss FROM (SELECT *, CAST(true_label = 'good' AS INT) AS y FROM pred)) SELECT count, round(accuracy, 9) AS accuracy, round(macro_f1, 9) AS macro_f1, round(brier, 9) AS brier, round(log_loss, 9) AS log_loss, round((SELECT sum(b.count * abs(mp - pr)) / sum(b.count) FROM b), 9) AS ece FROM s")
 def k2_calibration_report(spark, sf_dir):
     r = calibration.calibration_report(i.predictions(spark, sf_dir))
-    return r.select("count", *[F.round(c, 9).alias(c) for c in ("accuracy", "brier", "log_loss", "ece")])
+    return r.select("count", *[F.round(c, 9).alias(c) for c in ("accuracy", "macro_f1", "brier", "log_loss", "ece")])
 
 
 @query(f"""WITH {_P}, c AS (SELECT t AS threshold, count(*) FILTER (p >= t AND true_label = 'good') AS tp, count(*) FILTER (p >= t AND true_label <> 'good') AS fp, count(*) FILTER (p < t AND true_label <> 'good') AS tn, count(*) FILTER (p < t AND true_label = 'good') AS fn
@@ -629,6 +660,18 @@ def b3_pool_tokens(spark, sf_dir):
     return probes.pool_tokens(t).select("example_id", "feature_key", F.round(F.get("vector", F.lit(6)), 6).alias("x"))
 
 
+@query("""WITH t AS (SELECT vec_id // 5 AS e, CAST(vec_id % 5 AS INTEGER) AS token, vec_id, embedding FROM embeddings), d AS (SELECT e, i, avg(CAST(embedding[i + 1] AS DOUBLE)) AS x FROM t, range(0, 64) r(i) WHERE token >= 1 + e % 3 GROUP BY ALL)
+    SELECT CAST(e AS VARCHAR) AS example_id, 'readout_window_layer_03' AS feature_key, CAST(i AS INTEGER) AS dim, round(x, 6) AS x FROM d""")
+def b3_pool_readout(spark, sf_dir):
+    """Means over each example's readout tokens, in all dimensions."""
+    e = i.table(spark, sf_dir, "embeddings")
+    n = F.floor(F.col("vec_id") / 5).cast("long")
+    t = e.select(n.cast("string").alias("example_id"), F.lit(3).alias("layer"), (F.col("vec_id") % 5).cast("int").alias("token_index"), F.col("embedding").alias("vector"))
+    readout = e.select(n.alias("n")).distinct().select(F.col("n").cast("string").alias("example_id"), F.sequence((F.col("n") % 3 + 1).cast("int"), F.lit(4)).alias("readout_token_indices"))
+    out = probes.pool_tokens(t, readout).where("feature_key like 'readout%'")
+    return out.select("example_id", "feature_key", F.posexplode("vector").alias("dim", "x")).withColumn("x", F.round("x", 6))
+
+
 @query("WITH t AS (SELECT CASE WHEN label < 5 THEN 'low' ELSE 'high' END AS target, count(*) AS n FROM embeddings GROUP BY 1) SELECT target, CAST(f AS INTEGER) AS fold, CAST((n - f + 4) // 5 AS BIGINT) AS n FROM t, range(0, 5) r(f)")
 def b4_stratified_folds(spark, sf_dir):
     return probes.stratified_folds(i.task_rows(spark, sf_dir), 5).groupBy("target", F.col("fold").cast("int").alias("fold")).agg(F.count(F.lit(1)).alias("n"))
@@ -918,6 +961,23 @@ def s2_check_prompts(spark, sf_dir):
     return good.select(F.lit("good").alias("violation")).unionByName(bad.select("violation")).groupBy("violation").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""WITH p AS (SELECT doc_id, doc_id % 9 AS k FROM documents)
+    SELECT CASE k WHEN 1 THEN 'secret_char_span' WHEN 2 THEN 'query_token_span' WHEN 3 THEN 'payload_char_span' WHEN 4 THEN 'readout_order' WHEN 5 THEN 'readout_window' WHEN 6 THEN 'readout_order' ELSE 'good' END AS violation, count(*) AS n FROM p GROUP BY 1""")
+def s2_structured_prompts(spark, sf_dir):
+    """Structured prompts from documents, some with broken spans or readouts."""
+    d = i.table(spark, sf_dir, "documents")
+    k = F.col("doc_id") % 9
+    of = lambda *x: F.array(*[F.lit(v) for v in x])
+    pay = F.when(k.isin(3, 7), of(9, 14))
+    p = d.select(
+        F.col("doc_id").cast("string").alias("id"), F.lit("benign").alias("label"), F.col("source").alias("family"), F.concat("text", F.lit(".")).alias("text"), F.array(F.col("lang")).alias("tags"),
+        F.when(k == 1, of(5, 5)).otherwise(of(1, 5)).alias("secret_char_span"), of(6, 9).alias("query_char_span"), F.when(k == 3, of(14, 9)).otherwise(pay).alias("payload_char_span"), of(1, 3).alias("secret_token_span"),
+        F.when(k == 2, of(-1, 4)).otherwise(of(3, 6)).alias("query_token_span"), F.when(k.isin(3, 7), of(6, 9)).alias("payload_token_span"),
+        F.when(k == 4, of(5, 4)).when(k == 5, of(0, 1)).when(k == 6, F.array().cast("array<int>")).when(k == 7, of(6, 7, 8)).otherwise(of(3, 4, 5)).alias("readout_token_indices"))
+    good, bad = io.check_prompts(p, structured=True)
+    return good.select(F.lit("good").alias("violation")).unionByName(bad.select("violation")).groupBy("violation").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT count(*) AS n, count(DISTINCT turn) AS turns FROM conversations")
 def s1_read_turns(spark, sf_dir):
     path = new_path(spark, "turns")
@@ -927,6 +987,20 @@ def s1_read_turns(spark, sf_dir):
     return good.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("turn_index").alias("turns"))
 
 
+@query("""WITH e AS (SELECT event_id, CAST(event_id - (event_id % 20 = 1)::INT AS VARCHAR) AS example_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS score FROM events), d AS (SELECT *, count(*) OVER (PARTITION BY example_id) AS k FROM e)
+    SELECT CASE WHEN score IS NULL THEN 'score' WHEN k > 1 THEN 'duplicate_example_id' ELSE 'good' END AS violation, count(*) AS n, round(sum(score), 4) AS total FROM d GROUP BY 1""")
+def s1_read_scores(spark, sf_dir):
+    """Scores of all events as JSON lines: some without a score, some twice for one example."""
+    path = new_path(spark, "scores")
+    e = i.table(spark, sf_dir, "events")
+    key = (F.col("event_id") - (F.col("event_id") % 20 == 1).cast("int")).cast("string")
+    score = F.when(F.col("event_id") % 7 != 0, F.col("value"))
+    e.select(F.lit("t").alias("trace_id"), F.lit("s").alias("session_id"), F.lit(1).alias("turn_index"), key.alias("example_id"), F.struct(score.alias("score")).alias("detector_result")).write.json(path)
+    good, bad = io.read_scores(spark, path)
+    both = good.select(F.lit("good").alias("violation"), "detector_result.score").unionByName(bad.select("violation", "detector_result.score"))
+    return both.groupBy("violation").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 4).alias("total"))
+
+
 @query("SELECT CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS component, count(*) AS n FROM events GROUP BY ALL")
 def s3_write_detector_results(spark, sf_dir):
     path = new_path(spark, "results")
@@ -943,6 +1017,24 @@ def s6_validate_lineage(spark, sf_dir):
     return lineage.validate_lineage(data, none, none, files)
 
 
+@query("""SELECT 'dataset' AS kind, CAST(conv_id AS VARCHAR) AS id, CASE WHEN conv_id % 10 = 3 THEN 'hash_mismatch' ELSE 'missing_file' END AS violation FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 10 IN (3, 7)
+    UNION ALL SELECT 'report', 'r' || conv_id, 'unknown_dataset_id' FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 10 = 5""")
+def s6_file_hashes(spark, sf_dir):
+    """Every conversation as a file, against a manifest whose hashes come from the table: some files are not as claimed, some are not there; large ones are streamed."""
+    c, path = i.table(spark, sf_dir, "conversations"), new_path(spark, "files")
+    c.repartition("conv_id").sortWithinPartitions("conv_id", "turn").select("conv_id", "text").write.partitionBy("conv_id").text(path)
+    files = lineage.file_hashes(spark, path, whole=2048)
+    lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n")
+    claims = c.groupBy("conv_id").agg(F.concat(lines, F.lit("\n")).alias("content"))
+    where = files.select(F.regexp_extract("path", r"conv_id=(\d+)/", 1).cast("long").alias("conv_id"), "path")
+    data = claims.join(where, "conv_id").select(
+        F.col("conv_id").cast("string").alias("id"), F.when(F.col("conv_id") % 10 == 7, F.lit("gone.txt")).otherwise(F.col("path")).alias("path"),
+        F.sha2(F.when(F.col("conv_id") % 10 == 3, F.concat("content", F.lit("!"))).otherwise(F.col("content")), 256).alias("sha256"))
+    none = data.where("false").withColumn("dataset_id", F.lit("")).withColumn("artifact_id", F.lit(""))
+    reports = data.where("cast(id as long) % 10 not in (3, 7)").select(F.concat(F.lit("r"), "id").alias("id"), "path", "sha256", F.when(F.col("id").cast("long") % 10 == 5, "lost").otherwise(F.col("id")).alias("dataset_id"), F.lit(None).cast("string").alias("artifact_id"))
+    return lineage.validate_lineage(data, none, reports, files)
+
+
 # ---------------------------------------------------------------- generation
 
 def _corpus(spark, sf_dir):
@@ -995,6 +1087,30 @@ def g5_build_prompts(spark, sf_dir):
     return p.select("example_id", F.get("secret_char_span", F.lit(0)).alias("secret_start"), F.get("secret_char_span", F.lit(1)).alias("secret_end"))
 
 
+@query(f"""WITH {i.CANARIES}, p AS (SELECT item_id || '-' || canary_id AS example_id, CAST(session_id AS BIGINT) AS k, length(text) + 9 AS sa, length(text) + 9 + length(value) AS sb, length(text) + 9 + length(value) + 8 AS qa, length(text) + 17 + length(value) + 12 AS qb, item_id % 2 = 0 AS has, length(text) + 29 + length(value) + 15 AS pa, length(text) + 44 + length(value) + length('item ' || item_id) AS pb FROM benchmark, can),
+    e AS (SELECT *, CASE WHEN has THEN pb ELSE qb END AS n, CASE k % 6 WHEN 0 THEN sa + 2 WHEN 1 THEN qa ELSE CASE WHEN has THEN pb ELSE qb END END AS cut FROM p),
+    c AS (SELECT *, CASE WHEN cut < n THEN 4 * (cut // 4) ELSE n END AS upto FROM e),
+    v AS (SELECT *, list_min(list_filter([CASE WHEN has AND pa >= upto THEN 'payload_not_covered' WHEN has AND pb > upto THEN 'payload_partially_covered' END, CASE WHEN qa >= upto THEN 'query_not_covered' WHEN qb > upto THEN 'query_partially_covered' END, CASE WHEN sa >= upto THEN 'secret_not_covered' WHEN sb > upto THEN 'secret_partially_covered' END], lambda x: x IS NOT NULL)) AS bad,
+        sa // 4 + 1 AS s1, (sb - 1) // 4 + 2 AS s2, qa // 4 + 1 AS q1, (qb - 1) // 4 + 2 AS q2, pa // 4 + 1 AS p1, (pb - 1) // 4 + 2 AS p2 FROM c),
+    w AS (SELECT *, CASE WHEN has THEN p2 ELSE q2 END AS stop, CASE WHEN has THEN greatest(p1, s2, q2, p2 - 4) ELSE greatest(q1, s2, q2 - 4) END AS beg FROM v)
+    SELECT example_id, coalesce(bad, CASE WHEN beg >= stop THEN 'empty_readout' ELSE 'good' END) AS violation, CAST(CASE WHEN bad IS NULL AND beg < stop THEN s1 END AS INTEGER) AS secret_first, CAST(CASE WHEN bad IS NULL AND beg < stop THEN beg END AS INTEGER) AS readout_first, CAST(CASE WHEN bad IS NULL AND beg < stop THEN stop - beg END AS INTEGER) AS readout FROM w""")
+def g5_token_spans(spark, sf_dir):
+    """Every benchmark text with every canary, cut into tokens of four characters after a special one; for some sessions the tokens stop early."""
+    can = i.canaries(spark, sf_dir)
+    b = i.table(spark, sf_dir, "benchmark")
+    templates = b.select(F.col("item_id").alias("template_id"), F.col("text").alias("system"), F.lit("what is it ?").alias("query"), F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("item "), F.col("item_id").cast("string"))).alias("payload"))
+    p = generate.build_prompts(templates, can)
+    k, n = F.substring("canary_id", 2, 20).cast("long") % 6, F.length("text")
+    cut = F.when(k == 0, F.get("secret_char_span", F.lit(0)) + 2).when(k == 1, F.get("query_char_span", F.lit(0))).otherwise(n)
+    each = p.select("example_id", n.alias("n"), cut.alias("cut"), F.explode(F.sequence(F.lit(0), F.ceil(n / 4).cast("int"))).alias("token_index"))
+    end = F.least(F.col("token_index") * 4, F.col("n"))
+    tokens = each.select("example_id", "token_index", F.when(F.col("token_index") == 0, 0).otherwise((F.col("token_index") - 1) * 4).alias("start"), F.when(F.col("token_index") == 0, 0).otherwise(end).alias("end"), "cut").where((F.col("token_index") == 0) | (F.col("end") <= F.col("cut")))
+    good, bad = generate.add_token_spans(p, tokens)
+    rows = good.select("example_id", F.lit("good").alias("violation"), F.get("secret_token_span", F.lit(0)).alias("secret_first"), F.get("readout_token_indices", F.lit(0)).alias("readout_first"), F.size("readout_token_indices").alias("readout"))
+    none = F.lit(None).cast("int")
+    return rows.unionByName(bad.select("example_id", "violation", none.alias("secret_first"), none.alias("readout_first"), none.alias("readout")))
+
+
 @query()
 def g1_synthetic_corpus(spark, sf_dir):
     """As many tokens of each format as there are sessions."""

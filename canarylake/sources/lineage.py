@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,10 +29,40 @@ def validate_lineage(datasets: DataFrame, artifacts: DataFrame, reports: DataFra
     return out
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, sha256)`` of every file below ``path``, relative to it."""
+#: Bytes that are read at a time of a file that does not go into a row.
+_CHUNK = 8 << 20
+
+
+def file_hashes(spark: SparkSession, path: str, whole: int = 64 << 20) -> DataFrame:
+    """``(path, sha256)`` of every file below ``path``, relative to it, whatever the files' sizes.
+
+    Files of up to ``whole`` bytes are read by Spark's reader, one to a row, from any store that Spark knows. Larger ones are dealt out by name and
+    streamed through the hash in chunks, so a task holds one chunk; their store must be one that pyarrow can open too.
+    Files without bytes are none to Spark's readers, and so are not listed.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.regexp_replace("path", "^.*?" + path.rstrip("/").replace(".", "\\.") + "/", "").alias("path"), F.sha2("content", 256).alias("sha256"))
+    small = files.where(F.col("length") <= whole).select("path", F.sha2("content", 256).alias("sha256"))
+
+    def run(batches):
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            yield pa.record_batch([batch.column(0), pa.array([_streamed(n) for n in names], pa.string())], names=["path", "sha256"])
+
+    large = files.where(F.col("length") > whole).select("path").repartition("path").mapInArrow(run, "path string, sha256 string")
+    plain = lambda p: re.sub(r"^\w+:/*", "/", p).rstrip("/")  # noqa: E731  a scheme is followed by one slash or more
+    below = F.substring(F.regexp_replace("path", r"^\w+:/+", "/"), len(plain(path)) + 2, 1 << 20)
+    return small.unionByName(large).select(below.alias("path"), "sha256")
+
+
+def _streamed(name: str) -> str:
+    """The SHA-256 of a file that is read in chunks."""
+    local = re.match(r"^file:/+", name)  # the names that Spark gives are not encoded
+    store, where = (fs.LocalFileSystem(), "/" + name[local.end() :]) if local else fs.FileSystem.from_uri(quote(name, safe=":/@"))
+    total = hashlib.sha256()
+    with store.open_input_stream(where) as stream:
+        while chunk := stream.read(_CHUNK):
+            total.update(chunk)
+    return total.hexdigest()
 
 
 def validate_features(features: DataFrame, rows: DataFrame) -> DataFrame:
