@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import spans
+from ..sources.scratch import written
 from .calibration import cv_metrics
 
 #: Actions and the labels that they stand for.
@@ -69,7 +70,8 @@ def parse_resolutions(responses: DataFrame, text_col: str = "text") -> DataFrame
 def policy_slice_metrics(predictions: DataFrame) -> DataFrame:
     """Count, accuracy and macro F1 on all rows, with and without a payload, and per mode; ``invalid`` counts as a class of predictions."""
     named = F.array_compact(F.array(F.lit("all"), F.when(F.col("has_payload"), "payload").otherwise("no_payload"), F.concat(F.lit("mode_"), "selected_mode")))
-    long = predictions.withColumn("slice", F.explode(named)).persist()
+    long = predictions.withColumn("slice", F.explode(named))
+    long = written(long.select("slice", "true_label", "predicted_label"), "slices")
     folds, _ = cv_metrics(long, "slice")
     counts = long.groupBy("slice").agg(F.count(F.lit(1)).alias("count"), F.count_if(F.col("predicted_label") == "invalid").alias("invalid"))
     return counts.join(folds, "slice")

@@ -606,19 +606,25 @@ def v2_policy_windows_with_action(spark, sf_dir):
     return _windows(spark, sf_dir, "policy")
 
 
-@query("""SELECT conv_id || '-' || turn AS example_id, CASE turn % 5 WHEN 0 THEN 'copy' WHEN 1 THEN 'mask' WHEN 2 THEN 'invalid' WHEN 3 THEN 'invalid' ELSE 'mask' END AS resolution FROM conversations""")
+@query(r"""WITH t AS (SELECT conv_id || '-' || turn AS example_id, turn % 5 AS k, list_distinct(regexp_extract_all(lower(text), '\b(copy|mask)\b', 1)) AS said FROM conversations)
+    SELECT example_id, CASE k WHEN 0 THEN 'copy' WHEN 4 THEN 'mask' WHEN 3 THEN 'invalid' ELSE CASE len(list_distinct(said || CASE k WHEN 1 THEN ['mask'] ELSE ['copy', 'mask'] END)) WHEN 1 THEN (said || CASE k WHEN 1 THEN ['mask'] ELSE ['copy', 'mask'] END)[1] ELSE 'invalid' END END AS resolution FROM t""")
 def v3_parse_resolutions(spark, sf_dir):
+    """What every conversation row says, followed by an answer in one of five forms."""
     k = F.col("turn") % 5
-    text = F.when(k == 0, 'so: {"action": "copy"} done').when(k == 1, "I will MASK it").when(k == 2, "copy or mask").when(k == 3, '{"action": "erase"}').otherwise('{bad} {"selected_action": "mask"}')
-    c = i.table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("example_id"), text.alias("text"))
+    answer = F.when(k == 0, 'so: {"action": "copy"} done').when(k == 1, "I will MASK it").when(k == 2, "copy or mask").when(k == 3, '{"action": "erase"}').otherwise('{bad} {"selected_action": "mask"}')
+    c = i.table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("example_id"), F.concat_ws(" ", "text", answer).alias("text"))
     return policytext.parse_resolutions(c).select("example_id", "resolution")
 
 
-@query()
+@query(f"""WITH {_V}, g AS (SELECT turn % 2 = 0 AS pay, CASE WHEN k % 2 = 0 THEN 'a' ELSE 'b' END AS mode, ['benign', 'secret_present_safe', 'exfiltration_intent'][k % 4 + 1] AS t, CASE WHEN turn % 7 = 0 THEN 'invalid' WHEN turn % 3 = 0 THEN 'benign' ELSE ['benign', 'secret_present_safe', 'exfiltration_intent'][k % 4 + 1] END AS p FROM v WHERE conv_id % 5 <> 0 AND k % 4 <> 3),
+    s AS (SELECT unnest(['all', CASE WHEN pay THEN 'payload' ELSE 'no_payload' END, 'mode_' || mode]) AS slice, t, p FROM g), l AS (SELECT DISTINCT slice, unnest([t, p]) AS label FROM s),
+    f AS (SELECT slice, label, 2 * count(*) FILTER (t = label AND p = label) / (count(*) FILTER (t = label) + count(*) FILTER (p = label)) AS f1 FROM s JOIN l USING (slice) GROUP BY ALL), m AS (SELECT slice, avg(f1) AS macro_f1 FROM f GROUP BY slice)
+    SELECT slice, count(*) AS count, count(*) FILTER (p = 'invalid') AS invalid, round(avg(CAST(t = p AS INT)), 9) AS accuracy, round(any_value(macro_f1), 9) AS macro_f1 FROM s JOIN m USING (slice) GROUP BY slice""")
 def v4_policy_slice_metrics(spark, sf_dir):
     good, _ = policytext.parse_policy(i.prompts(spark, sf_dir))
     guess = F.when(F.col("turn") % 7 == 0, "invalid").when(F.col("turn") % 3 == 0, "benign").otherwise(F.col("policy_label"))
-    return policytext.policy_slice_metrics(good.withColumn("true_label", F.col("policy_label")).withColumn("predicted_label", guess))
+    out = policytext.policy_slice_metrics(good.withColumn("true_label", F.col("policy_label")).withColumn("predicted_label", guess))
+    return out.select("slice", "count", "invalid", F.round("accuracy", 9).alias("accuracy"), F.round("macro_f1", 9).alias("macro_f1"))
 
 
 @query(f"WITH {_P} SELECT 'trace-' || example_id AS trace_id, p AS score, CASE WHEN p >= 0.5 THEN 'warn' ELSE 'allow' END AS recommended_action FROM pred")
@@ -829,9 +835,14 @@ def c5_auc_layer_weights(spark, sf_dir):
     return residual.auc_layer_weights(_scores(spark, sf_dir).where("role = 'train'")).select("fold", "feature_key", F.round("auc", 6).alias("auc"))
 
 
-@query()
+@query(f"""WITH {_S}, t AS (SELECT fold, feature_key, score AS s, y FROM sc WHERE role = 'train'), m AS (SELECT *, lead(s) OVER (PARTITION BY fold, feature_key ORDER BY s) AS nx FROM (SELECT DISTINCT fold, feature_key, s FROM t)),
+    c AS (SELECT fold, feature_key, (s + nx) / 2 AS cut FROM m WHERE nx IS NOT NULL UNION SELECT fold, feature_key, min(s) - 1e-12 FROM m GROUP BY ALL UNION SELECT fold, feature_key, max(s) + 1e-12 FROM m GROUP BY ALL UNION SELECT fold, feature_key, 0.5::DOUBLE FROM m GROUP BY ALL),
+    e AS (SELECT fold, feature_key, cut, count(*) FILTER (y AND s >= cut) AS tp, count(*) FILTER (NOT y AND s >= cut) AS fp, count(*) FILTER (y AND s < cut) AS fn, count(*) FILTER (NOT y AND s < cut) AS tn FROM c JOIN t USING (fold, feature_key) GROUP BY ALL),
+    f AS (SELECT *, (coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) + coalesce(2 * tn / nullif(2 * tn + fp + fn, 0), 0)) / 2 AS macro_f1, (tp + tn) / (tp + fp + fn + tn) AS accuracy FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY fold, feature_key ORDER BY macro_f1 DESC, accuracy DESC, cut) AS k FROM f)
+    SELECT fold, feature_key, round(cut, 9) AS threshold, round(macro_f1, 9) AS macro_f1, round(accuracy, 9) AS accuracy FROM r WHERE k = 1""")
 def c6_learn_threshold(spark, sf_dir):
-    return residual.learn_threshold(_scores(spark, sf_dir).where("role = 'train'"), ["fold", "feature_key"])
+    out = residual.learn_threshold(_scores(spark, sf_dir).where("role = 'train'"), ["fold", "feature_key"])
+    return out.select("fold", "feature_key", *[F.round(c, 9).alias(c) for c in ("threshold", "macro_f1", "accuracy")])
 
 
 @query()
