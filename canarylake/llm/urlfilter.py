@@ -53,19 +53,29 @@ def templates(pages: DataFrame, least_distinct: int = 16, least_share: float = 0
     """``(host, path, segs, n, labelled, bad, tmpl)`` per distinct host and path of ``pages(host, path, bad)``.
 
     ``tmpl`` has as many entries as ``segs``: a segment or ``*``. A path goes down the tree as long as another one shares its node; from
-    there on it has nothing to vary against and keeps its segments, but for those that look like ids.
+    there on it has nothing to vary against and keeps its segments, but for those that look like ids. What all paths of a node share is
+    passed in one step, so the rounds are as many as the branchings on one path, not as its segments.
     """
     per = pages.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad"))
     now = per.withColumn("segs", F.filter(F.split("path", "/"), lambda s: s != "")).withColumn("tmpl", F.array().cast("array<string>"))
-    now, done, d = materialize(now, "paths"), [], 0
+    now, done = materialize(now, "paths"), []
+    plain = lambda s: F.when(s.rlike(_ID), "*").otherwise(s)
     while True:
-        seg = F.get("segs", F.lit(d))
+        # the segments that all paths of a node begin with from here on
+        left = F.slice("segs", F.size("tmpl") + 1, F.greatest(F.size("segs") - F.size("tmpl"), F.lit(0)))
+        ends = now.groupBy("host", "tmpl").agg(F.min(left).alias("lo"), F.max(left).alias("hi"), F.count(F.lit(1)).alias("members"))
+        least = F.least(F.size("lo"), F.size("hi"))
+        unlike = F.filter(F.when(least > 0, F.sequence(F.lit(0), least - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.get("lo", i) != F.get("hi", i))
+        ends = ends.select("host", "tmpl", F.when(F.col("members") > 1, F.coalesce(F.array_min(unlike), least)).otherwise(0).alias("shared"))
+        passed = F.transform(F.slice("segs", F.size("tmpl") + 1, F.col("shared")), plain)
+        now = _salted(now, ends, ["host", "tmpl"], "path").withColumn("tmpl", F.concat("tmpl", passed)).drop("shared")
+        seg = F.get("segs", F.size("tmpl"))
         step = now.withColumn("seg", F.when(seg.rlike(_ID), "*").otherwise(seg))
         kids = step.where("seg is not null").groupBy("host", "tmpl", "seg").agg(F.sum(F.when(F.col("seg") != "*", F.col("n"))).alias("n"), F.count(F.lit(1)).alias("paths"))
         nodes = kids.groupBy("host", "tmpl").agg(F.count("n").alias("kinds"), F.sum("n").alias("visits"), F.sum("paths").alias("paths"))
         nodes = nodes.select("host", "tmpl", (F.coalesce((F.col("kinds") >= least_distinct) & (F.col("kinds") >= least_share * F.col("visits")), F.lit(False))).alias("wild"), (F.col("paths") == 1).alias("alone"))
         met = _salted(step, nodes, ["host", "tmpl"], "path", "left")
-        rest = F.transform(F.slice("segs", d + 1, F.greatest(F.size("segs") - d, F.lit(0))), lambda s: F.when(s.rlike(_ID), "*").otherwise(s))
+        rest = F.transform(left, plain)
         ends = F.col("seg").isNull() | F.col("alone")
         met = met.withColumn("tmpl", F.when(F.col("seg").isNull(), F.col("tmpl")).when(F.col("alone"), F.concat("tmpl", rest)).otherwise(F.concat("tmpl", F.array(F.when(F.col("wild"), "*").otherwise(F.col("seg"))))))
         met = materialize(met.withColumn("ends", ends).select(*now.columns, "ends"), "paths")  # each level reads the last one twice
@@ -73,23 +83,35 @@ def templates(pages: DataFrame, least_distinct: int = 16, least_share: float = 0
         now = met.where("not ends").drop("ends")
         if now.isEmpty():
             break
-        d += 1
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
     return out
 
 
+def _next_depth(now: DataFrame, below: int) -> int | None:
+    """The deepest place under ``below`` in which branches of a host differ and are else the same.
+
+    Branches without one place are told apart by the combined hashes of their places; two that only seem the same cost a round and change nothing.
+    """
+    place = lambda i, s: F.xxhash64(i, s)
+    whole = F.aggregate(F.transform("merged", lambda s, i: place(i, s)), F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(h))
+    each = now.select("host", "merged").distinct().select("host", F.size("merged").alias("size"), whole.alias("whole"), F.posexplode("merged").alias("d", "s"))
+    same = each.where(F.col("d") < below).groupBy("host", "size", "d", F.col("whole").bitwiseXOR(place(F.col("d"), F.col("s"))).alias("rest")).agg(F.count(F.lit(1)).alias("n"))
+    return same.where("n > 1").agg(F.max("d")).first()[0]
+
+
 def merge_similar(leaves: DataFrame, z: float = 1.96) -> DataFrame:
     """``(host, tmpl, merged, labelled, bad)``: the branch that each template ends up in, with its labels.
 
     At every depth, deepest first, the branches that differ only there are held against all of them together: a
-    branch joins the wildcard branch if its share of bad labels is within ``z`` standard errors, or if it has none.
+    branch joins the wildcard branch if its share of bad labels is within ``z`` standard errors, or if it has none. Depths at which no branches of a host
+    differ only there take no round.
     """
     now = leaves.groupBy("host", "tmpl").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).withColumn("merged", F.col("tmpl"))
     now = materialize(now, "branches")
-    levels = now.agg(F.max(F.size("tmpl"))).first()[0] or 0
-    for d in range(levels - 1, -1, -1):
+    d = 1 << 30
+    while (d := _next_depth(now, d)) is not None:
         wild = F.transform("merged", lambda s, i: F.when(i == d, "*").otherwise(s))
         deep = now.where(F.size("merged") > d)
         branch = deep.groupBy("host", wild.alias("wild"), "merged").agg(F.sum("labelled").alias("b_labelled"), F.sum("bad").alias("b_bad"))
@@ -110,7 +132,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str,
     labels: ``(page_id, bad)``; pages without one, or with null, count as unlabelled, and of several the worst counts. The
     verdict is the longest fitting rule's, else ``block`` where the template's share of good labels, smoothed by
     ``prior`` pages of the overall share, is under ``least_purity``. Null and broken URLs form a template of their own on the
-    empty host. Rows that repeat are judged alike; other columns are ignored.
+    empty host. Rows that repeat are judged alike; an empty table gives no rows; URLs of any length are split whole; other columns are ignored.
     """
     host, path = split_url(F.col(url_col))
     marks = labels.where("bad is not null and page_id is not null").groupBy(F.col("page_id").alias("l_id")).agg(F.max(F.col("bad").cast("int")).alias("bad"))
@@ -121,8 +143,10 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str,
     overall = rows.agg(F.coalesce(1 - F.avg("bad"), F.lit(1.0))).first()[0]
     good = F.col("labelled") - F.col("bad")
     judged = materialize(merged.select("host", "tmpl", "merged", ((good + prior * overall) / (F.col("labelled") + prior)).alias("purity")), "judged")
+    parts = F.pmod(F.xxhash64("page_id"), F.lit(_SALTS)).cast("int")  # a front page, or all broken URLs, may be most rows
     by_path = _salted(leaves.select("host", "path", "tmpl"), judged, ["host", "tmpl"], "path").select("host", "path", F.concat(F.col("host"), F.lit("/"), F.array_join("merged", "/")).alias("template"), "purity")
     rule, fixed = rule_columns(list(rules), F.col("host"), F.col("path"))
-    out = rows.join(by_path, ["host", "path"]).withColumn("rule", rule).withColumn("fixed", fixed)
+    by_path = by_path.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    out = rows.withColumn("salt", parts).join(by_path, ["host", "path", "salt"]).drop("salt").withColumn("rule", rule).withColumn("fixed", fixed)
     own = F.when(F.col("purity") < least_purity, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", "template", "purity", F.coalesce("fixed", own).alias("verdict"))

@@ -593,6 +593,23 @@ def test_url_verdicts_equal_brute_force(spark):
     assert {v for _, _, v in got.values()} == {"allow", "block"}
 
 
+def test_very_long_urls_take_no_more_rounds(spark, monkeypatch):
+    """Paths of thousands of segments, alone, and two that part at their ends, are judged in as many steps as short ones."""
+    steps = []
+    real = urlfilter.materialize
+    monkeypatch.setattr(urlfilter, "materialize", lambda df, name: steps.append(name) or real(df, name))
+    none = spark.createDataFrame([], "page_id long, bad boolean")
+    short = [(i, f"http://h.example/a/{i % 3}x/p{i % 2}") for i in range(12)]
+    urlfilter.judge_urls(spark.createDataFrame(short, "page_id long, url string"), none).count()
+    few = len(steps)
+    steps.clear()
+    deep = "/".join("s%d" % i for i in range(2000))
+    more = [(100, "http://h.example/" + deep), (101, f"http://g.example/{deep}/x"), (102, f"http://g.example/{deep}/y"), (103, f"http://g.example/{deep}/y/12")]
+    got = {r.page_id: r.template for r in urlfilter.judge_urls(spark.createDataFrame(short + more, "page_id long, url string"), none).collect()}
+    assert len(steps) <= few + 6
+    assert got[100] == "h.example/" + deep and got[101] == got[102] == f"g.example/{deep}/*" and got[103] == f"g.example/{deep}/y/*"
+
+
 def test_bad_templates_are_rejected(spark):
     rows, labels = [], []
     for i in range(400):
