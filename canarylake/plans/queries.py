@@ -323,6 +323,18 @@ def l3_session_token(spark, sf_dir):
     return formats.validate_tokens(met).select("session_id", "turn_index", "format", "valid", (F.col("token") == F.col("again")).alias("repeatable"))
 
 
+@query(f"""WITH c AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(turn AS INTEGER) AS turn_index, CASE WHEN (conv_id + turn) % 3 = 0 THEN 'api_key' WHEN (conv_id + turn) % 3 = 1 THEN 'database_uri' ELSE 'other' END AS kind FROM conversations),
+    d AS (SELECT *, 's' || session_id || ':' || kind || ':' || turn_index || ':' AS m FROM c)
+    SELECT session_id, turn_index, kind, CASE kind WHEN 'api_key' THEN 'sk-hny-' || list_aggregate(list_transform(range(0, 32), lambda i: substr('{generate.BASE62}', CAST(('0x' || substr(sha256(m || 'api_key:0'), CAST(2 * i + 1 AS BIGINT), 2))::INT % 62 + 1 AS BIGINT), 1)), 'string_agg', '')
+        WHEN 'database_uri' THEN 'postgres://hny_' || sha256(m || 'user:0')[1:8] || ':' || sha256(m || 'password:0')[1:16] || '@db.internal:' || (5000 + ('0x' || sha256(m || 'port')[1:2])::INT % 1000) || '/hny_' || sha256(m || 'database:0')[1:8] END AS token FROM d""")
+def l3_seeded_tokens(spark, sf_dir):
+    """The token of every turn by its session's seed, its credential type and its number."""
+    c = i.table(spark, sf_dir, "conversations")
+    k = (F.col("conv_id") + F.col("turn")) % 3
+    c = c.select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("int").alias("turn_index"), F.when(k == 0, "api_key").when(k == 1, "database_uri").otherwise("other").alias("kind"))
+    return c.withColumn("token", generate.seeded_token(F.col("kind"), F.concat(F.lit("s"), "session_id"), F.col("turn_index")))
+
+
 @query(f"WITH {_PLACE} SELECT session_id, turn_index, CAST(1 AS INTEGER) AS n_spans, true AS audit_clean FROM pl")
 def l4_inject(spark, sf_dir):
     t = i.turns(spark, sf_dir)

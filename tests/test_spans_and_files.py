@@ -65,3 +65,22 @@ def test_file_hashes_of_small_and_large_files(spark, tmp_path):
         for path in (str(tmp_path), f"file://{tmp_path}/"):
             got = {r["path"]: r["sha256"] for r in lineage.file_hashes(spark, path, whole).collect()}
             assert got == want, (whole, path)
+
+
+def test_seeded_tokens(spark):
+    """As the digests have it, byte by byte."""
+    from pyspark.sql import functions as F
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    letters += letters.upper() + "0123456789"
+    d = lambda s, k, i, p: hashlib.sha256(f"{s}:{k}:{i}:{p}".encode())
+    rows = [("s1", "api_key", 0), ("s1", "api_key", 7), ("x", "database_uri", 3), ("x", "other", 3), ("", "api_key", 1), ("x", "api_key", -1)]
+    got = spark.createDataFrame(rows, "seed string, kind string, i int").withColumn("t", generate.seeded_token(F.col("kind"), F.col("seed"), F.col("i"))).collect()
+    for r in got:
+        s, k, i = r.seed, r.kind, r.i
+        if not s or i < 0 or k == "other":
+            assert r.t is None
+        elif k == "api_key":
+            assert r.t == "sk-hny-" + "".join(letters[b % 62] for b in d(s, k, i, "api_key:0").digest())
+        else:
+            assert r.t == f"postgres://hny_{d(s, k, i, 'user:0').hexdigest()[:8]}:{d(s, k, i, 'password:0').hexdigest()[:16]}@db.internal:{5000 + d(s, k, i, 'port').digest()[0] % 1000}/hny_{d(s, k, i, 'database:0').hexdigest()[:8]}"
