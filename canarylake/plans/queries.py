@@ -119,10 +119,15 @@ def f1_formats(spark, sf_dir):
 
 # ---------------------------------------------------------------- planted values
 
-@query(f"WITH {i.CANARIES} SELECT count(*) AS good, CAST(0 AS BIGINT) AS bad FROM can")
+@query(f"""WITH {i.CANARIES}, k AS (SELECT *, CAST(session_id AS BIGINT) % 8 AS k FROM can), b AS (SELECT CASE k WHEN 1 THEN ' ' WHEN 4 THEN 'twice' ELSE canary_id END AS canary_id, session_id, k FROM k)
+    SELECT canary_id, session_id, CASE WHEN k = 1 THEN 'empty_id' WHEN k = 2 THEN 'empty_value' WHEN k = 3 THEN 'hash_mismatch' WHEN k = 4 AND count(*) OVER (PARTITION BY canary_id) > 1 THEN 'duplicate_id' ELSE 'good' END AS violation FROM b""")
 def p1_validate_canaries(spark, sf_dir):
-    good, bad = planted.validate_canaries(i.canaries(spark, sf_dir))
-    return good.agg(F.count(F.lit(1)).alias("good")).crossJoin(bad.agg(F.count(F.lit(1)).alias("bad")))
+    """The canaries of all sessions, some of them broken in each way."""
+    k = F.col("session_id").cast("long") % 8
+    can = i.canaries(spark, sf_dir).withColumn("canary_id", F.when(k == 1, " ").when(k == 4, "twice").otherwise(F.col("canary_id")))
+    can = can.withColumn("value", F.when(k == 2, "").otherwise(F.col("value"))).withColumn("sha256", F.when(k == 3, F.sha2("session_id", 256)).otherwise(F.col("sha256")))
+    good, bad = planted.validate_canaries(can)
+    return good.select("canary_id", "session_id", F.lit("good").alias("violation")).unionByName(bad.select("canary_id", "session_id", "violation"))
 
 
 @query(f"WITH {i.OUTPUTS} SELECT trace_id, session_id, turn_index, canary_id, CAST(strpos(text, value) - 1 AS INTEGER) AS start, CAST(strpos(text, value) - 1 + length(value) AS INTEGER) AS \"end\" FROM outs WHERE contains(text, value)")
@@ -358,9 +363,10 @@ def r8_session_risk(spark, sf_dir):
     return out.select(*TURN, "action", "max_risk", F.round("total_risk", 6).alias("total_risk"), "gravest")
 
 
-@query(f"WITH {i.RESULTS} SELECT mode, model, count(DISTINCT detector_name) FILTER (capability_status = 'active') AS active, count(DISTINCT detector_name) FILTER (capability_status <> 'active') AS inactive FROM res GROUP BY ALL")
+@query(f"""WITH {i.RESULTS} SELECT mode, model, list_sort(list_distinct(list(detector_name) FILTER (capability_status = 'active'))) AS active, coalesce(list_sort(list_distinct(list(detector_name || ':' || capability_status) FILTER (capability_status <> 'active'))), []) AS inactive FROM res GROUP BY ALL""")
 def r7_capability_report(spark, sf_dir):
-    return runtime.capability_report(i.results(spark, sf_dir), ["mode", "model"]).select("mode", "model", F.size("active").cast("long").alias("active"), F.size("inactive").cast("long").alias("inactive"))
+    """Which detectors were active, and which were not and why, per mode and model."""
+    return runtime.capability_report(i.results(spark, sf_dir), ["mode", "model"]).select("mode", "model", "active", "inactive")
 
 
 @query("SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(turn AS INTEGER) AS turn_index, 'm' AS model_id, role, text AS content FROM conversations WHERE turn % 4 <> 3")
@@ -1024,11 +1030,13 @@ def s1_read_scores(spark, sf_dir):
     return both.groupBy("violation").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 4).alias("total"))
 
 
-@query("SELECT CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS component, count(*) AS n FROM events GROUP BY ALL")
+@query(f"WITH {i.RESULTS} SELECT CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS component, session_id, turn_index, detector_name, round(score, 9) AS score, {i.ACTION.format('sev')} AS action, capability_status FROM res")
 def s3_write_detector_results(spark, sf_dir):
+    """All results written in a folder per component, and read back."""
     path = new_path(spark, "results")
     io.write_detector_results(i.results(spark, sf_dir).withColumn("component", F.when(F.col("position") % 2 == 0, "a").otherwise("b")), path)
-    return spark.read.parquet(path).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    r = F.col("detector_result")
+    return spark.read.parquet(path).select("component", "session_id", "turn_index", r["detector_name"].alias("detector_name"), F.round(r["score"], 9).alias("score"), r["recommended_action"].alias("action"), r["capability_status"].alias("capability_status"))
 
 
 @query("SELECT 'dataset' AS kind, source AS id, 'hash_mismatch' AS violation FROM (SELECT DISTINCT source FROM documents) WHERE source = 'src1' UNION ALL SELECT 'dataset', source, 'missing_file' FROM (SELECT DISTINCT source FROM documents) WHERE source = 'src2'")
