@@ -7,11 +7,14 @@ registry without sessions from a join on 8-character grams.  Results never hold
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import subsequence_ratio, substring_ratio
 from ..functions.text import alnum, base32, base32_decode, decode_text, leet_fold, leet_pattern, leet_spell, quote_col, rot, spans
+from ..sources.scratch import written
 
 TURN = ["trace_id", "session_id", "turn_index"]
 #: Fixed limits on decoding and on partial matches.
@@ -58,18 +61,70 @@ def gram_candidates(outputs: DataFrame, canaries: DataFrame) -> DataFrame:
     forms = canaries.select("canary_id", F.explode(value_forms(F.col("value"))).alias("form")).where(F.length("form") > 0)
     size = F.least(F.length("form"), F.lit(GRAM))
     starts = F.array(*[F.floor((F.length("form") - size) * q).cast("int") + 1 for q in (0.25, 0.5, 0.75)])
-    grams = forms.select("canary_id", F.explode(F.transform(starts, lambda at: F.substring("form", at, size))).alias("gram")).distinct()
+    grams = written(forms.select("canary_id", F.explode(F.transform(starts, lambda at: F.substring("form", at, size))).alias("gram")).distinct(), "grams")
     sizes = [r[0] for r in grams.select(F.length("gram").alias("n")).distinct().orderBy("n").collect()]  # GRAM numbers at most
-    few = grams.limit(_SENT_GRAMS + 1).count() <= _SENT_GRAMS
     outputs = outputs.select(*TURN, "text")
     decoded = decoded_candidates(outputs).groupBy(*TURN).agg(F.concat_ws(" ", F.collect_list("decoded")).alias("decoded"))
-    texts = outputs.join(decoded, TURN, "left").select(*TURN, F.explode(F.array_distinct(F.array(leet_fold(F.col("text")), leet_fold(alnum(F.col("text"))), leet_fold(F.coalesce("decoded", F.lit("")))))).alias("t"))
+    forms = F.array_distinct(F.array(leet_fold(F.col("text")), leet_fold(alnum(F.col("text"))), leet_fold(F.coalesce("decoded", F.lit("")))))
+    texts = outputs.join(decoded, TURN, "left").select(*TURN, forms.alias("forms"))
+    if grams.limit(_SENT_GRAMS + 1).count() <= _SENT_GRAMS:
+        return _sent_grams(texts, grams)
+    texts = texts.select(*TURN, F.explode("forms").alias("t"))
 
     def cut(n):
         return F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - n + 1, F.lit(1))), lambda i: F.substring("t", i, F.lit(n)))
 
     found = texts.select(*TURN, F.explode(F.array_distinct(F.flatten(F.array(*[cut(n) for n in sizes])))).alias("gram")) if sizes else texts.select(*TURN, F.col("t").alias("gram")).where("false")
-    return found.join(F.broadcast(grams) if few else grams, "gram").select(*TURN, "canary_id").distinct()
+    return found.join(grams, "gram").select(*TURN, "canary_id").distinct()
+
+
+def _windows(data: np.ndarray, size: int) -> np.ndarray:
+    """A number for each window of ``size`` bytes: its bytes, or where it is longer than eight a mix of its first and its last eight."""
+    n = len(data) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    packed = np.zeros(n + size - min(size, 8), np.uint64)
+    for k in range(min(size, 8)):
+        packed |= data[k : k + len(packed)].astype(np.uint64) << np.uint64(8 * k)
+    return packed if size <= 8 else packed[:n] * np.uint64(0x9E3779B97F4A7C15) ^ packed[size - 8 :][:n]
+
+
+def _sent_grams(texts: DataFrame, grams: DataFrame) -> DataFrame:
+    """Candidates where the grams are few enough to be sent, as numbers: texts are searched in place, and only hits are rows.
+
+    Two grams of one number make a candidate too many, never one too few; candidates are checked on the whole values by the caller.
+    """
+    def numbered(batches):
+        for batch in batches:
+            raw = [np.frombuffer(g.encode(), np.uint8) for g in batch.column("gram").to_pylist()]
+            hit = np.array([_windows(x, len(x))[0] if len(x) else 0 for x in raw], np.uint64).view(np.int64)
+            yield pa.record_batch([batch.column("canary_id"), pa.array([len(x) for x in raw], pa.int32()), pa.array(hit)], names=["canary_id", "size", "hit"])
+
+    named = grams.select("canary_id", "gram").mapInArrow(numbered, f"canary_id {dict(grams.dtypes)['canary_id']}, size int, hit long")
+    named = written(named.where("size > 0"), "grams")
+    known = named.select("size", "hit").distinct().toArrow()  # two numbers a gram
+    size, hit = np.asarray(known.column("size")), np.asarray(known.column("hit"), np.int64).view(np.uint64)
+    sent = texts.sparkSession.sparkContext.broadcast({int(n): np.sort(hit[size == n]) for n in np.unique(size)})
+
+    def run(batches):
+        for batch in batches:
+            rows, sizes, hits = [], [], []
+            for i, forms in enumerate(batch.column("forms").to_pylist()):
+                found = set()
+                for form in forms or ():
+                    data = np.frombuffer((form or "").encode(), np.uint8)
+                    for n, have in sent.value.items():
+                        w = _windows(data, n)
+                        at = np.minimum(np.searchsorted(have, w), len(have) - 1)
+                        found.update((n, int(x)) for x in w[have[at] == w])
+                rows += [i] * len(found)
+                sizes += [n for n, _ in found]
+                hits += [x - (1 << 64) if x >> 63 else x for _, x in found]
+            yield pa.record_batch([*[batch.column(c).take(pa.array(rows, pa.int64())) for c in TURN], pa.array(sizes, pa.int32()), pa.array(hits, pa.int64())], names=[*TURN, "size", "hit"])
+
+    kinds = dict(texts.dtypes)
+    found = texts.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in TURN) + ", size int, hit long")
+    return found.join(named, ["size", "hit"]).select(*TURN, "canary_id").distinct()
 
 
 def exact_canary_matches(outputs: DataFrame, canaries: DataFrame, by: str | None = "session_id") -> DataFrame:
