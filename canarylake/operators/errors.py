@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import ranked
+
 
 def family_errors(predictions: DataFrame) -> DataFrame:
     """Per family and true label: count, correct, errors, accuracy and counts of predicted labels."""
@@ -42,7 +44,7 @@ def error_rows(predictions: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Wrong predictions with their kind and signed margin, the widest margin first in ``rank``."""
     p, y = F.col("positive_probability"), F.col("true_label") == F.col("positive_label")
     wrong = predictions.withColumn("margin", p - threshold).where((p >= threshold) != y).withColumn("kind", F.when(p >= threshold, "false_positive").otherwise("false_negative"))
-    return wrong.withColumn("rank", F.row_number().over(Window.partitionBy("dataset_id").orderBy(F.desc(F.abs("margin")), "example_id")))
+    return ranked(wrong.withColumn("width", F.abs("margin")), ["dataset_id"], "width", "example_id").drop("width")
 
 
 def compare_errors(reference: DataFrame, candidate: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..sources.scratch import written
 from .fits import Model, fit_many, model_table, predict_many
 from .probes import grouped_folds
+from .running import running
 
 
 def calibration_rows(rows: DataFrame, task_folds: DataFrame, fold: int, labels: list[str]) -> DataFrame:
@@ -82,9 +83,8 @@ def residual_probe_cv(features: DataFrame, rows: DataFrame, calib_labels: list[s
 def auc(scores: DataFrame, by: list[str]) -> DataFrame:
     """``(by..., auc)`` of ``(score, is_positive)`` by rank sums with mean ranks for ties; 0.5 with one class only."""
     counts = scores.groupBy(*by, "score").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_positive").alias("p"))
-    upto = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("r", F.coalesce(F.sum("n").over(upto), F.lit(0)) + (F.col("n") + 1) / 2)
-    s = ranked.groupBy(*by).agg(F.sum(F.col("p") * F.col("r")).alias("s"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    placed = running(counts, by, "score", {"upto": "n"}).withColumn("r", F.col("upto") - F.col("n") + (F.col("n") + 1) / 2)
+    s = placed.groupBy(*by).agg(F.sum(F.col("p") * F.col("r")).alias("s"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return s.select(*by, F.coalesce(F.try_divide(F.col("s") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("n") - F.col("p"))), F.lit(0.5)).alias("auc"))
 
 
@@ -101,9 +101,9 @@ def learn_threshold(scores: DataFrame, by: list[str]) -> DataFrame:
     Candidates are midpoints of neighbouring scores, both ends moved out by 1e-12, and 0.5. Counts come from one running sum.
     """
     counts = scores.groupBy(*by, "score").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_positive").alias("p"))
-    w = Window.partitionBy(*by).orderBy("score")
-    total = Window.partitionBy(*by)
-    run = counts.withColumns({"nb": F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)), "pb": F.sum("p").over(w.rowsBetween(Window.unboundedPreceding, 0)), "next": F.lead("score").over(w), "prev": F.lag("score").over(w), "N": F.sum("n").over(total), "P": F.sum("p").over(total)})
+    total = counts.groupBy(*by).agg(F.sum("n").alias("N"), F.sum("p").alias("P"))  # a row per group
+    run = running(counts, by, "score", {"nb": "n", "pb": "p"}).withColumnRenamed("previous", "prev").drop("n", "p")
+    run = run.join(F.broadcast(total), by) if by else run.crossJoin(F.broadcast(total))
     # a cut after a score leaves nb rows below it, pb of them positive
     cut = lambda t, nb, pb: F.struct(t.alias("t"), nb.alias("nb"), pb.alias("pb"))
     s, nb, pb = F.col("score"), F.col("nb"), F.col("pb")

@@ -534,10 +534,17 @@ def k2_calibration_report(spark, sf_dir):
 
 
 @query(f"""WITH {_P}, c AS (SELECT t AS threshold, count(*) FILTER (p >= t AND true_label = 'good') AS tp, count(*) FILTER (p >= t AND true_label <> 'good') AS fp, count(*) FILTER (p < t AND true_label <> 'good') AS tn, count(*) FILTER (p < t AND true_label = 'good') AS fn
-    FROM pred, (SELECT i / 20 AS t FROM range(1, 20) r(i)) GROUP BY t) SELECT threshold, tp, fp, tn, fn, round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 9) AS precision, round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 9) AS recall, tp + fp AS warned FROM c""")
+    FROM pred, (SELECT i / 20 AS t FROM range(1, 20) r(i)) GROUP BY t), m AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall, (coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) + coalesce(2 * tn / nullif(2 * tn + fp + fn, 0), 0)) / 2 AS macro_f1 FROM c)
+    SELECT threshold, tp, fp, tn, fn, round(precision, 9) AS precision, round(recall, 9) AS recall, round(macro_f1, 9) AS macro_f1, tp + fp AS warned, row_number() OVER (ORDER BY macro_f1 DESC, recall DESC, threshold) = 1 AS best, row_number() OVER (ORDER BY recall DESC, precision DESC, threshold) = 1 AS high_recall FROM m""")
 def k3_operating_points(spark, sf_dir):
     o = calibration.operating_points(i.predictions(spark, sf_dir), [k / 20 for k in range(1, 20)])
-    return o.select("threshold", "tp", "fp", "tn", "fn", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"), "warned")
+    return o.select("threshold", "tp", "fp", "tn", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "macro_f1")], "warned", "best", "high_recall")
+
+
+@query(f"WITH {_P}, w AS (SELECT dataset_id, example_id, p - 0.5 AS margin, CASE WHEN p >= 0.5 THEN 'false_positive' ELSE 'false_negative' END AS kind FROM pred WHERE (p >= 0.5) <> (true_label = 'good')) SELECT dataset_id, example_id, round(margin, 9) AS margin, kind, row_number() OVER (PARTITION BY dataset_id ORDER BY abs(margin) DESC, example_id) AS rank FROM w")
+def e3_error_rows(spark, sf_dir):
+    """Every wrong prediction with its margin and its place."""
+    return errors.error_rows(i.predictions(spark, sf_dir)).select("dataset_id", "example_id", F.round("margin", 9).alias("margin"), "kind", "rank")
 
 
 @query(f"WITH {_P} SELECT family, true_label, count(*) AS count, count(*) FILTER (is_correct) AS correct, count(*) FILTER (NOT is_correct) AS errors, round(avg(CAST(is_correct AS INT)), 9) AS accuracy FROM pred GROUP BY ALL")
@@ -788,10 +795,10 @@ def b10_crosscheck(spark, sf_dir):
     return probes.crosscheck(_metrics(spark, sf_dir), *ends)[1]
 
 
-@query(f"WITH {_METRICS}, w AS (SELECT *, (macro_f1, accuracy) = max((macro_f1, accuracy)) OVER (PARTITION BY dataset_id) AS win FROM mt) SELECT feature_key, CAST(sum(CAST(win AS INT)) AS BIGINT) AS wins, round(avg(macro_f1), 6) AS mean, min(macro_f1) AS least, max(macro_f1) AS greatest FROM w GROUP BY feature_key")
+@query(f"WITH {_METRICS}, w AS (SELECT *, (macro_f1, accuracy) = max((macro_f1, accuracy)) OVER (PARTITION BY dataset_id) AS win FROM mt) SELECT feature_key, CAST(sum(CAST(win AS INT)) AS BIGINT) AS wins, round(avg(macro_f1), 6) AS mean, min(macro_f1) AS least, max(macro_f1) AS greatest, round(max(macro_f1) - min(macro_f1), 6) AS range, CAST(row_number() OVER (ORDER BY avg(macro_f1) DESC, min(macro_f1) DESC, sum(CAST(win AS INT)) DESC, max(macro_f1) - min(macro_f1), feature_key) AS INTEGER) AS rank FROM w GROUP BY feature_key")
 def b11_feature_stability(spark, sf_dir):
     s = probes.feature_stability(_metrics(spark, sf_dir))
-    return s.select("feature_key", "wins", F.round("mean", 6).alias("mean"), "least", "greatest")
+    return s.select("feature_key", "wins", F.round("mean", 6).alias("mean"), "least", "greatest", F.round("range", 6).alias("range"), "rank")
 
 
 @query()
@@ -848,9 +855,10 @@ _S = "sc AS (SELECT CAST(vec_id % 2 AS INTEGER) AS fold, CASE WHEN (vec_id // 2)
 
 
 @query(f"""WITH {_S}, r AS (SELECT fold, feature_key, y, (rank() OVER (PARTITION BY fold, feature_key ORDER BY score)) + (count(*) OVER (PARTITION BY fold, feature_key, score) - 1) / 2 AS rk FROM sc WHERE role = 'train')
-    SELECT fold, feature_key, round((sum(rk) FILTER (y) - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2) / (count(*) FILTER (y) * count(*) FILTER (NOT y)), 6) AS auc FROM r GROUP BY ALL""")
+    , a AS (SELECT fold, feature_key, (sum(rk) FILTER (y) - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2) / (count(*) FILTER (y) * count(*) FILTER (NOT y)) AS auc FROM r GROUP BY ALL)
+    SELECT fold, feature_key, round(auc, 6) AS auc, round(CASE WHEN sum(greatest(auc - 0.5, 0)) OVER w > 0 THEN greatest(auc - 0.5, 0) / sum(greatest(auc - 0.5, 0)) OVER w ELSE 1 / count(*) OVER w END, 6) AS weight FROM a WINDOW w AS (PARTITION BY fold)""")
 def c5_auc_layer_weights(spark, sf_dir):
-    return residual.auc_layer_weights(_scores(spark, sf_dir).where("role = 'train'")).select("fold", "feature_key", F.round("auc", 6).alias("auc"))
+    return residual.auc_layer_weights(_scores(spark, sf_dir).where("role = 'train'")).select("fold", "feature_key", F.round("auc", 6).alias("auc"), F.round("weight", 6).alias("weight"))
 
 
 @query(f"""WITH {_S}, t AS (SELECT fold, feature_key, score AS s, y FROM sc WHERE role = 'train'), m AS (SELECT *, lead(s) OVER (PARTITION BY fold, feature_key ORDER BY s) AS nx FROM (SELECT DISTINCT fold, feature_key, s FROM t)),
