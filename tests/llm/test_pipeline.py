@@ -180,3 +180,28 @@ def test_pieces_give_back_their_texts(spark):
     for k, (_, text) in key.items():
         assert [i for at in sorted(parts[k]) for i in parts[k][at]] == [*encode([text or ""])[0].tolist(), 1]
     assert all(at == sum(len(x) for b, x in w.items() if b < at) for w in places.values() for at in w)
+
+
+def test_batches_for_python_are_bounded(spark, sf, monkeypatch):
+    """A task of any number of rows sends them to Python in small batches, also where a stage's rows are made after it returned."""
+    from canarylake.llm import jaccard, toxicity
+    from canarylake.llm.common import by_bytes
+
+    most = cp.BATCH_ROWS
+
+    def strict(batch, column, size=1 << 20):
+        assert batch.num_rows <= most
+        return by_bytes(batch, column, size)
+
+    monkeypatch.setattr(jaccard, "by_bytes", strict)
+    monkeypatch.setattr(toxicity, "by_bytes", strict)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = docs.union(docs).union(docs).coalesce(1)
+    assert docs.count() > most
+    old = spark.conf.get(cp._ROWS)
+    try:
+        for stage in (cp.drop_toxic, cp.drop_near_copies):
+            spark.conf.set(cp._ROWS, 10_000)
+            assert stage(spark, docs, sf).count() > 0
+    finally:
+        spark.conf.set(cp._ROWS, old)
