@@ -128,6 +128,49 @@ def test_near_copies_with_a_key_in_all_texts(spark, monkeypatch):
     assert Counter(r.doc_id for r in cp.drop_near_copies(spark, docs, "").collect()) == Counter(least.values())
 
 
+def test_near_copies_of_one_text_give_few_pairs(spark, monkeypatch):
+    """Many near copies of a text, beside more texts that hold half of it, are joined by some pairs for each, not by all their pairs; as brute force has it."""
+    from canarylake.llm import jaccard
+
+    pairs = []
+    confirmed = jaccard._confirmed
+    monkeypatch.setattr(jaccard, "_confirmed", lambda p, *rest: (pairs.append(p.count()), confirmed(p, *rest))[1])
+    rng = random.Random(21)
+    base = ["b%d" % i for i in range(200)]
+    rows = []
+    for i in range(120):
+        words = base[:]
+        for at in rng.sample(range(200), rng.choice([1, 2, 3, 3, 4])):
+            words[at] = "e%d" % rng.randrange(10**6)
+        rows.append((i, " ".join(words), "en", "a", 1))
+    for i in range(360):
+        at, keep = rng.randrange(101), rng.choice([90, 95, 100])
+        words = ["h%d" % rng.randrange(10**6) for _ in range(100)]
+        rows.append((1000 + i, " ".join(words[:50] + base[at : at + keep] + words[50:]), "en", "b", 1))
+    least = {}
+    for r, c in zip(rows, jaccard_components(rows)):
+        least[c] = min(least.get(c, r[0]), r[0])
+    assert 360 <= len(least) < 400
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+    assert Counter(r.doc_id for r in cp.drop_near_copies(spark, docs, "").collect()) == Counter(least.values())
+    assert max(pairs) <= 2 * len(rows), pairs
+
+
+def test_sets_of_other_roots_meet_in_all_blocks(spark, monkeypatch):
+    """Each pair of different roots is named once, whether a key's sets are in one block or in many, some of them of its largest root."""
+    import numpy as np
+    from canarylake.llm import jaccard
+
+    sig = bytearray(jaccard._short(jaccard._sig(np.arange(40, dtype=np.uint64))))  # the same for all: every pair may be alike
+    monkeypatch.setattr(jaccard, "_BLOCK", 16)
+    for n, others in ((12, 5), (90, 30), (200, 3), (60, 60)):
+        root = [100 + i % 7 if i < others else 1 for i in range(n)]
+        top, big = Counter(root).most_common(1)[0]
+        rest = spark.createDataFrame([(5, i, 40, r, sig, n, top, big) for i, r in enumerate(root)], "key long, sid long, n int, root long, short binary, c long, top long, big long")
+        got = Counter((r.a, r.b) for r in jaccard._held(rest, 0.8).collect())
+        assert got == Counter((i, j) for i in range(n) for j in range(i) if root[i] != root[j])
+
+
 def test_blocks_lose_no_pair():
     """Sizes and signatures keep every pair of a similarity of 0.8 or more, inside a block and across two."""
     import numpy as np
