@@ -46,8 +46,13 @@ def policy_windows(prompts: DataFrame, kind: str = "selector", text_col: str = "
         fine = fine & (F.size(f"__{k}") == 1)
     all_ = F.flatten(F.array(*[F.col(f"__{k}") for k in keys]))
     tokens = F.transform("offsets", lambda o, i: F.struct(i.alias("i"), o["start"].alias("s"), o["end"].alias("e")))
-    hit = F.filter(tokens, lambda o: F.exists(all_, lambda s: (o["s"] < s["end"]) & (o["e"] > s["start"])))
-    done = out.withColumn("window", F.array_sort(F.array_distinct(F.transform(hit, lambda o: o["i"])))).withColumn("__ok", fine).drop(*[f"__{k}" for k in keys])
+
+    def window(spans_):
+        hit = F.filter(tokens, lambda o: F.exists(spans_, lambda s: (o["s"] < s["end"]) & (o["e"] > s["start"])))
+        return F.transform(hit, lambda o: o["i"])  # in order, each once
+
+    # an argument of a function over arrays is computed once a row; what stands inside of one, for each token again
+    done = out.withColumn("window", F.get(F.transform(F.array(all_), window), F.lit(0))).withColumn("__ok", fine).drop(*[f"__{k}" for k in keys])
     return done.where("__ok").drop("__ok"), done.where("not __ok").drop("__ok", "window").withColumn("violation", F.lit("assignments"))
 
 

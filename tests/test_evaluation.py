@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,6 +130,21 @@ def test_policy_text(spark):
     assert [r.resolution for r in got] == ["mask", "copy", "invalid", "invalid", "invalid"]
 
 
+def test_policy_windows_search_a_text_once(spark):
+    """A text of 40,000 tokens is searched once for each key, not once for each token; a repeated key is bad."""
+    base = "lorem ipsum " * 13_333
+    texts = [(base + "selected_field=a;selected_mode=b", "one"), ("selected_field=a selected_field=c selected_mode=b", "two")]
+    offsets = lambda t: [(a, min(a + 4, len(t))) for a in range(0, len(t), 4)]
+    rows = spark.createDataFrame([(t, i, offsets(t)) for t, i in texts], "text string, example_id string, offsets array<struct<start:int,end:int>>").localCheckpoint()
+    began = time.monotonic()
+    good, bad = policytext.policy_windows(rows)
+    got = good.collect()
+    assert time.monotonic() - began < 60
+    a, b = len(base) // 4, (len(texts[0][0]) - 1) // 4
+    assert [(r.example_id, r.window) for r in got] == [("one", list(range(a, b + 1)))]
+    assert [(r.example_id, r.violation) for r in bad.collect()] == [("two", "assignments")]
+
+
 def test_grouped_folds_of_many_families(spark):
     """So many families that none is dealt on the driver: folds within two percent of each other for both labels, families whole, also a null one."""
     n = 200_000
