@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import spans
+from ..functions.text import once, spans
 from ..sources.scratch import written
 from .calibration import cv_metrics
 
@@ -51,8 +51,7 @@ def policy_windows(prompts: DataFrame, kind: str = "selector", text_col: str = "
         hit = F.filter(tokens, lambda o: F.exists(spans_, lambda s: (o["s"] < s["end"]) & (o["e"] > s["start"])))
         return F.transform(hit, lambda o: o["i"])  # in order, each once
 
-    # an argument of a function over arrays is computed once a row; what stands inside of one, for each token again
-    done = out.withColumn("window", F.get(F.transform(F.array(all_), window), F.lit(0))).withColumn("__ok", fine).drop(*[f"__{k}" for k in keys])
+    done = out.withColumn("window", once(all_, window)).withColumn("__ok", fine).drop(*[f"__{k}" for k in keys])
     return done.where("__ok").drop("__ok"), done.where("not __ok").drop("__ok", "window").withColumn("violation", F.lit("assignments"))
 
 
