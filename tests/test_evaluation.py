@@ -104,6 +104,14 @@ def test_bigrams(spark):
     assert sorted(map(str, out.collect())) == sorted(map(str, generate.sample_tokens(t.repartition(3), ["stripe-sk-live", "database-password"], 20, 3).collect()))
 
 
+def test_many_tokens_are_drawn(spark):
+    """A step of the chain looks at its cells once; 40,000 tokens, all of their format, and the same again."""
+    t = generate.train_bigrams(generate.synthetic_corpus(spark, ["stripe-sk-live"], 200, 1)).localCheckpoint()
+    began = time.monotonic()
+    got = generate.sample_tokens(t, ["stripe-sk-live"], 40_000, 1).agg(F.count_distinct("token"), F.count_if(F.col("token").rlike("^sk_live_[A-Za-z0-9]{24}$"))).first()
+    assert time.monotonic() - began < 25 and tuple(got) == (40_000, 40_000)
+
+
 def test_stored_models_fail_closed(spark, tmp_path):
     t = spark.createDataFrame([("stripe-sk-live", "<START>", "a", 0.6), ("stripe-sk-live", "<START>", "-", 0.6)], "format string, state string, next_char string, prob double")
     meta = spark.createDataFrame([("stripe-sk-live", 1.0, 0.0, 3, 1)], "format string, epsilon double, clip double, corpus_size int, train_seed int")
